@@ -206,7 +206,7 @@ def derived(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFram
     return {name: get(name) for name in names}
 
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple[str, str], Store] = {}
 _PATHS: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -234,8 +234,8 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         cells.write.parquet(f"{path}/grid")
         d["image"].write.parquet(f"{path}/image")
         d["bookmark"].write.parquet(f"{path}/bookmark")
-        _STORES[key] = path
-    return load_store(spark, _STORES[key])
+        _STORES[key] = load_store(spark, path)
+    return _STORES[key]
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

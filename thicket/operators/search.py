@@ -16,6 +16,7 @@ from ..functions.text import (
 from ..model import PAGE_SIZE
 from ..plans.joins import lookup_join
 from ..plans.scan import Running, numbered, running
+from ..session import materialize
 from ..sources.store import Store, decode_nodes, image_kind
 from .forest import names_on_path, subtree
 
@@ -42,7 +43,12 @@ class SearchOptions:
 
 
 def compile_pattern(opts: SearchOptions) -> str:
-    """The regular expression of a search, built once on the driver."""
+    """The regular expression of a search, built once on the driver.
+
+    Several words match a whole line. The pattern is tied to the line start: a
+    line that fails there fails everywhere, and trying each place would take
+    time quadratic in the line.
+    """
     text = opts.pattern
     if opts.accent_insensitive:
         from ..functions.text import ACCENTS_DST, ACCENTS_SRC
@@ -52,8 +58,8 @@ def compile_pattern(opts: SearchOptions) -> str:
     words = [w for w in text.split(" ") if w] if opts.multiple_words and not opts.reg_exp else []
     if len(words) > 1:
         if opts.multiple_words == 1:
-            return flags + "".join(f"(?=.*{regex_literal(w)})" for w in words) + ".*"
-        return flags + ".*(?:" + "|".join(regex_literal(w) for w in words) + ").*"
+            return flags + "^" + "".join(f"(?=.*{regex_literal(w)})" for w in words) + ".*"
+        return flags + "^.*(?:" + "|".join(regex_literal(w) for w in words) + ").*"
     if opts.reg_exp:
         return flags + text
     literal = regex_literal(text)
@@ -326,25 +332,29 @@ def all_matches(
             F.col("match_end").alias("inner_end"), "line_content",
         )
         objs = code.unionByName(grid).unionByName(names).unionByName(links)
-        objs = objs.join(holders.where("rich"), "node_id", "left_semi")
+        objs = materialize(objs.join(holders.where("rich"), "node_id", "left_semi"), "object-matches")
         # Line number of an object: line feeds before its place in the text.
-        places = object_positions(all_objects(store)).groupBy("node_id", "offset").agg(F.min("text_pos").alias("text_pos"))
-        places = places.join(objs.select("node_id", "offset").distinct(), ["node_id", "offset"], "left_semi")
-        lines = lookup_join(places, store.node.select(F.col("node_id").alias("nid"), "txt"), "node_id", "nid", "inner").select(
+        hit_objects = objs.select("node_id", "offset").distinct()
+        nodes_hit = hit_objects.select("node_id").distinct()
+        places = object_positions(all_objects(store).join(nodes_hit, "node_id", "left_semi"))
+        places = places.groupBy("node_id", "offset").agg(F.min("text_pos").alias("text_pos"))
+        places = places.join(hit_objects, ["node_id", "offset"], "left_semi")
+        lines = lookup_join(places, store.node.select(F.col("node_id").alias("nid"), "txt"), "node_id", "nid", "inner", check=False).select(
             "node_id", "offset", line_number("txt", F.col("text_pos").cast("int")).alias("line_num")
         )
         objs = objs.join(lines, ["node_id", "offset"]).select(
             F.col("node_id").alias("h"), F.col("offset").alias("start_offset"), (F.col("offset") + 1).alias("end_offset"),
             "line_num", "line_content", "object_kind", "cell_idx", "inner_start", "inner_end", F.lit(0).alias("is_name"),
         )
-        pieces.append(lookup_join(text.unionByName(objs), open_pos.select("node_id", "holder_id"), "h", "holder_id", "inner").drop("h", "holder_id"))
+        both = text.unionByName(objs)
+        pieces.append(lookup_join(both, open_pos.select("node_id", "holder_id"), "h", "holder_id", "inner", check=False).drop("h", "holder_id"))
     if opts.in_name_and_tags:
         named = find_name_tags(open_pos, opts)
         # Only matching nodes read their first line.
         heads = store.node.select(F.col("node_id").alias("h"), first_line("txt").alias("line_content"))
         zero = F.lit(0).cast("long")
         pieces.append(
-            lookup_join(named, heads, "holder_id", "h", "left").select(
+            lookup_join(named, heads, "holder_id", "h", "left", check=False).select(
                 "node_id", zero.alias("start_offset"), zero.alias("end_offset"), zero.alias("line_num"),
                 F.coalesce("line_content", F.lit("")).alias("line_content"), F.lit("text").alias("object_kind"),
                 zero.alias("cell_idx"), zero.alias("inner_start"), zero.alias("inner_end"), F.lit(1).alias("is_name"),
@@ -353,14 +363,17 @@ def all_matches(
     rows = pieces[0]
     for piece in pieces[1:]:
         rows = rows.unionByName(piece)
-    crumbs = names_on_path(paths.join(rows.select("node_id").distinct(), "node_id", "left_semi"), positions.select("node_id", "name"))
-    crumbs = crumbs.select(
-        F.col("node_id").alias("cid"), xml_escape(F.array_join(F.transform("names", unicode_trim), "  /  ")).alias("hier_name")
+    # The matches are read several times below; searching again would cost more.
+    rows = materialize(rows, "matches")
+    hit_nodes = rows.select("node_id").distinct()
+    crumbs = names_on_path(paths.join(hit_nodes, "node_id", "left_semi"), positions.select("node_id", "name"))
+    info = (
+        crumbs.select("node_id", xml_escape(F.array_join(F.transform("names", unicode_trim), "  /  ")).alias("hier_name"))
+        .join(open_pos.select("node_id", "name", "tags"), "node_id")
+        .join(ordered.select("node_id", "pos"), "node_id")
+        .withColumnRenamed("node_id", "info_id")
     )
-    labels = open_pos.select(F.col("node_id").alias("lid"), "name", "tags")
-    out = lookup_join(rows, crumbs, "node_id", "cid", "inner")
-    out = lookup_join(out, labels, "node_id", "lid", "inner")
-    out = lookup_join(out, ordered.select(F.col("node_id").alias("oid"), "pos"), "node_id", "oid", "inner")
+    out = lookup_join(rows, info, "node_id", "info_id", "inner")
     shown = F.when(F.col("is_name") == 1, fold_accents("name")).otherwise(F.col("name")) if opts.accent_insensitive else F.col("name")
     shown_tags = F.when(F.col("is_name") == 1, fold_accents("tags")).otherwise(F.col("tags")) if opts.accent_insensitive else F.col("tags")
     title = F.when(F.coalesce("tags", F.lit("")) == "", shown).otherwise(

@@ -31,14 +31,17 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     fanout: int = FANOUT,
+    check: bool = True,
 ) -> DataFrame:
     """Join ``left`` to the rows of ``right`` with ``left_key = right_key``.
 
     ``right_key`` is unique (or nearly so) in ``right``. Hot left keys are
     salted over ``fanout`` partitions and only their right rows are copied, so
-    one key holding a third of ``left`` does not end in one task.
+    one key holding a third of ``left`` does not end in one task. Finding hot
+    keys reads the key column of ``left`` once; with ``check`` off the join is
+    left to the engine's own skew handling (for lefts that are dear to compute).
     """
-    hot = hot_keys(left, left_key, hot_rows)
+    hot = hot_keys(left, left_key, hot_rows) if check else []
     if not hot:
         return left.join(right, F.col(left_key) == F.col(right_key), how)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c != left_key]), F.lit(fanout))

@@ -51,19 +51,22 @@ def running(
     order: list[Column],
     outputs: dict[str, Running],
     bucket: Column | None = None,
+    cheap: bool = False,
 ) -> DataFrame:
     """Add ``outputs`` to ``df``: running values per ``keys`` in ``order``.
 
     ``order`` must be total within a group. ``bucket`` may give a deterministic
-    value that never decreases along ``order`` (such as ``offset div 100000``);
-    then everything stays lazy. Without it the rows are range-partitioned and
-    written once, so that every consumer sees the same cut.
+    value that never decreases along ``order`` (such as ``offset div 100000``).
+    Without it the rows are range-partitioned, so that every bucket fits a task.
+    The rows are needed twice, so they are written once to the shared folder;
+    ``cheap`` with a ``bucket`` skips that for inputs that cost little to redo.
     """
     if bucket is None:
         ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
         cut = materialize(ranged.withColumn(_BUCKET, F.spark_partition_id()), "ranges")
     else:
         cut = df.withColumn(_BUCKET, bucket)
+        cut = cut if cheap else materialize(cut, "buckets")
     group = [*keys, _BUCKET]
     local = Window.partitionBy(*group).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
@@ -106,8 +109,9 @@ def running(
 
 
 def numbered(
-    df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", bucket: Column | None = None
+    df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", bucket: Column | None = None,
+    cheap: bool = False,
 ) -> DataFrame:
     """``row_number`` per ``keys`` in ``order`` for groups of any size (1-based)."""
-    out = running(df, keys, order, {name: Running("count", F.lit(1))}, bucket)
+    out = running(df, keys, order, {name: Running("count", F.lit(1))}, bucket, cheap)
     return out.withColumn(name, F.col(name).cast("long"))

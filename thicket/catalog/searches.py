@@ -51,8 +51,8 @@ WS = "[^\\p{L}\\p{N}_]+"
                           ' ' || regexp_replace(lower(text), '{WS}', '  ', 'g') || ' ' AS padded,
                           string_split(lower(text), chr(10)) AS lines FROM documents)
         SELECT option, CAST(count(*) AS BIGINT) AS n_docs FROM (
-          SELECT 'literal' AS option FROM d WHERE contains(lower(text), 'unter')
-          UNION ALL SELECT 'match_case' FROM d WHERE contains(text, 'Unter')
+          SELECT 'literal' AS option FROM d WHERE contains(lower(text), 'nicht')
+          UNION ALL SELECT 'match_case' FROM d WHERE contains(text, 'Der')
           UNION ALL SELECT 'whole_word' FROM d WHERE contains(padded, ' de ')
           UNION ALL SELECT 'start_word' FROM d WHERE contains(padded, ' unt')
           UNION ALL SELECT 'accents' FROM d WHERE contains(folded, 'ete')
@@ -64,7 +64,7 @@ WS = "[^\\p{L}\\p{N}_]+"
 def _(spark, sf):
     O = X.SearchOptions
     options = {
-        "literal": O("Unter"), "match_case": O("Unter", match_case=True), "whole_word": O("de", whole_word=True),
+        "literal": O("NICHT"), "match_case": O("Der", match_case=True), "whole_word": O("de", whole_word=True),
         "start_word": O("unt", start_word=True), "accents": O("été", accent_insensitive=True),
         "all_words": O("with the", multiple_words=1), "any_word": O("nicht avec", multiple_words=2),
         "regex": O("q[a-z]+e,", reg_exp=True),

@@ -301,7 +301,7 @@ def all_matches(
         resolve_positions(store, "name", "tags", "syntax", "level", "is_ro", "is_richtxt", "ts_creation", "ts_lastsave")
     )
     open_pos = time_filter(searchable_nodes(positions, paths, opts.override_exclusions), opts)
-    open_pos = open_pos.select("node_id", "holder_id", "name", "tags", "kind")
+    open_pos = materialize(open_pos.select("node_id", "holder_id", "name", "tags", "kind"), "open-positions")
     holders = open_pos.select(F.col("holder_id").alias("node_id"), (F.col("kind") == "rich").alias("rich")).distinct()
 
     none = {"object_kind": F.lit("text"), "cell_idx": F.lit(0).cast("long"), "inner_start": F.lit(0).cast("long"),

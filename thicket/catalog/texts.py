@@ -138,9 +138,9 @@ def _(spark, sf):
     """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM documents),
        a AS (SELECT *, CASE WHEN length(w) > 6 THEN 'weight=heavy' ELSE '' END AS attrs FROM w),
        c AS (SELECT *, CASE WHEN attrs IS DISTINCT FROM lag(attrs) OVER (PARTITION BY doc_id ORDER BY i) OR i = 0 THEN 1 ELSE 0 END AS new,
-                    CAST(COALESCE(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM a),
+                    CAST(COALESCE(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off_ FROM a),
        r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS run_idx FROM c)
-       SELECT doc_id AS node_id, run_idx, min(at) AS start_offset, string_agg(w, '' ORDER BY i) AS text, any_value(attrs) AS attrs FROM r GROUP BY doc_id, run_idx""",
+       SELECT doc_id AS node_id, run_idx, min(off_) AS start_offset, string_agg(w, '' ORDER BY i) AS text, any_value(attrs) AS attrs FROM r GROUP BY doc_id, run_idx""",
 )
 def _(spark, sf):
     words = tables(spark, sf)["documents"].select(F.col("doc_id").alias("node_id"), F.posexplode(F.split("text", " ")).alias("idx", "text"))

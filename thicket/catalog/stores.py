@@ -49,6 +49,16 @@ def _digest_sql(children, objs, bookmark, node):
     return " UNION ALL ".join(parts)
 
 
+def _changes(spark, sf):
+    """The edit log with node ids spread over all orders."""
+    log = derived(spark, sf, "edit_log")["edit_log"]
+    n = tables(spark, sf)["orders"].count()
+    return log.withColumn("node_id", F.lit(1000000000001) + (F.col("event_id") * 7) % n)
+
+
+CHANGES_SQL = ", log AS (SELECT event_id, ts, 1000000000001 + (event_id * 7) % (SELECT count(*) FROM orders) AS node_id, kind, snapshot FROM edit_log)"
+
+
 ALL = "children node codebox grid image bookmark paths"
 
 # Nations 101..105 (with customers and orders) go; masters among them pass on.
@@ -186,12 +196,12 @@ def _(spark, sf):
 @query(
     "calendar_tree",
     """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders),
-       rows_ AS (SELECT DISTINCT 1 AS level, date_trunc('year', d) AS at, strftime(d, '%Y') AS name FROM d
+       rows_ AS (SELECT DISTINCT 1 AS level, date_trunc('year', d) AS d_, strftime(d, '%Y') AS name FROM d
          UNION ALL SELECT DISTINCT 2, date_trunc('month', d), strftime(d, '%B') FROM d UNION ALL SELECT 3, d, strftime(d, '%d %a') FROM d),
-       ids AS (SELECT *, row_number() OVER (ORDER BY at, level) AS rank FROM rows_),
-       t AS (SELECT i.rank AS node_id, COALESCE(u.rank, 0) AS father_id, i.level, i.name, i.at FROM ids AS i
-             LEFT JOIN ids AS u ON u.level = i.level - 1 AND u.at = CASE WHEN i.level = 3 THEN date_trunc('month', i.at) ELSE date_trunc('year', i.at) END)
-       SELECT node_id, father_id, CAST(level AS BIGINT) AS level, name, row_number() OVER (PARTITION BY father_id ORDER BY at) AS sequence FROM t""",
+       ids AS (SELECT *, row_number() OVER (ORDER BY d_, level) AS rank FROM rows_),
+       t AS (SELECT i.rank AS node_id, COALESCE(u.rank, 0) AS father_id, i.level, i.name, i.d_ FROM ids AS i
+             LEFT JOIN ids AS u ON u.level = i.level - 1 AND u.d_ = CASE WHEN i.level = 3 THEN date_trunc('month', i.d_) ELSE date_trunc('year', i.d_) END)
+       SELECT node_id, father_id, CAST(level AS BIGINT) AS level, name, row_number() OVER (PARTITION BY father_id ORDER BY d_) AS sequence FROM t""",
 )
 def _(spark, sf):
     sec = tables(spark, sf)["orders"].select((F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")).cast("long") * 86400).alias("s"))
@@ -215,12 +225,12 @@ def _(spark, sf):
 
 @query(
     "pending_minus_removed",
-    "SELECT DISTINCT node_id FROM edit_log WHERE kind IN ('prop', 'buff') AND node_id NOT IN (SELECT node_id FROM edit_log WHERE kind = 'remove' AND event_id % 2 = 0)",
+    f"{CHANGES_SQL} SELECT DISTINCT node_id FROM log WHERE kind IN ('prop', 'buff') AND node_id NOT IN (SELECT node_id FROM log WHERE kind = 'remove')",
     "edit_log",
 )
 def _(spark, sf):
-    log = derived(spark, sf, "edit_log")["edit_log"]
-    return M.pending_minus_removed(log.where("kind IN ('prop', 'buff')").select("node_id").distinct(), log.where("kind = 'remove' AND event_id % 2 = 0"))
+    log = _changes(spark, sf)
+    return M.pending_minus_removed(log.where("kind IN ('prop', 'buff')").select("node_id").distinct(), log.where("kind = 'remove'"))
 
 
 @query(
@@ -293,10 +303,10 @@ def _(spark, sf):
 
 
 @query("blob_store", """SELECT DISTINCT sha256(png) AS sha, CAST(octet_length(png) AS BIGINT) AS n_bytes FROM image WHERE png IS NOT NULL
-       AND png NOT IN (SELECT png FROM image WHERE png IS NOT NULL AND node_id % 31 = 0)""", "image")
+       AND png NOT IN (SELECT png FROM image WHERE png IS NOT NULL AND node_id IN (SELECT node_id FROM bookmark))""", "image bookmark")
 def _(spark, sf):
     image = store(spark, sf).image
-    known = image.where("png IS NOT NULL AND node_id % 31 = 0").select(F.sha2("png", 256).alias("sha"))
+    known = image.where("png IS NOT NULL").join(store(spark, sf).bookmark, "node_id", "left_semi").select(F.sha2("png", 256).alias("sha"))
     return E.new_blobs(image, known).select("sha", F.octet_length("png").cast("long").alias("n_bytes"))
 
 
@@ -451,16 +461,6 @@ PENDING_SQL = """pending AS (SELECT node_id, bool_or(kind IN ('new', 'prop')) AN
   NOT bool_or(kind = 'new') AS is_update, bool_or(kind = 'remove') AS removed FROM log WHERE kind <> 'visit' GROUP BY node_id)"""
 
 
-def _changes(spark, sf):
-    """The edit log with node ids spread over all orders."""
-    log = derived(spark, sf, "edit_log")["edit_log"]
-    n = tables(spark, sf)["orders"].count()
-    return log.withColumn("node_id", F.lit(1000000000001) + (F.col("event_id") * 7) % n)
-
-
-CHANGES_SQL = ", log AS (SELECT event_id, ts, 1000000000001 + (event_id * 7) % (SELECT count(*) FROM orders) AS node_id, kind, snapshot FROM edit_log)"
-
-
 @query("coalesce_pending", f"{CHANGES_SQL}, {PENDING_SQL} SELECT * FROM pending", "edit_log")
 def _(spark, sf):
     return SY.coalesce_pending(_changes(spark, sf))
@@ -502,8 +502,8 @@ def _(spark, sf):
 @query(
     "stream_latest_version",
     f"""{CHANGES_SQL} SELECT 'file-' || node_id % 1000 AS path, arg_max(node_id, (ts, snapshot || '/' || event_id)) AS node_id, max(ts) AS mtime, arg_max(snapshot || '/' || event_id, (ts, snapshot || '/' || event_id)) AS content
-        FROM log WHERE node_id % 11 <> 0 GROUP BY 1""",
-    "edit_log",
+        FROM log WHERE node_id NOT IN (SELECT node_id FROM node_props WHERE (is_ro & 1) = 1) GROUP BY 1""",
+    "edit_log node_props",
 )
 def _(spark, sf):
     feed = f"{shared_dir(spark)}/thicket-feed-{uuid.uuid4().hex}"
@@ -513,7 +513,7 @@ def _(spark, sf):
         F.concat(F.lit("file-"), (F.col("node_id") % 1000).cast("string")).alias("path"), "node_id", F.col("ts").alias("mtime"),
         F.concat("snapshot", F.lit("/"), F.col("event_id").cast("string")).alias("content"),
     )
-    read_only = store(spark, sf).node.where("node_id % 11 = 0").select("node_id")
+    read_only = store(spark, sf).node.where("(is_ro & 1) = 1").select("node_id")
     q = ST.stream_latest_version(files, out, read_only, trigger={"availableNow": True})
     q.awaitTermination()
     return ST.latest_of_batches(spark, out)

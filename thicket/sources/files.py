@@ -20,7 +20,7 @@ def read_csv_grids(spark: SparkSession, pattern: str) -> DataFrame:
     return csv_to_grid(files, "text", ["path"])
 
 
-def decode_text(content: Column, fallback: str = "windows-1252") -> Column:
+def decode_text(content: Column, fallback: str = "ISO-8859-1") -> Column:
     """Bytes to text by byte order mark, else UTF-8 when valid, else ``fallback``.
 
     The mark itself is dropped. UTF-32 is tested before UTF-16, whose mark it
@@ -31,12 +31,11 @@ def decode_text(content: Column, fallback: str = "windows-1252") -> Column:
     utf8 = lambda c: F.is_valid_utf8(c.cast("string"))
     return (
         F.when(head.startswith("EFBBBF"), F.make_valid_utf8(after(3).cast("string")))
-        .when(head == "0000FEFF", F.decode(after(4), "UTF-32BE"))
-        .when(head == "FFFE0000", F.decode(after(4), "UTF-32LE"))
+        .when(head.isin("0000FEFF", "FFFE0000"), F.decode(content, "UTF-32"))  # the mark gives the byte order
         .when(head.startswith("FEFF"), F.decode(after(2), "UTF-16BE"))
         .when(head.startswith("FFFE"), F.decode(after(2), "UTF-16LE"))
         .when(utf8(content), content.cast("string"))
-        .otherwise(F.decode(content, "ISO-8859-1" if fallback == "windows-1252" else fallback))
+        .otherwise(F.decode(content, fallback))
     )
 
 

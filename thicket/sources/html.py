@@ -32,8 +32,16 @@ ENTITIES = {
 
 def decode_entities(c: Column | str) -> Column:
     """Named and numeric entities to characters."""
-    out = _col(c)
-    for name, char in ENTITIES.items():
+    return _decode(_col(c), ENTITIES)
+
+
+def decode_xml_entities(c: Column | str) -> Column:
+    """The entities XML itself defines, and numeric ones."""
+    return _decode(_col(c), {k: ENTITIES[k] for k in ("&lt;", "&gt;", "&quot;", "&apos;", "&#39;")})
+
+
+def _decode(out: Column, entities: dict[str, str]) -> Column:
+    for name, char in entities.items():
         out = F.replace(out, F.lit(name), F.lit(char))
 
     def numeric(part: Column, i: Column) -> Column:

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.forest import root_paths, sibling_rank
+from ..operators.forest import sibling_rank
 from ..plans.scan import Running, numbered, running
 from ..session import materialize
-from .html import decode_entities
+from .html import decode_xml_entities
 
 
 def outline_to_tree(rows: DataFrame, doc: str = "doc", pos: str = "pos", level: str = "level") -> DataFrame:
@@ -19,7 +19,7 @@ def outline_to_tree(rows: DataFrame, doc: str = "doc", pos: str = "pos", level:
     row of a level below L-1 between; level 1 hangs from the root (0). Rows
     below level 1 are ignored; a row without a father drops out with all below
     it. A document may hold any share of the rows: ranks and running values go
-    over buckets, and reachability is pointer doubling.
+    over buckets, and one scan finds fathers and reachability together.
     """
     listed = rows.where(F.col(level) >= 1)
     ids = materialize(numbered(listed, [], [F.col(doc), F.col(pos)], "node_id"), "outline")
@@ -31,16 +31,17 @@ def outline_to_tree(rows: DataFrame, doc: str = "doc", pos: str = "pos", level:
     placed = ids
     if outputs:
         placed = running(ids, [doc], [F.col("node_id")], outputs, bucket=F.floor(F.col("node_id") / 1_000_000), cheap=True)
+    # Seen from a row, the last row of each level k above it must come after the
+    # last row of any lower level: then the whole chain up to the root exists.
     father = F.when(F.col(level) == 1, F.lit(0).cast("long"))
+    chain = F.lit(True)
     for k in range(1, int(deepest)):
-        ok = F.col(f"at{k}").isNotNull() & (F.coalesce(F.col(f"up{k}"), F.lit(-1)) < F.col(f"at{k}"))
-        father = father.when((F.col(level) == k + 1) & ok, F.col(f"at{k}"))
+        chain = chain & F.col(f"at{k}").isNotNull() & (F.coalesce(F.col(f"up{k}"), F.lit(-1)) < F.col(f"at{k}"))
+        father = father.when((F.col(level) == k + 1) & chain, F.col(f"at{k}"))
     placed = placed.withColumn("father_id", father).where("father_id IS NOT NULL").drop(*outputs)
-    placed = materialize(placed, "outline-fathers")
-    links = placed.select("node_id", "father_id", F.col("node_id").alias("sequence"), F.lit(0).cast("long").alias("master_id"))
-    reach = root_paths(links).select("node_id", "father_id", F.col("node_id").alias("sequence"), "depth")
-    ranked = sibling_rank(reach).select("node_id", "depth", F.col("rank").alias("sequence"))
-    return placed.join(ranked, "node_id")
+    placed = placed.withColumns({"sequence": F.col("node_id"), "depth": (F.col(level) - 1).cast("long")})
+    ranked = sibling_rank(materialize(placed, "outline-fathers"))
+    return ranked.withColumn("sequence", F.col("rank")).drop("rank")
 
 
 def indented_lines_to_outline(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -128,7 +129,7 @@ def xml_tree_rows(df: DataFrame, text: str, keep: list[str], tag: str) -> DataFr
 def xml_attr(head: Column | str, name: str) -> Column:
     """Value of an attribute of an open tag; '' when absent."""
     c = F.col(head) if isinstance(head, str) else head
-    return decode_entities(F.regexp_extract(c, rf"\s{name}\s*=\s*\"([^\"]*)\"", 1))
+    return decode_xml_entities(F.regexp_extract(c, rf"\s{name}\s*=\s*\"([^\"]*)\"", 1))
 
 
 def vnode_tnode_join(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -136,11 +137,11 @@ def vnode_tnode_join(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     pos, level, key, name, contents."""
     heads = xml_tree_rows(df, text, keep, "v").select(
         *keep, "pos", "level", xml_attr("head", "t").alias("key"),
-        decode_entities(F.regexp_extract("body", r"(?s)<vh>(.*?)</vh>", 1)).alias("name"),
+        decode_xml_entities(F.regexp_extract("body", r"(?s)<vh>(.*?)</vh>", 1)).alias("name"),
     )
     bodies = df.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(r'(?s)<t\s+tx="[^"]*"[^>]*>.*?</t>'), F.lit(0))).alias("t"))
     bodies = bodies.select(
         *keep, F.regexp_extract("t", r'<t\s+tx="([^"]*)"', 1).alias("key"),
-        decode_entities(F.regexp_extract("t", r"(?s)^<t[^>]*>(.*)</t>\z", 1)).alias("contents"),
+        decode_xml_entities(F.regexp_extract("t", r"(?s)^<t[^>]*>(.*)</t>\z", 1)).alias("contents"),
     ).dropDuplicates([*keep, "key"])
     return heads.join(bodies, [*keep, "key"], "left").withColumn("contents", F.coalesce("contents", F.lit("")))

@@ -10,7 +10,8 @@ from ..functions.text import is_true, to_int
 from ..model import RUN_ATTRIBUTES
 from ..operators.merge import fix_duplicate_ids
 from ..plans.scan import Running, numbered, running
-from .html import decode_entities
+from ..session import materialize
+from .html import decode_xml_entities
 from .outline import outline_to_tree, xml_attr, xml_tree_rows
 
 GRID_SCHEMA = "_col_widths string, _is_light string, row array<struct<cell: array<string>>>"
@@ -51,7 +52,7 @@ def parse_runs_xml(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
         head = F.regexp_extract(p, r"^(<rich_text[^>]*>)", 1)
         entries = [F.struct(F.lit(a).alias("key"), xml_attr(head, a).alias("value")) for a in RUN_ATTRIBUTES]
         attrs = F.map_filter(F.map_from_entries(F.array(*entries)), lambda _, v: v != "")
-        text = decode_entities(F.regexp_extract(p, r"(?s)^<rich_text[^>]*>(.*)</rich_text>\z", 1))
+        text = decode_xml_entities(F.regexp_extract(p, r"(?s)^<rich_text[^>]*>(.*)</rich_text>\z", 1))
         return F.struct(text.alias("text"), attrs.alias("attrs"))
 
     def with_offsets(runs: Column) -> Column:
@@ -91,13 +92,13 @@ def xml_corpus(files: DataFrame) -> DataFrame:
     """
     rows = xml_tree_rows(files, "text", ["path"], "node")
     rows = rows.withColumns(_node_columns(F.col("head"))).drop("head")
-    tree = outline_to_tree(rows.withColumn("doc", F.col("path")), "doc", "pos", "level")
+    tree = materialize(outline_to_tree(rows.withColumn("doc", F.col("path")), "doc", "pos", "level"), "xml-nodes")
     per_file = tree.withColumn("global_id", F.col("node_id"))
     # Ids repeat only within a file; numbering restarts per file.
     occ = numbered(
         per_file.select("global_id", "path", "unique_id"), ["path", "unique_id"], [F.col("global_id")], "occ"
     )
-    top = rows.groupBy("path").agg(F.max("unique_id").alias("top"))
+    top = tree.groupBy("path").agg(F.max("unique_id").alias("top"))
     extra = running(
         occ.withColumn("dup", (F.col("occ") > 1).cast("long")), ["path"], [F.col("global_id")], {"n_dup": Running("sum", F.col("dup"))}
     )
@@ -177,10 +178,10 @@ def note_xml_records(files: DataFrame) -> DataFrame:
     A missing or empty tag is no notebook; a note without a body is no note.
     """
     text = F.col("text")
-    title = decode_entities(F.regexp_extract(text, r"(?s)<title>(.*?)</title>", 1))
-    tag = decode_entities(F.regexp_extract(F.regexp_extract(text, r"(?s)<tags>(.*?)</tags>", 1), r"(?s)<tag>(.*?)</tag>", 1))
+    title = decode_xml_entities(F.regexp_extract(text, r"(?s)<title>(.*?)</title>", 1))
+    tag = decode_xml_entities(F.regexp_extract(F.regexp_extract(text, r"(?s)<tags>(.*?)</tags>", 1), r"(?s)<tag>(.*?)</tag>", 1))
     raw = F.regexp_extract(text, r"(?s)<note-content\b[^>]*>(.*?)</note-content>", 1)
-    body = decode_entities(F.regexp_replace(raw, r"(?s)<[^>]*>", ""))
+    body = decode_xml_entities(F.regexp_replace(raw, r"(?s)<[^>]*>", ""))
     prefix = "system:notebook:"
     return files.where(text.rlike(r"<note-content\b")).select(
         "path", F.when(title == "", F.lit("???")).otherwise(title).alias("name"),

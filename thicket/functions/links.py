@@ -19,7 +19,7 @@ def parse_link(c: Column | str) -> Column:
     known = kind.isin("webs", "file", "fold") | ((kind == "node") & node_id.isNotNull())
     return F.struct(
         F.when(known, kind).otherwise(F.lit("none")).alias("type"),
-        F.when(kind == "node", node_id).otherwise(F.lit(-1)).cast("long").alias("node_id"),
+        F.coalesce(F.when(kind == "node", node_id), F.lit(-1)).cast("long").alias("node_id"),
         F.when(kind == "webs", F.regexp_replace(arg, r"[\x00-\x1f]", "")).otherwise(F.lit("")).alias("webs"),
         F.when(kind == "file", decoded).otherwise(F.lit("")).alias("file"),
         F.when(kind == "fold", decoded).otherwise(F.lit("")).alias("fold"),

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..operators.forest import sibling_rank
 from ..plans.scan import Running, numbered, running
 from ..session import materialize
@@ -132,6 +133,23 @@ def xml_attr(head: Column | str, name: str) -> Column:
     return decode_xml_entities(F.regexp_extract(c, rf"\s{name}\s*=\s*\"([^\"]*)\"", 1))
 
 
+def xml_attrs(head: Column, names: list[str]) -> Column:
+    """Several attributes of an open tag as a struct, read in one pass; '' when absent.
+
+    Select its fields from a column of its own, so that it runs once per row.
+    """
+    pair = r'\s([\w:.-]+)\s*=\s*"([^"]*)"'
+    bound = F.struct(
+        F.regexp_extract_all(head, F.lit(pair), F.lit(1)).alias("keys"),
+        F.transform(F.regexp_extract_all(head, F.lit(pair), F.lit(2)), decode_xml_entities).alias("vals"),
+    )
+
+    def pick(s: Column, name: str) -> Column:
+        return F.coalesce(F.get(s["vals"], F.array_position(s["keys"], name).cast("int") - 1), F.lit("")).alias(name)
+
+    return let(bound, lambda s: F.struct(*[pick(s, n) for n in names]))
+
+
 def vnode_tnode_join(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Outline XML with titles in ``<v t=key><vh>`` and bodies in ``<t tx=key>``:
     pos, level, key, name, contents."""

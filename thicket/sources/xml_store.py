@@ -12,7 +12,7 @@ from ..operators.merge import fix_duplicate_ids
 from ..plans.scan import Running, numbered, running
 from ..session import materialize
 from .html import decode_xml_entities
-from .outline import outline_to_tree, xml_attr, xml_tree_rows
+from .outline import outline_to_tree, xml_attrs, xml_tree_rows
 
 GRID_SCHEMA = "_col_widths string, _is_light string, row array<struct<cell: array<string>>>"
 # XML attributes that are read, with their column.
@@ -49,9 +49,9 @@ def parse_runs_xml(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
     pieces = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<rich_text(?:\s[^>]*)?/>|<rich_text(?:\s[^>]*)?>.*?</rich_text>"), F.lit(0))
 
     def run(p: Column) -> Column:
-        head = F.regexp_extract(p, r"^(<rich_text[^>]*>)", 1)
-        entries = [F.struct(F.lit(a).alias("key"), xml_attr(head, a).alias("value")) for a in RUN_ATTRIBUTES]
-        attrs = F.map_filter(F.map_from_entries(F.array(*entries)), lambda _, v: v != "")
+        known = xml_attrs(F.regexp_extract(p, r"^(<rich_text[^>]*>)", 1), RUN_ATTRIBUTES)
+        as_map = lambda a: F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), a[n].alias("value")) for n in RUN_ATTRIBUTES]))
+        attrs = F.map_filter(let(known, as_map), lambda _, v: v != "")
         text = decode_xml_entities(F.regexp_extract(p, r"(?s)^<rich_text[^>]*>(.*)</rich_text>\z", 1))
         return F.struct(text.alias("text"), attrs.alias("attrs"))
 
@@ -74,13 +74,15 @@ def run_links(runs: DataFrame) -> DataFrame:
     )
 
 
-def _node_columns(head: Column) -> dict[str, Column]:
-    text = {c: xml_attr(head, a) for a, c in NODE_ATTRIBUTES.items()}
+def _with_node_columns(df: DataFrame, head: Column) -> DataFrame:
+    """Add the attributes of a node's open tag as typed columns."""
+    read = df.withColumn("__a", xml_attrs(head, ["unique_id", *NODE_ATTRIBUTES]))
+    text = {c: F.col(f"__a.{a}") for a, c in NODE_ATTRIBUTES.items()}
     out = {c: text[c] for c in ("name", "syntax", "tags", "foreground")}
     out |= {c: is_true(text[c]) for c in ("read_only", "is_bold", "exclude_me", "exclude_children")}
     out |= {c: to_int(text[c]) for c in ("custom_icon_id", "ts_creation", "ts_lastsave", "master_id")}
-    out["unique_id"] = to_int(xml_attr(head, "unique_id"))
-    return out
+    out["unique_id"] = to_int(F.col("__a.unique_id"))
+    return read.select("*", *[c.alias(n) for n, c in out.items()]).drop("__a")
 
 
 def xml_corpus(files: DataFrame) -> DataFrame:
@@ -91,7 +93,8 @@ def xml_corpus(files: DataFrame) -> DataFrame:
     XML content.
     """
     rows = xml_tree_rows(files, "text", ["path"], "node")
-    rows = rows.withColumns(_node_columns(F.col("head"))).drop("head")
+    # Ranking reads its input twice (to find range bounds), parsing should run once.
+    rows = materialize(_with_node_columns(rows, F.col("head")).drop("head"), "xml-rows")
     tree = materialize(outline_to_tree(rows.withColumn("doc", F.col("path")), "doc", "pos", "level"), "xml-nodes")
     per_file = tree.withColumn("global_id", F.col("node_id"))
     # Ids repeat only within a file; numbering restarts per file.
@@ -126,7 +129,7 @@ def multifile_nodes(files: DataFrame) -> DataFrame:
     located = files.withColumns({"ids": ids, "base": base, "text": F.col("content").cast("string")})
     node = located.where("base = 'node.xml'")
     head = F.regexp_extract("text", r"(<node(?:\s[^>]*)?>)", 1)
-    nodes = node.withColumns(_node_columns(head)).select(
+    nodes = _with_node_columns(node, head).select(
         F.element_at("ids", -1).cast("long").alias("node_id"),
         F.when(F.size("ids") > 1, F.element_at("ids", -2).cast("long")).otherwise(F.lit(0)).cast("long").alias("father_id"),
         (F.size("ids") - 1).cast("long").alias("depth"), *NODE_ATTRIBUTES.values(),

@@ -35,8 +35,8 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
 
 # Each text runs on both engines; [[...]] marks the few words that differ.
 _DIALECT = {
-    "spark": {"bytes": "BINARY", "days": "datediff(CAST({c} AS DATE), DATE '1970-01-01')", "offset": "offset", "count": "{n_{c}}"},
-    "duckdb": {"bytes": "BLOB", "days": "datediff('day', DATE '1970-01-01', CAST({c} AS DATE))", "offset": '"offset"', "count": "(SELECT count(*) FROM {c})"},
+    "spark": {"bytes": "BINARY", "days": "datediff(CAST({c} AS DATE), DATE '1970-01-01')", "offset": "offset", "each4": "explode(array(0, 1, 2, 3))", "count": "{n_{c}}"},
+    "duckdb": {"bytes": "BLOB", "days": "datediff('day', DATE '1970-01-01', CAST({c} AS DATE))", "offset": '"offset"', "each4": "unnest([0, 1, 2, 3])", "count": "(SELECT count(*) FROM {c})"},
 }
 
 _DERIVED = {
@@ -75,15 +75,14 @@ _DERIVED = {
         JOIN {benchmark} AS b ON b.item_id = p.node_id % ([[count:benchmark]])
         WHERE p.node_id BETWEEN 1001 AND 1000000000000 AND p.syntax = 'custom-colors'""",
     "grid_cells": """
-        SELECT p.node_id, 60 + p.node_id % 50 AS [[offset]], p.node_id % 2 = 0 AS is_light, k.k,
+        SELECT k.node_id, 60 + k.node_id % 50 AS [[offset]], k.node_id % 2 = 0 AS is_light, k.k,
                CASE WHEN k.k = 0 THEN 'key' ELSE CAST(t.p_partkey AS VARCHAR(20)) END AS c0,
                CASE WHEN k.k = 0 THEN 'name' ELSE t.p_name END AS c1,
                CASE WHEN k.k = 0 THEN 'brand' ELSE t.p_brand END AS c2,
                CASE WHEN k.k = 0 THEN 'size' ELSE CAST(t.p_size AS VARCHAR(20)) END AS c3
-        FROM {node_props} AS p
-        CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS k
-        JOIN {part} AS t ON t.p_partkey = (p.node_id * 3 + k.k * 7) % ([[count:part]])
-        WHERE p.node_id BETWEEN 1001 AND 1000000000000 AND p.syntax = 'custom-colors'""",
+        FROM (SELECT node_id, [[each4]] AS k FROM {node_props}
+              WHERE node_id BETWEEN 1001 AND 1000000000000 AND syntax = 'custom-colors') AS k
+        JOIN {part} AS t ON t.p_partkey = (k.node_id * 3 + k.k * 7) % ([[count:part]])""",
     "image": """
         SELECT p.node_id, 5 + p.node_id % 40 AS [[offset]], '' AS justification,
                CASE WHEN p.node_id % 8 = 0 THEN 'h1-1' WHEN p.node_id % 8 = 1 THEN 'h2-1' WHEN p.node_id % 8 = 2 THEN 'note' ELSE '' END AS anchor,

@@ -34,8 +34,11 @@ def summary(store: Store) -> DataFrame:
         count(~F.coalesce("is_light", F.lit(False)), "heavy_grids"), count(F.coalesce("is_light", F.lit(False)), "light_grids")
     )
     code = store.codebox.join(rich, "node_id", "left_semi").agg(F.count(F.lit(1)).cast("long").alias("codeboxes"))
-    # Four one-row frames side by side.
-    return nodes.crossJoin(image).crossJoin(grid).crossJoin(code)
+    # Four one-row frames put together: each column is set in one of them.
+    parts = nodes
+    for df in (image, grid, code):
+        parts = parts.unionByName(df, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def used_tags(nodes: DataFrame) -> DataFrame:
@@ -104,9 +107,9 @@ def bookmarks_view(store: Store) -> DataFrame:
 def bookmarks_add(bookmark: DataFrame, nodes: DataFrame) -> DataFrame:
     """Bookmarks with more nodes at the end; a node already there stays put."""
     new = nodes.select("node_id").distinct().join(bookmark.select("node_id"), "node_id", "left_anti")
-    top = F.broadcast(bookmark.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("top")))  # one row
-    ranked = numbered(new, [], [F.col("node_id")], "r").crossJoin(top)
-    return bookmark.select("node_id", "sequence").unionByName(ranked.select("node_id", (F.col("r") + F.col("top")).alias("sequence")))
+    top = bookmark.agg(F.coalesce(F.max("sequence"), F.lit(0))).head()[0]
+    ranked = numbered(new, [], [F.col("node_id")], "r")
+    return bookmark.select("node_id", "sequence").unionByName(ranked.select("node_id", (F.col("r") + top).alias("sequence")))
 
 
 def bookmarks_remove(bookmark: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -160,18 +160,15 @@ def move_subtree(
         base = F.when(mine, place).otherwise(F.col("sequence"))
         order = [base, F.when(mine, 0).otherwise(1)]
     elif after is not None:
-        at = children.where((F.col("node_id") == after) & (F.col("father_id") == father)).agg(
-            F.max("sequence").alias("at")
-        )
-        children = children.crossJoin(F.broadcast(at))  # exactly one row
-        base = F.when(mine, F.coalesce(F.col("at"), F.lit(2**62))).otherwise(F.col("sequence"))
+        at = children.where((F.col("node_id") == after) & (F.col("father_id") == father)).agg(F.max("sequence")).head()[0]
+        base = F.when(mine, F.lit(2**62 if at is None else at)).otherwise(F.col("sequence"))
         order = [base, F.when(mine, 1).when(F.col("node_id") == after, 0).otherwise(2)]
     else:
         base = F.when(mine, F.lit(2**62)).otherwise(F.col("sequence"))
         order = [base, F.lit(0)]
     moved = children.withColumns(
         {"__o1": order[0].cast("long"), "__o2": order[1], "__f": F.when(mine, F.lit(father)).otherwise(F.col("father_id")).cast("long")}
-    ).drop("at")
+    )
     moved = moved.withColumn("father_id", F.col("__f"))
     out = numbered(moved, ["father_id"], [F.col("__o1"), F.col("__o2"), F.col("node_id")], "rank")
     return (

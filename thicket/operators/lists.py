@@ -77,7 +77,9 @@ def list_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def list_items(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per list item, its continuation lines joined in."""
-    lines = list_lines(df, text, keep).where("kind <> 'none'")
+    # Texts without any list mark never reach the shuffle.
+    marks = rf"(?m)^(?:   )*+(?:[{LIST_BULLETS.replace('-', chr(92) + '-')}{TODO_MARKS}]|[1-9]\d*[.)\->]) "
+    lines = list_lines(df.where(F.col(text).rlike(marks)), text, keep).where("kind <> 'none'")
     return lines.groupBy(*keep, "startoffs", "kind", "level", "num_seq", "aux").agg(
         (F.max("count_nl") + 1).alias("n_lines"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("item_text"),

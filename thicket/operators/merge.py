@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import format_link, parse_link
-from ..plans.joins import lookup_join
+from ..plans.joins import lookup_join, sized
 from ..plans.scan import numbered
 from ..sources.store import Store
 from .forest import preorder, subtree
@@ -37,8 +37,8 @@ def fix_duplicate_ids(nodes: DataFrame, order: str = "pos") -> DataFrame:
     # Ids should be unique, so groups are small; a scan guards the odd one.
     ranked = numbered(nodes, ["node_id"], [F.col(order)], "__occ")
     fresh = numbered(ranked.where("__occ > 1"), [], [F.col(order)], "__rank")
-    top = F.broadcast(nodes.agg(F.max("node_id").alias("__top")))  # one row
-    renamed = fresh.crossJoin(top).withColumn("new_id", F.col("__top") + F.col("__rank")).drop("__top", "__rank", "__occ")
+    top = nodes.agg(F.coalesce(F.max("node_id"), F.lit(0))).head()[0]
+    renamed = fresh.withColumn("new_id", F.col("__rank") + top).drop("__rank", "__occ")
     kept = ranked.where("__occ = 1").withColumn("new_id", F.col("node_id")).drop("__occ")
     return kept.unionByName(renamed)
 
@@ -57,6 +57,7 @@ def delete_subtree(store: Store, paths: DataFrame, roots: list[int]) -> Store:
     over its data and the other members point to it.
     """
     gone = paths.where(F.arrays_overlap("path", F.array(*[F.lit(r).cast("long") for r in roots]))).select("node_id")
+    gone = sized(gone, "gone")
     left = store.children.join(gone, "node_id", "left_anti")
     gone_masters = gone.select(F.col("node_id").alias("gone_master"))
     heirs = (
@@ -64,6 +65,7 @@ def delete_subtree(store: Store, paths: DataFrame, roots: list[int]) -> Store:
         .join(gone_masters, F.col("master_id") == F.col("gone_master"), "left_semi")
         .groupBy(F.col("master_id").alias("old_id")).agg(F.min("node_id").alias("new_id"))
     )
+    heirs = sized(heirs, "heirs")
     children = lookup_join(left, heirs, "master_id", "old_id", "left").select(
         "node_id", "father_id", "sequence",
         F.when(F.col("new_id").isNull(), F.col("master_id"))
@@ -100,7 +102,7 @@ def export_subtree(store: Store, ordered: DataFrame, root: int, with_children: b
         .when(F.col("new_id") == F.col("node_id"), F.lit(0)).otherwise(F.col("new_id")).cast("long").alias("master_id"),
     )
     own = holder.where(F.col("holder") == F.col("node_id")).select(F.col("node_id").alias("old_id"), F.col("node_id").alias("new_id"))
-    mapping = own.unionByName(heirs)
+    mapping = sized(own.unionByName(heirs), "exported")
     out = {name: _copy_objects(getattr(store, name), mapping) for name in ["node", *OBJECT_TABLES]}
     marks = store.bookmark.join(kept.select("node_id"), "node_id", "left_semi")
     return Store(children=children, bookmark=marks, **out)
@@ -145,17 +147,17 @@ def merge_store(a: Store, b: Store, paths_b: DataFrame, parent: int = 0, remap_l
     """
     base = _next_id_value(a.children)
     ordered = preorder(paths_b)
-    mapping = ordered.select(F.col("node_id").alias("old_id"), (F.col("pos") + base - 1).alias("new_id"))
-    last = a.children.where(F.col("father_id") == parent).agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("last"))
+    mapping = sized(ordered.select(F.col("node_id").alias("old_id"), (F.col("pos") + base - 1).alias("new_id")), "new-ids")
+    last = a.children.where(F.col("father_id") == parent).agg(F.coalesce(F.max("sequence"), F.lit(0))).head()[0]
     moved = lookup_join(b.children, mapping, "node_id", "old_id", "inner").drop("old_id")
     fathers = mapping.select(F.col("old_id").alias("fo"), F.col("new_id").alias("father_new"))
     masters = mapping.select(F.col("old_id").alias("mo"), F.col("new_id").alias("master_new"))
     moved = lookup_join(moved, fathers, "father_id", "fo", "left")
     moved = lookup_join(moved, masters, "master_id", "mo", "left")
-    children_b = moved.crossJoin(F.broadcast(last)).select(  # ``last`` is one row
+    children_b = moved.select(
         F.col("new_id").alias("node_id"),
         F.when(F.col("father_id") == 0, F.lit(parent)).otherwise(F.col("father_new")).cast("long").alias("father_id"),
-        F.when(F.col("father_id") == 0, F.col("sequence") + F.col("last")).otherwise(F.col("sequence")).cast("long").alias("sequence"),
+        F.when(F.col("father_id") == 0, F.col("sequence") + last).otherwise(F.col("sequence")).cast("long").alias("sequence"),
         F.when(F.col("master_id") > 0, F.coalesce("master_new", "master_id")).otherwise(F.lit(0)).cast("long").alias("master_id"),
     )
     out = {"children": a.children.unionByName(children_b), "bookmark": a.bookmark}
@@ -176,10 +178,8 @@ def duplicate_subtree(store: Store, ordered: DataFrame, root: int, now: int, sha
     """
     base = _next_id_value(store.children)
     inside = ordered.where(F.col("node_id") == root) if shared else subtree(ordered, root)
-    first = inside.agg(F.min("pos").alias("p0"))  # one row; a subtree is a run of positions
-    mapping = inside.crossJoin(F.broadcast(first)).select(
-        F.col("node_id").alias("old_id"), (F.col("pos") - F.col("p0") + base).alias("new_id")
-    )
+    first = inside.agg(F.coalesce(F.min("pos"), F.lit(0))).head()[0]  # a subtree is a run of positions
+    mapping = sized(inside.select(F.col("node_id").alias("old_id"), (F.col("pos") - first + base).alias("new_id")), "copies")
     rows = lookup_join(store.children, mapping, "node_id", "old_id", "inner").drop("old_id")
     rows = lookup_join(rows, mapping.select(F.col("old_id").alias("fo"), F.col("new_id").alias("fn")), "father_id", "fo", "left")
     top = F.col("node_id") == root
@@ -190,10 +190,12 @@ def duplicate_subtree(store: Store, ordered: DataFrame, root: int, now: int, sha
         "sequence", master.cast("long").alias("master_id"), F.when(top, 1).otherwise(0).alias("__after"),
     )
     # Siblings after the root move down by one to make room.
-    at = store.children.where(F.col("node_id") == root).select(F.col("father_id").alias("af"), F.col("sequence").alias("aseq"))
-    kept = store.children.crossJoin(F.broadcast(at)).select(
+    at = store.children.where(F.col("node_id") == root).select("father_id", "sequence").head()
+    if at is None:
+        return store
+    kept = store.children.select(
         "node_id", "father_id",
-        F.when((F.col("father_id") == F.col("af")) & (F.col("sequence") > F.col("aseq")), F.col("sequence") + 1)
+        F.when((F.col("father_id") == at.father_id) & (F.col("sequence") > at.sequence), F.col("sequence") + 1)
         .otherwise(F.col("sequence")).alias("sequence"),
         "master_id",
     )
@@ -240,16 +242,14 @@ def inherit_syntax(store: Store, paths: DataFrame, root: int) -> DataFrame:
     positions lies below the root.
     """
     below = paths.where(F.array_contains("path", F.lit(root)) & (F.col("node_id") != root))
-    holders = below.select(holder_id().alias("node_id")).distinct()
-    root_holder = store.children.where(F.col("node_id") == root).select(holder_id().alias("rh"))
-    wanted = store.node.join(F.broadcast(root_holder), F.col("node_id") == F.col("rh"), "left_semi").select(F.col("syntax").alias("new_syntax"))
+    holders = sized(below.select(holder_id().alias("node_id")).distinct(), "below")
+    root_holder = store.children.where(F.col("node_id") == root).select(holder_id()).head()
+    wanted = root_holder and store.node.where(F.col("node_id") == root_holder[0]).select("syntax").head()
+    if not wanted:
+        return store.node.limit(0)
     nodes = store.node.join(holders, "node_id", "left_semi")
     open_nodes = nodes.where(F.col("is_ro").bitwiseAND(F.lit(1).cast("long")) == 0)
-    return (
-        open_nodes.crossJoin(F.broadcast(wanted))  # one row
-        .where(F.col("syntax") != F.col("new_syntax"))
-        .withColumn("syntax", F.col("new_syntax")).drop("new_syntax")
-    )
+    return open_nodes.where(F.col("syntax") != wanted[0]).withColumn("syntax", F.lit(wanted[0]))
 
 
 def clear_exclusions(node: DataFrame) -> DataFrame:

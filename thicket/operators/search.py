@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let, match_parts, prefix_sums
 from ..functions.links import link_target, parse_link, with_link_target, format_link
 from ..functions.text import (
-    clip, first_line, fold_accents, line_number, regex_literal, replacement_literal, unicode_trim, xml_escape,
+    clip, first_line, fold_accents, regex_literal, replacement_literal, unicode_trim, xml_escape,
 )
-from ..model import PAGE_SIZE
+from ..model import PAGE_SIZE, RICH_SYNTAX
 from ..plans.joins import lookup_join
 from ..plans.scan import Running, numbered, running
 from ..session import materialize
@@ -134,10 +134,8 @@ def search_scope(
         return ordered
     if not whole_tree:
         return subtree(ordered, selected)
-    at = ordered.where(F.col("node_id") == selected).agg(F.max("pos").alias("at_pos"))  # one row
-    both = ordered.crossJoin(F.broadcast(at))
-    keep = F.col("pos") >= F.col("at_pos") if forward else F.col("pos") <= F.col("at_pos")
-    return both.where(keep).drop("at_pos")
+    at = ordered.where(F.col("node_id") == selected).agg(F.max("pos")).head()[0]  # one value
+    return ordered.where(F.col("pos") >= at if forward else F.col("pos") <= at)
 
 
 def text_matches(df: DataFrame, text: str, opts: SearchOptions, keep: list[str]) -> DataFrame:
@@ -183,6 +181,12 @@ def text_matches(df: DataFrame, text: str, opts: SearchOptions, keep: list[str])
     )
 
 
+def line_starts(text: str) -> Column:
+    """Offsets of the second and later lines of a text."""
+    ends = prefix_sums(F.transform(F.split(F.col(text), "\n"), lambda x: (F.length(x) + 1).cast("long")))
+    return let(ends, lambda e: F.slice(e, F.lit(1), F.size(e) - 1))
+
+
 def object_positions(objects: DataFrame) -> DataFrame:
     """``text_pos`` of each object: its offset without the objects before it.
 
@@ -229,10 +233,15 @@ def objects_between(objects: DataFrame, start: int, end: int) -> DataFrame:
     return objects.where(F.col("offset").between(start, end))
 
 
-def find_text(store: Store, opts: SearchOptions, nodes: DataFrame | None = None) -> DataFrame:
-    """Matches in body text per data holder, in text and in buffer offsets."""
-    source = nodes if nodes is not None else store.node
-    found = text_matches(source, "txt", opts, ["node_id"])
+def find_text(store: Store, opts: SearchOptions, holders: DataFrame | None = None) -> DataFrame:
+    """Matches in body text per data holder, in text and in buffer offsets.
+
+    Texts are searched where they lie. ``holders`` limits the result; it meets
+    the matches, so that no text is ever shuffled.
+    """
+    found = text_matches(store.node, "txt", opts, ["node_id"])
+    if holders is not None:
+        found = found.join(holders.select("node_id"), "node_id", "left_semi")
     shifted = objects_before(found, all_objects(store))
     return shifted.select(
         "node_id", "match_idx", "match_start", "match_end",
@@ -308,8 +317,7 @@ def all_matches(
             "inner_end": F.lit(0).cast("long"), "is_name": F.lit(0)}
     pieces = []
     if opts.in_content:
-        bodies = store.node.select("node_id", "txt").join(holders, "node_id", "left_semi")
-        text = find_text(store, opts, bodies).select(
+        text = find_text(store, opts, holders).select(
             F.col("node_id").alias("h"), F.col("buffer_start").alias("start_offset"),
             F.col("buffer_end").alias("end_offset"), "line_num", "line_content",
         ).withColumns(none)
@@ -333,14 +341,16 @@ def all_matches(
         )
         objs = code.unionByName(grid).unionByName(names).unionByName(links)
         objs = materialize(objs.join(holders.where("rich"), "node_id", "left_semi"), "object-matches")
-        # Line number of an object: line feeds before its place in the text.
+        # Line number of an object: line starts up to its place in the text. Only
+        # the starts travel, not the texts.
         hit_objects = objs.select("node_id", "offset").distinct()
         nodes_hit = hit_objects.select("node_id").distinct()
         places = object_positions(all_objects(store).join(nodes_hit, "node_id", "left_semi"))
         places = places.groupBy("node_id", "offset").agg(F.min("text_pos").alias("text_pos"))
         places = places.join(hit_objects, ["node_id", "offset"], "left_semi")
-        lines = lookup_join(places, store.node.select(F.col("node_id").alias("nid"), "txt"), "node_id", "nid", "inner", check=False).select(
-            "node_id", "offset", line_number("txt", F.col("text_pos").cast("int")).alias("line_num")
+        starts = store.node.where(F.col("syntax") == RICH_SYNTAX).select(F.col("node_id").alias("nid"), line_starts("txt").alias("starts"))
+        lines = lookup_join(places, starts, "node_id", "nid", "inner", check=False).select(
+            "node_id", "offset", (F.size(F.filter("starts", lambda x: x <= F.col("text_pos"))) + 1).cast("long").alias("line_num")
         )
         objs = objs.join(lines, ["node_id", "offset"]).select(
             F.col("node_id").alias("h"), F.col("offset").alias("start_offset"), (F.col("offset") + 1).alias("end_offset"),
@@ -507,7 +517,7 @@ def replace_names(nodes: DataFrame, opts: SearchOptions, replacement: str, legac
 
 def _writable(store: Store) -> DataFrame:
     return store.node.where(
-        (F.col("is_ro").bitwiseAND(F.lit(1).cast("long")) == 0) & (F.col("syntax") == "custom-colors")
+        (F.col("is_ro").bitwiseAND(F.lit(1).cast("long")) == 0) & (F.col("syntax") == RICH_SYNTAX)
     ).select("node_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import sized
 from ..sources.store import Store
 
 
@@ -36,22 +37,29 @@ def sync_store(store: Store, pending: DataFrame, changed: Store) -> Store:
     that stay are never rewritten one by one.
     """
     live = pending.where(~F.col("removed"))
-    gone = pending.where("removed").select("node_id")
+    gone = sized(pending.where("removed").select("node_id"), "removed")
     ids = lambda cond: live.where(cond).select("node_id")
 
-    hier = ids("hier")
+    hier = sized(ids("hier"), "moved")
     children = store.children.join(gone, "node_id", "left_anti").join(hier, "node_id", "left_anti").unionByName(
         changed.children.join(hier, "node_id", "left_semi")
     )
-    text_cols = ["txt"]
     prop_cols = [c for c in store.node.columns if c not in ("node_id", "txt")]
-    fresh = changed.node.join(ids("prop OR buff").distinct(), "node_id", "left_semi")
-    flags = live.select("node_id", F.col("prop").alias("__prop"), F.col("buff").alias("__buff"))
-    new = fresh.select("node_id", *[F.col(c).alias(f"__n_{c}") for c in [*prop_cols, *text_cols]]).join(flags, "node_id")
-    kept = store.node.join(gone, "node_id", "left_anti").join(new, "node_id", "full_outer")
-    pick = lambda c, flag: F.when(F.coalesce(flag, F.lit(False)), F.col(f"__n_{c}")).otherwise(F.col(c)).alias(c)
-    node = kept.select("node_id", *[pick(c, "__prop" if c in prop_cols else "__buff") for c in store.node.columns if c != "node_id"])
-    buff = ids("buff")
+    touched = sized(live.where("prop OR buff").select("node_id", F.col("prop").alias("__prop"), F.col("buff").alias("__buff")), "touched")
+    ids_touched = touched.select("node_id")
+    # Untouched rows pass by without a shuffle when the touched ids are few.
+    same = store.node.join(gone, "node_id", "left_anti").join(ids_touched, "node_id", "left_anti")
+    new = changed.node.join(ids_touched, "node_id", "left_semi").select(
+        "node_id", *[F.col(c).alias(f"__n_{c}") for c in [*prop_cols, "txt"]]
+    )
+    old = store.node.join(ids_touched, "node_id", "left_semi").select("node_id", *[F.col(c).alias(f"__o_{c}") for c in [*prop_cols, "txt"]])
+    both = new.join(old, "node_id", "left").join(touched, "node_id")
+    # A node without an old row is new and takes everything.
+    pick = lambda c, flag: F.when(F.col(flag), F.col(f"__n_{c}")).otherwise(F.col(f"__o_{c}")).alias(c)
+    node = same.unionByName(
+        both.select("node_id", *[pick(c, "__prop" if c in prop_cols else "__buff") for c in store.node.columns if c != "node_id"])
+    )
+    buff = sized(ids("buff"), "buff")
     out = {"children": children, "node": node, "bookmark": store.bookmark.join(gone, "node_id", "left_anti")}
     for name in _OWNED[1:]:
         old, fresh_objs = getattr(store, name), getattr(changed, name)

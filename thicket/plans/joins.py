@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: A key with more rows than this on the left side is spread over ``FANOUT`` tasks.
 HOT_ROWS = 1_000_000
 FANOUT = 64
@@ -23,6 +25,18 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
     return [r[0] for r in found if r[0] is not None]
 
 
+#: Id frames up to this many rows (some tens of megabytes) may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, name: str = "ids", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A slim frame written once and, only if its counted size allows, marked for
+    broadcast. The other side (often node texts) then need not be shuffled;
+    beyond the limit the join stays an ordinary shuffle join."""
+    kept = materialize(df, name)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,

@@ -73,12 +73,16 @@ def preorder(paths: DataFrame, siblings: bool = False) -> DataFrame:
     return with_neighbours(ranked, "rank")
 
 
-def sibling_rank(children: DataFrame) -> DataFrame:
-    """Dense position among siblings, ``rank`` 1..n, for fathers of any width."""
-    return numbered(
-        children, ["father_id"], [F.col("sequence"), F.col("node_id")], "rank",
-        bucket=F.floor(F.col("sequence") / 1_000_000), cheap=True,
-    )
+def sibling_rank(children: DataFrame, unique_sequences: bool = False) -> DataFrame:
+    """Dense position among siblings, ``rank`` 1..n, for fathers of any width.
+
+    Sequences may be anything, even all equal, so rows are cut by range; with
+    ``unique_sequences`` the sequence itself gives the buckets and all is lazy.
+    """
+    order = [F.col("sequence"), F.col("node_id")]
+    if unique_sequences:
+        return numbered(children, ["father_id"], order, "rank", bucket=F.floor(F.col("sequence") / 1_000_000), cheap=True)
+    return numbered(children, ["father_id"], order, "rank")
 
 
 def with_neighbours(ranked: DataFrame, rank: str = "rank") -> DataFrame:

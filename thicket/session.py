@@ -13,6 +13,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Text packs well: a file of texts is several times larger in memory, and the
+    # optimizer's own broadcast choices should know.
+    "spark.sql.sources.fileCompressionFactor": "6.0",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -84,16 +84,17 @@ def _latex_body(blob: Column) -> Column:
     return F.when(inner != "", inner).otherwise(text)
 
 
-def node_texts(store: Store) -> DataFrame:
-    """Plain text of every holder, objects included: node_id, content."""
+def node_texts(store: Store, *columns: str) -> DataFrame:
+    """Plain text of every holder, objects included: node_id, content, and more
+    ``columns`` of the node. Texts meet their objects in one join."""
     rule = F.lit("\n" + HORIZONTAL_RULE + "\n")
     pieces = _object_pieces(store, {
         "codebox": F.concat(rule, F.coalesce("txt", F.lit("")), rule),
         "grid": cells_to_text(F.col("cells")),
         "image": F.when(image_kind() == "latex", F.concat(rule, F.coalesce(_latex_body(F.col("png")), F.lit("")), rule)).otherwise(F.lit("")),
     })
-    joined = store.node.select("node_id", "txt").join(pieces, F.col("node_id") == F.col("oid"), "left")
-    return joined.select("node_id", _interleave(F.col("txt"), F.col("objs")).alias("content"))
+    joined = store.node.select("node_id", "txt", *columns).join(pieces, F.col("node_id") == F.col("oid"), "left")
+    return joined.select("node_id", _interleave(F.col("txt"), F.col("objs")).alias("content"), *columns)
 
 
 def export_text(store: Store, ordered: DataFrame, with_name: bool = True) -> DataFrame:
@@ -102,7 +103,7 @@ def export_text(store: Store, ordered: DataFrame, with_name: bool = True) -> Dat
     Sorted by ``pos`` the contents are the single-file export; written with a
     range sort, its part files follow each other.
     """
-    bodies = node_texts(store).join(store.node.select("node_id", "name"), "node_id").withColumnRenamed("node_id", "hid")
+    bodies = node_texts(store, "name").withColumnRenamed("node_id", "hid")
     pos = ordered.select("node_id", "pos", "depth", holder_id().alias("holder"))
     joined = lookup_join(pos, bodies, "holder", "hid", "inner")
     title = F.concat(F.repeat(F.lit("#"), (F.col("depth") + 1).cast("int")), F.lit(" "), "name", F.lit("\n")) if with_name else F.lit("")

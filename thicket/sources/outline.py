@@ -41,7 +41,7 @@ def outline_to_tree(rows: DataFrame, doc: str = "doc", pos: str = "pos", level:
         father = father.when((F.col(level) == k + 1) & chain, F.col(f"at{k}"))
     placed = placed.withColumn("father_id", father).where("father_id IS NOT NULL").drop(*outputs)
     placed = placed.withColumns({"sequence": F.col("node_id"), "depth": (F.col(level) - 1).cast("long")})
-    ranked = sibling_rank(materialize(placed, "outline-fathers"))
+    ranked = sibling_rank(materialize(placed, "outline-fathers"), unique_sequences=True)
     return ranked.withColumn("sequence", F.col("rank")).drop("rank")
 
 

@@ -16,6 +16,8 @@ RECOMMENDED_CONF = {
     # Text packs well: a file of texts is several times larger in memory, and the
     # optimizer's own broadcast choices should know.
     "spark.sql.sources.fileCompressionFactor": "6.0",
+    # A damaged text file gives replacement characters instead of a failed job.
+    "spark.sql.legacy.codingErrorAction": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -40,7 +40,8 @@ def decode_xml_entities(c: Column | str) -> Column:
     return _decode(_col(c), {k: ENTITIES[k] for k in ("&lt;", "&gt;", "&quot;", "&apos;", "&#39;")})
 
 
-def _decode(out: Column, entities: dict[str, str]) -> Column:
+def _decode(text: Column, entities: dict[str, str]) -> Column:
+    out = text
     for name, char in entities.items():
         out = F.replace(out, F.lit(name), F.lit(char))
 
@@ -57,7 +58,8 @@ def _decode(out: Column, entities: dict[str, str]) -> Column:
 
     has = out.contains("&#")
     out = F.when(has, F.array_join(F.transform(F.split(out, "&#"), numeric), "")).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    # Most pieces hold no entity at all.
+    return F.when(text.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
 def plain_text(c: Column) -> Column:

@@ -106,6 +106,28 @@ def test_xml_files_and_folders(spark, tmp_path):
     (root / "5" / "subnodes.lst").write_text("6")
     got = XS.load_multifile(spark, str(root)).orderBy("node_id").collect()
     assert [(r.node_id, r.father_id, r.name, r.sequence) for r in got] == [(5, 0, "five", 1), (6, 5, "six", 1)]
+    (root / "bookmarks.lst").write_text("6,5")
+    marks = XS.multifile_bookmarks(XS.read_multifile(spark, str(root))).orderBy("sequence").collect()
+    assert [(r.node_id, r.sequence) for r in marks] == [(6, 1), (5, 2)]
+    text = spark.createDataFrame([("f", '<r><bookmarks list="3,x,1"/></r>'), ("g", "<r/>")], "path string, text string")
+    assert [(r.path, r.node_id, r.sequence) for r in XS.xml_bookmarks(text).collect()] == [("f", 3, 1), ("f", 1, 2)]
+
+
+def test_link_targets_in_runs(spark):
+    from thicket.catalog.base import store
+    from thicket.operators import search as X
+
+    s = store(spark, SF)
+    runs = XS.parse_runs_xml(
+        spark.createDataFrame([(3, '<node><rich_text>ab</rich_text><rich_text link="webs http://old.x">c</rich_text></node>')], "node_id long, x string"), "x", ["node_id"]
+    )
+    links = XS.run_links(runs)
+    assert [(r.node_id, r.offset, r.link) for r in links.collect()] == [(3, 2, "webs http://old.x")]
+    found = X.find_link_targets(X.link_objects(s, links).where("source = 'text'"), X.SearchOptions("old")).collect()
+    assert [(r.match_start, r.match_end) for r in found] == [(7, 10)]
+    opts = X.SearchOptions("old", replace_in_link_targets=True)
+    out = X.replace_in_objects(s, opts, "new", links)["run_link"].collect()
+    assert [r.link for r in out] == ["webs http://new.x"]
 
 
 def test_store_round_trip_and_blobs(spark, tmp_path):

@@ -454,6 +454,11 @@ def _(spark, sf):
     return XS.multifile_nodes(files).select("node_id", "father_id", "depth", "name", "syntax", "tags", "sequence", "read_only")
 
 
+@query("multifile_bookmarks", "SELECT node_id, sequence FROM bookmark", "bookmark")
+def _(spark, sf):
+    return XS.multifile_bookmarks(materialize(E.export_multifile(store(spark, sf), paths(spark, sf)), "files"))
+
+
 # --- sync ------------------------------------------------------------------------
 
 PENDING_SQL = """pending AS (SELECT node_id, bool_or(kind IN ('new', 'prop')) AND NOT bool_or(kind = 'remove') AS prop,

@@ -521,8 +521,11 @@ def _writable(store: Store) -> DataFrame:
     ).select("node_id")
 
 
-def replace_in_objects(store: Store, opts: SearchOptions, replacement: str) -> dict[str, DataFrame]:
-    """Changed code boxes, grids and, when enabled, image links of writable rich nodes."""
+def replace_in_objects(
+    store: Store, opts: SearchOptions, replacement: str, run_links: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Changed code boxes, grids and, when enabled, links of images (and of text
+    runs, given as node_id, offset, link) of writable rich nodes."""
     writable = _writable(store)
     new = lambda c: replaced(c, opts, replacement)
     code = store.codebox.where(hit(F.col("txt"), opts)).withColumn("txt", new(F.col("txt")))
@@ -530,10 +533,15 @@ def replace_in_objects(store: Store, opts: SearchOptions, replacement: str) -> d
     grid = store.grid.where(any_cell).withColumn("cells", F.transform("cells", lambda row: F.transform(row, new)))
     out = {"codebox": code, "grid": grid}
     if opts.replace_in_link_targets:
-        linked = store.image.where((image_kind() == "png") & (F.coalesce("link", F.lit("")) != "")).withColumn("__l", parse_link("link"))
         target = link_target(F.col("__l"))
-        changed = linked.where((F.col("__l.type") != "none") & hit(target, opts))
-        out["image"] = changed.withColumn("link", format_link(with_link_target(F.col("__l"), new(target)))).drop("__l")
+
+        def relinked(df: DataFrame) -> DataFrame:
+            parsed = df.withColumn("__l", parse_link("link")).where((F.col("__l.type") != "none") & hit(target, opts))
+            return parsed.withColumn("link", format_link(with_link_target(F.col("__l"), new(target)))).drop("__l")
+
+        out["image"] = relinked(store.image.where((image_kind() == "png") & (F.coalesce("link", F.lit("")) != "")))
+        if run_links is not None:
+            out["run_link"] = relinked(run_links)
     return {name: df.join(writable, "node_id", "left_semi") for name, df in out.items()}
 
 

@@ -15,6 +15,7 @@ from ..operators.search import object_positions
 from ..operators.shared import holder_id
 from ..operators.forest import sibling_rank
 from ..plans.joins import lookup_join
+from ..plans.scan import numbered
 from ..sources.store import Store, image_kind, node_kind
 
 #: Ids per part of a child list.
@@ -225,8 +226,8 @@ def unreferenced_files(files: DataFrame, referenced: DataFrame) -> DataFrame:
 
 
 def export_multifile(store: Store, paths: DataFrame) -> DataFrame:
-    """Files of the folder form, as rows (path, content): ``node.xml`` per node and
-    ``subnodes.lst`` per father.
+    """Files of the folder form, as rows (path, content): ``node.xml`` per node,
+    ``subnodes.lst`` per father, ``bookmarks.lst`` at the top.
 
     A father of any width is listed in parts of 100,000 ids (``subnodes.lst``,
     ``subnodes.lst.1``, ...), so no list outgrows a row.
@@ -258,7 +259,13 @@ def export_multifile(store: Store, paths: DataFrame) -> DataFrame:
     orders = lists.select(
         F.concat(F.when(F.size("up") > 0, F.concat(up, F.lit("/"))).otherwise(F.lit("")), F.lit("subnodes.lst"), suffix).alias("path"), "content"
     )
-    return nodes.unionByName(orders)
+    marks = numbered(store.bookmark, [], [F.col("sequence"), F.col("node_id")], "rank")
+    marks = marks.withColumn("part", F.floor((F.col("rank") - 1) / IDS_PER_PART).cast("long")).groupBy("part").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "node_id"))), lambda s: s["node_id"].cast("string")), ",").alias("content")
+    )
+    suffix = F.when(F.col("part") == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.col("part").cast("string")))
+    listed = marks.select(F.concat(F.lit("bookmarks.lst"), suffix).alias("path"), "content")
+    return nodes.unionByName(orders).unionByName(listed)
 
 
 def write_files(files: DataFrame, folder: str) -> None:

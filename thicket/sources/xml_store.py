@@ -144,14 +144,41 @@ def multifile_nodes(files: DataFrame) -> DataFrame:
     return nodes.join(order, (F.col("node_id") == F.col("oid")) & (F.col("father_id") == F.col("ofather")), "left").drop("oid", "ofather")
 
 
-def load_multifile(spark: SparkSession, folder: str) -> DataFrame:
+def _id_list(text: Column) -> Column:
+    """Ids of a comma list; entries that are no number drop out."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("long")), lambda x: x.isNotNull())
+
+
+def multifile_bookmarks(files: DataFrame) -> DataFrame:
+    """Bookmarks of the folder form, from the top ``bookmarks.lst`` and its parts."""
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    part = F.coalesce(F.regexp_extract(base, r"\.(\d+)$", 1).try_cast("long"), F.lit(0))
+    lists = files.where(base.rlike(r"^bookmarks\.lst(\.\d+)?$")).select(part.alias("part"), F.posexplode(_id_list(F.col("content").cast("string"))).alias("i", "node_id"))
+    return lists.select("node_id", (F.col("part") * 100_000 + F.col("i") + 1).alias("sequence"))
+
+
+def xml_bookmarks(files: DataFrame) -> DataFrame:
+    """Bookmarks of single-file stores: path, node_id (the file's own id), sequence."""
+    listed = F.regexp_extract("text", r'<bookmarks\s[^>]*list="([^"]*)"', 1)
+    return files.select("path", F.posexplode(_id_list(listed)).alias("i", "node_id")).select(
+        "path", "node_id", (F.col("i") + 1).cast("long").alias("sequence")
+    )
+
+
+def read_multifile(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder store: path below ``folder``, content."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "{node.xml,subnodes.lst*,bookmarks.lst}").load(folder)
+        .option("pathGlobFilter", "{node.xml,subnodes.lst*,bookmarks.lst*}").load(folder)
     )
     root = F.regexp_replace("path", r"^file:/*", "/")
     rel = F.regexp_replace(root, "^" + folder.rstrip("/").replace("file://", ""), "")
-    return multifile_nodes(files.select(rel.alias("path"), "content"))
+    return files.select(rel.alias("path"), "content")
+
+
+def load_multifile(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of a folder store; its bookmarks: ``multifile_bookmarks(read_multifile(...))``."""
+    return multifile_nodes(read_multifile(spark, folder))
 
 
 def salvage_latest_readable(versions: DataFrame) -> DataFrame:
@@ -195,6 +222,6 @@ def note_xml_records(files: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "fix_duplicate_ids", "load_multifile", "load_xml_corpus", "multifile_nodes", "note_xml_records", "parse_grid_xml",
+    "fix_duplicate_ids", "load_multifile", "load_xml_corpus", "multifile_bookmarks", "multifile_nodes", "xml_bookmarks", "note_xml_records", "parse_grid_xml",
     "parse_runs_xml", "run_links", "salvage_latest_readable", "xml_corpus",
 ]

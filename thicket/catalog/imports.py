@@ -8,8 +8,7 @@ from ..sources import html as HT
 from ..sources import markup as MK
 from ..sources import outline as OU
 from ..sources import xml_store as XS
-from .base import derived, paths, query, store, tables
-from .scalars import XML_SQL
+from .base import query, store, tables
 
 T = "<[^>]*>"
 

@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTS_DST, ACCENTS_SRC
-from ..operators import forest as T
 from ..operators import search as X
 from ..operators.shared import resolve_shared
 from ..sources.store import decode_nodes
-from .base import derived, paths, query, store, tables
+from .base import paths, query, store, tables
 from .scalars import NAMES_SQL, XML_SQL
 from .trees import ordered
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, replace as _dc_replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -445,7 +444,7 @@ def java_replacement(text: str) -> str:
         if ch == "\\" and i + 1 < len(text):
             nxt = text[i + 1]
             if nxt.isdigit():
-                out.append("${" + nxt + "}" if False else "$" + nxt)
+                out.append("$" + nxt)
                 if i + 2 < len(text) and text[i + 2].isdigit():
                     out.append("\\" + text[i + 2])
                     i += 1

@@ -29,3 +29,13 @@ def test_entry_and_registry(spark):
     assert {"node_id", "hier_name", "line_content"} <= set(df.columns)
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) - len(oracles) <= 2
+
+
+def test_registry_without_session():
+    """The registry must load before any session exists."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    done = subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

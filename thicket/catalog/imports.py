@@ -49,10 +49,11 @@ def _(spark, sf):
 
 
 # Pages hold no tables, so one per page is put around its links and title.
-TABLE_SPARK = F.concat(
-    F.lit("<body><table><tr><th rowspan='2'>url</th><th>id</th></tr><tr><td>"), F.col("url"), F.lit("</td><td>"), F.col("page_id").cast("string"),
-    F.lit("</td><td>x<br>y</td></tr><tr><td>one</td></tr></table> text <table><tr><td>"), F.col("url"), F.lit("</td></tr></table>"), F.col("html"),
-)
+def _table_page():
+    return F.concat(
+        F.lit("<body><table><tr><th rowspan='2'>url</th><th>id</th></tr><tr><td>"), F.col("url"), F.lit("</td><td>"), F.col("page_id").cast("string"),
+        F.lit("</td><td>x<br>y</td></tr><tr><td>one</td></tr></table> text <table><tr><td>"), F.col("url"), F.lit("</td></tr></table>"), F.col("html"),
+    )
 
 
 @query(
@@ -61,7 +62,7 @@ TABLE_SPARK = F.concat(
         UNION ALL SELECT page_id, 1, 'codebox', {plain_sql('url')} FROM pages""",
 )
 def _(spark, sf):
-    pages = tables(spark, sf)["pages"].select("page_id", TABLE_SPARK.alias("h"))
+    pages = tables(spark, sf)["pages"].select("page_id", _table_page().alias("h"))
     out = HT.html_tables(pages, "h", ["page_id"])
     return out.select("page_id", "table_no", "kind", F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
 

@@ -22,6 +22,8 @@ from thicket.session import materialize
 #: Text bytes in a chunk, and sent hashes in a bucket; both bound a task's memory.
 CHUNK_BYTES = 8 << 20
 BUCKET_HASHES = 2_500_000
+#: Rows in a chunk at most, so that chunk and place give a row a key of its own.
+CHUNK_ROWS = 1 << 20
 CHUNK_SCHEMA = "chunk long, n_bytes long, n_hashes long, docs binary"
 NO_ID = np.iinfo(np.int64).max
 
@@ -50,13 +52,13 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        held, size = [], 0
+        held, size, rows = [], 0, 0
 
         def close() -> pa.RecordBatch:
-            nonlocal number, held, size
+            nonlocal number, held, size, rows
             table = pa.Table.from_batches(held).combine_chunks().sort_by("id").to_batches()[0]
             row = [[part * (1 << 24) + number], [size], [count(table["text"])], [pack(table)]]
-            number, held, size = number + 1, [], 0
+            number, held, size, rows = number + 1, [], 0, 0
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2], pa.int64()), pa.array(row[3], pa.binary())], names=["chunk", "n_bytes", "n_hashes", "docs"])
 
         for batch in batches:
@@ -65,7 +67,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable
             ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
             row = 0
             while row < len(ids):
-                end = int(np.searchsorted(ends, ends[row] + CHUNK_BYTES - size, side="right")) - 1
+                end = min(int(np.searchsorted(ends, ends[row] + CHUNK_BYTES - size, side="right")) - 1, row + CHUNK_ROWS - rows)
                 if end <= row:
                     if held:
                         yield close()
@@ -74,9 +76,9 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable
                 part_of = pa.RecordBatch.from_arrays([ids.slice(row, end - row), texts.slice(row, end - row)], names=["id", "text"])
                 # a slice that keeps the whole batch alive would hold all of it
                 held.append(unpack(pack(part_of)) if end < len(ids) else part_of)
-                size += int(ends[end] - ends[row])
+                size, rows = size + int(ends[end] - ends[row]), rows + end - row
                 row = end
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or rows >= CHUNK_ROWS:
                     yield close()
         if held:
             yield close()
@@ -149,11 +151,11 @@ def answer(asked: DataFrame, of_bucket: Callable[[dict[str, np.ndarray], np.ndar
     return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("answers"))
 
 
-def answered(chunks: DataFrame, answers: DataFrame, n: int, of_chunk: Callable[[pa.RecordBatch, Callable], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def answered(chunks: DataFrame, answers: DataFrame, n: int, of_chunk: Callable[[pa.RecordBatch, int, Callable], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Rows that ``of_chunk`` makes of a chunk and its answers.
 
-    It gets the batch and a function that takes the hashes as asked before and returns the
-    answer to each.
+    It gets the batch, the key of its first row (those of the next rows follow) and a function
+    that takes the hashes as asked before and returns the answer to each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +172,6 @@ def answered(chunks: DataFrame, answers: DataFrame, n: int, of_chunk: Callable[[
                     back[order] = out
                     return back
 
-                yield from of_chunk(unpack(batch["docs"][row].as_buffer()), lookup)
+                yield from of_chunk(unpack(batch["docs"][row].as_buffer()), batch["chunk"][row].as_py() * CHUNK_ROWS, lookup)
 
-    return chunks.select("chunk", "docs").join(answers, "chunk", "left").select("docs", "answers").mapInArrow(run, schema)
+    return chunks.select("chunk", "docs").join(answers, "chunk", "left").select("chunk", "docs", "answers").mapInArrow(run, schema)

@@ -65,7 +65,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out[order] = least < ids
         return out
 
-    def cut(batch: pa.RecordBatch, lookup) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch, _key: int, lookup) -> Iterator[pa.RecordBatch]:
         known, holder = _first_holders(batch, window)
         order = np.argsort(holder, kind="stable")
         earlier = np.empty(len(known), dtype=bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import jaccard, substring
+from thicket.llm import jaccard, quality_rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,66 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 )
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op1_quality_rules",
+    rf"""
+    WITH split AS (
+        SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
+               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS ink,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
+        FROM documents
+    ),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM split),
+    windows AS (
+        SELECT doc_id, p, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS s FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+    ),
+    twice AS (SELECT doc_id, s FROM windows WHERE s IS NOT NULL GROUP BY doc_id, s HAVING count(*) > 1),
+    places AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM windows JOIN twice USING (doc_id, s)),
+    repeats AS (SELECT doc_id, count(*) AS n FROM places GROUP BY doc_id),
+    stats AS (
+        SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(ink)::BIGINT AS word_chars, (length(ink) - length(translate(ink, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+               (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+        FROM split LEFT JOIN repeats USING (doc_id)
+    ),
+    metrics AS (
+        SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               unnest([
+                   {{'metric': 'symbols', 'least': 8, 'v': n_symbols * 1000 // greatest(word_chars, 1)}}, {{'metric': 'word_length', 'least': 10, 'v': word_chars * 100 // greatest(n_words, 1)}},
+                   {{'metric': 'dup_lines', 'least': 70, 'v': n_dup_lines * 1000 // greatest(n_lines, 1)}}, {{'metric': 'repeats', 'least': 60, 'v': n_repeat_words * 1000 // greatest(n_words, 1)}}
+               ], recursive := true)
+        FROM stats
+    ),
+    sketch AS (
+        SELECT lang, source, metric, v - v % (1::BIGINT << greatest(length(bin(v)) - 7, 0)) AS b, count(*) AS n
+        FROM metrics WHERE NOT base_failed GROUP BY ALL
+    ),
+    merged AS (
+        SELECT 0 AS level, lang, source, metric, b, n FROM sketch
+        UNION ALL SELECT 1, lang, NULL, metric, b, sum(n) FROM sketch GROUP BY lang, metric, b
+        UNION ALL SELECT 2, NULL, NULL, metric, b, sum(n) FROM sketch GROUP BY metric, b
+    ),
+    counted AS (
+        SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b) AS up_to, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM merged
+    ),
+    quartiles AS (
+        SELECT level, lang, source, metric, max(total) AS total, min(b) FILTER (WHERE 4 * up_to >= total) AS q1, min(b) FILTER (WHERE 4 * up_to >= 3 * total) AS q3
+        FROM counted GROUP BY level, lang, source, metric
+    ),
+    chosen AS (
+        SELECT DISTINCT ON (m.doc_id, m.metric) m.doc_id, m.metric, m.v, m.least, q.q1, q.q3
+        FROM metrics m LEFT JOIN quartiles q ON q.metric = m.metric AND (q.level = 2 OR q.lang IS NOT DISTINCT FROM m.lang) AND (q.level > 0 OR q.source IS NOT DISTINCT FROM m.source)
+             AND (q.level = 2 OR q.total >= 200)
+        ORDER BY m.doc_id, m.metric, q.level
+    ),
+    verdicts AS (
+        SELECT doc_id, bool_and(coalesce(v BETWEEN q1 - 6 * greatest(q3 - q1, least) AND q3 + 6 * greatest(q3 - q1, least), true)) AS inside FROM chosen GROUP BY doc_id
+    )
+    SELECT DISTINCT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept
+    FROM metrics JOIN verdicts USING (doc_id)
+    """,
+)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select(F.col("row.doc_id").alias("doc_id"), *quality_rules.STATISTICS, "base_failed", "kept")

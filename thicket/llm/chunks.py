@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from thicket.session import materialize
 
 #: Text bytes in a chunk, and sent hashes in a bucket; both bound a task's memory.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_HASHES = 2_500_000
 #: Rows in a chunk at most, so that chunk and place give a row a key of its own.
 CHUNK_ROWS = 1 << 20

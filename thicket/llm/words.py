@@ -58,19 +58,21 @@ def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return (total[ends] - total[starts]) * down[starts]
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
+#: Bytes between words; and, for words of a classifier, all ASCII but letters and digits.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+LOWER = np.arange(256)
+LOWER[65:91] += 32
 BYTE_BASE, WORD_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
 
 class Words:
     """The words of some documents: byte spans, document of each, and hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 1):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 1, between: np.ndarray = SPACE):
         self.data, self.offsets, self.lower, self.seed = data, offsets, lower, seed
-        ink = ~_SPACE[data]
+        ink = ~between[data]
         first = ink.copy()
         first[1:] &= ~ink[:-1]
         edges = offsets[(offsets > 0) & (offsets < len(data))]
@@ -88,7 +90,7 @@ class Words:
         """A 64-bit hash of each word."""
         table = random_words(256, self.seed)
         if self.lower:
-            table = table[_LOWER]
+            table = table[LOWER]
         with np.errstate(over="ignore"):
             return mix(polynomial(table[self.data], self.starts, self.ends, BYTE_BASE))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import jaccard, quality_model, quality_rules, samples, substring
+from thicket.llm import jaccard, quality_model, quality_rules, samples, substring, warc
 from thicket.llm import toxicity as tox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"]).select("row.doc_id", "score")
     return out.select("doc_id", (samples.remainder("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query(
+    "op10_warc",
+    """
+    WITH pages_read AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    firsts AS (SELECT payload_digest, min(page_id) AS first FROM pages_read WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+    FROM pages_read LEFT JOIN firsts USING (payload_digest)
+    """,
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

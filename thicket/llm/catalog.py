@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import jaccard, quality_model, quality_rules, samples, substring, warc
+from thicket.llm import context_tree, jaccard, quality_model, quality_rules, samples, substring, warc
 from thicket.llm import toxicity as tox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_context_tree_lm")
+def op8_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = context_tree.ctw_scores(table(spark, sf_dir, "documents"), samples.remainder("id") != 1)
+    return out.withColumn("held_out", samples.remainder("doc_id") == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

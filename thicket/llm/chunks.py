@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.session import materialize
@@ -24,6 +25,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_HASHES = 2_500_000
 #: Rows in a chunk at most, so that chunk and place give a row a key of its own.
 CHUNK_ROWS = 1 << 20
+REPLY_SCHEMA = "chunk long, bucket long, reply binary"
 CHUNK_SCHEMA = "chunk long, n_bytes long, n_hashes long, docs binary"
 NO_ID = np.iinfo(np.int64).max
 
@@ -107,18 +109,18 @@ def ask_order(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 Ask = Callable[[pa.RecordBatch], dict[str, np.ndarray]]
 
 
-def ask(chunks: DataFrame, n: int, of_chunk: Ask, spark: SparkSession | None = None) -> DataFrame:
+def ask(chunks: DataFrame, n: int, of_chunk: Ask) -> DataFrame:
     """(bucket, chunk, asked): what each chunk sends to each bucket.
 
-    ``of_chunk`` gives arrays of equal length; the one named ``hash`` deals them out. The
-    order of the hashes must be the same whenever the chunk is read.
+    ``of_chunk`` gives arrays of equal length; the one named ``deal``, which isn't sent, or else
+    ``hash`` deals them out. Their order must be the same whenever the chunk is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, docs in zip(batch["chunk"].to_pylist(), batch["docs"], strict=True):
                 sent = of_chunk(unpack(docs.as_buffer()))
-                order, bounds = ask_order(sent["hash"], n)
+                order, bounds = ask_order(sent.pop("deal") if "deal" in sent else sent["hash"], n)
                 full = np.flatnonzero(np.diff(bounds))
                 sent = {k: v[order] for k, v in sent.items()}
                 rows = [pack(pa.RecordBatch.from_arrays([pa.array(v[bounds[b] : bounds[b + 1]]) for v in sent.values()], names=list(sent))) for b in full]
@@ -137,41 +139,56 @@ def answer(asked: DataFrame, of_bucket: Callable[[dict[str, np.ndarray], np.ndar
     """
 
     def run(table):
-        table = table.combine_chunks()
-        parts = [unpack(x.as_buffer()) for x in table["asked"]]
-        sizes = np.array([len(p) for p in parts])
-        joined = {k: np.concatenate([np.asarray(p[k]) for p in parts]) for k in parts[0].schema.names}
-        del parts
-        values = of_bucket(joined, np.repeat(np.arange(len(sizes)), sizes))
-        ends = np.cumsum(sizes)
-        replies = [pack(pa.RecordBatch.from_arrays([pa.array(v)], names=["v"])) for v in np.split(values, ends[:-1])]
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array(replies, pa.binary())})
-
-    replies = asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, reply binary")
+        sent, sizes = joined(table)
+        return replies_to(table, of_bucket(sent, np.repeat(np.arange(len(sizes)), sizes)), sizes)
+
+    return by_chunk(asked.groupBy("bucket").applyInArrow(run, REPLY_SCHEMA))
+
+
+def joined(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """What a bucket's chunks have sent, end to end, and the length of each chunk's part."""
+    parts = [unpack(x.as_buffer()) for x in table["asked"]]
+    return {k: np.concatenate([np.asarray(p[k]) for p in parts]) for k in parts[0].schema.names}, np.array([len(p) for p in parts])
+
+
+def replies_to(table: pa.Table, values: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """A reply to each chunk of a bucket, cut from the values of all."""
+    replies = [pack(pa.RecordBatch.from_arrays([pa.array(v)], names=["v"])) for v in np.split(values, np.cumsum(sizes)[:-1])]
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array(replies, pa.binary())})
+
+
+def by_chunk(replies: DataFrame) -> DataFrame:
+    """(chunk, answers): the replies that each chunk gets."""
     return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("answers"))
 
 
-def answered(chunks: DataFrame, answers: DataFrame, n: int, of_chunk: Callable[[pa.RecordBatch, int, Callable], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def answered(chunks: DataFrame, answers: list[DataFrame], n: int, of_chunk: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Rows that ``of_chunk`` makes of a chunk and its answers.
 
-    It gets the batch, the key of its first row (those of the next rows follow) and a function
-    that takes the hashes as asked before and returns the answer to each.
+    It gets the batch, the key of its first row (those of the next rows follow) and for each
+    of ``answers`` a function that takes the hashes as they were dealt out before and returns
+    the answer to each.
     """
+    kinds = len(answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                replies = batch["answers"][row].values
-                by_bucket = {} if replies is None else dict(zip(replies.field("bucket").to_pylist(), replies.field("reply"), strict=True))
-
-                def lookup(hashes: np.ndarray, by_bucket=by_bucket) -> np.ndarray:
-                    order, _ = ask_order(hashes, n)
-                    values = [np.asarray(unpack(by_bucket[b].as_buffer())["v"].to_numpy(zero_copy_only=False)) for b in sorted(by_bucket)]
-                    out = np.concatenate(values) if values else np.zeros(0)
-                    back = np.empty(len(hashes), dtype=out.dtype)
-                    back[order] = out
-                    return back
-
-                yield from of_chunk(unpack(batch["docs"][row].as_buffer()), batch["chunk"][row].as_py() * CHUNK_ROWS, lookup)
-
-    return chunks.select("chunk", "docs").join(answers, "chunk", "left").select("chunk", "docs", "answers").mapInArrow(run, schema)
+                lookups = [partial(_looked_up, batch[f"answers{k}"][row].values, n) for k in range(kinds)]
+                yield from of_chunk(unpack(batch["docs"][row].as_buffer()), batch["chunk"][row].as_py() * CHUNK_ROWS, *lookups)
+
+    out = chunks.select("chunk", "docs")
+    for k, given in enumerate(answers):
+        out = out.join(given.withColumnRenamed("answers", f"answers{k}"), "chunk", "left")
+    return out.mapInArrow(run, schema)
+
+
+def _looked_up(replies: pa.StructArray | None, n: int, hashes: np.ndarray) -> np.ndarray:
+    """The replies of all buckets to a chunk, put in the order of its hashes."""
+    order, _ = ask_order(hashes, n)
+    by_bucket = {} if replies is None else dict(zip(replies.field("bucket").to_pylist(), replies.field("reply"), strict=True))
+    values = [np.asarray(unpack(by_bucket[b].as_buffer())["v"].to_numpy(zero_copy_only=False)) for b in sorted(by_bucket)]
+    out = np.concatenate(values) if values else np.zeros(0)
+    back = np.empty(len(hashes), dtype=out.dtype)
+    back[order] = out
+    return back

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from thicket.llm import chunks as C
-from thicket.llm.words import U, Words, steps
+from thicket.llm.words import U, Words, join_words, steps
 
 WINDOW = 13
 
@@ -82,7 +82,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     chunks = C.chunk_documents(docs, id_col, text_col, count)
     n = C.buckets_for(chunks)
-    out = C.answered(chunks, C.answer(C.ask(chunks, n, ask), earliest), n, cut, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    out = C.answered(chunks, [C.answer(C.ask(chunks, n, ask), earliest)], n, cut, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -102,20 +102,7 @@ def _rows(ids: np.ndarray, words: Words, gone: np.ndarray) -> pa.RecordBatch:
         pa.array(np.searchsorted(of, np.arange(n_docs + 1)), pa.int32()),
         pa.StructArray.from_arrays([pa.array(first - words.bounds[of], pa.int64()), pa.array(last - words.bounds[of], pa.int64())], ["start", "end"]),
     )
-    # kept words end to end, each with one space behind it but for a document's last
-    stay = ~gone
-    starts, ends, doc = words.starts[stay], words.ends[stay], words.doc[stay]
-    lengths = ends - starts
-    gap = np.ones(len(starts), dtype=np.int64)
-    if len(gap):
-        gap[np.concatenate([doc[1:] != doc[:-1], [True]])] = 0
-    size = lengths + gap
-    to = np.cumsum(size) - size
-    source = np.repeat(starts - to, size) + np.arange(size.sum())
-    text = words.data[np.minimum(source, max(len(words.data) - 1, 0))] if len(source) else np.zeros(0, dtype=np.uint8)
-    if len(text):
-        text[(to + lengths)[gap == 1]] = 0x20
-    by_doc = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64))])
-    kept = pa.LargeStringArray.from_buffers(n_docs, pa.py_buffer(by_doc.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))).cast(pa.string())
+    text, by_doc = join_words(words, ~gone)
+    kept = pa.LargeStringArray.from_buffers(n_docs, pa.py_buffer(by_doc), pa.py_buffer(text)).cast(pa.string())
     id_array = pa.array(ids, pa.int64(), mask=ids == C.NO_ID)
     return pa.RecordBatch.from_arrays([id_array, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), spans, kept], names=["id", "n_words", "n_removed", "spans", "kept"])

@@ -126,3 +126,20 @@ def steps(column: pa.Array, limit: int = STEP) -> Iterator[tuple[int, int, np.nd
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+
+
+def join_words(words: Words, stay: np.ndarray, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts made of the words that stay, one space between; each ends with ``tail``, if given."""
+    n = len(words.offsets) - 1
+    starts, doc = words.starts[stay], words.doc[stay]
+    lengths = words.ends[stay] - starts
+    last = np.concatenate([doc[1:] != doc[:-1], [True]])[: len(doc)]
+    size = lengths + (1 if tail is not None else ~last)
+    lone = (np.bincount(doc, minlength=n) == 0).astype(np.int64) if tail is not None else np.zeros(n, dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=n).astype(np.int64) + lone)])
+    to = np.cumsum(size) - size + np.cumsum(lone)[doc]
+    text = np.full(offsets[-1], 0x20 if tail is None else tail, dtype=np.uint8)
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    text[np.repeat(to, lengths) + inside] = words.data[np.repeat(starts, lengths) + inside]
+    text[(to + lengths)[~last]] = 0x20
+    return text, offsets

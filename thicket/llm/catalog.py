@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import context_tree, jaccard, quality_model, quality_rules, samples, substring, warc
+from thicket.llm import context_tree, digests, jaccard, packing, quality_model, quality_rules, samples, substring, warc
 from thicket.llm import toxicity as tox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = context_tree.ctw_scores(table(spark, sf_dir, "documents"), samples.remainder("id") != 1)
     return out.withColumn("held_out", samples.remainder("doc_id") == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digests.edited_neighbours(docs, digests.corpus_ranks(docs))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))

@@ -20,8 +20,9 @@ PERCENT = 75
 MOST_SHARED = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 20
-#: Rounds against one leader per list go on while all pairs would be more than this many times the postings.
-PAIRS_PER_POSTING = 4
+#: Rounds against one leader per list go on while all pairs would be more than this many times
+#: the postings, and a round has left less than this share of the pairs before it.
+PAIRS_PER_POSTING, LEFT_BY_ROUND = 16, 0.6
 SET_SCHEMA = "key long, id long, n long, h1 long, h2 long, shared int, postings array<struct<t:long,pos:int>>, tokens binary"
 
 
@@ -123,7 +124,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
 
     chunks = C.chunk_documents(docs, id_col, text_col, count)
     n = C.buckets_for(chunks)
-    return materialize(C.answered(chunks, C.answer(C.ask(chunks, n, ask), frequency), n, prefixes, SET_SCHEMA), "sets")
+    return materialize(C.answered(chunks, [C.answer(C.ask(chunks, n, ask), frequency)], n, prefixes, SET_SCHEMA), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,15 +168,16 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
     postings = postings.join(reach, "key").withColumn("most", F.floor(((F.col("n") - F.col("first")) * (100 + percent)) / F.lit(percent)) - F.col("n")).where("100 * most >= n * " + str(percent)).drop("alpha", "first")
     postings = materialize(postings, "postings")
 
-    roots, found, seen = None, None, None
+    roots, found, seen, last = None, None, None, float("inf")
     while True:
         here = postings.withColumn("root", F.col("key")) if roots is None else postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0")).where("r0 < r1").select("t", "n0")
         here = materialize(here.join(lists, "t").where("most >= n0").drop("n0"), "lists")
         by_root = here.groupBy("t", "root").agg(F.count("*").alias("m"))
         m = by_root.groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")).agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).head()
-        if not m[0] or m[1] <= PAIRS_PER_POSTING * m[0]:
+        if not m[0] or m[1] <= PAIRS_PER_POSTING * m[0] or float(m[1]) > LEFT_BY_ROUND * last:
             break
+        last = float(m[1])
         leaders = here.select("t", "root", "key", "n")
         if seen is not None:
             leaders = leaders.join(seen, "t", "left").where("last IS NULL OR root > last").drop("last")

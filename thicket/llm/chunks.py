@@ -15,14 +15,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.session import materialize
 
 #: Text bytes in a chunk, and sent hashes in a bucket; both bound a task's memory.
 CHUNK_BYTES = 4 << 20
-BUCKET_HASHES = 2_500_000
+BUCKET_HASHES = 1_000_000
 #: Rows in a chunk at most, so that chunk and place give a row a key of its own.
 CHUNK_ROWS = 1 << 20
 REPLY_SCHEMA = "chunk long, bucket long, reply binary"
@@ -30,6 +30,11 @@ CHUNK_SCHEMA = "chunk long, n_bytes long, n_hashes long, docs binary"
 NO_ID = np.iinfo(np.int64).max
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand rows to Python in batches of 8 MB, as two tasks share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def pack(table: pa.RecordBatch) -> bytes:
     """A record batch as compressed Arrow bytes."""
     out = pa.BufferOutputStream()
@@ -85,6 +90,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable
         if held:
             yield close()
 
+    small_batches(docs.sparkSession)
     return materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, CHUNK_SCHEMA), "chunks")
 
 
@@ -124,6 +130,7 @@ def ask(chunks: DataFrame, n: int, of_chunk: Ask) -> DataFrame:
                 full = np.flatnonzero(np.diff(bounds))
                 sent = {k: v[order] for k, v in sent.items()}
                 rows = [pack(pa.RecordBatch.from_arrays([pa.array(v[bounds[b] : bounds[b + 1]]) for v in sent.values()], names=list(sent))) for b in full]
+                pa.default_memory_pool().release_unused()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), chunk), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "chunk", "asked"])
 
@@ -153,6 +160,7 @@ def joined(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 def replies_to(table: pa.Table, values: np.ndarray, sizes: np.ndarray) -> pa.Table:
     """A reply to each chunk of a bucket, cut from the values of all."""
+    pa.default_memory_pool().release_unused()
     replies = [pack(pa.RecordBatch.from_arrays([pa.array(v)], names=["v"])) for v in np.split(values, np.cumsum(sizes)[:-1])]
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array(replies, pa.binary())})
 
@@ -174,6 +182,7 @@ def answered(chunks: DataFrame, answers: list[DataFrame], n: int, of_chunk: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
+                pa.default_memory_pool().release_unused()
                 lookups = [partial(_looked_up, batch[f"answers{k}"][row].values, n) for k in range(kinds)]
                 yield from of_chunk(unpack(batch["docs"][row].as_buffer()), batch["chunk"][row].as_py() * CHUNK_ROWS, *lookups)
 

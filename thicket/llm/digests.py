@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.chunks import NO_ID, small_batches
 from thicket.llm.words import BYTE_BASE, U, mix, polynomial, random_words, steps
 
 #: Bytes of a window, and windows that compete with each other.
@@ -222,6 +223,7 @@ def corpus_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["class", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[text_col].cast("string")).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1001, dtype=np.int64)
     for row in rows:
@@ -232,6 +234,7 @@ def corpus_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def fingerprints(docs: DataFrame, ranks: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``row`` (a struct of the columns ``keep``, all by default) and ``fingerprint`` of each text; a null is empty."""
     keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +248,6 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray, text_col: str = "text", kee
 
 #: Text bytes of a range of ids.
 RANGE_BYTES = 8 << 20
-NO_ID = np.iinfo(np.int64).max
 
 
 def edited_neighbours(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,6 +259,7 @@ def edited_neighbours(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id"
     each with the first text of the range behind it, and read in order, so every text is
     moved once.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     least, total = rows.agg(F.min("id"), F.sum(F.octet_length("text"))).head()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -57,7 +57,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
     """The bin of each length, its place in the bin, and the capacity of each bin.
 
     Lengths come in descending order (ties as given). Each goes into the open bin with the
-    least room that holds it, the earliest of equals. If there is none, a bin opens, of the
+    least room that holds it, of equals the one that has had this room for longest. If there is none, a bin opens, of the
     capacity that would cost least per token once the largest remaining lengths that fit had
     filled it: (capacity + overhead) / tokens, the smaller of equals. At the end each bin
     shrinks to the least capacity that holds its contents.

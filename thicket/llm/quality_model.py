@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.chunks import small_batches
 from thicket.llm.samples import SAMPLE_ROWS, labelled_sample
 from thicket.llm.words import U, Words, steps
 
@@ -137,6 +138,7 @@ def score(docs: DataFrame, fm: Machine, text_col: str = "text", chars_col: str =
     """
     model = docs.sparkSession.sparkContext.broadcast(fm)
     keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = model.value

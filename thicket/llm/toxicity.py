@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.chunks import small_batches
 from thicket.llm.samples import SAMPLE_ROWS, labelled_sample
 from thicket.llm.words import LOWER, NO_LETTER, U, Words, mix, steps
 
@@ -256,6 +257,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str]
     """
     model = docs.sparkSession.sparkContext.broadcast(net)
     keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value

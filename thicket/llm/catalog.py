@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import context_tree, digests, jaccard, packing, quality_model, quality_rules, samples, substring, warc
+from thicket.llm import context_tree, digests, jaccard, packing, pieces, quality_model, quality_rules, samples, substring, warc
 from thicket.llm import toxicity as tox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A sample holds no more rows than this, each no longer than this many code points.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 
 

@@ -40,10 +40,10 @@ class Inputs:
         self.char_bounds = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(starts - self.char_bounds[:-1], lengths) + np.arange(self.char_bounds[-1])
         # each byte with its neighbours inside the word
-        lowered = LOWER[data].astype(U) if len(data) else np.zeros(0, dtype=U)
+        lowered = LOWER.astype(np.uint8)[data]
         before = np.where(at > np.repeat(starts, lengths), lowered[np.maximum(at - 1, 0)], 0) if len(at) else at
         after = np.where(at + 1 < np.repeat(ends, lengths), lowered[np.minimum(at + 1, len(data) - 1)], 0) if len(at) else at
-        code = before.astype(U) << U(16) | (lowered[at] if len(at) else np.zeros(0, dtype=U)) << U(8) | after.astype(U)
+        code = before.astype(U) << U(16) | lowered[at].astype(U) << U(8) | after.astype(U)
         with np.errstate(over="ignore"):
             self.char_row = (mix(code + U(11)) % U(CHAR_ROWS)).astype(np.int64)
 
@@ -211,7 +211,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         if epoch == 0:
             chosen = np.unique(np.concatenate([drawn, first + rng.integers(0, count), first + rng.integers(0, count)]))
         else:
-            z = scores_of(net, x, start, length)
+            z = np.concatenate([_block_scores(net, x, start[i : i + 2048], length[i : i + 2048]) for i in range(0, len(start), 2048)])
             order = np.lexsort((-z, doc))
             best, own = order[first], labels[doc[first]]
             doubted = (own > 0) & (z[best] < DOUBT) if epoch > 1 else np.zeros(len(own), dtype=bool)
@@ -241,6 +241,12 @@ def _part(x: Inputs, start: np.ndarray, length: np.ndarray) -> Inputs:
     return out
 
 
+def _block_scores(net: Network, x: Inputs, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Logits of some windows, with the gate inputs of their own words only."""
+    part = _part(x, start, length)
+    return net.logits(net.project(part)[0], part.word_at, np.arange(len(start)) * WINDOW, length)
+
+
 def scores_of(net: Network, x: Inputs, start: np.ndarray, length: np.ndarray, block: int = 2048) -> np.ndarray:
     """Logits of all windows, block by block."""
     projected, _ = net.project(x)

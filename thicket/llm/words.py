@@ -87,12 +87,19 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word, block by block of the text."""
         table = random_words(256, self.seed)
         if self.lower:
             table = table[LOWER]
-        with np.errstate(over="ignore"):
-            return mix(polynomial(table[self.data], self.starts, self.ends, BYTE_BASE))
+        out = np.empty(len(self.starts), dtype=U)
+        first = 0
+        while first < len(out):
+            end = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + STEP)))
+            lo = self.starts[first]
+            with np.errstate(over="ignore"):
+                out[first:end] = mix(polynomial(table[self.data[lo : self.ends[end - 1]]], self.starts[first:end] - lo, self.ends[first:end] - lo, BYTE_BASE))
+            first = end
+        return out
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of all windows of ``width`` words, and the first word of each."""

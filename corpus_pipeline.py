@@ -4,20 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import substring
+from thicket.llm import jaccard, packing, quality_rules, substring
+from thicket.llm import toxicity as tox
 from thicket.session import materialize
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut from all but the first document that holds them."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose most toxic window scores below one half."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return tox.toxicity(docs, labels).where("score < 0.5").select("row.*")
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the limits of their language and source."""
+    return quality_rules.quality_rules(docs).where("kept").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Equal rows count once; a document without an id can't be told from others and stays.
+    """
+    stays = jaccard.near_duplicates(docs).where("stays AND doc_id IS NOT NULL").select("doc_id")
+    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document also holds are cut out."""
     return substring.without_repeats(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' words in sequences of the permitted lengths, a row per piece with its place in its bin."""
+    return packing.sequences(docs, packing.pack(docs))
+
+
 STAGES = [
-    ("substring dedup", dedup_substrings),
+    ("toxicity", drop_toxic),
+    ("quality rules", apply_quality_rules),
+    ("n-gram jaccard join", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("best-fit packing", pack_sequences),
 ]
 
-#: No SQL: the stages train a model.
+#: No SQL: the first stage trains a model.
 ORACLE_SQL = None
 
 

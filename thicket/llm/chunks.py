@@ -49,12 +49,12 @@ def unpack(data) -> pa.RecordBatch:
         return reader.read_next_batch()
 
 
-def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable[[pa.Array], int]) -> DataFrame:
+def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable[[pa.Array], int], keep: list[str] | None = None) -> DataFrame:
     """Documents in chunks of about CHUNK_BYTES, written to the shared folder.
 
     A chunk is a compressed batch (id, text), sorted by id; a longer text is a chunk of its
-    own. A null id sorts last, as the largest; a null text is empty. ``count`` estimates the
-    hashes of a chunk.
+    own. A null id sorts last, as the largest; a null text is empty. The columns ``keep``, if
+    any, go along as a struct ``row``. ``count`` estimates the hashes of a chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable
                         yield close()
                         continue
                     end = row + 1
-                part_of = pa.RecordBatch.from_arrays([ids.slice(row, end - row), texts.slice(row, end - row)], names=["id", "text"])
+                part_of = pa.RecordBatch.from_arrays([x.slice(row, end - row) for x in (ids, texts, *batch.columns[2:])], names=["id", "text", "row"][: batch.num_columns])
                 # a slice that keeps the whole batch alive would hold all of it
                 held.append(unpack(pack(part_of)) if end < len(ids) else part_of)
                 size, rows = size + int(ends[end] - ends[row]), rows + end - row
@@ -91,7 +91,8 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable
             yield close()
 
     small_batches(docs.sparkSession)
-    return materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, CHUNK_SCHEMA), "chunks")
+    row = [F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []
+    return materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row).mapInArrow(run, CHUNK_SCHEMA), "chunks")
 
 
 def buckets_for(chunks: DataFrame) -> int:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from thicket.llm import chunks as C
 from thicket.llm.words import U, Words, join_words, steps
@@ -32,7 +33,7 @@ def _first_holders(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.nd
     return h, np.concatenate(holders)[first]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """Cuts words covered by a window that also starts in a document with a smaller id.
 
     Words are runs outside ``[\\x20\\x09-\\x0D]``, taken as they are. All windows of
@@ -44,7 +45,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     [first word, end word) pairs, ascending, disjoint) and ``kept`` (the words left, joined
     by one space). Null and empty texts have no words; texts shorter than the window lose
     nothing; rows that share an id are one document and don't erase each other; a null id
-    comes after all others, as one document. Other columns are not carried.
+    comes after all others, as one document. The columns ``keep`` are carried in a struct
+    ``row``, and with them the whole ``text``; others are not carried.
     """
 
     def count(texts: pa.Array) -> int:
@@ -78,14 +80,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(cover, at[repeated], 1)
             np.add.at(cover, at[repeated] + window, -1)
             gone = np.cumsum(cover)[:-1] > 0
-            yield _rows(ids[row : row + len(words.offsets) - 1], words, gone)
+            out = _rows(ids[row : row + len(words.offsets) - 1], words, gone)
+            for name in ("row", "text") if keep else ():
+                out = out.append_column(name, batch[name].slice(row, len(out)))
+            yield out
 
-    chunks = C.chunk_documents(docs, id_col, text_col, count)
+    chunks = C.chunk_documents(docs, id_col, text_col, count, keep)
     n = C.buckets_for(chunks)
-    out = C.answered(chunks, [C.answer(C.ask(chunks, n, ask), earliest)], n, cut, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    schema = "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
+    if keep:
+        schema += f", row {docs.select(F.struct(*[docs[c] for c in keep]).alias('r')).schema['r'].dataType.simpleString()}, text string"
+    out = C.answered(chunks, [C.answer(C.ask(chunks, n, ask), earliest)], n, cut, schema)
     return out.withColumnRenamed("id", id_col)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """The documents with ``repeated_spans`` cut out and their lengths set anew.
+
+    A text that loses words is its other words with one space between; others stay as they
+    are. A text may become empty; its row stays. All columns are returned.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    out = repeated_spans(docs, id_col, text_col, window, others)
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept")).otherwise(F.col("text"))
+    made = {text_col: text, chars_col: F.when(cut, F.length("kept").cast("long")).otherwise(F.col("row")[chars_col])}
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def _rows(ids: np.ndarray, words: Words, gone: np.ndarray) -> pa.RecordBatch:
     """Result rows of a part of a chunk, given which words go."""
     n_docs = len(ids)

@@ -69,7 +69,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     """A row per document: its set's size and digest, its prefix postings, and the whole set where it has any.
 
     Tokens are ordered by document frequency over all documents, then by hash; those of a
-    single document can't be shared, so they fill prefixes without becoming postings.
+    single document can't be shared, so they fill prefixes without becoming postings. A
+    frequency may come out too high where two hashes meet in a bucket, but the same for all
+    documents, so the order stays one for all.
     """
 
     def count(texts: pa.Array) -> int:
@@ -77,13 +79,14 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
 
     def ask(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         h, times = np.unique(_shingles(batch, width)[1], return_counts=True)
-        return {"hash": h, "df": times}
+        # half of the hash will do: a chance meeting in a bucket raises the frequency for all that ask
+        return {"deal": h, "low": h.astype(np.uint32), "df": times.astype(np.uint32)}
 
     def frequency(sent: dict[str, np.ndarray], _chunk: np.ndarray) -> np.ndarray:
-        order = np.argsort(sent["hash"], kind="stable")
-        h = sent["hash"][order]
+        order = np.argsort(sent["low"], kind="stable")
+        h = sent["low"][order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        total = np.repeat(np.add.reduceat(sent["df"][order], new), np.diff(np.append(new, len(h))))
+        total = np.repeat(np.add.reduceat(sent["df"][order].astype(np.int64), new), np.diff(np.append(new, len(h))))
         out = np.empty(len(h), dtype=np.int64)
         out[order] = total
         return out

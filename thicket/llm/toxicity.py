@@ -18,6 +18,11 @@ HIDDEN, EMBED, ATTEND = 12, 12, 8
 #: Rows of the word and character tables; both are hashed.
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 14
 EPOCHS = 8
+#: Training texts that must hold a word for it to get a row of its own, and the share of words
+#: that a training step hides; both keep the network from learning texts by their rare words.
+LEAST_TEXTS, HIDDEN_WORDS = 4, 0.1
+#: Standard deviations from which a word counts as a cue at the start.
+LEAST_CUE = 2.5
 #: From the third epoch on, a text labelled 1 whose best window is below this logit is taken
 #: for a wrong label and left out, or the network would learn such texts by heart.
 DOUBT = -0.5
@@ -69,6 +74,11 @@ class Network:
             "wa": draw(2 * HIDDEN, ATTEND), "va": draw(ATTEND, 1)[:, 0], "wo": draw(2 * HIDDEN, 1)[:, 0], "bo": np.zeros(1, np.float32),
         }
         self.prior = 0.0
+        #: Rows of the word table that enough training texts hold; row 0 stands for all others.
+        self.known = np.ones(WORD_ROWS, dtype=bool)
+
+    def rows_of(self, x: Inputs) -> np.ndarray:
+        return np.where(self.known[x.word_row], x.word_row, 0)
 
     def project(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
         """Gate inputs of each distinct word, and its embedding: its own row beside the mean of its characters'."""
@@ -76,7 +86,7 @@ class Network:
         if not len(x.word_row):
             return np.zeros((0, 6 * HIDDEN), np.float32), np.zeros((0, 2 * EMBED), np.float32)
         chars = np.add.reduceat(p["chars"][x.char_row], x.char_bounds[:-1]) / np.diff(x.char_bounds)[:, None].astype(np.float32)
-        e = np.concatenate([p["words"][x.word_row], chars.astype(np.float32)], axis=1)
+        e = np.concatenate([p["words"][self.rows_of(x)], chars.astype(np.float32)], axis=1)
         return e @ p["wx"] + p["bx"], e
 
     def _direction(self, gates: np.ndarray, u: np.ndarray, mask: np.ndarray, order, keep: list | None) -> np.ndarray:
@@ -153,7 +163,7 @@ class Network:
         de = d_proj @ p["wx"].T
         lengths = np.diff(x.char_bounds)[used]
         at = np.repeat(x.char_bounds[:-1][used] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        g["words"] = (x.word_row[used], de[:, :EMBED])
+        g["words"] = (self.rows_of(x)[used], de[:, :EMBED])
         g["chars"] = (x.char_row[at], np.repeat(de[:, EMBED:] / lengths[:, None], lengths, axis=0))
         return g
 
@@ -188,8 +198,9 @@ class Adagrad:
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Network:
     """A network for labels of whole texts, of which only some window may show the cause.
 
-    The first epoch takes any windows with their text's label; then each text stands for the
-    window that scores highest, beside one drawn window of each text labelled 0. Texts labelled
+    In the first epoch a text stands for the window with the word that departs most from the
+    usual share of labels, later for the one that scores highest, beside one drawn window of
+    each text labelled 0. Texts labelled
     1 that show nothing are doubted and left out.
     """
     net, rng = Network(), np.random.default_rng(seed)
@@ -200,6 +211,20 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     start, length, doc = x.windows()
     if not len(doc) or labels.min() == labels.max():
         return net
+    holder = np.searchsorted(x.bounds, np.arange(len(x.word_at)), side="right") - 1
+    held = np.unique(x.word_row[x.word_at] * len(texts) + holder)
+    times = np.bincount(held // len(texts), minlength=WORD_ROWS)
+    net.known = times >= LEAST_TEXTS
+    net.known[0] = False
+    # one column of the word table starts from how far a word's texts depart from the share of label 1
+    toxic = np.bincount(held // len(texts), weights=labels[held % len(texts)], minlength=WORD_ROWS)
+    z = (toxic - times * net.prior) / np.sqrt(times * net.prior * (1 - net.prior) + 0.25)
+    cue = np.where(net.known & (np.abs(z) > LEAST_CUE), np.clip(z / LEAST_CUE, -3, 3), 0).astype(np.float32)
+    net.p["words"][:, 0] = cue
+    hints = np.zeros(len(start), np.float32)
+    place = start[:, None] + np.minimum(np.arange(WINDOW)[None, :], length[:, None] - 1)
+    for at in range(0, len(start), 2048):
+        hints[at : at + 2048] = cue[x.word_row[x.word_at[place[at : at + 2048]]]].max(axis=1)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     count = np.diff(np.append(first, len(doc)))
     y = labels[doc]
@@ -209,7 +234,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     for epoch in range(epochs):
         drawn = first + rng.integers(0, count)
         if epoch == 0:
-            chosen = np.unique(np.concatenate([drawn, first + rng.integers(0, count), first + rng.integers(0, count)]))
+            chosen = np.unique(np.concatenate([np.lexsort((-hints, doc))[first], drawn[labels[doc[first]] == 0]]))
         else:
             z = np.concatenate([_block_scores(net, x, start[i : i + 2048], length[i : i + 2048]) for i in range(0, len(start), 2048)])
             order = np.lexsort((-z, doc))
@@ -220,6 +245,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         for at in range(0, len(chosen), 128):
             own = chosen[at : at + 128]
             part = _part(x, start[own], length[own])
+            part.word_row[rng.random(len(part.word_row)) < HIDDEN_WORDS] = 0
             projected, e = net.project(part)
             tape: dict = {}
             z = net.logits(projected, part.word_at, np.arange(len(own)) * WINDOW, length[own], tape)

@@ -22,7 +22,7 @@ MOST_SHARED = 8
 VERIFY_COST = 20
 #: Rounds against one leader per list go on while all pairs would be more than this many times
 #: the postings, and a round has left less than this share of the pairs before it.
-PAIRS_PER_POSTING, LEFT_BY_ROUND = 16, 0.6
+PAIRS_PER_POSTING, LEFT_BY_ROUND = 2, 0.8
 SET_SCHEMA = "key long, id long, n long, h1 long, h2 long, shared int, postings array<struct<t:long,pos:int>>, tokens binary"
 
 
@@ -159,9 +159,11 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
 
     First each list of a token's documents is held against one leader, which finds the
     linear core of a large group; then only pairs of different components are left. Those
-    must share as many tokens as the shorter of their two prefixes asks for.
+    must share as many tokens as the shorter of their two prefixes asks for; and the tokens
+    shared within both prefixes, with all that may follow in the longer rest, must reach the
+    overlap that their sizes ask for.
     """
-    postings = sets.select("key", "n", "shared", (F.ceil(F.col("n") * percent / F.lit(100)).cast("long")).alias("alpha"), F.explode("postings").alias("p")).select("key", "n", "shared", "alpha", F.col("p.t").alias("t"), F.col("p.pos").alias("pos"))
+    postings = sets.select("key", "n", "shared", (F.ceil(F.col("n") * percent / F.lit(100)).cast("long")).alias("alpha"), F.explode("postings").alias("p")).select("key", "n", "shared", "alpha", (F.col("alpha") - F.col("shared")).alias("rest"), F.col("p.t").alias("t"), F.col("p.pos").alias("pos"))
     # needed for a posting to count when k tokens are asked for
     postings = postings.withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.col("alpha")) + 1))
     lists = postings.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
@@ -195,11 +197,15 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
         found = new if found is None else found.union(new)
         roots = components(found)
 
-    x = here.select("t", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "shared", "level", "most", "root")])
-    y = here.select("t", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "shared", "level", "most", "root")])
+    x = here.select("t", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "shared", "rest", "level", "most", "root")])
+    y = here.select("t", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "shared", "rest", "level", "most", "root")])
     k = F.least("shared_a", "shared_b")
-    met = x.join(y, "t").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _similar_sizes("n_a", "n_b", percent) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")) & (F.col("level_a") <= k) & (F.col("level_b") <= k))
-    pairs = met.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.count("*").alias("met"), F.min(k).alias("k")).where("met >= k").select("a", "b")
+    met = x.join(y, "t").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _similar_sizes("n_a", "n_b", percent) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")))
+    counted = F.count_if((F.col("level_a") <= k) & (F.col("level_b") <= k)).alias("met")
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    pairs = met.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(
+        counted, F.count("*").alias("all"), F.min(k).alias("k"), F.min(overlap - F.greatest("rest_a", "rest_b")).alias("least")
+    ).where("met >= k AND all >= least").select("a", "b")
     new = verified(pairs, sets, percent).select("a", "b")
     return new if found is None else found.union(new)
 

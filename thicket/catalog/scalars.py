@@ -19,7 +19,7 @@ def _(spark, sf):
 
 NATURAL = (
     "array_to_string(list_transform(regexp_extract_all({c}, '(\\d+|\\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\\d') "
-    "THEN chr(1) || lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 6, '0') || ltrim(x, '0') ELSE x END), '')"
+    "THEN chr(1) || lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE x END), '')"
 )
 
 
@@ -413,5 +413,5 @@ def _(spark, sf):
 def _(spark, sf):
     g = store(spark, sf).grid.withColumn("s", G.sort_rows(F.col("cells")))
     return g.select(
-        "node_id", _text(F.slice("s", 2, 100)).alias("body"), F.array_join(F.get("s", F.lit(0)), "|").alias("header")
+        "node_id", _text(F.slice("s", F.lit(2), F.size("s"))).alias("body"), F.array_join(F.get("s", F.lit(0)), "|").alias("header")
     )

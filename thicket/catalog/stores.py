@@ -255,10 +255,11 @@ LINKS_SQL = """, l AS (SELECT node_id, "offset" AS off_, link, string_split(link
 @query(
     "audit_links",
     LINKS_SQL + """, nl AS (SELECT node_id, off_, link, CAST(p[2] AS BIGINT) AS target_id, p[3] AS anchor FROM l WHERE p[1] = 'node'),
-       t AS (SELECT node_id AS tid, CASE WHEN master_id > 0 THEN master_id ELSE node_id END AS h FROM children)
+       t AS (SELECT node_id AS tid, CASE WHEN master_id > 0 THEN master_id ELSE node_id END AS h FROM children),
+       a AS (SELECT DISTINCT node_id AS aid, anchor AS known FROM image WHERE anchor <> '')
        SELECT node_id, off_ AS object_offset, target_id, problem FROM (
-         SELECT *, CASE WHEN tid IS NULL THEN 'dead_node' WHEN (h, anchor) NOT IN (SELECT (node_id, anchor) FROM image WHERE anchor <> '') THEN 'missing_anchor' END AS problem
-         FROM nl LEFT JOIN t ON tid = target_id) WHERE problem IS NOT NULL""",
+         SELECT nl.*, CASE WHEN tid IS NULL THEN 'dead_node' WHEN anchor IS NOT NULL AND known IS NULL THEN 'missing_anchor' END AS problem
+         FROM nl LEFT JOIN t ON tid = target_id LEFT JOIN a ON aid = h AND known = anchor) WHERE problem IS NOT NULL""",
     "image children",
 )
 def _(spark, sf):

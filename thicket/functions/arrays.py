@@ -41,8 +41,22 @@ def prefix_sums(values: Column) -> Column:
     return F.when(F.size(values) == 0, empty).otherwise(let(bound, with_chunks))
 
 
-# Unicode non-characters mark the ends of a match; valid text never holds them.
-OPEN, CLOSE = "﷐", "﷑"
+#: Blocks of Unicode non-characters. They may stand in a text, so a free block is chosen for each.
+MARKS = ["".join(chr(0xFDD0 + 5 * k + i) for i in range(5)) for k in range(6)]
+
+
+def with_marks(text: Column, n: int, body: Callable[[Column, list[Column]], Column]) -> Column:
+    """``body(text, marks)`` with ``n`` (up to 5) symbols that do not occur in the text.
+
+    A text that holds a symbol of every block raises an error.
+    """
+    given = F.coalesce(text, F.lit(""))
+    free = F.when(~given.rlike("[\ufdd0-\ufdef]"), F.lit(MARKS[0]))
+    for block in MARKS:
+        free = free.when(~given.rlike(f"[{block}]"), F.lit(block))
+    free = free.otherwise(F.raise_error(F.lit("the text holds a symbol of each block of marks")))
+    marks = lambda m: [F.substring(m, i + 1, 1) for i in range(n)]
+    return let(F.struct(text.alias("t"), free.alias("m")), lambda s: body(s["t"], marks(s["m"])))
 
 
 def match_parts(text: Column, pattern: str) -> Column:
@@ -50,5 +64,9 @@ def match_parts(text: Column, pattern: str) -> Column:
 
     Matches sit at odd positions; joined, the parts give the text again.
     """
-    marked = F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}")
-    return F.split(marked, f"[{OPEN}{CLOSE}]")
+
+    def parts(t: Column, m: list[Column]) -> Column:
+        marked = F.regexp_replace(t, F.lit(pattern), F.concat(m[0], F.lit("$0"), m[1]))
+        return F.split(marked, F.concat(F.lit("["), m[0], m[1], F.lit("]")))
+
+    return with_marks(text, 2, parts)

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import with_marks
 from .text import _col, natural_key, xml_escape
 
-# Stand-ins for protected characters: Unicode non-characters, never in valid text.
-_QUOTE, _COMMA, _LF, _BSLASH, _ESC = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
-
-
 def csv_to_cells(text: Column | str) -> Column:
     r"""Rows of cells from CSV text.
 
@@ -18,18 +15,23 @@ def csv_to_cells(text: Column | str) -> Column:
     LF outside strings, so a last row without LF is lost; NUL ends the input.
     Every step is linear in the text and runs without regex recursion.
     """
-    t = F.substring_index(_col(text), "\x00", 1)
-    # An escape run is read in pairs from its left end.
-    for pattern, put in [(r"\\\\", _BSLASH), (r'\\"', _QUOTE), (r"\\,", _COMMA), (r"\\\n", _LF), (r"\\", "")]:
-        t = F.regexp_replace(t, pattern, put)
-    quoted = F.transform(
-        F.split(t, '"'),
-        lambda part, i: F.when(i % 2 == 1, F.translate(part, ",\n", _COMMA + _LF)).otherwise(part),
-    )
-    rows = F.split(F.array_join(quoted, ""), "\n")
-    rows = F.slice(rows, F.lit(1), F.size(rows) - 1)
-    restore = lambda cell: F.translate(cell, _QUOTE + _COMMA + _LF + _BSLASH, '",\n\\')
-    return F.transform(rows, lambda row: F.transform(F.split(row, ","), restore))
+
+    def cells(t: Column, m: list[Column]) -> Column:
+        quote, comma, lf, backslash = m
+        # An escape run is read in pairs from its left end.
+        for pattern, put in [(r"\\\\", backslash), (r'\\"', quote), (r"\\,", comma), (r"\\\n", lf), (r"\\", F.lit(""))]:
+            t = F.regexp_replace(t, F.lit(pattern), put)
+        translate = lambda x, old, new: F.call_function("translate", x, old, new)
+        quoted = F.transform(
+            F.split(t, '"'),
+            lambda part, i: F.when(i % 2 == 1, translate(part, F.lit(",\n"), F.concat(comma, lf))).otherwise(part),
+        )
+        rows = F.split(F.array_join(quoted, ""), "\n")
+        rows = F.slice(rows, F.lit(1), F.size(rows) - 1)
+        restore = lambda cell: translate(cell, F.concat(quote, comma, lf, backslash), F.lit('",\n\\'))
+        return F.transform(rows, lambda row: F.transform(F.split(row, ","), restore))
+
+    return with_marks(F.substring_index(_col(text), "\x00", 1), 4, cells)
 
 
 def pad_cells(cells: Column) -> Column:

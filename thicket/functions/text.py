@@ -3,39 +3,26 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import with_marks
 from ..model import LINE_CONTENT_LIMIT, MAX_FILE_NAME_BYTES, TIMESTAMP_FORMAT
 
 
-def _accent_table() -> tuple[str, str]:
-    """Letters that fold to one ASCII letter, from the Unicode decompositions.
-
-    All marked Latin-1 and Latin Extended-A letters, plus the dot-below letters
-    except v. The letters without a decomposition are listed as they are.
-    """
-    src, dst = [], []
-    for code in [*range(0xC0, 0x180), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) != 2 or not parts[0].isascii() or not parts[0].isalpha():
-            continue
-        if code >= 0x1E00 and (parts[1] != "\u0323" or parts[0] in "vV"):
-            continue
-        src.append(chr(code))
-        dst.append(parts[0])
-    # Folded letters that do not decompose.
-    extra = {"đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ı": "i", "ŀ": "l", "Ŀ": "L", "ł": "l",
-             "Ł": "L", "ŉ": "n", "ø": "o", "Ø": "O", "ŧ": "t", "Ŧ": "T"}
-    src += extra.keys()
-    dst += extra.values()
-    return "".join(src), "".join(dst)
-
-
-ACCENTS_SRC, ACCENTS_DST = _accent_table()
+# Accented letters, and below each the letter it folds to. Search results depend on them.
+ACCENTS_SRC = (
+    "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨ"
+    "ĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽžḄḅḌḍḤḥḲḳḶḷṂṃṆṇṚṛṢṣṬ"
+    "ṭẈẉẒẓẠạẸẹỊịỌọỤụỴỵđĐħĦıŀĿłŁŉøØŧŦ"
+)
+ACCENTS_DST = (
+    "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhI"
+    "iIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZzBbDdHhKkLlMmNnRrSsT"
+    "tWwZzAaEeIiOoUuYydDhHilLlLnoOtT"
+)
 
 #: A word is a run of letters, digits and underscores.
 WORD = r"[\p{L}\p{N}_]+"
@@ -73,7 +60,7 @@ def natural_key(c: Column | str) -> Column:
     def part(x: Column) -> Column:
         digits = F.ltrim(x, F.lit("0"))
         return F.when(
-            x.rlike(r"^\d"), F.concat(F.lit("\x01"), F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+            x.rlike(r"^\d"), F.concat(F.lit("\x01"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
         ).otherwise(x)
 
     return F.array_join(F.transform(F.regexp_extract_all(_col(c), F.lit(r"(\d+|\D+)"), F.lit(1)), part), "")
@@ -208,14 +195,17 @@ def highlight_words(c: Column | str, words: list[str], tag: str = "b") -> Column
     """XML-escape the text and wrap each match of a word, any case, in ``tag``.
 
     Matches are marked before escaping, so that words never match inside an
-    entity; the marks are non-characters that no valid text holds.
+    entity; the marks are symbols that the text does not hold.
     """
     if not words:
         return xml_escape(c)
     pattern = "(?iu)(" + "|".join(regex_literal(w) for w in words) + ")"
-    marked = F.regexp_replace(_col(c), pattern, "\ufdd0$1\ufdd1")
-    out = F.replace(xml_escape(marked), F.lit("\ufdd0"), F.lit(f"<{tag}>"))
-    return F.replace(out, F.lit("\ufdd1"), F.lit(f"</{tag}>"))
+
+    def wrap(t: Column, m: list[Column]) -> Column:
+        marked = F.regexp_replace(t, F.lit(pattern), F.concat(m[0], F.lit("$1"), m[1]))
+        return F.replace(F.replace(xml_escape(marked), m[0], F.lit(f"<{tag}>")), m[1], F.lit(f"</{tag}>"))
+
+    return with_marks(_col(c), 2, wrap)
 
 
 def contains_words(c: Column | str, words: list[str], require_all: bool = True) -> Column:

@@ -11,22 +11,21 @@ from ..plans.scan import numbered
 from ..session import materialize
 
 
-def root_paths(children: DataFrame, max_rounds: int = 40) -> DataFrame:
+def root_paths(children: DataFrame) -> DataFrame:
     """Path from the root to every reachable node, by pointer doubling.
 
     Adds ``depth`` (0 at the top), ``path`` (ids root to node) and ``sort_path``
     (``struct<s: sequence, n: node_id>`` root to node; its order is document
     order). A forest of depth d takes about log2(d) joins instead of d. Nodes
-    under a missing father and nodes on a cycle cannot be reached and drop out.
+    under a missing father and nodes on a cycle cannot be reached and drop out,
+    so the rounds end.
     Steps are written to the shared folder, so lost executors cost no replay.
     """
     step = F.struct(F.col("sequence").alias("s"), F.col("node_id").alias("n"))
     state = children.select("node_id", F.col("father_id").alias("ptr"), F.array(step).alias("seg"))
-    done = None
-    for _ in range(max_rounds):
+    while True:
         state = materialize(state, "doubling")
-        finished = state.where(F.col("ptr") == 0).select("node_id", "seg")
-        done = finished
+        done = state.where(F.col("ptr") == 0).select("node_id", "seg")
         open_rows = state.where(F.col("ptr") != 0)
         if open_rows.isEmpty():
             break

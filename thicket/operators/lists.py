@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import with_marks
 from ..model import LIST_BULLETS, LIST_NUMBER_ENDS, TOC_BULLETS, TODO_MARKS
 from ..plans.joins import lookup_join
 from ..plans.scan import Running, running
@@ -161,11 +162,13 @@ def indent_lists(df: DataFrame, text: str, keep: list[str], increase: bool = Tru
 
 def rotate_todo(c: Column) -> Column:
     """Every to-do mark at a list start to its next state: open, done, dropped."""
-    start = r"(?m)^((?:   )*+)"
-    out = c
-    for i, mark in enumerate(TODO_MARKS):
-        out = F.regexp_replace(out, f"{start}{mark} ", f"$1{chr(0xFDD0 + i)} ")
-    return F.translate(out, "".join(chr(0xFDD0 + i) for i in range(3)), TODO_MARKS[1:] + TODO_MARKS[0])
+
+    def turn(out: Column, m: list[Column]) -> Column:
+        for mark, stand_in in zip(TODO_MARKS, m):
+            out = F.regexp_replace(out, F.lit(rf"(?m)^((?:   )*+){mark} "), F.concat(F.lit("$1"), stand_in, F.lit(" ")))
+        return F.call_function("translate", out, F.concat(*m), F.lit(TODO_MARKS[1:] + TODO_MARKS[0]))
+
+    return with_marks(c, 3, turn)
 
 
 def todo_status(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

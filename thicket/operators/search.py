@@ -435,8 +435,33 @@ def match_summary(matches: DataFrame) -> DataFrame:
 # --- replace ---------------------------------------------------------------
 
 
-def java_replacement(text: str) -> str:
-    r"""A replacement with ``\0``..``\9`` group references for the JVM regex engine."""
+def group_count(pattern: str) -> int:
+    """Capturing groups of a pattern of the JVM regex engine."""
+    n, i, depth = 0, 0, 0
+    while i < len(pattern):
+        if pattern.startswith(r"\Q", i):
+            end = pattern.find(r"\E", i)
+            i = len(pattern) if end < 0 else end + 2
+            continue
+        if pattern[i] == "\\":
+            i += 2
+            continue
+        if pattern[i] == "[":
+            depth += 1
+        elif pattern[i] == "]" and depth:
+            depth -= 1
+        elif pattern[i] == "(" and not depth:
+            special = pattern.startswith("(?", i)
+            n += not special or (pattern.startswith("(?<", i) and pattern[i + 3 : i + 4] not in ("=", "!"))
+        i += 1
+    return n
+
+
+def java_replacement(text: str, groups: int = 9) -> str:
+    r"""A replacement with ``\0``..``\9`` group references for the JVM regex engine.
+
+    A reference to a group that the pattern does not have gives nothing.
+    """
     out, i = [], 0
     plain = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\\\"}
     while i < len(text):
@@ -444,7 +469,8 @@ def java_replacement(text: str) -> str:
         if ch == "\\" and i + 1 < len(text):
             nxt = text[i + 1]
             if nxt.isdigit():
-                out.append("$" + nxt)
+                if int(nxt) <= groups:
+                    out.append("$" + nxt)
                 if i + 2 < len(text) and text[i + 2].isdigit():
                     out.append("\\" + text[i + 2])
                     i += 1
@@ -466,7 +492,7 @@ def replaced(text: Column, opts: SearchOptions, replacement: str) -> Column:
     text is replaced at the same code points.
     """
     pattern = compile_pattern(opts)
-    new = java_replacement(replacement)
+    new = java_replacement(replacement, group_count(pattern))
 
     def put(piece: Column) -> Column:
         return F.regexp_replace(piece, pattern, new) if opts.reg_exp else F.lit(replacement)
@@ -510,7 +536,8 @@ def replace_names(nodes: DataFrame, opts: SearchOptions, replacement: str, legac
     if opts.accent_insensitive and not legacy_fold_write:
         new = replaced(F.col("name"), opts, replacement)
     else:
-        new = F.regexp_replace(base, compile_pattern(opts), java_replacement(replacement))
+        pattern = compile_pattern(opts)
+        new = F.regexp_replace(base, pattern, java_replacement(replacement, group_count(pattern)))
     return find_name_tags(open_nodes, opts).withColumn("name", new)
 
 

@@ -12,17 +12,13 @@ HOT_ROWS = 1_000_000
 FANOUT = 64
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys with more than ``hot_rows`` rows.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All keys with more than ``hot_rows`` rows, as a written table of one column.
 
-    Counts are combined before the shuffle. At most the 10,000 largest keys come
-    back; the others stay ordinary keys, so the limit never touches the result.
+    Counts are combined before the shuffle.
     """
-    found = (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-        .orderBy(F.col("n").desc()).limit(10_000).select(key).collect()
-    )
-    return [r[0] for r in found if r[0] is not None]
+    found = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > hot_rows) & F.col(key).isNotNull())
+    return materialize(found.select(F.col(key).alias("__hot")), "hot")
 
 
 #: Id frames up to this many rows (some tens of megabytes) may be broadcast.
@@ -55,14 +51,15 @@ def lookup_join(
     keys reads the key column of ``left`` once; with ``check`` off the join is
     left to the engine's own skew handling (for lefts that are dear to compute).
     """
-    hot = hot_keys(left, left_key, hot_rows) if check else []
-    if not hot:
+    hot = hot_keys(left, left_key, hot_rows) if check else None
+    n_hot = hot.count() if check else 0
+    if not n_hot:
         return left.join(right, F.col(left_key) == F.col(right_key), how)
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c != left_key]), F.lit(fanout))
-    lsalt = left.withColumn("__salt", F.when(F.col(left_key).isin(hot), spread).otherwise(F.lit(0)).cast("int"))
-    copies = F.when(F.col(right_key).isin(hot), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    rsalt = right.withColumn("__rsalt", F.explode(copies))
+    lsalt = left.join(hot, F.col(left_key) == F.col("__hot"), "left")
+    lsalt = lsalt.withColumn("__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(F.lit(0)).cast("int")).drop("__hot")
+    copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
+    rsalt = right.join(hot, F.col(right_key) == F.col("__hot"), "left").withColumn("__rsalt", F.explode(copies)).drop("__hot")
     cond = (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__rsalt"))
     return lsalt.join(rsalt, cond, how).drop("__salt", "__rsalt")

@@ -27,7 +27,7 @@ def decode_text(content: Column, fallback: str = "ISO-8859-1") -> Column:
     begins with.
     """
     head = F.hex(F.substring(content, 1, 4))
-    after = lambda n: F.substring(content, n + 1, 2**30)
+    after = lambda n: F.substring(content, F.lit(n + 1), F.octet_length(content))
     utf8 = lambda c: F.is_valid_utf8(c.cast("string"))
     return (
         F.when(head.startswith("EFBBBF"), F.make_valid_utf8(after(3).cast("string")))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import with_marks
 from ..functions.text import unicode_trim, _col
 
-_MARK = "﷐"
-
+#: A rowspan above this counts as this, as the HTML standard says.
+MOST_ROWS = 65534
 #: Tags that begin or end a block.
 BLOCK_TAGS = (
     "title|h[1-6]|p|li|ul|ol|dl|dt|dd|div|article|section|nav|header|footer|main|aside|body|html|head|"
@@ -46,8 +47,8 @@ def _decode(text: Column, entities: dict[str, str]) -> Column:
         out = F.replace(out, F.lit(name), F.lit(char))
 
     def numeric(part: Column, i: Column) -> Column:
-        digits = F.regexp_extract(part, r"^(\d{1,7});", 1)
-        hexa = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        digits = F.regexp_extract(part, r"^0*(\d{1,7});", 1)
+        hexa = F.regexp_extract(part, r"^[xX]0*([0-9a-fA-F]{1,6});", 1)
         code = F.when(digits != "", digits.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
@@ -82,13 +83,14 @@ def html_blocks(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     Adds block_no, kind (title | heading | item | cell | paragraph), level (of
     headings, else 0) and text. Text outside any of these tags is a paragraph.
     """
-    marked = F.regexp_replace(_body(F.col(html)), rf"(?i)(</?(?:{BLOCK_TAGS})(?:[\s/][^>]*)?>)", _MARK + "$1")
+    tags = F.lit(rf"(?i)(</?(?:{BLOCK_TAGS})(?:[\s/][^>]*)?>)")
+    segments = with_marks(_body(F.col(html)), 1, lambda t, m: F.split(F.regexp_replace(t, tags, F.concat(m[0], F.lit("$1"))), m[0]))
 
     def block(seg: Column) -> Column:
         tag = F.lower(F.regexp_extract(seg, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
         return F.struct(tag.alias("tag"), plain_text(seg).alias("text"))
 
-    blocks = F.filter(F.transform(F.split(marked, _MARK), block), lambda b: b["text"] != "")
+    blocks = F.filter(F.transform(segments, block), lambda b: b["text"] != "")
     tag = F.col("b.tag")
     kind = (
         F.when(tag == "title", "title").when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "item")
@@ -120,10 +122,10 @@ def html_tables(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     table_list = F.regexp_extract_all(_body(F.col(html)), F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))
 
     def cell(c: Column) -> Column:
-        span = F.regexp_extract(c, r"(?i)^<t[dh]\b[^>]*rowspan\s*=\s*[\"']?(\d{1,6})", 1)
+        span = F.regexp_extract(c, r"(?i)^<t[dh]\b[^>]*rowspan\s*=\s*[\"']?(\d+)", 1)
         text = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
         text = unicode_trim(decode_entities(F.regexp_replace(text, r"(?s)<[^>]*>", "")))
-        return F.struct(F.when(span == "", F.lit(1)).otherwise(span.cast("int")).alias("span"), text.alias("text"))
+        return F.struct(F.when(span == "", F.lit(1)).otherwise(F.least(F.coalesce(span.try_cast("int"), F.lit(MOST_ROWS)), F.lit(MOST_ROWS))).alias("span"), text.alias("text"))
 
     # A first row may lack its <tr>.
     head_fixed = F.regexp_replace(F.col("t"), r"(?is)^(<table\b[^>]*>\s*)(<t[dh]\b)", "$1<tr>$2")

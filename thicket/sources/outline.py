@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import let, with_marks
 from ..operators.forest import sibling_rank
 from ..plans.scan import Running, numbered, running
 from ..session import materialize
@@ -75,16 +75,25 @@ def tagged_outline_to_rows(df: DataFrame, text: str, keep: list[str]) -> DataFra
     """
     clean = F.regexp_replace(F.col(text), r"\r(?=\n|\z)", "")
     records = F.split(clean, r"(?m)^<end node>[^\n]*(?:\n|\z)")
-    shape = r"(?s)(?:^|\n)<node>[^\n]*\n([^\n]*(?:\n[^\n\d]*)*?)\n([^\n\d]*\d[^\n]*)(?:\n(.*))?\z"
-    body = F.regexp_extract("rec", shape, 3)
+
+    def parsed(lines: Column) -> Column:
+        tag = F.array_position(F.transform(lines, lambda x: x.startswith("<node>")), F.lit(True))
+        # the level line is the first one with a digit below the name's first line
+        level = lambda t: F.array_position(F.transform(lines, lambda x, i: (t > 0) & (i > t) & x.rlike(r"\d")), F.lit(True))
+        at = lambda t: F.struct(t.alias("tag"), level(t).alias("level"))
+        piece = lambda start, n, sep: F.array_join(F.slice(lines, start.cast("int"), n.cast("int")), sep)
+        return let(let(tag, at), lambda p: F.when(
+            p["level"] > 0,
+            F.struct(
+                F.regexp_extract(F.get(lines, (p["level"] - 1).cast("int")), r"(\d+)", 1).try_cast("long").alias("level"),
+                piece(p["tag"] + 1, p["level"] - p["tag"] - 1, " ").alias("name"),
+                piece(p["level"] + 1, F.size(lines), "\n").alias("contents"),
+            ),
+        ))
+
     return (
-        df.select(*keep, F.posexplode(records).alias("pos", "rec")).where(F.col("rec").rlike(shape))
-        .select(
-            *keep, F.col("pos").cast("long").alias("pos"),
-            F.regexp_extract(F.regexp_extract("rec", shape, 2), r"(\d+)", 1).try_cast("long").alias("level"),
-            F.replace(F.regexp_extract("rec", shape, 1), F.lit("\n"), F.lit(" ")).alias("name"),
-            body.alias("contents"),
-        )
+        df.select(*keep, F.posexplode(records).alias("pos", "rec")).select(*keep, "pos", let(F.split("rec", "\n", -1), parsed).alias("r"))
+        .where("r IS NOT NULL").select(*keep, F.col("pos").cast("long").alias("pos"), "r.level", "r.name", "r.contents")
     )
 
 
@@ -112,8 +121,8 @@ def xml_tree_rows(df: DataFrame, text: str, keep: list[str], tag: str) -> DataFr
     """Nested ``<tag>`` elements as rows: pos, level, head (the open tag) and
     body (what stands between it and the next such tag, open or close)."""
     shape = rf"<{tag}(?:\s[^>]*)?>|</{tag}>"
-    marked = F.regexp_replace(F.col(text), f"({shape})", "﷐$1")
-    segs = F.slice(F.split(marked, "﷐"), F.lit(2), F.lit(2**30))
+    cut = with_marks(F.col(text), 1, lambda t, m: F.split(F.regexp_replace(t, F.lit(f"({shape})"), F.concat(m[0], F.lit("$1"))), m[0]))
+    segs = let(cut, lambda s: F.slice(s, F.lit(2), F.size(s)))
     rows = df.select(*keep, F.posexplode(segs).alias("seg_no", "seg"))
     head = F.regexp_extract("seg", f"^({shape})", 1)
     closing, empty = head.startswith("</"), head.endswith("/>")

@@ -175,3 +175,33 @@ def test_delete_hands_over_masters(spark):
     out = M.delete_subtree(s, root_paths(kids), [1])
     assert sorted((r.node_id, r.master_id) for r in out.children.collect()) == [(3, 0), (4, 3)]
     assert [(r.node_id, r.name) for r in out.node.collect()] == [(3, "two")]
+
+
+def test_stored_rich_text_and_grids(spark, tmp_path):
+    """A store as it is kept: XML texts and grids are searched as plain ones."""
+    from thicket.operators.search import SearchOptions, find_grid, find_text
+    from thicket.sinks.export import save_store
+    from thicket.sources.store import Store, load_store, schema_of
+    from thicket.sources.stored import encode_store, stored_runs
+
+    xml = '<?xml version="1.0" encoding="UTF-8"?>\n<node><rich_text weight="heavy">ab</rich_text><rich_text> rich &lt;x&gt;</rich_text><rich_text/></node>'
+    rows = {
+        "node": [(1, "n", xml, "custom-colors", "", 0, 1, False, True, False, 0, 0, 0), (2, "p", "<node> is plain here", "plain-text", "", 0, 0, False, False, False, 0, 0, 0)],
+        "grid": [(1, 0, "left", '<table col_widths="3,4" is_light="1"><row><cell>a rich cell</cell></row><row><cell>head</cell></row></table>', 40, 60, None, None, None)],
+        "children": [(1, 0, 1, 0), (2, 0, 2, 0)], "codebox": [], "image": [], "bookmark": [],
+    }
+    store = Store(**{name: spark.createDataFrame(rows[name], schema_of(name)) for name in rows})
+    for name, df in store.tables().items():
+        df.write.parquet(f"{tmp_path}/a/{name}")
+    read = load_store(spark, f"{tmp_path}/a")
+    assert {r.node_id: r.txt for r in read.node.collect()} == {1: "ab rich <x>", 2: "<node> is plain here"}
+    grid = read.grid.head()
+    assert grid.cells == [["head"], ["a rich cell"]] and grid.is_light and grid.col_widths == [3, 4]
+    assert [(r.match_start, r.match_end) for r in find_text(read, SearchOptions("rich")).collect()] == [(3, 7)]
+    assert find_grid(read, SearchOptions("rich")).count() == 1
+    raw = load_store(spark, f"{tmp_path}/a", decode=False)
+    assert [(r.start_offset, r.text) for r in stored_runs(raw).orderBy("run_idx").collect()] == [(0, "ab"), (2, " rich <x>")]
+    save_store(encode_store(read), f"{tmp_path}/b")
+    again = load_store(spark, f"{tmp_path}/b")
+    assert again.node.select("node_id", "txt").exceptAll(read.node.select("node_id", "txt")).count() == 0
+    assert again.grid.head().cells == grid.cells

@@ -1,11 +1,16 @@
 """Search, replace, quick open, URLs, mentions and word audits."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTS_DST, ACCENTS_SRC
 from ..operators import search as X
 from ..operators.shared import resolve_shared
-from ..sources.store import decode_nodes
+from ..session import shared_dir
+from ..sinks.export import save_store
+from ..sources.store import decode_nodes, load_store
+from ..sources.stored import encode_store
 from .base import paths, query, store, tables
 from .scalars import NAMES_SQL, XML_SQL
 from .trees import ordered
@@ -124,16 +129,27 @@ def _(spark, sf):
     return out
 
 
-@query(
-    "find_text",
-    f""", {spans_sql('spans', 'node', 'node_id', 'txt', 'avec')}, {OBJECTS_SQL}, {SHIFT_SQL}
-       SELECT node_id, match_start, match_end, match_start + nb AS buffer_start, match_end + nb AS buffer_end, line_num, line_content FROM shifted""",
-    "node codebox grid image",
-)
+FIND_TEXT_SQL = f""", {spans_sql('spans', 'node', 'node_id', 'txt', 'avec')}, {OBJECTS_SQL}, {SHIFT_SQL}
+       SELECT node_id, match_start, match_end, match_start + nb AS buffer_start, match_end + nb AS buffer_end, line_num, line_content FROM shifted"""
+
+
+@query("find_text", FIND_TEXT_SQL, "node codebox grid image")
 def _(spark, sf):
     return X.find_text(store(spark, sf), WORD).drop("match_idx")
 
 
+def _stored(spark, sf):
+    """The derived store, written as a real one with XML texts and grids, and read back."""
+    path = f"{shared_dir(spark)}/thicket-stored-{uuid.uuid4().hex}"
+    save_store(encode_store(store(spark, sf)), path)
+    return load_store(spark, path)
+
+
+@query("find_text_stored", FIND_TEXT_SQL, "node codebox grid image")
+def _(spark, sf):
+    return X.find_text(_stored(spark, sf), WORD).drop("match_idx")
+
+
 @query(
     "find_text_folded",
     f"""SELECT doc_id, CAST((length(p) - length(replace(p, ' etre ', ''))) // 6 AS BIGINT) AS n_matches FROM (
@@ -170,17 +186,22 @@ CELLS_SQL = """cells AS (SELECT node_id, "offset", is_light, 4 * (r - 1) + c - 1
   FROM grid, (SELECT unnest(range(1, 5)) AS r), (SELECT unnest(range(1, 5)) AS c))"""
 
 
-@query(
-    "find_grid",
-    f""", {CELLS_SQL}, {spans_sql('spans', 'cells', 'node_id, "offset", cell_idx', 'cell', 'r')}
-       SELECT node_id, "offset" AS object_offset, cell_idx, match_start, match_end FROM spans""",
-    "grid",
-)
+FIND_GRID_SQL = f""", {CELLS_SQL}, {spans_sql('spans', 'cells', 'node_id, "offset", cell_idx', 'cell', 'r')}
+       SELECT node_id, "offset" AS object_offset, cell_idx, match_start, match_end FROM spans"""
+
+
+@query("find_grid", FIND_GRID_SQL, "grid")
 def _(spark, sf):
     found = X.find_grid(store(spark, sf), X.SearchOptions("r", match_case=True))
     return found.select("node_id", F.col("offset").alias("object_offset"), "cell_idx", "match_start", "match_end")
 
 
+@query("find_grid_stored", FIND_GRID_SQL, "grid")
+def _(spark, sf):
+    found = X.find_grid(_stored(spark, sf), X.SearchOptions("r", match_case=True))
+    return found.select("node_id", F.col("offset").alias("object_offset"), "cell_idx", "match_start", "match_end")
+
+
 @query(
     "find_object_names",
     """SELECT node_id, "offset" AS object_offset, CASE WHEN anchor <> '' THEN 'anchor' ELSE 'file' END AS kind,

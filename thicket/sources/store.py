@@ -52,9 +52,10 @@ def null_to_empty(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in names})
 
 
-def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> Store:
+def load_store(spark: SparkSession, path: str, fmt: str = "parquet", decode: bool = True) -> Store:
     """Read the six tables under ``path``; columns missing in old stores become NULL.
 
+    Rich texts and grids kept as XML become plain texts and cells, unless ``decode`` is off.
     Nothing but the columns a query uses is read, so queries on the tree alone
     never touch the text. Order is data (``sequence``), not row order.
     """
@@ -62,10 +63,16 @@ def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> Store:
     for name in TABLES:
         df = spark.read.format(fmt).load(f"{path}/{name}")
         tables[name] = align_schema(df, schema_of(name))
-    return Store(**tables)
+    return _decoded(Store(**tables)) if decode else Store(**tables)
 
 
-def load_store_jdbc(spark: SparkSession, url: str, **options: str) -> Store:
+def _decoded(store: Store) -> Store:
+    from .stored import decode_store
+
+    return decode_store(store)
+
+
+def load_store_jdbc(spark: SparkSession, url: str, decode: bool = True, **options: str) -> Store:
     """Read the six tables through JDBC; the driver jar is the caller's.
 
     ``partitionColumn`` and its bounds may be given to read in parallel; all
@@ -75,7 +82,7 @@ def load_store_jdbc(spark: SparkSession, url: str, **options: str) -> Store:
     for name in TABLES:
         df = spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
         tables[name] = align_schema(df, schema_of(name))
-    return Store(**tables)
+    return _decoded(Store(**tables)) if decode else Store(**tables)
 
 
 def _bits(c: Column, shift: int, mask: int) -> Column:

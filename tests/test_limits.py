@@ -69,6 +69,7 @@ def test_numbers_of_any_length(one):
     long = "9" * 1_000_001
     assert one(S.natural_key(F.lit("a2"))) < one(S.natural_key(F.lit("a10"))) < one(S.natural_key(F.concat(F.lit("a"), F.lit(long))))
     assert one(html.decode_entities(F.lit("&#00000000065;&#x000000042;"))) == "AB"
+    assert one(html.decode_entities(F.lit("&Agrave;&deg; &times;&amp;lt; &nosuch; & &;&nbsp;"))) == "À° ×&lt; &nosuch; & &; "
 
 
 def test_deep_chains_have_paths(spark):

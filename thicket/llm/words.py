@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes handled at once; bounds the scratch arrays of a task to some 200 MB.
-STEP = 1 << 21
+#: Bytes handled at once; bounds the scratch arrays of a task to some 50 MB.
+STEP = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,30 +22,41 @@ from .searches import OBJECTS_SQL
 from .trees import ordered
 
 
+# What a row's digest is made of, per table; the flags that follow from the objects are left out.
+_ROW = {
+    "children": ["node_id", "father_id", "sequence", "master_id"],
+    "node": ["node_id", "name", "txt", "syntax", "tags", "is_ro", "is_richtxt", "level", "ts_creation", "ts_lastsave"],
+    "bookmark": ["node_id", "sequence"],
+    "codebox": ["node_id", "offset", "txt", "syntax"],
+    "grid": ["node_id", "offset", "is_light", "cells"],
+    "image": ["node_id", "offset", "anchor", "png", "filename", "link", "time"],
+}
+
+
 def _digest(store_):
-    """Rows, ids and holders of a store, one line per table."""
+    """Rows, ids and a sum of row digests over the columns of a store, one line per table."""
+    written = {
+        "cells": F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), "\n") if "cells" in store_.grid.columns else None,
+        "png": F.md5("png"),
+    }
     out = None
     for name, df in store_.tables().items():
-        if name == "children":
-            extra = F.sum(F.col("father_id") * 3 + F.col("sequence") * 5 + F.col("master_id") * 7)
-        elif name == "node":
-            extra = F.sum(F.length("txt") + F.length("name"))
-        elif name == "bookmark":
-            extra = F.sum("sequence")
-        else:
-            extra = F.sum("offset")
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum("node_id").alias("ids"), extra.cast("long").alias("extra")).select(
-            F.lit(name).alias("table_name"), "n", "ids", "extra"
-        )
+        text = F.concat_ws("~", *[F.coalesce(written.get(c, F.col(c).cast("string")), F.lit("-")) for c in _ROW[name]])
+        row = df.select("node_id", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long").alias("h")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("node_id").alias("ids"), F.sum("h").alias("digest")
+        ).select(F.lit(name).alias("table_name"), "n", "ids", "digest")
         out = row if out is None else out.unionByName(row)
     return out
 
 
 def _digest_sql(children, objs, bookmark, node):
-    parts = [f"SELECT 'children' AS table_name, count(*) AS n, CAST(sum(node_id) AS BIGINT) AS ids, CAST(sum(father_id * 3 + sequence * 5 + master_id * 7) AS BIGINT) AS extra FROM {children}",
-             f"SELECT 'node', count(*), CAST(sum(node_id) AS BIGINT), CAST(sum(length(txt) + length(name)) AS BIGINT) FROM {node}",
-             f"SELECT 'bookmark', count(*), CAST(sum(node_id) AS BIGINT), CAST(sum(sequence) AS BIGINT) FROM {bookmark}"]
-    parts += [f"SELECT '{t}', count(*), CAST(sum(node_id) AS BIGINT), CAST(sum(\"offset\") AS BIGINT) FROM {objs.format(t=t)}" for t in ("codebox", "grid", "image")]
+    written = {"cells": "array_to_string(list_transform(cells, lambda r: array_to_string(r, '|')), chr(10))", "png": "md5(png)", "offset": 'CAST("offset" AS VARCHAR)'}
+    source = {"children": children, "bookmark": bookmark, "node": node} | {t: objs.format(t=t) for t in ("codebox", "grid", "image")}
+    parts = []
+    for name, columns in _ROW.items():
+        text = " || '~' || ".join(f"coalesce({written.get(c, f'CAST({c} AS VARCHAR)')}, '-')" for c in columns)
+        digest = f"CAST(sum(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)) AS BIGINT)"
+        parts.append(f"SELECT '{name}' AS table_name, count(*) AS n, CAST(sum(node_id) AS BIGINT) AS ids, {digest} AS digest FROM {source[name]}")
     return " UNION ALL ".join(parts)
 
 
@@ -132,7 +143,7 @@ def _(spark, sf):
               UNION ALL SELECT m.new_id, CASE WHEN c.node_id = 103 THEN c.father_id ELSE f.new_id END, CASE WHEN c.node_id = 103 THEN c.sequence + 1 ELSE c.sequence END,
                      CASE WHEN c.node_id = 103 THEN 0 ELSE c.master_id END
               FROM children AS c JOIN mp AS m ON m.old_id = c.node_id LEFT JOIN mp AS f ON f.old_id = c.father_id), """ + ", ".join(
-    f"{t}2 AS (SELECT * FROM {t} UNION ALL SELECT t.* REPLACE (m.new_id AS node_id) FROM {t} AS t JOIN mp AS m ON m.old_id = t.node_id)" for t in ("node", "codebox", "grid", "image")
+    f"{t}2 AS (SELECT * FROM {t} UNION ALL SELECT t.* REPLACE (m.new_id AS node_id{', 1700000000 AS ts_creation, 1700000000 AS ts_lastsave' if t == 'node' else ''}) FROM {t} AS t JOIN mp AS m ON m.old_id = t.node_id)" for t in ("node", "codebox", "grid", "image")
 ) + " " + _digest_sql("c2", "{t}2", "bookmark", "node2"),
     ALL + " preorder",
 )
@@ -475,12 +486,12 @@ def _(spark, sf):
 @query(
     "sync_store",
     f"""{CHANGES_SQL}, {PENDING_SQL},
-      n2 AS (SELECT n.node_id, CASE WHEN p.prop THEN n.name || '!' ELSE n.name END AS name, CASE WHEN p.buff THEN n.txt || '+' ELSE n.txt END AS txt
+      n2 AS (SELECT n.* REPLACE (CASE WHEN p.prop THEN n.name || '!' ELSE n.name END AS name, CASE WHEN p.buff THEN n.txt || '+' ELSE n.txt END AS txt)
              FROM node AS n LEFT JOIN pending AS p ON p.node_id = n.node_id WHERE NOT COALESCE(p.removed, false)),
       c2 AS (SELECT c.node_id, c.father_id, CASE WHEN p.hier THEN c.sequence + 1000 ELSE c.sequence END AS sequence, c.master_id
              FROM children AS c LEFT JOIN pending AS p ON p.node_id = c.node_id WHERE NOT COALESCE(p.removed, false)),
       b2 AS (SELECT * FROM bookmark WHERE node_id NOT IN (SELECT node_id FROM pending WHERE removed)), """ + ", ".join(
-        f"{t}2 AS (SELECT t.node_id, t.\"offset\" + CASE WHEN p.buff THEN 1 ELSE 0 END AS \"offset\" FROM {t} AS t LEFT JOIN pending AS p ON p.node_id = t.node_id WHERE NOT COALESCE(p.removed, false))"
+        f"{t}2 AS (SELECT t.* REPLACE (t.\"offset\" + CASE WHEN p.buff THEN 1 ELSE 0 END AS \"offset\") FROM {t} AS t LEFT JOIN pending AS p ON p.node_id = t.node_id WHERE NOT COALESCE(p.removed, false))"
         for t in ("codebox", "grid", "image")) + " " + _digest_sql("c2", "{t}2", "b2", "n2"),
     "edit_log children node codebox grid image bookmark",
 )

@@ -1,5 +1,7 @@
 """Registered queries against their SQL twins on the smallest data."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -9,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "fold_accents", "parse_link", "hier_name", "resolve_shared", "closure", "preorder", "sort_forest", "find_text", "all_matches",
     "replace_text", "rank_nodes", "merge_store", "delete_subtree", "export_text", "html_blocks", "outline_to_tree", "list_lines",
-    "history", "audit_links", "sync_store", "stream_sync",
+    "history", "audit_links", "sync_store", "stream_sync", "find_text_stored", "find_grid_stored",
 ]
 
 
@@ -28,7 +30,8 @@ def test_entry_and_registry(spark):
     df = entry.entry(spark)
     assert {"node_id", "hier_name", "line_content"} <= set(df.columns)
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) - len(oracles) <= 2
+    own = [n for n in queries if not re.match(r"op\d+_|pipeline$", n)]  # not the training-text subpackage's
+    assert set(oracles) <= set(queries) and sum(n not in oracles for n in own) <= 2
 
 
 def test_registry_without_session():

@@ -39,13 +39,43 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+class Scratch:
+    """Owner of the tables that ``materialize`` writes while it is open; ``drop`` deletes them.
+
+    Frames that read such a table must have been used up, or written, before it is dropped.
+    """
+
+    _open: list[Scratch] = []
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+
+    def drop(self) -> None:
+        for spark, path in self.tables:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.tables = []
+
+
+def materialize(df: DataFrame, name: str = "step", outlives: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
+    The innermost open ``Scratch`` owns the table, or with ``outlives`` the one around it.
+
     Used where lineage must be cut (iterations) or where several consumers must
     see the very same rows (range buckets). Parquet keeps column pruning and
     gives the optimizer true sizes.
     """
     path = f"{shared_dir(df.sparkSession)}/thicket-{name}-{uuid.uuid4().hex}"
+    owners = Scratch._open[:-1] if outlives else Scratch._open
+    if owners:
+        owners[-1].tables.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm import jaccard, packing, quality_rules, substring
 from thicket.llm import toxicity as tox
-from thicket.session import materialize
+from thicket.session import Scratch, materialize
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before = Scratch()
+
+
+def stage(f: Stage) -> Stage:
+    """A stage that drops what the stage before it wrote on its way, as that one's result has been written by then."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _before
+        _before.drop()
+        _before = Scratch()
+        with _before:
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose most toxic window scores below one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return tox.toxicity(docs, labels).where("score < 0.5").select("row.*")
 
 
+@stage
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the limits of their language and source."""
     return quality_rules.quality_rules(docs).where("kept").select("row.*")
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
@@ -30,11 +53,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
+@stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document also holds are cut out."""
     return substring.without_repeats(docs)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' words in sequences of the permitted lengths, a row per piece with its place in its bin."""
     return packing.sequences(docs, packing.pack(docs))
@@ -55,8 +80,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = materialize(docs, "stage")
+    for _, apply in STAGES:
+        docs = materialize(apply(spark, docs, sf_dir), "stage")
     return docs

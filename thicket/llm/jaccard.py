@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from thicket.llm import chunks as C
 from thicket.llm.components import components
 from thicket.llm.words import U, WORD_BASE, Words, mix, polynomial, random_words, steps
-from thicket.session import materialize
+from thicket.session import Scratch, materialize
 
 WIDTH = 5
 PERCENT = 75
@@ -224,14 +224,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once, so copies aren't paired. Repeated rows are rows of one group. Other columns are not
     carried.
     """
-    sets = shingle_sets(docs, id_col, text_col, width, percent)
-    full = sets.where("n > 0")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"))
-    reps = sets.where("tokens IS NOT NULL").join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
-    links = links_between(materialize(reps, "classes"), percent)
-    roots = components(links)
-    classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
-    rows = sets.select("key", "id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
-    rows = materialize(rows, "rows")
+    own = Scratch()
+    with own:
+        sets = shingle_sets(docs, id_col, text_col, width, percent)
+        full = sets.where("n > 0")
+        classes = full.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"))
+        reps = sets.where("tokens IS NOT NULL").join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
+        links = links_between(materialize(reps, "classes"), percent)
+        roots = components(links)
+        classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
+        rows = sets.select("key", "id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
+        rows = materialize(rows, "rows", outlives=True)
+    own.drop()
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f")).select("root", F.col("f.id").alias("component_id"), F.col("f.key").alias("first"))
     return rows.join(first, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("first")).alias("stays"))

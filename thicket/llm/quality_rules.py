@@ -134,7 +134,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     if keep is not None:
         stats = stats.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in keep]))
     stats = materialize(stats, "statistics")
-    bounds = limits(sketches(stats)).withColumnsRenamed({"lang": "l", "source": "s"})
+    # a few numbers per language and source; written, so that its true size decides on a broadcast
+    bounds = materialize(limits(sketches(stats)), "limits").withColumnsRenamed({"lang": "l", "source": "s"})
     inside = F.lit(True)
     for m in LEAST_RANGE:
         inside &= F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm import chunks as C
-from thicket.llm.words import LOWER, U, Words, join_words, mix, steps
+from thicket.llm.words import LOWER, U, Words, mix, one_blank, steps
 from thicket.session import materialize
 
 #: Bytes of context. All contexts that share their last TOP bytes are summed up in one bucket;
 #: shorter contexts have at most 65,535 nodes in all, which are summed up by Spark.
 DEPTH, TOP = 5, 2
 NEWLINE = 0x0A
+_LOWER = LOWER.astype(np.uint8)
 _SMALL = 4096
 _HALF = np.concatenate([[0.5 * np.log(np.pi)], 0.5 * np.log(np.pi) + np.cumsum(np.log(np.arange(_SMALL - 1) + 0.5))])
 _WHOLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, _SMALL)))])
@@ -158,9 +159,8 @@ def log_probabilities(tree: Tree, top: Top, g: np.ndarray) -> np.ndarray:
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray]]:
     """(first row, words, bytes, offsets) of each part: lower-cased words, one space between, a line feed at the end."""
     for row, _, data, offsets in steps(batch["text"]):
-        words = Words(data, offsets, lower=True)
-        text, at = join_words(words, np.ones(len(words.starts), dtype=bool), NEWLINE)
-        yield row, words, LOWER[text].astype(np.uint8), at
+        words, text, at = one_blank(data, offsets, NEWLINE, lower=True)
+        yield row, words, _LOWER[text], at
 
 
 def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -200,7 +200,7 @@ def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col
         return {"deal": deal_of(g), "gram": g, "n": times}
 
     def ask_words(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        h, times = np.unique(np.concatenate([words.hashes() for _, words, _, _ in _texts(batch)]), return_counts=True)
+        h, times = np.unique(np.concatenate([Words(data, offsets, lower=True).hashes() for _, _, data, offsets in steps(batch["text"])]), return_counts=True)
         return {"hash": h, "n": times}
 
     def sum_grams(table):
@@ -248,15 +248,17 @@ def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col
     least = tokens + 0.5 * (vocabulary + 1)
 
     def scored(batch: pa.RecordBatch, _key: int, price_of, count_of) -> Iterator[pa.RecordBatch]:
-        g, _ = distinct_grams(batch)
+        parts = [(row, words, at, *np.unique(grams(text, at, depth), return_inverse=True)) for row, words, text, at in _texts(batch)]
+        g = np.unique(np.concatenate([p[3] for p in parts]))
         log_p = price_of(deal_of(g)).astype(np.float64)
-        h = np.unique(np.concatenate([words.hashes() for _, words, _, _ in _texts(batch)]))
+        hashed = [np.unique(p[1].hashes(), return_inverse=True) for p in parts]
+        h = np.unique(np.concatenate([p[0] for p in hashed]))
         counts = count_of(h).astype(np.int64)
         ids = np.asarray(batch["id"])
-        for row, words, text, at in _texts(batch):
+        for (row, words, at, own_g, place), (own_h, word) in zip(parts, hashed, strict=True):
             own = ids[row : row + len(at) - 1]
-            bits = np.add.reduceat(log_p[np.searchsorted(g, grams(text, at, depth))], at[:-1])
-            c = counts[np.searchsorted(h, words.hashes())] if len(words.starts) else np.zeros(0, np.int64)
+            bits = np.add.reduceat(log_p[np.searchsorted(g, own_g)][place], at[:-1])
+            c = counts[np.searchsorted(h, own_h)][word] if len(word) else np.zeros(0, np.int64)
             n_words = np.diff(words.bounds)
             base = np.bincount(words.doc, weights=np.log10((c + 0.5) / least), minlength=len(own)) + np.log10((ends + 0.5) / least)
             seen = np.bincount(words.doc[c > 0], minlength=len(own)) + (ends > 0)

@@ -80,6 +80,7 @@ class Words:
         last = ink.copy()
         last[:-1] &= ~ink[1:]
         last[edges - 1] = ink[edges - 1]
+        self.ink = ink
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.starts, side="right") - 1
@@ -150,3 +151,20 @@ def join_words(words: Words, stay: np.ndarray, tail: int | None = None) -> tuple
     text[np.repeat(to, lengths) + inside] = words.data[np.repeat(starts, lengths) + inside]
     text[(to + lengths)[~last]] = 0x20
     return text, offsets
+
+
+def one_blank(data: np.ndarray, offsets: np.ndarray, tail: int, lower: bool = False) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of some texts, and bytes and offsets of the texts with one space between words and ``tail`` at the end.
+
+    As ``join_words`` of all words, without touching each byte more than a few times.
+    """
+    data, offsets = np.insert(data, offsets[1:], tail), offsets + np.arange(len(offsets))
+    words = Words(data, offsets, lower)
+    between = np.ones(len(words.ends), dtype=bool)
+    between[words.bounds[1:][np.diff(words.bounds) > 0] - 1] = False
+    blanks = words.ends[between]
+    keep = words.ink.copy()
+    keep[blanks] = True
+    keep[offsets[1:] - 1] = True
+    data[blanks] = 0x20
+    return words, data[keep], np.concatenate([[0], np.cumsum(np.add.reduceat(keep.astype(np.int64), offsets[:-1]))])

@@ -16,7 +16,7 @@ from thicket.session import materialize
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Texts of more code points are encoded in chunks of this many.
-GIANT, CHUNK = 32_768, 8_192
+GIANT, CHUNK = 65_536, 8_192
 #: Segments whose encoding a task remembers.
 REMEMBERED = 400_000
 NEVER = -np.inf
@@ -57,7 +57,8 @@ class Vocabulary:
         self.longest = max(map(len, self.score))
         #: Whether a path must cut before each run of blanks.
         self.cuts = all(BLANK not in p.lstrip(BLANK) for p in self.score)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.sums: dict[str, float] = {}
 
     def forward(self, text: str, end: int, entry: dict[int, float]) -> tuple[list[float], list[int]]:
         """Best sums into each place, and the start of the last piece (-1: an entry), over pieces that start before ``end``."""
@@ -93,26 +94,47 @@ class Vocabulary:
             at = back[at]
         return out[::-1]
 
-    def segment(self, text: str) -> tuple[int, ...]:
-        """Ids of a text between two cuts, remembered."""
+    def segment(self, text: str) -> bytes:
+        """Ids of a text between two cuts, as they are written; remembered with its sum."""
         ids = self.known.get(text)
         if ids is None:
-            _, back = self.forward(text, len(text), {0: 0.0})
-            ids = tuple(self.ids_of(text, back, len(text)))
+            best, back = self.forward(text, len(text), {0: 0.0})
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[text] = ids
+                self.sums.clear()
+            ids = self.known[text] = _ids(self.ids_of(text, back, len(text)))
+            self.sums[text] = best[-1]
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; blanks are marked and one is put before it."""
+    def parts(self, text: str) -> list[str]:
+        """A marked text between its cuts."""
+        return _SEGMENT.findall(text)[:-1] if self.cuts else [text]
+
+    def encoded(self, text: str) -> bytes:
+        """Ids of a text, as they are written; blanks are marked and one is put before it."""
         if not text:
-            return []
-        text = BLANK + text.replace(" ", BLANK)
-        out: list[int] = []
-        for part in _SEGMENT.findall(text)[:-1] if self.cuts else [text]:
-            out += self.segment(part)
-        return out
+            return b""
+        get, segment = self.known.get, self.segment
+        return b"".join([get(p) or segment(p) for p in self.parts(BLANK + text.replace(" ", BLANK))])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text."""
+        return np.frombuffer(self.encoded(text), "<i4").tolist()
+
+    def sum_of(self, text: str) -> float:
+        """The best sum of a text between two cuts."""
+        if text not in self.sums:
+            self.segment(text)
+        return self.sums[text]
+
+    def cut_of(self, text: str, size: int) -> tuple[int, int] | None:
+        """The first and last forced cut of a chunk behind all entries, if there is one."""
+        if not self.cuts:
+            return None
+        first = next((p for p in range(self.longest, size) if text[p] == BLANK != text[p - 1]), None)
+        if first is None:
+            return None
+        return first, next(p for p in range(size - 1, first - 1, -1) if text[p] == BLANK != text[p - 1])
 
     def decode(self, ids) -> str:
         """The text of ids; the blank put before it goes."""
@@ -122,27 +144,56 @@ class Vocabulary:
         """The max-plus matrix of a chunk of ``size`` code points, given with those behind it that a piece may reach.
 
         Entry [i, j]: the best sum of pieces from i code points into the chunk to j beyond its
-        end, all starting inside it. Where a cut is forced, paths from all entries meet, so
-        the chunk behind it is passed once.
+        end, all starting inside it. Where cuts are forced, paths from all entries meet at the
+        first and part behind the last, and what lies between is remembered by segment.
         """
         n = self.longest
         out = np.full((n, n), NEVER)
-        meet = next((p for p in range(n, size) if text[p] == BLANK != text[p - 1]), size) if self.cuts else size
+        cut = self.cut_of(text, size)
+        if cut is None:
+            for i in range(n):
+                if i >= size:
+                    out[i, i - size] = 0.0  # a piece reaches over the whole chunk
+                    continue
+                row = self.forward(text, size, {i: 0.0})[0][size : size + n]
+                out[i, : len(row)] = row
+            return out
+        first, last = cut
+        row = self.forward(text[last:], size - last, {0: 0.0})[0][size - last : size - last + n]
+        middle = sum(map(self.sum_of, self.parts(text[first:last]))) if last > first else 0.0
         for i in range(n):
-            if i >= size:
-                out[i, i - size] = 0.0  # a piece reaches over the whole chunk
-                continue
-            best, _ = self.forward(text[: meet if meet < size else len(text)], meet, {i: 0.0})
-            row = best[meet : meet + n] if meet == size else [best[meet]]
-            out[i, : len(row)] = row
-        if meet < size:
-            rest, _ = self.forward(text[meet:], size - meet, {0: 0.0})
-            tail = np.full(n, NEVER)
-            row = rest[size - meet : size - meet + n]
-            tail[: len(row)] = row
-            out[: min(n, size)] = out[: min(n, size), :1] + tail[None, :]
+            out[i, : len(row)] = self.forward(text[:first], first, {i: 0.0})[0][first] + middle + np.array(row)
         return out
 
+    def sources(self, text: str, size: int, entry: dict[int, float]) -> list[int]:
+        """For each exit of a chunk the entry that its best path comes from."""
+        cut = self.cut_of(text, size)
+        end = size if cut is None else cut[0]
+        known = text if cut is None else text[:end]
+        best, back = self.forward(known, end, entry)
+        out = []
+        for k in range(self.longest):
+            at = size + k if cut is None else end
+            while at <= len(known) and back[at] >= 0:
+                at = back[at]
+            out.append(at if at <= len(known) and best[at] > NEVER else 0)
+        return out
+
+    def traced(self, text: str, size: int, entry: dict[int, float], leave: int) -> bytes:
+        """Ids of a chunk's pieces, given its entries and the exit that is taken."""
+        if size + leave > len(text):
+            return b""
+        cut = self.cut_of(text, size)
+        if cut is None:
+            _, back = self.forward(text, size, entry)
+            return _ids(self.ids_of(text, back, size + leave))
+        first, last = cut
+        _, back = self.forward(text[:first], first, entry)
+        head = _ids(self.ids_of(text[:first], back, first))
+        middle = b"".join(map(self.segment, self.parts(text[first:last]))) if last > first else b""
+        _, back = self.forward(text[last:], size - last, {0: 0.0})
+        return head + middle + _ids(self.ids_of(text[last:], back, size - last + leave))
+
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of stacks of matrices, with max for sums and sums for products."""
@@ -193,7 +244,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             for row in range(0, len(batch), 512):
                 part = batch.slice(row, 512)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([_ids(v.encode(t)) for t in part["text"].to_pylist()], pa.binary())], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([v.encoded(t) for t in part["text"].to_pylist()], pa.binary())], names=["id", "tokens"])
 
     plain = rows.where(F.length("text") <= giant).mapInArrow(small, "id long, tokens binary")
     return plain.union(_encode_giants(rows.where(F.length("text") > giant), model, chunk)).withColumnRenamed("id", id_col)
@@ -225,25 +276,16 @@ def _encode_giants(rows: DataFrame, model: str, chunk: int) -> DataFrame:
     entries = spread.select("key", "c", "size", "text").mapInArrow(matrices, "key long, c int, m binary").groupBy("key").applyInArrow(scan, "key long, c int, entry binary")
     entered = materialize(parts.join(entries, ["key", "c"]), "giant-entries")
 
-    def run_chunk(v: Vocabulary, text: str, size: int, entry: bytes) -> tuple[list[int], list[float]]:
+    def entered_by(entry: bytes) -> dict[int, float]:
         given = np.frombuffer(entry, np.float64)
-        best, back = v.forward(text, size, {k: float(given[k]) for k in range(min(reach, len(text) + 1)) if given[k] > NEVER})
-        return back, best
+        return {k: float(given[k]) for k in range(reach) if given[k] > NEVER}
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each exit of a chunk the entry its path comes from."""
         v = vocabulary(model)
         for batch in batches:
-            found = []
-            for t, s, e in zip(batch["text"].to_pylist(), batch["size"].to_pylist(), batch["entry"].to_pylist(), strict=True):
-                back, best = run_chunk(v, t, s, e)
-                from_ = []
-                for k in range(reach):
-                    at = s + k
-                    while at <= len(t) and back[at] >= 0:
-                        at = back[at]
-                    from_.append(at if at <= len(t) and best[at] > NEVER else 0)
-                found.append(_ids(from_))
+            rows = zip(batch["text"].to_pylist(), batch["size"].to_pylist(), batch["entry"].to_pylist(), strict=True)
+            found = [_ids(v.sources(t, s, {k: x for k, x in entered_by(e).items() if k <= len(t)})) for t, s, e in rows]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["c"], pa.array(found, pa.binary())], names=["key", "c", "sources"])
 
     def exits(table):
@@ -262,10 +304,8 @@ def _encode_giants(rows: DataFrame, model: str, chunk: int) -> DataFrame:
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            made = []
-            for t, s, e, x in zip(batch["text"].to_pylist(), batch["size"].to_pylist(), batch["entry"].to_pylist(), batch["exit"].to_pylist(), strict=True):
-                back, _ = run_chunk(v, t, s, e)
-                made.append(_ids(v.ids_of(t, back, s + x)) if s + x <= len(t) else b"")
+            rows = zip(batch["text"].to_pylist(), batch["size"].to_pylist(), batch["entry"].to_pylist(), batch["exit"].to_pylist(), strict=True)
+            made = [v.traced(t, s, {k: y for k, y in entered_by(e).items() if k <= len(t)}, x) for t, s, e, x in rows]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["id"], batch["c"], pa.array(made, pa.binary())], names=["key", "id", "c", "tokens"])
 
     traced = entered.join(exit_states, ["key", "c"]).select("key", "id", "c", "size", "text", "entry", "exit").mapInArrow(trace, "key long, id long, c int, tokens binary")

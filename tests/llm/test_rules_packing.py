@@ -69,6 +69,25 @@ def test_sequences_hold_all_words(spark):
     assert {k: " ".join(v) for k, v in texts.items()} == {r.doc_id: " ".join(words(r.text)) for r in docs.collect() if words(r.text)}
 
 
+def test_sequences_of_rows_without_an_id_of_their_own(spark):
+    """Null ids, and an id that rows with different or equal texts share, keep each row's exact words."""
+    texts = [f"row{k} " * (k % 40 + 1) for k in range(60)]
+    rows = [(None, t) for t in texts] + [(7, t + "seven") for t in texts] + [(None, "same text"), (None, "same text"), (7, "same text"), (8, "same text"), ((1 << 60) + 1, "large id"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = packing.pack(docs, capacities=(16,), shard_pieces=10)
+    out = packing.sequences(docs, packed).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.row_key, r.piece)):
+        got.setdefault((r.row_key, r.doc_id), []).append(r.text)
+    assert Counter((i, " ".join(t)) for (_, i), t in got.items()) == Counter((i, " ".join(words(t))) for i, t in rows if words(t))
+    assert max(Counter(r.bin_id >> 32 for r in out).values()) <= 30
+
+
+def test_pieces_of_one_id_go_to_many_shards(spark):
+    docs = spark.createDataFrame([(7, "one same text")] * 400, "doc_id long, text string").repartition(3)
+    assert max(Counter(r.bin_id >> 32 for r in packing.pack(docs, shard_pieces=20).collect()).values()) <= 60
+
+
 def best_fit_by_hand(lengths, capacities, overhead):
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     queue = [lengths[i] for i in order]

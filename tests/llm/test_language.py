@@ -9,7 +9,7 @@ import pytest
 from odd import ids_and_texts, lower, no_docs, odd_docs, words
 from pyspark.sql import functions as F
 
-from thicket.llm import context_tree, digests, pieces
+from thicket.llm import chunks, context_tree, digests, pieces
 
 
 def test_entropy_classes():
@@ -123,6 +123,23 @@ def test_context_trees(spark):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-5, abs=1e-4)
 
 
+def test_grams_of_a_frequent_context_are_sent_once(spark):
+    """Contexts get each distinct gram once, however many chunks hold it; on the way, grams of one pair of bytes are spread."""
+    g = (np.arange(50_000, dtype=np.uint64) << np.uint64(24)) + np.uint64(0x652061)
+    assert len(set(chunks.bucket_of(context_tree.deal_of(g), 16))) == 1
+    assert max(Counter(chunks.bucket_of(context_tree.spread_of(g), 16)).values()) < 2 * len(g) / 16
+    docs = spark.createDataFrame([(i, "we see the same here") for i in range(12)], "id long, text string").repartition(12, "id")
+    table = chunks.chunk_documents(docs, "id", "text", lambda texts: 1)
+    assert table.count() > 3
+    distinct = g[:500]
+    asked = chunks.ask(table, 4, lambda batch: {"deal": context_tree.spread_of(distinct), "gram": distinct, "n": np.full(len(distinct), len(batch))})
+    first_held_out = table.agg(F.max("chunk")).head()[0]
+    sums = [chunks.unpack(r.counts) for r in context_tree.gram_sums(asked, 4, first_held_out).collect()]
+    assert sorted(x for p in sums for x in p["gram"].to_pylist()) == distinct.tolist()
+    learning = sum(len(chunks.unpack(r.docs)) for r in table.collect() if r.chunk < first_held_out)
+    assert {x for p in sums for x in p["n"].to_pylist()} == {learning}
+
+
 def test_context_trees_without_training(spark):
     docs = odd_docs(spark).where("coalesce(length(text), 0) < 100")
     for r in context_tree.ctw_scores(docs, F.lit(False)).collect():

@@ -13,8 +13,9 @@ from thicket.llm import chunks as C
 from thicket.llm.words import LOWER, U, Words, mix, one_blank, steps
 from thicket.session import materialize
 
-#: Bytes of context. All contexts that share their last TOP bytes are summed up in one bucket;
-#: shorter contexts have at most 65,535 nodes in all, which are summed up by Spark.
+#: Bytes of context. Distinct grams whose contexts share their last TOP bytes meet in one bucket,
+#: once their counts are summed up; shorter contexts have at most 65,535 nodes in all, which are
+#: summed up by Spark.
 DEPTH, TOP = 5, 2
 NEWLINE = 0x0A
 _LOWER = LOWER.astype(np.uint8)
@@ -60,6 +61,12 @@ def deal_of(g: np.ndarray) -> np.ndarray:
         return mix((g >> U(8) & U((1 << 8 * TOP) - 1)) + U(1))
 
 
+def spread_of(g: np.ndarray) -> np.ndarray:
+    """A hash of whole grams."""
+    with np.errstate(over="ignore"):
+        return mix(g + U(1))
+
+
 class Tree:
     """Nodes of depths ``top`` to ``depth``: contexts with the bits of the next byte that are known.
 
@@ -163,6 +170,34 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, np.ndarray, np.n
         yield row, words, _LOWER[text], at
 
 
+def gram_sums(asked: DataFrame, n: int, held_out: int) -> DataFrame:
+    """(context, bucket, counts): each distinct gram once, with how often training chunks hold it.
+
+    ``asked`` has the grams of all chunks dealt by ``spread_of``, so a bucket gets its even
+    share of them; chunks from ``held_out`` on count for nothing. A bucket's grams are dealt
+    out again, by ``deal_of``.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sent, sizes = C.joined(table)
+        learning = np.repeat(table["chunk"].to_numpy() < held_out, sizes)
+        g, total = _summed(sent["gram"], sent["n"] * learning)
+        order, bounds = C.ask_order(deal_of(g), n)
+        g, total, full = g[order], total[order], np.flatnonzero(np.diff(bounds))
+        counts = [C.pack(pa.RecordBatch.from_arrays([pa.array(x[bounds[b] : bounds[b + 1]]) for x in (g, total)], names=["gram", "n"])) for b in full]
+        pa.default_memory_pool().release_unused()
+        return pa.table({"context": pa.array(full, pa.int64()), "bucket": pa.array(np.full(len(full), table["bucket"][0].as_py()), pa.int64()), "counts": pa.array(counts, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "context long, bucket long, counts binary")
+
+
+def _grown(table: pa.Table, depth: int) -> tuple[list[pa.RecordBatch], Tree]:
+    """The sums that a group of contexts got, and the tree of those seen in training."""
+    parts = [C.unpack(x.as_buffer()) for x in table["counts"]]
+    g, total = (np.concatenate([np.asarray(p[c]) for p in parts]) for c in ("gram", "n"))
+    return parts, Tree(g[total > 0], total[total > 0], depth)
+
+
 def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Scores all texts with a model of those for which ``learns`` (over ``id``) holds.
 
@@ -175,9 +210,10 @@ def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col
     training), ``train_tokens``, ``base_score`` (log10 under add-half unigram counts of
     tokens), ``score`` (log10 of the text under the model), ``n_bytes`` and ``bits_per_byte``
     (code length). Null and empty texts are a lone end. Without training texts the model
-    gives each bit one half. Repeated rows count as often as they stand. Contexts are counted
-    over all training texts in two rounds of questions by chunks of documents, so no task
-    holds more than its share of the distinct contexts.
+    gives each bit one half. Repeated rows count as often as they stand. Chunks of documents
+    send their grams to buckets of a hash of the whole gram, which sum them up; only these
+    distinct sums are grouped by context, for the trees and for prices, and the buckets answer
+    the chunks. So no group by context holds an entry per chunk.
     """
 
     def count(texts: pa.Array) -> int:
@@ -195,37 +231,46 @@ def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col
         parts = [np.unique(grams(text, at, depth), return_counts=True) for _, _, text, at in _texts(batch)]
         return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
-    def ask_grams(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    def ask_counted(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         g, times = distinct_grams(batch)
-        return {"deal": deal_of(g), "gram": g, "n": times}
+        return {"deal": spread_of(g), "gram": g, "n": times}
+
+    def ask_prices(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        g, _ = distinct_grams(batch)
+        return {"deal": spread_of(g), "gram": g}
 
     def ask_words(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         h, times = np.unique(np.concatenate([Words(data, offsets, lower=True).hashes() for _, _, data, offsets in steps(batch["text"])]), return_counts=True)
         return {"hash": h, "n": times}
 
-    def sum_grams(table):
-        sent, _ = C.joined(table)
-        g, total = _summed(sent["gram"], sent["n"])
-        key, n0, n1, children = Tree(g, total, depth).top_sums()
+    def top_sums(table):
+        key, n0, n1, children = _grown(table, depth)[1].top_sums()
         keys, group = np.unique(key, return_inverse=True)
         sums = [np.bincount(group, weights=x, minlength=len(keys)) for x in (n0, n1, children)]
-        tops = pa.StructArray.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], ["k", "n0", "n1", "w"])
-        counts = C.pack(pa.RecordBatch.from_arrays([pa.array(g), pa.array(total)], names=["gram", "n"]))
-        return pa.table({"bucket": table["bucket"][:1], "counts": pa.array([counts], pa.binary()), "tops": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), tops)})
+        return pa.table([pa.array(keys.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2].astype(np.float64))], ["k", "n0", "n1", "w"])
 
-    trained = chunks.where(learning)
-    model = materialize(C.ask(trained, n, ask_grams).groupBy("bucket").applyInArrow(sum_grams, "bucket long, counts binary, tops array<struct<k:long,n0:long,n1:long,w:double>>"), "contexts")
-    sums = model.select(F.explode("tops").alias("t")).groupBy("t.k").agg(F.sum("t.n0").alias("n0"), F.sum("t.n1").alias("n1"), F.sum("t.w").alias("w")).toPandas()  # at most 65,280 rows
+    model = materialize(gram_sums(C.ask(chunks, n, ask_counted), n, stride), "contexts")
+    tops = model.groupBy("context").applyInArrow(top_sums, "k long, n0 long, n1 long, w double")
+    sums = tops.groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas()  # at most 65,280 rows
     top = docs.sparkSession.sparkContext.broadcast(Top(sums["k"].to_numpy(np.int64).astype(U), sums["n0"].to_numpy(np.int64), sums["n1"].to_numpy(np.int64), sums["w"].to_numpy(np.float64)))
 
-    def price(asked, counted):
+    def price(table):
+        parts, tree = _grown(table, depth)
+        priced = []
+        for p in parts:
+            g = np.asarray(p["gram"])
+            priced.append(C.pack(pa.RecordBatch.from_arrays([pa.array(g), pa.array(log_probabilities(tree, top.value, g).astype(np.float32))], names=["gram", "price"])))
+        return pa.table({"bucket": table["bucket"], "priced": pa.array(priced, pa.binary())})
+
+    def reply(asked, priced):
         sent, sizes = C.joined(asked)
-        g, place = np.unique(sent["gram"], return_inverse=True)
-        known = [C.unpack(x.as_buffer()) for x in counted["counts"]]
-        tree = Tree(np.concatenate([np.zeros(0, U), *[np.asarray(k["gram"]) for k in known]]), np.concatenate([np.zeros(0, np.int64), *[np.asarray(k["n"]) for k in known]]), depth)
-        return C.replies_to(asked, log_probabilities(tree, top.value, g).astype(np.float32)[place], sizes) if len(asked) else pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "reply": pa.array([], pa.binary())})
+        parts = [C.unpack(x.as_buffer()) for x in priced["priced"]]
+        g, value = (np.concatenate([np.asarray(p[c]) for p in parts]) for c in ("gram", "price"))
+        order = np.argsort(g)
+        return C.replies_to(asked, value[order][np.searchsorted(g[order], sent["gram"])], sizes)
 
-    prices = C.by_chunk(C.ask(chunks, n, ask_grams).groupBy("bucket").cogroup(model.select("bucket", "counts").groupBy("bucket")).applyInArrow(price, C.REPLY_SCHEMA))
+    priced = model.groupBy("context").applyInArrow(price, "bucket long, priced binary")
+    prices = C.by_chunk(C.ask(chunks, n, ask_prices).groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInArrow(reply, C.REPLY_SCHEMA))
 
     # the base: how often training texts hold each word; held-out chunks ask with a count of 0
     def ask_counts(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -239,7 +284,7 @@ def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col
         out = C.replies_to(table, total[place], sizes)
         return out.append_column("known", pa.array(np.full(len(sizes), np.count_nonzero(total)), pa.int64())).append_column("tokens", pa.array(np.full(len(sizes), total.sum()), pa.int64()))
 
-    asked = C.ask(trained, n, ask_words).union(C.ask(chunks.where(~learning), n, ask_counts))
+    asked = C.ask(chunks.where(learning), n, ask_words).union(C.ask(chunks.where(~learning), n, ask_counts))
     replies = materialize(asked.groupBy("bucket").applyInArrow(word_counts, C.REPLY_SCHEMA + ", known long, tokens long"), "counts")
     per_bucket = replies.groupBy("bucket").agg(F.first("known").alias("known"), F.first("tokens").alias("tokens"))
     known, tokens = per_bucket.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).head()
@@ -250,7 +295,7 @@ def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col
     def scored(batch: pa.RecordBatch, _key: int, price_of, count_of) -> Iterator[pa.RecordBatch]:
         parts = [(row, words, at, *np.unique(grams(text, at, depth), return_inverse=True)) for row, words, text, at in _texts(batch)]
         g = np.unique(np.concatenate([p[3] for p in parts]))
-        log_p = price_of(deal_of(g)).astype(np.float64)
+        log_p = price_of(spread_of(g)).astype(np.float64)
         hashed = [np.unique(p[1].hashes(), return_inverse=True) for p in parts]
         h = np.unique(np.concatenate([p[0] for p in hashed]))
         counts = count_of(h).astype(np.int64)

@@ -57,6 +57,58 @@ def test_network_gradients():
         assert abs((up - down) / (2 * eps) - value) < 1e-4 + 1e-3 * abs(value), name
 
 
+def test_every_labelled_text_is_learned_from(monkeypatch):
+    """In each epoch every positive has a gradient, also those whose best window scores low."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, 40)) for _ in range(120)]
+    labels = np.zeros(120, int)
+    labels[:6] = 1  # nothing tells them from the others
+    assert (toxicity.label_weights(np.array([-9.0, -0.6, 2.0, -9.0]), np.array([1, 1, 1, 0])) > 0).all()
+    seen, epochs = [], []
+    part = toxicity._part
+
+    def spied(x, start, length):
+        seen.append(start)
+        return part(x, start, length)
+
+    scores = toxicity._block_scores
+    monkeypatch.setattr(toxicity, "_part", spied)
+    monkeypatch.setattr(toxicity, "_block_scores", lambda *a: (scores(*a), seen.clear(), epochs.append(None))[0])
+    for n in (3, 5, 8):
+        seen.clear()
+        toxicity.train(texts, labels, epochs=n)
+        assert {int(s) // 40 for s in np.concatenate(seen)} == set(range(120))
+
+
+def recall_at_a_rare_label():
+    """Recall on held-out positives, at 0.5, where 2 % have label 1 and each kind of them is rare; and the false alarms."""
+    rng = np.random.default_rng(11)
+
+    def draw(n):
+        labels = (np.arange(n) % 50 == 0).astype(int)
+        texts = []
+        for k in range(n):
+            w = [f"word{x}" for x in rng.zipf(1.3, 60) % 3000]
+            if labels[k]:
+                w[rng.integers(0, 60)] = f"slur{rng.integers(0, 8)}"
+            texts.append(" ".join(w))
+        return texts, labels
+
+    net = toxicity.train(*draw(4000))
+    texts, labels = draw(2000)
+    encoded = [t.encode() for t in texts]
+    x = toxicity.Inputs(np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0] + [len(e) for e in encoded]))
+    start, length, doc = x.windows()
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, doc, toxicity.scores_of(net, x, start, length))
+    return float((best[labels == 1] >= 0).mean()), float((best[labels == 0] >= 0).mean())
+
+
+def test_recall_at_a_rare_label():
+    recall, alarms = recall_at_a_rare_label()
+    assert recall >= 0.7 and alarms <= 0.05
+
+
 def test_all_windows_overlap_and_cover():
     text = (" ".join(f"w{k}" for k in range(100))).encode()
     x = toxicity.Inputs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))

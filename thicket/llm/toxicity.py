@@ -23,9 +23,10 @@ EPOCHS = 8
 LEAST_TEXTS, HIDDEN_WORDS = 4, 0.1
 #: Standard deviations from which a word counts as a cue at the start.
 LEAST_CUE = 2.5
-#: From the third epoch on, a text labelled 1 whose best window is below this logit is taken
-#: for a wrong label and left out, or the network would learn such texts by heart.
-DOUBT = -0.5
+#: From the third epoch on, a text labelled 1 whose best window is below this logit may have a
+#: wrong label. It is learned from all the same, at no less than this share of its weight, so
+#: that the network doesn't learn such texts by heart.
+DOUBT, DOUBTED_WEIGHT = -0.5, 0.25
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -195,13 +196,18 @@ class Adagrad:
                 p -= self.rate * g / np.sqrt(s)
 
 
+def label_weights(best: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """What each text weighs, by the logit of its best window: 1, or DOUBTED_WEIGHT for doubted ones."""
+    return np.where((labels > 0) & (best < DOUBT), np.float32(DOUBTED_WEIGHT), np.float32(1))
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Network:
     """A network for labels of whole texts, of which only some window may show the cause.
 
     In the first epoch a text stands for the window with the word that departs most from the
     usual share of labels, later for the one that scores highest, beside one drawn window of
-    each text labelled 0. Texts labelled
-    1 that show nothing are doubted and left out.
+    each text labelled 0. Every text is learned from in every epoch; texts labelled
+    1 that show nothing yet are doubted and weigh less (``label_weights``).
     """
     net, rng = Network(), np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
@@ -230,6 +236,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     y = labels[doc]
     weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     weight = np.sqrt(weight)
+    trust = np.ones(len(texts), np.float32)
     ada = Adagrad(net.p)
     for epoch in range(epochs):
         drawn = first + rng.integers(0, count)
@@ -239,8 +246,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             z = np.concatenate([_block_scores(net, x, start[i : i + 2048], length[i : i + 2048]) for i in range(0, len(start), 2048)])
             order = np.lexsort((-z, doc))
             best, own = order[first], labels[doc[first]]
-            doubted = (own > 0) & (z[best] < DOUBT) if epoch > 1 else np.zeros(len(own), dtype=bool)
-            chosen = np.unique(np.concatenate([best[~doubted], drawn[own == 0]]))
+            if epoch > 1:
+                trust[doc[first]] = label_weights(z[best], own)
+            chosen = np.unique(np.concatenate([best, drawn[own == 0]]))
         rng.shuffle(chosen)
         for at in range(0, len(chosen), 128):
             own = chosen[at : at + 128]
@@ -249,7 +257,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             projected, e = net.project(part)
             tape: dict = {}
             z = net.logits(projected, part.word_at, np.arange(len(own)) * WINDOW, length[own], tape)
-            d = ((_sigmoid(z) - y[own]) * weight[doc[own]] / len(own)).astype(np.float32)
+            d = ((_sigmoid(z) - y[own]) * weight[doc[own]] * trust[doc[own]] / len(own)).astype(np.float32)
             ada.step(net.gradients(part, e, tape, d))
         ada.rate *= 0.9
     return net

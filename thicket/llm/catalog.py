@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import context_tree, digests, jaccard, packing, pieces, quality_model, quality_rules, samples, substring, warc
+from thicket.llm import bitplanes, context_tree, digests, jaccard, packing, pieces, quality_model, quality_rules, samples, substring, warc
 from thicket.llm import toxicity as tox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,36 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = pieces.decode(pieces.encode(docs))
     return out.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """The clustering as one SQL statement: a pair of steps per round."""
+    steps = [
+        """kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        )""",
+        f"""c0 AS (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, e FROM kept QUALIFY k < {k}
+        )""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+            SELECT vec_id, any_value(e) AS e, min_by(k, (d, k)) AS k, min(d) AS d
+            FROM (SELECT vec_id, v.e, k, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept v, c{i} c) GROUP BY vec_id
+        )""")
+        if i < rounds:
+            steps.append(f"""m{i + 1} AS (
+                SELECT k, list(m ORDER BY p) AS e
+                FROM (SELECT k, p, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT k, unnest(e) AS x, generate_subscripts(e, 1) AS p FROM a{i}) GROUP BY k, p) GROUP BY k
+            ),
+            c{i + 1} AS (SELECT k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i + 1} m USING (k))""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+@query("op13_centroid_clusters", _clusters_sql(40, 5))
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.centroid_clusters(table(spark, sf_dir, "embeddings"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bitplanes, context_tree, digests, jaccard, packing, pieces, quality_model, quality_rules, samples, substring, warc
+from thicket.llm import bitplanes, context_tree, digests, jaccard, packing, pieces, quality_model, quality_rules, repair, samples, substring, warc
 from thicket.llm import toxicity as tox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,80 @@ def _clusters_sql(k: int, rounds: int) -> str:
 @query("op13_centroid_clusters", _clusters_sql(40, 5))
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+#: Roles a repaired conversation may read, row by row, with the damage done before; the sequence of rows is followed from left to right.
+_REPAIR_SQL = r"""
+    WITH RECURSIVE sums AS (
+        SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))) AS crc
+        FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations)
+    ),
+    kinds AS (SELECT *, xor(crc, 4294967295::BIGINT) % 20 AS kind FROM sums),
+    damaged AS (
+        SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+        FROM kinds WHERE kind != 0
+    ),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM damaged),
+    inked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS times, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ink FROM placed),
+    judged AS (SELECT *, left(role, 1) AS r, CASE WHEN ink = '' THEN 'blank' WHEN times > 1 THEN 'duplicate' WHEN ink NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM inked),
+    seams AS (SELECT conv_id, r || lead(r) OVER (PARTITION BY conv_id ORDER BY p) AS pair FROM judged),
+    illegal AS (SELECT conv_id, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM seams GROUP BY conv_id),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, max(p) AS n,
+               count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated
+        FROM judged GROUP BY conv_id
+    ),
+    {paths},
+    best AS (SELECT conv_id, least(s0, s3) AS s FROM paths JOIN counts USING (conv_id) WHERE p = n),
+    audits AS (SELECT conv_id, left(s, 6)::BIGINT AS cost, substr(s, 7) AS audit FROM best),
+    letters AS (SELECT conv_id, audit, unnest(string_split(audit, '')) AS l, generate_subscripts(string_split(audit, ''), 1) AS n FROM audits WHERE audit != ''),
+    edits AS (
+        SELECT conv_id, n, l, length(translate(left(audit, n), 'I', '')) AS p, length(translate(left(audit, n), 'D', '')) - 1 - length(translate(audit, 'D', '')) % 2 AS spot FROM letters
+    ),
+    lines AS (
+        SELECT e.conv_id, n, CASE WHEN l = 'K' THEN role WHEN spot % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE l WHEN 'I' THEN '' ELSE text END AS line
+        FROM edits e JOIN judged j ON j.conv_id = e.conv_id AND j.p = greatest(e.p, 1) WHERE l != 'D'
+    ),
+    texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY n) AS t FROM lines GROUP BY conv_id)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN illegal USING (conv_id) LEFT JOIN audits USING (conv_id) LEFT JOIN texts USING (conv_id)
+"""
+
+
+def _edited(state: str, cost: str | int, letter: str) -> str:
+    """SQL: a path (six digits of cost, then its audit) with one edit more."""
+    return f"lpad((left({state}, 6)::INTEGER + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || '{letter}'"
+
+
+def _paths_sql() -> str:
+    """SQL: the cheapest path to each state, row by row."""
+    open_, keep, rerole = "least(s0, s1, s3)", ("more", "K"), ("1 + more", "R")
+    inserted = [_edited(t, 5, "I") for t in ("t0", "t1", "t3")]
+    user = f"least(t2, {', '.join(inserted)})"
+    return f"""paths AS (
+        SELECT conv_id, 0::BIGINT AS p, '000000' AS s0, NULL::VARCHAR AS s1, '000005I' AS s2, '000010II' AS s3 FROM counts
+        UNION ALL
+        SELECT conv_id, p, t0, t1, {user} AS u, least(t3, {_edited(user, 5, "I")})
+        FROM (
+            SELECT x.conv_id, x.p + 1 AS p, {_edited("s0", 2, "D")} AS t0, least({_edited("s1", 2, "D")}, CASE WHEN stays AND r = 's' THEN {_edited("s0", *keep)} END) AS t1,
+                   least({_edited("s2", 2, "D")}, CASE WHEN stays AND r = 'u' THEN {_edited(open_, *keep)} END, CASE WHEN stays THEN {_edited(open_, *rerole)} END) AS t2,
+                   least({_edited("s3", 2, "D")}, CASE WHEN stays AND r = 'a' THEN {_edited("s2", *keep)} END, CASE WHEN stays THEN {_edited("s2", *rerole)} END) AS t3
+            FROM paths x JOIN (SELECT conv_id, p, r, fault IN ('', 'truncated') AS stays, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM judged) y
+              ON y.conv_id IS NOT DISTINCT FROM x.conv_id AND y.p = x.p + 1
+        )
+    )"""
+
+
+@query("op12_conversation_repair", _REPAIR_SQL.replace("{paths}", _paths_sql()))
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    summary, repaired = repair.repair(repair.damaged(rows))
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    out = ids.join(summary, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    texts = repair.digests(repaired)
+    out = out.join(texts, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))

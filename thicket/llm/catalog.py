@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bitplanes, context_tree, digests, jaccard, packing, pieces, quality_model, quality_rules, repair, samples, substring, warc
+from thicket.llm import bitplanes, context_tree, digests, jaccard, packing, pieces, quality_model, quality_rules, repair, samples, substring, vector_forest, warc
 from thicket.llm import toxicity as tox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,3 +312,24 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.join(texts, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query(
+    "op11_embedding_neighbours",
+    """
+    WITH RECURSIVE rows AS (
+        SELECT vec_id, len(embedding) AS dim, embedding::DOUBLE[] AS e,
+               embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0 AS fine
+        FROM embeddings
+    ),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT * FROM rows WHERE fine) a JOIN (SELECT * FROM rows WHERE fine) b ON a.vec_id != b.vec_id AND a.dim = b.dim
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+    ),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM rows UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+    """,
+)
+def op11_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import grids as G
 from ..operators import aggregates as A
@@ -13,8 +14,9 @@ from ..operators import sync as SY
 from ..operators.shared import resolve_shared
 from ..session import materialize, shared_dir
 from ..sinks import export as E
+from ..sources import versions as V
 from ..sources import xml_store as XS
-from ..sources.store import load_store
+from ..sources.store import load_store, schema_of
 from ..streaming import sync as ST
 from .base import derived, paths, query, store, tables
 from .scalars import NAMES_SQL, XML_SQL, named_paths
@@ -483,6 +485,15 @@ def _(spark, sf):
     return SY.coalesce_pending(_changes(spark, sf))
 
 
+def _edited(s):
+    """A store with every part of every node changed."""
+    return s.with_tables(
+        node=s.node.withColumns({"name": F.concat("name", F.lit("!")), "txt": F.concat("txt", F.lit("+"))}),
+        children=s.children.withColumn("sequence", F.col("sequence") + 1000),
+        **{t: getattr(s, t).withColumn("offset", F.col("offset") + 1) for t in ("codebox", "grid", "image")},
+    )
+
+
 @query(
     "sync_store",
     f"""{CHANGES_SQL}, {PENDING_SQL},
@@ -498,12 +509,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = store(spark, sf)
     pending = materialize(SY.coalesce_pending(_changes(spark, sf)), "pending")
-    changed = s.with_tables(
-        node=s.node.withColumns({"name": F.concat("name", F.lit("!")), "txt": F.concat("txt", F.lit("+"))}),
-        children=s.children.withColumn("sequence", F.col("sequence") + 1000),
-        **{t: getattr(s, t).withColumn("offset", F.col("offset") + 1) for t in ("codebox", "grid", "image")},
-    )
-    return _digest(SY.sync_store(s, pending, changed))
+    return _digest(SY.sync_store(s, pending, _edited(s)))
 
 
 @query("stream_sync", f"{CHANGES_SQL}, {PENDING_SQL} SELECT * FROM pending", "edit_log")
@@ -516,6 +522,88 @@ def _(spark, sf):
     return ST.pending_of_batches(spark, out)
 
 
+# What each change of the log writes, with the same values in both engines; visits count as moves.
+_RECORDS = {
+    "node": "named_struct('name', concat('n', event_id), 'syntax', 'plain-text', 'tags', '', 'is_ro', event_id % 2, 'is_richtxt', 0L, 'has_codebox', true, 'has_table', false,"
+            " 'has_image', false, 'level', 0L, 'ts_creation', event_id, 'ts_lastsave', event_id)",
+    "txt": "concat('t', event_id)",
+    "codebox": "array(named_struct('offset', event_id % 9, 'txt', concat('c', event_id), 'syntax', 'sql'))",
+    "grid": "NULL",
+    "image": "CASE WHEN event_id % 2 = 0 THEN array(named_struct('offset', event_id % 5, 'anchor', concat('a', event_id), 'time', event_id)) END",
+    "place": "named_struct('father_id', 3L, 'sequence', event_id, 'master_id', 0L)",
+}
+
+
+def _records(spark, sf):
+    """The edit log with contents, as columns of the change format."""
+    log = _changes(spark, sf).withColumn("kind", F.expr("CASE kind WHEN 'visit' THEN 'hier' ELSE kind END"))
+    made = {name: F.expr(text) for name, text in _RECORDS.items()}
+    given = {"codebox": ("offset", "txt", "syntax"), "image": ("offset", "anchor", "time")}
+    empty = ("justification", "filename", "link")
+
+    def full(table):
+        fields = [f for f in schema_of(table).fields if f.name != "node_id"]
+        return lambda o: F.struct(*[(o[f.name] if f.name in given[table] else F.lit("" if f.name in empty else None)).cast(f.dataType).alias(f.name) for f in fields])
+
+    made |= {table: F.transform(made[table], full(table)) for table in given}
+    made["grid"] = F.lit(None).cast(T.StructType.fromDDL(SY.CHANGE_DDL)["grid"].dataType)
+    return log.select("event_id", "ts", "node_id", "kind", *[c.alias(name) for name, c in made.items()])
+
+
+APPLIED_SQL = f"""{CHANGES_SQL}, f AS (
+    SELECT node_id, max(event_id) FILTER (kind = 'remove') AS r, max(event_id) FILTER (kind = 'new') AS c, max(event_id) FILTER (kind IN ('new', 'prop')) AS p,
+           max(event_id) FILTER (kind IN ('new', 'buff')) AS b, max(event_id) FILTER (kind IN ('new', 'visit')) AS h FROM log GROUP BY node_id),
+  s AS (SELECT node_id, r IS NOT NULL AS dropped, r IS NOT NULL AND coalesce(c, -1) < r AS gone, CASE WHEN p > coalesce(r, -1) THEN p END AS p, CASE WHEN b > coalesce(r, -1) THEN b END AS b,
+             CASE WHEN h > coalesce(r, -1) THEN h END AS h FROM f),
+  j AS (SELECT n.*, s.p, s.b FROM node AS n LEFT JOIN s ON s.node_id = n.node_id WHERE NOT coalesce(s.gone, false)),
+  n2 AS (SELECT node_id, CASE WHEN p IS NULL THEN name ELSE 'n' || p END AS name, CASE WHEN b IS NULL THEN txt ELSE 't' || b END AS txt, CASE WHEN p IS NULL THEN syntax ELSE 'plain-text' END AS syntax,
+         CASE WHEN p IS NULL THEN tags ELSE '' END AS tags, CASE WHEN p IS NULL THEN is_ro ELSE p % 2 END AS is_ro, CASE WHEN p IS NULL THEN is_richtxt ELSE 0 END AS is_richtxt,
+         CASE WHEN p IS NULL THEN level ELSE 0 END AS level, coalesce(p, ts_creation) AS ts_creation, coalesce(p, ts_lastsave) AS ts_lastsave FROM j),
+  c2 AS (SELECT c.node_id, CASE WHEN h IS NULL THEN father_id ELSE 3 END AS father_id, coalesce(h, sequence) AS sequence, CASE WHEN h IS NULL THEN master_id ELSE 0 END AS master_id
+         FROM children AS c LEFT JOIN s ON s.node_id = c.node_id WHERE NOT coalesce(gone, false)),
+  b2 AS (SELECT * FROM bookmark WHERE node_id NOT IN (SELECT node_id FROM s WHERE dropped)),
+  still AS (SELECT node_id FROM children WHERE node_id NOT IN (SELECT node_id FROM s WHERE gone OR b IS NOT NULL)),
+  codebox2 AS (SELECT node_id, "offset", txt, syntax FROM codebox WHERE node_id IN (SELECT node_id FROM still) UNION ALL SELECT node_id, b % 9, 'c' || b, 'sql' FROM s WHERE NOT gone AND b IS NOT NULL),
+  grid2 AS (SELECT * FROM grid WHERE node_id IN (SELECT node_id FROM still)),
+  image2 AS (SELECT node_id, "offset", anchor, png, filename, link, time FROM image WHERE node_id IN (SELECT node_id FROM still)
+             UNION ALL SELECT node_id, b % 5, 'a' || b, NULL, '', '', b FROM s WHERE NOT gone AND b % 2 = 0) """
+
+
+@query("stream_to_store", APPLIED_SQL + _digest_sql("c2", "{t}2", "b2", "n2"), "edit_log children node codebox grid image bookmark")
+def _(spark, sf):
+    """The log applied to the store in three batches, of which the second is sent once more."""
+    feed, root = (f"{shared_dir(spark)}/thicket-{name}-{uuid.uuid4().hex}" for name in ("records", "versions"))
+    log = materialize(_records(spark, sf), "records")
+    last = log.agg(F.max("event_id")).head()[0] or 0
+    parts = [log.where(F.col("event_id").between(last * k // 3 + (k > 0), last * (k + 1) // 3)) for k in range(3)]
+    V.create_versions(store(spark, sf), root, buckets=32)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(feed)
+    ST.stream_to_store(ST.record_stream(spark, feed, 1), root, "log", trigger={"availableNow": True}).awaitTermination()
+    V.write_changes(spark, root, *SY.fold_changes(parts[1]), feed="log", batch_id=1)
+    return _digest(V.read_version(spark, root))
+
+
+@query(
+    "sync_version",
+    f"""{CHANGES_SQL}, {PENDING_SQL},
+      n2 AS (SELECT n.* REPLACE (CASE WHEN p.prop THEN n.name || '!' ELSE n.name END AS name, CASE WHEN p.buff THEN n.txt || '+' ELSE n.txt END AS txt)
+             FROM node AS n LEFT JOIN pending AS p ON p.node_id = n.node_id WHERE NOT COALESCE(p.removed, false)),
+      c2 AS (SELECT c.node_id, c.father_id, CASE WHEN p.hier THEN c.sequence + 1000 ELSE c.sequence END AS sequence, c.master_id
+             FROM children AS c LEFT JOIN pending AS p ON p.node_id = c.node_id WHERE NOT COALESCE(p.removed, false)),
+      b2 AS (SELECT * FROM bookmark WHERE node_id NOT IN (SELECT node_id FROM pending WHERE removed)), """ + ", ".join(
+        f"{t}2 AS (SELECT t.* REPLACE (t.\"offset\" + CASE WHEN p.buff THEN 1 ELSE 0 END AS \"offset\") FROM {t} AS t LEFT JOIN pending AS p ON p.node_id = t.node_id WHERE NOT COALESCE(p.removed, false))"
+        for t in ("codebox", "grid", "image")) + " " + _digest_sql("c2", "{t}2", "b2", "n2"),
+    "edit_log children node codebox grid image bookmark",
+)
+def _(spark, sf):
+    s = store(spark, sf)
+    root = f"{shared_dir(spark)}/thicket-versions-{uuid.uuid4().hex}"
+    V.create_versions(s, root, buckets=64)
+    V.write_changes(spark, root, SY.coalesce_pending(_changes(spark, sf)), _edited(s))
+    return _digest(V.read_version(spark, root))
+
+
 @query(
     "stream_latest_version",
     f"""{CHANGES_SQL} SELECT 'file-' || node_id % 1000 AS path, arg_max(node_id, (ts, snapshot || '/' || event_id)) AS node_id, max(ts) AS mtime, arg_max(snapshot || '/' || event_id, (ts, snapshot || '/' || event_id)) AS content

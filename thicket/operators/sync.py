@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import DDL
 from ..plans.joins import sized
-from ..sources.store import Store
+from ..session import materialize
+from ..sources.store import Store, schema_of
 
 
 def coalesce_pending(changes: DataFrame) -> DataFrame:
@@ -26,6 +28,52 @@ def coalesce_pending(changes: DataFrame) -> DataFrame:
     return merged.select("node_id", flag("prop"), flag("buff"), flag("hier"), "is_update", "removed")
 
 
+def _record(table: str, leave: tuple[str, ...] = ()) -> str:
+    columns = [c.split(" ", 1) for c in DDL[table].split(", ")]
+    return ",".join(f"{name}:{kind}" for name, kind in columns if name not in ("node_id", *leave))
+
+
+#: A change and what it writes: ``node`` for new and prop, ``txt`` and the objects for new and buff, ``place`` for new and hier.
+CHANGE_DDL = ", ".join([
+    "event_id long, ts timestamp_ntz, node_id long, kind string", f"node struct<{_record('node', ('txt',))}>", "txt string",
+    *[f"{t} array<struct<{_record(t)}>>" for t in ("codebox", "grid", "image")], f"place struct<{_record('children')}>",
+])
+
+
+def fold_changes(changes: DataFrame) -> tuple[DataFrame, Store]:
+    """Changes in order of ``event_id`` as pending flags and the rows that they write.
+
+    ``changes`` has the columns of ``CHANGE_DDL``; equal event ids are repeats of one change.
+    What comes after a node's last removal counts: without a *new* among it the node is
+    removed, and edits of a node that isn't there are no edits. Of several edits of a part
+    the last one is written. ``dropped`` also tells of removals that a *new* came after. All
+    is one aggregate per node that combines before the shuffle.
+    """
+    at = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("event_id")))
+    last = lambda value, *kinds: F.max_by(value, F.when(F.col("kind").isin(*kinds), F.col("event_id")))
+    objects = ["codebox", "grid", "image"]
+    known = changes.where(F.col("kind").isin("new", "prop", "buff", "hier", "remove") & F.col("node_id").isNotNull())
+    folded = known.groupBy("node_id").agg(
+        at("remove").alias("removed_at"), at("new").alias("new_at"), at("new", "prop").alias("prop_at"), at("new", "buff").alias("buff_at"), at("new", "hier").alias("hier_at"),
+        last(F.col("node"), "new", "prop").alias("node"), last(F.struct("txt", *objects), "new", "buff").alias("body"), last(F.col("place"), "new", "hier").alias("place"),
+    )
+    after = lambda c: F.coalesce(F.col(c) > F.col("removed_at"), F.col(c).isNotNull())
+    created = after("new_at")
+    removed = F.col("removed_at").isNotNull() & ~created
+    flag = lambda c: (after(f"{c}_at") & ~removed).alias(c)
+    flags = [flag("prop"), flag("buff"), flag("hier"), (~created).alias("is_update"), removed.alias("removed"), F.col("removed_at").isNotNull().alias("dropped")]
+    folded = materialize(folded.select("node_id", *flags, "node", "body", "place"), "folded")
+    fields = [f.name for f in schema_of("node") if f.name not in ("node_id", "txt")]
+    rows = {
+        "node": folded.where("prop OR buff").select("node_id", *[F.col(f"node.{c}").alias(c) for c in fields], F.col("body.txt").alias("txt")),
+        "children": folded.where("hier").select("node_id", "place.*"),
+        "bookmark": folded.sparkSession.createDataFrame([], schema_of("bookmark")),
+    }
+    for name in objects:
+        rows[name] = folded.where("buff").select("node_id", F.explode(f"body.{name}").alias("o")).select("node_id", "o.*")
+    return folded.select("node_id", "prop", "buff", "hier", "is_update", "removed", "dropped"), Store(**rows)
+
+
 _OWNED = ["node", "codebox", "grid", "image"]
 
 

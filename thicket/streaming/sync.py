@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sync import coalesce_pending
+from ..operators.sync import CHANGE_DDL, coalesce_pending, fold_changes
 from ..session import shared_dir
+from ..sources.versions import write_changes
 
 CHANGE_SCHEMA = "event_id long, ts timestamp_ntz, node_id long, kind string, snapshot string"
 
 
 def merge_pending(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pending rows of two periods as one: flags merge with OR, removal wins."""
-    both = a.unionByName(b)
-    merged = both.groupBy("node_id").agg(
+    return _merged(a.unionByName(b))
+
+
+def _merged(saved: DataFrame) -> DataFrame:
+    merged = saved.groupBy("node_id").agg(
         F.bool_or("prop").alias("prop"), F.bool_or("buff").alias("buff"), F.bool_or("hier").alias("hier"),
         F.bool_and("is_update").alias("is_update"), F.bool_or("removed").alias("removed"),
     )
@@ -46,15 +50,36 @@ def stream_sync(
     )
 
 
+def stream_to_store(
+    changes: DataFrame, root: str, feed: str, trigger: dict | None = None, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Apply changes to the versioned store under ``root`` as they come; a version per micro-batch.
+
+    ``changes`` has the columns of ``CHANGE_DDL``, each batch later than the one before. The
+    store's manifest holds the last batch of ``feed``: one that is replayed after a failure
+    changes nothing, and one that failed half-way has left no trace in the store. ``feed`` is
+    to be new if the checkpoint is, as batch numbers start again with it.
+    """
+    spark = changes.sparkSession
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        write_changes(spark, root, *fold_changes(batch), feed=feed, batch_id=batch_id)
+
+    return (
+        changes.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/thicket-stream-{uuid.uuid4().hex}")
+        .trigger(**(trigger or {"processingTime": "1 minute"})).start()
+    )
+
+
+def record_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Change files with contents (``CHANGE_DDL``) as a stream."""
+    return spark.readStream.schema(CHANGE_DDL).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
 def pending_of_batches(spark: SparkSession, out: str) -> DataFrame:
     """All saved batches merged: what a store has to write."""
-    saved = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    merged = saved.groupBy("node_id").agg(
-        F.bool_or("prop").alias("prop"), F.bool_or("buff").alias("buff"), F.bool_or("hier").alias("hier"),
-        F.bool_and("is_update").alias("is_update"), F.bool_or("removed").alias("removed"),
-    )
-    keep = ~F.col("removed")
-    return merged.select("node_id", *[(F.col(c) & keep).alias(c) for c in ("prop", "buff", "hier")], "is_update", "removed")
+    return _merged(spark.read.option("recursiveFileLookup", "true").parquet(out))
 
 
 def change_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:

@@ -217,7 +217,7 @@ def balls(vectors: DataFrame, placed: DataFrame, dense: DataFrame, cosine: float
                 near = np.einsum("ij,ij->i", units(matrix(batch["x"].take(at), kind)), matrix(batch["centre"].take(at), "<f8")) >= least
                 yield batch.select(["key", "node", "number"]).take(pa.array(rows[near]))
 
-    here = placed.select("key", F.explode("leaves").alias("node")).join(vectors.select("key", "dim", "x"), "key").join(dense, NODE)
+    here = placed.select("key", "dim", F.explode("leaves").alias("node")).join(dense, NODE).join(vectors.select("key", "x"), "key")
     drawn = here.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) < F.lit(SAMPLE / 2 * (1 << 30)) / F.col("n"))
     found = materialize(drawn.select(*NODE, "x").groupBy(*NODE).applyInArrow(find, "dim int, node long, number int, centre binary"), "centres")
     held = here.join(found, NODE).select("key", "dim", "node", "number", "x", "centre").mapInArrow(inside, "key long, node long, number int")

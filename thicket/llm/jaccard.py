@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm import chunks as C
+from thicket.llm.blocks import paired, same_component
 from thicket.llm.components import components
 from thicket.llm.words import U, WORD_BASE, Words, mix, polynomial, random_words, steps
 from thicket.session import Scratch, materialize
@@ -23,6 +24,12 @@ VERIFY_COST = 20
 #: Rounds against one leader per list go on while all pairs would be more than this many times
 #: the postings, and a round has left less than this share of the pairs before it.
 PAIRS_PER_POSTING, LEFT_BY_ROUND = 2, 0.8
+#: Longer lists than this are compared as wholes where leaders leave much, in blocks of so many sets.
+LONG_LIST, BLOCK_SETS = 64, 512
+#: Rounds of that at most; what they leave is enumerated.
+MOST_HOMES = 5
+#: Columns of the matrices that sets are compared by.
+TOKENS_AT_ONCE = 4096
 SET_SCHEMA = "key long, id long, n long, h1 long, h2 long, shared int, postings array<struct<t:long,pos:int>>, tokens binary"
 
 
@@ -154,11 +161,88 @@ def _similar_sizes(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def overlaps(tokens: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets a with the sets b, by products of 0/1 matrices over the tokens that several hold."""
+    out = np.zeros((len(a), len(b)))
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, column, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    row, column = row[times[column] > 1], number[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, TOKENS_AT_ONCE):
+        part = slice(*np.searchsorted(column, [start, start + TOKENS_AT_ONCE]))
+        held = np.zeros((len(tokens), TOKENS_AT_ONCE), dtype=np.float32)
+        held[row[part], column[part] - start] = 1
+        out += held[a] @ held[b].T
+    return out
+
+
+def _compared(percent: int):
+    """(a, b): links that connect what is linked among the sets of a group, or between two blocks of it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, root, n, side = (np.asarray(table[c]) for c in ("key", "root", "n", "side"))
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if table["two"][0].as_py() else a
+        common = overlaps([np.frombuffer(x.as_buffer(), dtype=U) for x in table["tokens"]], a, b)
+        linked = (100 * common >= percent * (n[a][:, None] + n[b][None, :] - common)) & (root[a][:, None] != root[b][None, :])
+        i, j = np.nonzero(linked)
+        least = same_component(len(keys), a[i], b[j])
+        moved = np.flatnonzero(least != np.arange(len(keys)))
+        return pa.table({"a": keys[moved], "b": keys[least[moved]]})
+
+    return run
+
+
+def _open_pairs(here: DataFrame, homes: list[str]) -> DataFrame:
+    """(t, m, open): each list's length and its pairs that are neither of one component nor have a home in common.
+
+    What is closed is counted by inclusion and exclusion over the component and the homes.
+    """
+    groups = ["root", *homes]
+    cells = here.select("t", "root", *[F.coalesce(h, -F.col("key")).alias(h) for h in homes]).groupBy("t", *groups).agg(F.count("*").alias("m"))
+    masks = F.explode(F.array(*[F.lit(mask) for mask in range(1 << len(groups))])).alias("mask")
+    masked = cells.select("t", "m", masks, *groups).select("t", "m", "mask", *[F.when(F.col("mask").bitwiseAND(1 << n) != 0, F.col(g)).alias(g) for n, g in enumerate(groups)])
+    sums = masked.groupBy("t", "mask", *groups).agg(F.sum("m").alias("m"))
+    sign = F.when(F.bit_count("mask") % 2 == 0, 1).otherwise(-1)
+    return sums.groupBy("t").agg(F.max(F.when(F.col("mask") == 0, F.col("m"))).alias("m"), (F.sum(sign * F.col("m") * F.col("m")) / 2).alias("open"))
+
+
+def settled(here: DataFrame, sets: DataFrame, found: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Compares the sets of long lists list by list, until the pairs left to enumerate are few.
+
+    In each round a set goes to that of its long lists in which most pairs are open, its home
+    of the round; the sets of a home are compared with each other in blocks, those of one
+    component aside. Two sets with a home in common needn't meet again. Returns the postings
+    with their new components and homes, the links, and the names of the homes.
+    """
+    homes, last = [], float("inf")
+    while True:
+        lists = materialize(_open_pairs(here, homes).where(F.col("m") > LONG_LIST).where("open > 0").select("t", "open"), "open")
+        total, postings = lists.agg(F.sum("open")).head()[0] or 0, here.count()
+        if total <= postings or total > LEFT_BY_ROUND * last or len(homes) == MOST_HOMES:
+            return here, found, homes
+        last, home = total, f"home{len(homes)}"
+        chosen = materialize(here.join(lists, "t").groupBy("key").agg(F.max_by("t", F.struct("open", "t")).alias(home), F.first("root").alias("root"), F.first("n").alias("n")), "homes")
+        members = chosen.join(sets.select("key", "tokens"), "key")
+        crowd = chosen.groupBy(home, "root").agg((F.count("*") > BLOCK_SETS / 4).alias("crowd"))
+        members = members.join(crowd, [home, "root"])
+        pairs = paired(members, [home], F.when(F.col("crowd"), F.col("root").cast("string")).otherwise(""), BLOCK_SETS)
+        new = materialize(pairs.groupBy(home, "pair").applyInArrow(_compared(percent), "a long, b long"), "links")
+        found = new if found is None else found.union(new)
+        here = here.drop("root").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        here = here.join(chosen.select("key", home), "key", "left")
+        open_lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("t")
+        here, homes = materialize(here.join(open_lists, "t"), "lists"), [*homes, home]
+
+
 def links_between(sets: DataFrame, percent: int) -> DataFrame:
     """Enough links between representatives (a, b) to connect all that similarity connects.
 
     First each list of a token's documents is held against one leader, which finds the
-    linear core of a large group; then only pairs of different components are left. Those
+    linear core of a large group; where that leaves much, the sets of long lists are compared
+    in blocks, list by list; then only pairs of different components are left. Those
     must share as many tokens as the shorter of their two prefixes asks for; and the tokens
     shared within both prefixes, with all that may follow in the longer rest, must reach the
     overlap that their sizes ask for.
@@ -197,10 +281,14 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
         found = new if found is None else found.union(new)
         roots = components(found)
 
-    x = here.select("t", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "shared", "rest", "level", "most", "root")])
-    y = here.select("t", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "shared", "rest", "level", "most", "root")])
+    here, found, homes = settled(here, sets, found, percent)
+    columns = ["key", "n", "shared", "rest", "level", "most", "root", *homes]
+    x, y = (here.select("t", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
     k = F.least("shared_a", "shared_b")
-    met = x.join(y, "t").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _similar_sizes("n_a", "n_b", percent) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")))
+    apart = (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b"))
+    for home in homes:
+        apart &= F.coalesce(F.col(f"{home}_a") != F.col(f"{home}_b"), F.lit(True))
+    met = x.join(y, "t").where(apart & _similar_sizes("n_a", "n_b", percent) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")))
     counted = F.count_if((F.col("level_a") <= k) & (F.col("level_b") <= k)).alias("met")
     overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     pairs = met.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(

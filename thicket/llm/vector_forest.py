@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thicket.llm.blocks import paired, same_component
 from thicket.llm.components import components
 from thicket.session import materialize
 
@@ -29,8 +30,8 @@ LEAST_COSINE = 0.9
 TREES, AT_ONCE = 12, 4
 #: Vectors within this distance of a split go down both sides.
 MARGIN = 0.02
-#: Leaves are to hold LEAF vectors; those with more than LARGE are split again, or else compared in blocks.
-LEAF, LARGE, BLOCK = 400, 1024, 512
+#: Leaves are to hold LEAF vectors; those with more than LARGE are split again; more than BLOCK are compared in blocks.
+LEAF, LARGE, BLOCK = 400, 1024, 1024
 #: Levels of splits that are fitted at a time, on a sample of about so many vectors per node.
 LEVELS, SAMPLE = 6, 4096
 #: A split that leaves more than this share of the vectors on one side is none.
@@ -224,20 +225,6 @@ def balls(vectors: DataFrame, placed: DataFrame, dense: DataFrame, cosine: float
     return materialize(held.groupBy("key").agg(F.min(F.struct("node", "number")).alias("ball")), "balls")
 
 
-def same_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest row that links (a, b) connect it to."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def compare(cosine: float, kind: str):
     """(key, n, root): for the linked vectors of a leaf, or of two of its blocks, the links that count here and a component."""
 
@@ -281,30 +268,13 @@ def compare(cosine: float, kind: str):
     return run
 
 
-def links_in(members: DataFrame, cosine: float, large: int, block: int, kind: str) -> DataFrame:
-    """Compares the members (dim, node, key, x, leaves, ball) of each leaf; leaves of more than ``large`` in pairs of blocks.
+def links_in(members: DataFrame, cosine: float, block: int, kind: str) -> DataFrame:
+    """Compares the members (dim, node, key, x, leaves, ball) of each leaf; large leaves in pairs of blocks.
 
     Vectors of one ball share blocks, and such blocks are held against others only.
     """
-    sizes = members.groupBy(*NODE, "ball").agg(F.count("*").alias("m"))
-    sizes = materialize(sizes, "sizes")
-    crowded = sizes.groupBy(*NODE).agg(F.sum("m").alias("n")).where(F.col("n") > large).select(*NODE)
-    single = members.join(crowded, NODE, "left_anti") if not crowded.isEmpty() else members
-    columns = [*NODE, F.lit("").alias("pair"), F.lit(False).alias("two"), F.lit(0).alias("side"), "key", "x", "leaves", "ball"]
-    groups = single.select(*columns)
-    if not crowded.isEmpty():
-        parts = sizes.join(crowded, NODE).select(*NODE, F.coalesce(F.concat_ws(" ", "ball.node", "ball.number"), F.lit("")).alias("part"), F.ceil(F.col("m") / block).alias("k"))
-        left, right = (parts.select(*NODE, F.col("part").alias(f"part{s}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias(f"block{s}")) for s in (0, 1))
-        names = parts.select(*NODE, F.col("part").alias("part0")).join(parts.select(*NODE, F.col("part").alias("part1")), NODE).where("part0 < part1 OR part0 = part1 AND part0 = ''")
-        pairs = names.join(left, [*NODE, "part0"]).join(right, [*NODE, "part1"]).where("part0 != part1 OR block0 <= block1")
-        pairs = pairs.withColumn("pair", F.concat_ws(" / ", "part0", "block0", "part1", "block1")).withColumn("two", (F.col("part0") != F.col("part1")) | (F.col("block0") != F.col("block1")))
-        pairs = materialize(pairs, "pairs")
-        rows = members.join(crowded, NODE).withColumn("part", F.when(F.col("ball").isNull(), "").otherwise(F.concat_ws(" ", "ball.node", "ball.number")))
-        rows = rows.join(parts, [*NODE, "part"]).withColumn("block", F.pmod(F.xxhash64("key"), "k"))
-        for s in (0, 1):
-            own = pairs.where("two" if s else "true").select(*NODE, F.col(f"part{s}").alias("part"), F.col(f"block{s}").alias("block"), "pair", "two", F.lit(s).alias("side"))
-            groups = groups.union(rows.join(own, [*NODE, "part", "block"]).select(*NODE, "pair", "two", "side", "key", "x", "leaves", "ball"))
-    return groups.groupBy(*NODE, "pair").applyInArrow(compare(cosine, kind), "key long, n long, root long")
+    ball = F.when(F.col("ball").isNull(), "").otherwise(F.concat_ws(" ", "ball.node", "ball.number"))
+    return paired(members, NODE, ball, block).groupBy(*NODE, "pair").applyInArrow(compare(cosine, kind), "key long, n long, root long")
 
 
 def near_vectors(
@@ -345,7 +315,7 @@ def near_vectors(
     members, found = materialize(members, "members"), None
     for first in range(0, trees, AT_ONCE):
         own = F.expr(f"filter(leaves, l -> {TREE_SQL} > {first} AND {TREE_SQL} <= {first + AT_ONCE})")
-        part = links_in(members.select("dim", "key", "x", "leaves", "ball", F.explode(own).alias("node")), cosine, large, block, kind)
+        part = links_in(members.select("dim", "key", "x", "leaves", "ball", F.explode(own).alias("node")), cosine, block, kind)
         part = materialize(part, "links")
         found = part if found is None else found.union(part)
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))

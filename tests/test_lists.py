@@ -1,6 +1,7 @@
 """Lists, to-dos, outlines, histories on small known cases."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,36 @@ def test_toc_rows(spark):
     nodes = spark.createDataFrame([(1, "Top", 1)], "node_id long, name string, depth int")
     got = [(r.link, r.line) for r in LI.toc(heads, nodes).orderBy("offset").collect()]
     assert got == [("node 1", "\n\t▸ Top"), ("node 1 h1-1", "\n\t\t◇ A"), ("node 1 h2-1", "\n\t\t\t▪ B"), ("node 1 h2-2", "\n\t\t\t▪ C")]
+
+
+def test_outlines_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(OU, "BLOCK", 7)
+    monkeypatch.setattr(OU, "FAN", 3)
+    rng = random.Random(21)
+    data = []
+    for doc in [*range(12), None]:
+        level, n = 1, rng.choice([1, 5, 40, 400])
+        for pos in range(1, n + 1):
+            level = rng.choice([level + 1, level + 1, level, max(1, level - 1), rng.randint(0, 9)])
+            data.append((doc, pos, level))
+    tree = OU.outline_to_tree(spark.createDataFrame(data, "doc long, pos long, level long")).collect()
+    at = {r.node_id: (r.doc, r.pos) for r in tree}
+    got = {(r.doc, r.pos): at[r.father_id][1] if r.father_id else None for r in tree}
+    want = {}
+    for doc in {d for d, _, _ in data}:
+        want |= {(doc, pos): father for pos, father in slices([(p, x) for d, p, x in data if d == doc]).items()}
+    assert got == want
+
+
+def test_outline_plans_do_not_grow_with_the_levels(spark):
+    def outline(depth, n):
+        return spark.range(1, n + 1).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), (F.when(F.col("id") <= depth, F.col("id")).otherwise(1 + F.col("id") % depth)).alias("level"))
+
+    def plan(df):
+        return [line.strip(" +-:").split(" ")[0].split("(")[0] for line in df._jdf.queryExecution().sparkPlan().toString().splitlines()]
+
+    shallow, deep = OU.outline_to_tree(outline(3, 3000)), OU.outline_to_tree(outline(300, 3000))
+    assert plan(shallow) == plan(deep)
+    start = time.time()
+    assert OU.outline_to_tree(outline(60, 100_000)).agg(F.max("depth")).head()[0] == 59
+    assert time.time() - start < 30  # 10 s are asked for on a free machine

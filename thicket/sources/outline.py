@@ -8,40 +8,104 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let, with_marks
 from ..operators.forest import sibling_rank
-from ..plans.scan import Running, numbered, running
+from ..plans.scan import numbered
 from ..session import materialize
 from .html import decode_xml_entities
 
 
+#: Rows that are folded at a time, and spans of rows that are combined at a time.
+BLOCK, FAN = 512, 256
+
+#: Open rows, from the outermost to the last: the levels rise, as a row closes all of its level and below.
+_STACK = "array<struct<level:bigint,id:bigint>>"
+
+
+def _above(stack: Column, level: Column) -> Column:
+    """What a row of that level leaves open."""
+    return F.filter(stack, lambda x: x["level"] < level)
+
+
+def _fold_rows(rows: Column) -> Column:
+    """The rows (id, level) of a block, in order, as ``out`` and the ``stack`` they leave.
+
+    Of each row: ``own`` rows of the block open above it, the last of them (``father``), and
+    ``cut``: of the rows open before the block those of lower levels are open above it too.
+    """
+    out = "array<struct<id:bigint,father:bigint,own:int,cut:bigint>>"
+    start = F.struct(F.array().cast(_STACK).alias("stack"), F.array().cast(out).alias("out"))
+
+    def step(state: Column, row: Column) -> Column:
+        def placed(stack: Column) -> Column:
+            cut = F.coalesce(F.get(stack, F.lit(0))["level"], row["level"])
+            father = F.get(stack, F.size(stack) - 1)["id"]
+            made = F.struct(row["id"].alias("id"), father.alias("father"), F.size(stack).alias("own"), cut.alias("cut"))
+            opened = F.struct(row["level"].alias("level"), row["id"].alias("id"))
+            return F.struct(F.concat(stack, F.array(opened)).alias("stack"), F.concat(state["out"], F.array(made)).alias("out"))
+
+        return let(_above(state["stack"], row["level"]), placed)
+
+    return F.aggregate(rows, start, step)
+
+
+def _fold_spans(spans: Column) -> Column:
+    """Spans (low, stack) of rows, in order, as ``low`` and ``stack`` of them all; ``out`` has those before each span."""
+    out = f"array<struct<low:bigint,stack:{_STACK}>>"
+    start = F.struct(F.lit(None).cast("bigint").alias("low"), F.array().cast(_STACK).alias("stack"), F.array().cast(out).alias("out"))
+
+    def step(state: Column, span: Column) -> Column:
+        before = F.struct(state["low"].alias("low"), state["stack"].alias("stack"))
+        left = F.concat(_above(state["stack"], span["low"]), span["stack"])
+        return F.struct(F.least(state["low"], span["low"]).alias("low"), left.alias("stack"), F.concat(state["out"], F.array(before)).alias("out"))
+
+    return F.aggregate(spans, start, step)
+
+
+def _open_before(spans: DataFrame) -> DataFrame:
+    """(doc, span, stack): the rows open at the start of each span (doc, span, low, stack), whatever the number of spans.
+
+    Spans are combined FAN by FAN, bottom-up, and what is open is handed down again.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("span", "low", "stack")))
+    folded = spans.groupBy("doc", F.floor(F.col("span") / FAN).alias("upper")).agg(listed.alias("spans"))
+    folded = folded.select("doc", "upper", "spans.span", _fold_spans(F.col("spans")).alias("f")).select("doc", "upper", "span", "f.*")
+    folded = materialize(folded, "outline-spans")
+    inner = folded.select("doc", "upper", F.explode(F.arrays_zip("span", "out")).alias("s")).select("doc", "upper", "s.span", F.col("s.out.low").alias("low"), F.col("s.out.stack").alias("stack"))
+    if folded.groupBy("doc").count().where("count > 1").isEmpty():
+        return inner.select("doc", "span", "stack")
+    outer = _open_before(folded.select("doc", F.col("upper").alias("span"), "low", "stack"))
+    outer = outer.select(F.col("doc").alias("__doc"), F.col("span").alias("__upper"), F.col("stack").alias("__outer"))
+    joined = inner.join(outer, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("upper") == F.col("__upper")))
+    left = F.when(F.col("low").isNull(), F.col("__outer")).otherwise(_above(F.col("__outer"), F.col("low")))
+    return joined.select("doc", "span", F.concat(left, "stack").alias("stack"))
+
+
 def outline_to_tree(rows: DataFrame, doc: str = "doc", pos: str = "pos", level: str = "level") -> DataFrame:
     """Parent links of level lists: adds node_id, father_id, sequence, depth.
 
     The father of a row on level L is the last earlier row p on level L-1 with no
     row of a level below L-1 between; level 1 hangs from the root (0). Rows
     below level 1 are ignored; a row without a father drops out with all below
-    it. A document may hold any share of the rows: ranks and running values go
-    over buckets, and one scan finds fathers and reachability together.
+    it.
+
+    The rows open above a row form a stack of rising levels, and it hangs from the root if
+    that stack holds one row of each level above its own. Blocks of rows are folded by
+    themselves, their stacks are combined, and each row takes what was open before its
+    block; so a document may hold any share of the rows, and levels may be of any number.
     """
     listed = rows.where(F.col(level) >= 1)
     ids = materialize(numbered(listed, [], [F.col(doc), F.col(pos)], "node_id"), "outline")
-    deepest = ids.agg(F.max(level)).head()[0] or 0
-    outputs = {}
-    for k in range(1, int(deepest)):
-        outputs[f"at{k}"] = Running("max", F.when(F.col(level) == k, F.col("node_id")), exclusive=True)
-        outputs[f"up{k}"] = Running("max", F.when(F.col(level) < k, F.col("node_id")), exclusive=True)
-    placed = ids
-    if outputs:
-        placed = running(ids, [doc], [F.col("node_id")], outputs, bucket=F.floor(F.col("node_id") / 1_000_000), cheap=True)
-    # Seen from a row, the last row of each level k above it must come after the
-    # last row of any lower level: then the whole chain up to the root exists.
-    father = F.when(F.col(level) == 1, F.lit(0).cast("long"))
-    chain = F.lit(True)
-    for k in range(1, int(deepest)):
-        chain = chain & F.col(f"at{k}").isNotNull() & (F.coalesce(F.col(f"up{k}"), F.lit(-1)) < F.col(f"at{k}"))
-        father = father.when((F.col(level) == k + 1) & chain, F.col(f"at{k}"))
-    placed = placed.withColumn("father_id", father).where("father_id IS NOT NULL").drop(*outputs)
-    placed = placed.withColumns({"sequence": F.col("node_id"), "depth": (F.col(level) - 1).cast("long")})
-    ranked = sibling_rank(materialize(placed, "outline-fathers"), unique_sequences=True)
+    slim = ids.select(F.col(doc).alias("doc"), F.floor(F.col("node_id") / BLOCK).alias("span"), F.col("node_id").alias("id"), F.col(level).cast("bigint").alias("level"))
+    blocks = slim.groupBy("doc", "span").agg(F.array_sort(F.collect_list(F.struct("id", "level"))).alias("rows"), F.min("level").alias("low"))
+    blocks = materialize(blocks.select("doc", "span", "low", _fold_rows(F.col("rows")).alias("f"), "rows").select("doc", "span", "low", "rows.level", "f.*"), "outline-blocks")
+    before = _open_before(blocks.select("doc", "span", "low", "stack")).withColumnsRenamed({"doc": "__doc", "span": "__span", "stack": "before"})
+    placed = blocks.drop("stack").join(before, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("span") == F.col("__span")))
+    placed = placed.select("before", F.explode(F.arrays_zip("out", "level")).alias("r")).select("r.out.*", F.col("r.level").alias("at"), "before")
+    placed = placed.withColumn("before", _above(F.col("before"), F.col("cut")))
+    father = F.coalesce("father", F.get("before", F.size("before") - 1)["id"], F.lit(0))
+    placed = placed.where(F.col("own") + F.size("before") == F.col("at") - 1).select(F.col("id").alias("node_id"), father.alias("father_id"))
+    tree = ids.join(placed, "node_id").select(*ids.columns, "father_id")
+    tree = tree.withColumns({"sequence": F.col("node_id"), "depth": (F.col(level) - 1).cast("long")})
+    ranked = sibling_rank(materialize(tree, "outline-fathers"), unique_sequences=True)
     return ranked.withColumn("sequence", F.col("rank")).drop("rank")
 
 

@@ -1,9 +1,12 @@
 """Search and replace against Python's own regex engine."""
 
+import random
 import re
 
+from conftest import SF
 from pyspark.sql import functions as F
 
+from thicket.operators import object_index as OI
 from thicket.operators import search as X
 
 O = X.SearchOptions
@@ -94,7 +97,9 @@ def test_objects_shift(spark):
     pts = spark.createDataFrame([(1, p) for p in range(0, 12)], "node_id long, match_start long")
     offsets = [3, 4, 8]
     objs = spark.createDataFrame([(1, o, "png", o) for o in offsets], "node_id long, offset long, kind string, obj_id long")
-    got = {r.match_start: r.n_before for r in X.objects_before(pts, objs).collect()}
+    texts = spark.createDataFrame([(1, "0123\n567\n90")], "node_id long, txt string")
+    index = OI.index_of(objs, texts)
+    got = {r.match_start: r.n_before for r in X.objects_before(pts, index).collect()}
     # Literal count: each object found moves the limit on by one.
     def count(limit):
         n, at = 0, 0
@@ -105,3 +110,39 @@ def test_objects_shift(spark):
         return n
 
     assert got == {p: count(p) for p in range(12)}
+    # offsets count objects, places in the text don't: 3, 3 and 6
+    assert [(r.offset, r.text_pos, r.line_num) for r in index.place.orderBy("offset").collect()] == [(3, 3, 1), (4, 3, 1), (8, 6, 2)]
+
+
+def test_object_index_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(OI, "STRETCH", 10)
+    rng = random.Random(8)
+    texts = {n: "".join(rng.choice("ab\n") for _ in range(rng.choice([0, 5, 9, 10, 95, 240]))) for n in range(12)}
+    objs = [(n, rng.randrange(0, len(t) + 12), rng.choice(["png", "codebox"]), k) for n, t in texts.items() for k in range(rng.randrange(0, 40))]
+    objs += [(50, 3, "png", 1), (50, 7, "png", 2)]  # a node without a text
+    index = OI.index_of(
+        spark.createDataFrame(objs, "node_id long, offset long, kind string, obj_id long"),
+        spark.createDataFrame(list(texts.items()), "node_id long, txt string"),
+    )
+    places = {}
+    for n in {o[0] for o in objs}:
+        for rank, (_, offset, kind, k) in enumerate(sorted((o for o in objs if o[0] == n), key=lambda o: o[1:]), 1):
+            places.setdefault(n, []).append((offset, kind, rank, offset - rank + 1))
+    got = {}
+    for r in index.place.collect():
+        got.setdefault(r.node_id, []).append((r.offset, r.kind, r.obj_rank, r.text_pos))
+        text = texts.get(r.node_id, "")
+        assert r.line_num == 1 + text[: max(r.text_pos, 0)].count("\n"), r
+    assert {n: sorted(v) for n, v in got.items()} == {n: sorted(v) for n, v in places.items()}
+    points = [(n, p) for n, t in texts.items() for p in range(len(t) + 1)] + [(50, 3), (50, 9), (99, 1)]
+    for r in X.objects_before(spark.createDataFrame(points, "node_id long, match_start long"), index).collect():
+        assert r.n_before == sum(p[3] <= r.match_start for p in places.get(r.node_id, [])), r
+
+
+def test_a_search_ranks_no_objects(spark):
+    """With an index the plan of a search sorts and ranks nothing of the object tables."""
+    from thicket.catalog import base
+
+    store, index = base.store(spark, SF), base.object_index(spark, SF)
+    plan = X.find_text(store, X.SearchOptions("the"), index=index)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "thicket-store" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.forest import root_paths
+from ..operators.object_index import ObjectIndex, build_index
 from ..session import materialize, shared_dir
 from ..sources.store import Store, load_store
 
@@ -207,6 +208,7 @@ def derived(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFram
 
 _STORES: dict[tuple[str, str], Store] = {}
 _PATHS: dict[tuple[str, str], DataFrame] = {}
+_INDEXES: dict[tuple[str, str], ObjectIndex] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -243,3 +245,11 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _PATHS:
         _PATHS[key] = materialize(root_paths(store(spark, sf_dir).children), "paths")
     return _PATHS[key]
+
+
+def object_index(spark: SparkSession, sf_dir: str) -> ObjectIndex:
+    """Places of the derived store's objects, built once per store version."""
+    key = _key(spark, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(store(spark, sf_dir))
+    return _INDEXES[key]

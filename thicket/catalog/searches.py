@@ -11,7 +11,7 @@ from ..session import shared_dir
 from ..sinks.export import save_store
 from ..sources.store import decode_nodes, load_store
 from ..sources.stored import encode_store
-from .base import paths, query, store, tables
+from .base import object_index, paths, query, store, tables
 from .scalars import NAMES_SQL, XML_SQL
 from .trees import ordered
 
@@ -135,7 +135,7 @@ FIND_TEXT_SQL = f""", {spans_sql('spans', 'node', 'node_id', 'txt', 'avec')}, {O
 
 @query("find_text", FIND_TEXT_SQL, "node codebox grid image")
 def _(spark, sf):
-    return X.find_text(store(spark, sf), WORD).drop("match_idx")
+    return X.find_text(store(spark, sf), WORD, index=object_index(spark, sf)).drop("match_idx")
 
 
 def _stored(spark, sf):
@@ -269,7 +269,7 @@ ALL_NEEDS = "resolved closure node codebox grid image preorder"
 
 
 def searched(spark, sf, word):
-    return X.all_matches(store(spark, sf), paths(spark, sf), ordered(spark, sf), X.SearchOptions(word, match_case=True))
+    return X.all_matches(store(spark, sf), paths(spark, sf), ordered(spark, sf), X.SearchOptions(word, match_case=True), index=object_index(spark, sf))
 
 
 @query("all_matches", ALL_SQL + " SELECT * FROM matches", ALL_NEEDS)
@@ -446,7 +446,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = store(spark, sf)
     points = s.node.select("node_id", F.explode(F.array(F.lit(50).cast("long"), F.lit(70).cast("long"))).alias("at"))
-    return X.objects_before(points, X.all_objects(s), "at")
+    return X.objects_before(points, object_index(spark, sf), "at")
 
 
 @query("objects_between", f', {OBJECTS_SQL} SELECT node_id, "offset" AS object_offset, kind FROM objects WHERE "offset" BETWEEN 20 AND 80', "codebox grid image")
@@ -461,6 +461,6 @@ def _(spark, sf):
     "codebox grid image",
 )
 def _(spark, sf):
-    return X.object_positions(X.all_objects(store(spark, sf))).select(
+    return object_index(spark, sf).place.select(
         "node_id", F.col("offset").alias("object_offset"), "kind", F.col("obj_rank").alias("rank"), "text_pos"
     )

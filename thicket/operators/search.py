@@ -13,11 +13,12 @@ from ..functions.text import (
     clip, first_line, fold_accents, regex_literal, replacement_literal, unicode_trim, xml_escape,
 )
 from ..model import PAGE_SIZE, RICH_SYNTAX
-from ..plans.joins import lookup_join
-from ..plans.scan import Running, numbered, running
+from ..plans.joins import lookup_join, sized
+from ..plans.scan import numbered
 from ..session import materialize
 from ..sources.store import Store, decode_nodes, image_kind
 from .forest import names_on_path, subtree
+from .object_index import ObjectIndex, all_objects, build_index, object_lines, object_positions, objects_before  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -180,68 +181,25 @@ def text_matches(df: DataFrame, text: str, opts: SearchOptions, keep: list[str])
     )
 
 
-def line_starts(text: str) -> Column:
-    """Offsets of the second and later lines of a text."""
-    ends = prefix_sums(F.transform(F.split(F.col(text), "\n"), lambda x: (F.length(x) + 1).cast("long")))
-    return let(ends, lambda e: F.slice(e, F.lit(1), F.size(e) - 1))
-
-
-def object_positions(objects: DataFrame) -> DataFrame:
-    """``text_pos`` of each object: its offset without the objects before it.
-
-    A buffer counts each object as one symbol, the searched text has none.
-    Ranks within a node are taken over ranges, so one node may own most objects.
-    """
-    ranked = numbered(objects, ["node_id"], [F.col("offset"), F.col("kind"), F.col("obj_id")], "obj_rank")
-    return ranked.withColumn("text_pos", F.col("offset") - F.col("obj_rank") + 1)
-
-
-def all_objects(store: Store) -> DataFrame:
-    """Every embedded object: node_id, offset, kind and a number that splits ties."""
-    code = store.codebox.select("node_id", "offset", F.lit("codebox").alias("kind"), F.xxhash64("txt", "syntax").alias("obj_id"))
-    grid = store.grid.select(
-        "node_id", "offset",
-        F.when(F.coalesce("is_light", F.lit(False)), F.lit("grid_light")).otherwise(F.lit("grid_heavy")).alias("kind"),
-        F.xxhash64("cells").alias("obj_id"),
-    )
-    image = store.image.select("node_id", "offset", image_kind().alias("kind"), F.xxhash64("anchor", "filename", "link", "png").alias("obj_id"))
-    return code.unionByName(grid).unionByName(image)
-
-
-def objects_before(points: DataFrame, objects: DataFrame, at: str = "match_start") -> DataFrame:
-    """Add ``n_before``: objects of the node at or before text position ``at``.
-
-    Points and objects are merged into one ordered sequence and counted with a
-    running scan, so neither side is collected per node. Objects that share a
-    text position are counted beforehand, so a stretch of 100,000 symbols holds
-    few rows whatever its objects.
-    """
-    cols = points.columns
-    pts = points.withColumns({"__pos": F.col(at).cast("long"), "__n": F.lit(0).cast("long"), "__is_obj": F.lit(0)})
-    objs = object_positions(objects).groupBy("node_id", F.col("text_pos").alias("__pos")).agg(F.count(F.lit(1)).alias("__n"))
-    merged = pts.unionByName(objs.withColumn("__is_obj", F.lit(1)), allowMissingColumns=True)
-    counted = running(
-        merged, ["node_id"], [F.col("__pos"), F.col("__is_obj").desc()],
-        {"n_before": Running("sum", F.col("__n"))}, bucket=F.floor(F.col("__pos") / 100_000),
-    )
-    return counted.where("__is_obj = 0").select(*cols, F.coalesce("n_before", F.lit(0)).cast("long").alias("n_before"))
-
-
 def objects_between(objects: DataFrame, start: int, end: int) -> DataFrame:
     """Objects whose offset lies in ``start..end``, in order."""
     return objects.where(F.col("offset").between(start, end))
 
 
-def find_text(store: Store, opts: SearchOptions, holders: DataFrame | None = None) -> DataFrame:
+def find_text(store: Store, opts: SearchOptions, holders: DataFrame | None = None, index: ObjectIndex | None = None) -> DataFrame:
     """Matches in body text per data holder, in text and in buffer offsets.
 
     Texts are searched where they lie. ``holders`` limits the result; it meets
-    the matches, so that no text is ever shuffled.
+    the matches, so that no text is ever shuffled. Without an ``index`` the objects of the
+    nodes that match are ranked for this search.
     """
     found = text_matches(store.node, "txt", opts, ["node_id"])
     if holders is not None:
         found = found.join(holders.select("node_id"), "node_id", "left_semi")
-    shifted = objects_before(found, all_objects(store))
+    found = materialize(found, "found")
+    if index is None:
+        index = build_index(store, sized(found.select("node_id").distinct(), "hit"))
+    shifted = objects_before(found, index)
     return shifted.select(
         "node_id", "match_idx", "match_start", "match_end",
         (F.col("match_start") + F.col("n_before")).alias("buffer_start"),
@@ -297,11 +255,12 @@ def find_link_targets(links: DataFrame, opts: SearchOptions) -> DataFrame:
 
 
 def all_matches(
-    store: Store, paths: DataFrame, ordered: DataFrame, opts: SearchOptions, run_links: DataFrame | None = None
+    store: Store, paths: DataFrame, ordered: DataFrame, opts: SearchOptions, run_links: DataFrame | None = None, index: ObjectIndex | None = None
 ) -> DataFrame:
     """Every match of a search, one row each, for all tree positions.
 
-    Holders are searched once; shared positions repeat their holder's matches.
+    Holders are searched once; shared positions repeat their holder's matches. ``index``
+    tells the places of objects; without one those of the nodes that match are ranked here.
     ``ordered`` has node_id and pos. Sorting is left to the caller: the key is
     (pos, is_name, start_offset, kind_rank, cell_idx, inner_start).
     """
@@ -316,7 +275,7 @@ def all_matches(
             "inner_end": F.lit(0).cast("long"), "is_name": F.lit(0)}
     pieces = []
     if opts.in_content:
-        text = find_text(store, opts, holders).select(
+        text = find_text(store, opts, holders, index).select(
             F.col("node_id").alias("h"), F.col("buffer_start").alias("start_offset"),
             F.col("buffer_end").alias("end_offset"), "line_num", "line_content",
         ).withColumns(none)
@@ -340,17 +299,8 @@ def all_matches(
         )
         objs = code.unionByName(grid).unionByName(names).unionByName(links)
         objs = materialize(objs.join(holders.where("rich"), "node_id", "left_semi"), "object-matches")
-        # Line number of an object: line starts up to its place in the text. Only
-        # the starts travel, not the texts.
-        hit_objects = objs.select("node_id", "offset").distinct()
-        nodes_hit = hit_objects.select("node_id").distinct()
-        places = object_positions(all_objects(store).join(nodes_hit, "node_id", "left_semi"))
-        places = places.groupBy("node_id", "offset").agg(F.min("text_pos").alias("text_pos"))
-        places = places.join(hit_objects, ["node_id", "offset"], "left_semi")
-        starts = store.node.where(F.col("syntax") == RICH_SYNTAX).select(F.col("node_id").alias("nid"), line_starts("txt").alias("starts"))
-        lines = lookup_join(places, starts, "node_id", "nid", "inner", check=False).select(
-            "node_id", "offset", (F.size(F.filter("starts", lambda x: x <= F.col("text_pos"))) + 1).cast("long").alias("line_num")
-        )
+        hits = objs.select("node_id", "offset").distinct()
+        lines = object_lines(hits, index or build_index(store, sized(hits.select("node_id").distinct(), "hit")))
         objs = objs.join(lines, ["node_id", "offset"]).select(
             F.col("node_id").alias("h"), F.col("offset").alias("start_offset"), (F.col("offset") + 1).alias("end_offset"),
             "line_num", "line_content", "object_kind", "cell_idx", "inner_start", "inner_end", F.lit(0).alias("is_name"),
@@ -358,9 +308,10 @@ def all_matches(
         both = text.unionByName(objs)
         pieces.append(lookup_join(both, open_pos.select("node_id", "holder_id"), "h", "holder_id", "inner", check=False).drop("h", "holder_id"))
     if opts.in_name_and_tags:
-        named = find_name_tags(open_pos, opts)
-        # Only matching nodes read their first line.
-        heads = store.node.select(F.col("node_id").alias("h"), first_line("txt").alias("line_content"))
+        named = materialize(find_name_tags(open_pos, opts), "named")
+        # only nodes that match give their first line
+        heads = store.node.join(sized(named.select(F.col("holder_id").alias("node_id")).distinct(), "named-holders"), "node_id", "left_semi")
+        heads = heads.select(F.col("node_id").alias("h"), first_line("txt").alias("line_content"))
         zero = F.lit(0).cast("long")
         pieces.append(
             lookup_join(named, heads, "holder_id", "h", "left", check=False).select(

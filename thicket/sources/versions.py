@@ -14,8 +14,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import TABLES
+from ..operators.object_index import INDEX_DDL, ObjectIndex, build_index
 from ..plans.joins import sized
 from ..session import materialize
 from .store import Store, align_schema, schema_of
@@ -89,10 +91,17 @@ def _write(spark: SparkSession, root: str, table: str, rows: DataFrame, buckets:
     return {int(n.split("=")[1]): f"{folder}/{n}" for n in made}
 
 
-def create_versions(store: Store, root: str, buckets: int = BUCKETS) -> Version:
-    """Writes a store as the first version under ``root``."""
+def _schema(table: str) -> T.StructType:
+    return T.StructType.fromDDL(INDEX_DDL[table]) if table in INDEX_DDL else schema_of(table)
+
+
+def create_versions(store: Store, root: str, buckets: int = BUCKETS, indexed: bool = True) -> Version:
+    """Writes a store as the first version under ``root``, with the index of its objects unless ``indexed`` is off."""
     spark = store.node.sparkSession
     folders = {name: _write(spark, root, name, align_schema(df, schema_of(name)), buckets) for name, df in store.tables().items()}
+    if indexed:
+        index = build_index(store)
+        folders |= {name: _write(spark, root, name, getattr(index, name), buckets) for name in INDEX_DDL}
     return _commit(spark, root, Version(1, buckets, folders))
 
 
@@ -100,7 +109,7 @@ def _read(spark: SparkSession, root: str, version: Version, table: str, only: se
     """A table of a version, or those of its buckets; columns and rows are pruned as in any Parquet table."""
     held = version.folders[table]
     paths = [f"{root}/{f}" for b, f in sorted(held.items()) if only is None or b in only]
-    schema = schema_of(table)
+    schema = _schema(table)
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
@@ -110,6 +119,12 @@ def read_version(spark: SparkSession, root: str, number: int | None = None) -> S
     return Store(**{t: _read(spark, root, version, t) for t in TABLES})
 
 
+def read_index(spark: SparkSession, root: str, number: int | None = None) -> ObjectIndex:
+    """The places of a version's objects, as kept with it."""
+    version = open_version(spark, root, number)
+    return ObjectIndex(*[_read(spark, root, version, t) for t in ("place", "step")])
+
+
 def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: Store, feed: str | None = None, batch_id: int | None = None) -> Version:
     """The next version: ``pending`` nodes written from ``changed``.
 
@@ -121,7 +136,8 @@ def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: S
     if the node was created again after it. A batch that ``feed`` has in the store already changes
     nothing, so batches may be replayed.
 
-    Reads and writes the buckets of those nodes alone.
+    Reads and writes the buckets of those nodes alone, and of the index those whose texts or
+    objects change.
     """
     now = open_version(spark, root)
     if feed is not None and now.batches.get(feed, -1) >= batch_id:
@@ -165,6 +181,14 @@ def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: S
         rows = _read(spark, root, now, table, touched).join(ids("removed OR buff"), "node_id", "left_anti")
         replace(table, touched, rows.unionByName(align_schema(getattr(changed, table), schema_of(table)).join(ids("buff AND NOT removed"), "node_id", "left_semi")))
 
+    if "place" in now.folders:
+        # objects stand where their node's text and objects put them, and those are in the buckets just written
+        after = Version(now.number + 1, now.buckets, folders)
+        part = Store(**{t: _read(spark, root, after, t, touched) if t in folders and t != "children" else _read(spark, root, now, t, set()) for t in TABLES})
+        index = build_index(part) if touched else None
+        for table in INDEX_DDL:
+            replace(table, touched, getattr(index, table, None))
+
     touched = buckets("dropped")
     replace("bookmark", touched, _read(spark, root, now, "bookmark", touched).join(ids("dropped"), "node_id", "left_anti"))
     batches = now.batches if feed is None else now.batches | {feed: batch_id}
@@ -179,7 +203,7 @@ def forget_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     numbers = version_numbers(spark, root)
     used = {f for n in numbers[-keep:] for held in open_version(spark, root, n).folders.values() for f in held.values()}
     gone = [f"manifests/{n:012d}.json" for n in numbers[:-keep]] + [f"manifests/{n}" for n in _names(spark, f"{root}/manifests") if n.startswith(".draft-")]
-    for table in TABLES:
+    for table in [*TABLES, *INDEX_DDL]:
         for folder in _names(spark, f"{root}/data/{table}"):
             buckets = [n for n in _names(spark, f"{root}/data/{table}/{folder}") if n.startswith(f"{_BUCKET}=")]
             dead = [n for n in buckets if f"data/{table}/{folder}/{n}" not in used]

@@ -23,7 +23,7 @@ MOST_SHARED = 8
 VERIFY_COST = 20
 #: Rounds against one leader per list go on while all pairs would be more than this many times
 #: the postings, and a round has left less than this share of the pairs before it.
-PAIRS_PER_POSTING, LEFT_BY_ROUND = 2, 0.8
+PAIRS_PER_POSTING, LEFT_BY_ROUND = 2, 0.5
 #: Longer lists than this are compared as wholes where leaders leave much, in blocks of so many sets.
 LONG_LIST, BLOCK_SETS = 64, 512
 #: Rounds of that at most; what they leave is enumerated.
@@ -217,11 +217,11 @@ def settled(here: DataFrame, sets: DataFrame, found: DataFrame | None, percent:
     component aside. Two sets with a home in common needn't meet again. Returns the postings
     with their new components and homes, the links, and the names of the homes.
     """
-    homes, last = [], float("inf")
+    homes, last, before = [], float("inf"), None
     while True:
         lists = materialize(_open_pairs(here, homes).where(F.col("m") > LONG_LIST).where("open > 0").select("t", "open"), "open")
         total, postings = lists.agg(F.sum("open")).head()[0] or 0, here.count()
-        if total <= postings or total > LEFT_BY_ROUND * last or len(homes) == MOST_HOMES:
+        if total <= PAIRS_PER_POSTING * postings or total > LEFT_BY_ROUND * last or len(homes) == MOST_HOMES:
             return here, found, homes
         last, home = total, f"home{len(homes)}"
         chosen = materialize(here.join(lists, "t").groupBy("key").agg(F.max_by("t", F.struct("open", "t")).alias(home), F.first("root").alias("root"), F.first("n").alias("n")), "homes")
@@ -234,7 +234,11 @@ def settled(here: DataFrame, sets: DataFrame, found: DataFrame | None, percent:
         here = here.drop("root").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         here = here.join(chosen.select("key", home), "key", "left")
         open_lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("t")
-        here, homes = materialize(here.join(open_lists, "t"), "lists"), [*homes, home]
+        with Scratch() as of_round:
+            here, homes = materialize(here.join(open_lists, "t"), "lists"), [*homes, home]
+        if before is not None:
+            before.drop()
+        before = of_round
 
 
 def links_between(sets: DataFrame, percent: int) -> DataFrame:
@@ -251,17 +255,20 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
     # needed for a posting to count when k tokens are asked for
     postings = postings.withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.col("alpha")) + 1))
     lists = postings.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
-    postings = materialize(postings.join(lists, "t"), "postings")
+    with Scratch() as whole:
+        postings = materialize(postings.join(lists, "t"), "postings")
     # what stands before a set's first shared token can't be common, which bounds its partners' sizes
     reach = postings.groupBy("key").agg(F.min("pos").alias("first"))
     postings = postings.join(reach, "key").withColumn("most", F.floor(((F.col("n") - F.col("first")) * (100 + percent)) / F.lit(percent)) - F.col("n")).where("100 * most >= n * " + str(percent)).drop("alpha", "first")
     postings = materialize(postings, "postings")
+    whole.drop()
 
     roots, found, seen, last = None, None, None, float("inf")
     while True:
         here = postings.withColumn("root", F.col("key")) if roots is None else postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0")).where("r0 < r1").select("t", "n0")
-        here = materialize(here.join(lists, "t").where("most >= n0").drop("n0"), "lists")
+        with Scratch() as of_round:
+            here = materialize(here.join(lists, "t").where("most >= n0").drop("n0"), "lists")
         by_root = here.groupBy("t", "root").agg(F.count("*").alias("m"))
         m = by_root.groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")).agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).head()
         if not m[0] or m[1] <= PAIRS_PER_POSTING * m[0] or float(m[1]) > LEFT_BY_ROUND * last:
@@ -279,6 +286,7 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
         pairs = here.join(leaders, "t").where((F.col("root") != F.col("last")) & _similar_sizes("n", "nb", percent)).select(F.col("key").alias("a"), "b").distinct()
         new = materialize(verified(pairs, sets, percent).select("a", "b"), "links")
         found = new if found is None else found.union(new)
+        of_round.drop()
         roots = components(found)
 
     here, found, homes = settled(here, sets, found, percent)
@@ -314,14 +322,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = Scratch()
     with own:
-        sets = shingle_sets(docs, id_col, text_col, width, percent)
-        full = sets.where("n > 0")
-        classes = full.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"))
-        reps = sets.where("tokens IS NOT NULL").join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
-        links = links_between(materialize(reps, "classes"), percent)
+        with Scratch() as whole:
+            sets = shingle_sets(docs, id_col, text_col, width, percent)
+        slim = materialize(sets.select("key", "id", "n", "h1", "h2"), "slim")
+        classes = slim.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"))
+        reps = materialize(sets.where("tokens IS NOT NULL").join(classes.select(F.col("rep").alias("key")), "key", "left_semi"), "classes")
+        whole.drop()
+        links = links_between(reps, percent)
         roots = components(links)
         classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
-        rows = sets.select("key", "id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
+        rows = slim.join(classes, ["n", "h1", "h2"], "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
         rows = materialize(rows, "rows", outlives=True)
     own.drop()
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f")).select("root", F.col("f.id").alias("component_id"), F.col("f.key").alias("first"))

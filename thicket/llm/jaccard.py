@@ -72,7 +72,7 @@ def choose_prefix(df: np.ndarray, alpha: int) -> int:
     return int(np.argmin(met * (1 + VERIFY_COST / np.arange(1, most + 1)))) + 1
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep: list[str] | None = None) -> DataFrame:
     """A row per document: its set's size and digest, its prefix postings, and the whole set where it has any.
 
     Tokens are ordered by document frequency over all documents, then by hash; those of a
@@ -125,16 +125,18 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate(t).view(np.int64) if t else np.zeros(0, np.int64)), pa.array(np.concatenate(pos) if pos else [], pa.int32())], ["t", "pos"])
         postings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_postings)]), pa.int32()), flat)
         ids = np.asarray(batch["id"])
+        row = {"row": batch["row"]} if keep else {}
         whole = pa.RecordBatch.from_arrays(
-            [pa.array(key + np.arange(n_docs)), pa.array(ids, pa.int64(), mask=ids == C.NO_ID), pa.array(size, pa.int64()), pa.array(digests[0]), pa.array(digests[1]), pa.array(shared), postings, pa.array(tokens, pa.binary())],
-            names=["key", "id", "n", "h1", "h2", "shared", "postings", "tokens"],
+            [pa.array(key + np.arange(n_docs)), pa.array(ids, pa.int64(), mask=ids == C.NO_ID), pa.array(size, pa.int64()), pa.array(digests[0]), pa.array(digests[1]), pa.array(shared), postings, pa.array(tokens, pa.binary()), *row.values()],
+            names=["key", "id", "n", "h1", "h2", "shared", "postings", "tokens", *row],
         )
         for row in range(0, n_docs, 2000):
             yield whole.slice(row, 2000)
 
-    chunks = C.chunk_documents(docs, id_col, text_col, count)
+    chunks = C.chunk_documents(docs, id_col, text_col, count, keep)
     n = C.buckets_for(chunks)
-    return materialize(C.answered(chunks, [C.answer(C.ask(chunks, n, ask), frequency)], n, prefixes, SET_SCHEMA), "sets")
+    schema = SET_SCHEMA + (f", row {docs.select(F.struct(*keep)).dtypes[0][1]}" if keep else "")
+    return materialize(C.answered(chunks, [C.answer(C.ask(chunks, n, ask), frequency)], n, prefixes, schema), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -306,7 +308,7 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
     return new if found is None else found.union(new)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
     """Groups documents that links of similar shingle sets connect.
 
     Words are runs outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; a document's set holds its
@@ -318,21 +320,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``stays`` (true for one row of each group, one with that id). Null, empty and blank texts
     have no shingles, link with nothing and stay. Equal sets form one class and are joined
     once, so copies aren't paired. Repeated rows are rows of one group. Other columns are not
-    carried.
+    carried but those named in ``keep``, as a struct ``row``.
     """
     own = Scratch()
     with own:
         with Scratch() as whole:
-            sets = shingle_sets(docs, id_col, text_col, width, percent)
-        slim = materialize(sets.select("key", "id", "n", "h1", "h2"), "slim")
+            sets = shingle_sets(docs, id_col, text_col, width, percent, keep)
+        row = ["row"] if keep else []
+        slim = materialize(sets.select("key", "id", "n", "h1", "h2", *row), "slim")
         classes = slim.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"))
         reps = materialize(sets.where("tokens IS NOT NULL").join(classes.select(F.col("rep").alias("key")), "key", "left_semi"), "classes")
         whole.drop()
         links = links_between(reps, percent)
         roots = components(links)
         classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
-        rows = slim.join(classes, ["n", "h1", "h2"], "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
+        rows = slim.join(classes, ["n", "h1", "h2"], "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"), *row)
         rows = materialize(rows, "rows", outlives=True)
     own.drop()
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("f")).select("root", F.col("f.id").alias("component_id"), F.col("f.key").alias("first"))
-    return rows.join(first, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("first")).alias("stays"))
+    return rows.join(first, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("first")).alias("stays"), *row)

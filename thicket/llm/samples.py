@@ -15,8 +15,8 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
-    """Labelled documents to learn from: ``columns`` and ``label``, in order of doc_id, as pandas.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """Labelled documents to learn from: doc_id, ``columns`` and ``label``.
 
     Takes rows with a label whose remainder isn't 0, at most ``rows`` of them, the first by a
     hash of their id, leaving out longer ones than ``chars``; so its size has a fixed bound.
@@ -24,4 +24,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: lis
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (remainder("doc_id") != 0))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     texts = docs.select("doc_id", *columns).where(F.length("text") <= chars)
-    return texts.join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
+    return texts.join(F.broadcast(known), "doc_id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS):
+    """``labelled_rows`` in order of doc_id, as pandas."""
+    return labelled_rows(docs, labels, label, columns, rows, chars).orderBy("doc_id").toPandas()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.chunks import small_batches
-from thicket.llm.samples import SAMPLE_ROWS, labelled_sample
+from thicket.llm.samples import SAMPLE_ROWS, labelled_rows
 from thicket.llm.words import LOWER, NO_LETTER, U, Words, mix, steps
 
 WINDOW, STRIDE = 32, 16
@@ -314,7 +315,19 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str]
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, n_windows long")
 
 
+def trained(sample: DataFrame) -> Network:
+    """``train`` on a bounded sample (doc_id, text, label), in one task; the driver gets the weights alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held).sort_by("doc_id") if held else pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})
+        net = train(table["text"].fill_null("").to_pylist(), table["label"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    nets = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "net binary").head()
+    return pickle.loads(nets[0]) if nets else train([], np.zeros(0, np.float32))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``score`` by a network trained on a bounded sample of the labels (see ``samples``)."""
-    sample = labelled_sample(docs, labels, "toxic", ["text"], rows)
-    return score(docs, train(sample["text"].fillna("").tolist(), sample["label"].to_numpy()), keep=keep)
+    return score(docs, trained(labelled_rows(docs, labels, "toxic", ["text"], rows)), keep=keep)

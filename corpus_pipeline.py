@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thicket.llm import jaccard, packing, quality_rules, substring
 from thicket.llm import toxicity as tox
@@ -29,6 +31,15 @@ def stage(f: Stage) -> Stage:
     return run_stage
 
 
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """The rows with the file that each comes from and its place there; rows of no file are written first."""
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place")]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:  # not read from files
+        return materialize(docs, "rows").select("*", *place)
+
+
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose most toxic window scores below one half."""
@@ -44,13 +55,14 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id.
+    """One document of each group of near duplicates: of those with an id the one with the smallest.
 
-    Equal rows count once; a document without an id can't be told from others and stays.
+    Rows are told apart by where they stand in their files, so equal rows, and rows that share
+    an id or have none, are judged one by one. Null, empty and blank texts stay.
     """
-    stays = jaccard.near_duplicates(docs).where("stays AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    rows = placed_rows(docs)
+    stays = jaccard.near_duplicates(rows, keep=["__file", "__place"]).where("stays").select("row.*")
+    return rows.join(stays, ["__file", "__place"], "left_semi").select(*docs.columns)
 
 
 @stage

@@ -14,6 +14,8 @@ from ..operators import sync as SY
 from ..operators.shared import resolve_shared
 from ..session import materialize, shared_dir
 from ..sinks import export as E
+from ..sinks import node_xml as NX
+from ..sources import node_xml as NR
 from ..sources import versions as V
 from ..sources import xml_store as XS
 from ..sources.store import load_store, schema_of
@@ -464,13 +466,25 @@ def _(spark, sf):
     "paths resolved",
 )
 def _(spark, sf):
-    files = materialize(E.export_multifile(store(spark, sf), paths(spark, sf)), "files")
+    files = materialize(NX.export_multifile(store(spark, sf), paths(spark, sf)), "files")
     return XS.multifile_nodes(files).select("node_id", "father_id", "depth", "name", "syntax", "tags", "sequence", "read_only")
 
 
+@query(
+    "multifile_store",
+    """, image2 AS (SELECT * REPLACE (CASE WHEN anchor = '' AND filename NOT IN ('', '__ct_special.tex') THEN time ELSE 0 END AS time) FROM image) """
+    + _digest_sql("children", "{t}", "bookmark", "node").replace("FROM image", "FROM image2"),
+    "children node codebox grid image bookmark",
+)
+def _(spark, sf):
+    """The whole store to folders and back: texts, objects, blobs, places, bookmarks. Only files keep their time."""
+    files = materialize(NX.export_multifile(store(spark, sf), paths(spark, sf)), "files")
+    return _digest(NR.multifile_store(files))
+
+
 @query("multifile_bookmarks", "SELECT node_id, sequence FROM bookmark", "bookmark")
 def _(spark, sf):
-    return XS.multifile_bookmarks(materialize(E.export_multifile(store(spark, sf), paths(spark, sf)), "files"))
+    return XS.multifile_bookmarks(materialize(NX.export_multifile(store(spark, sf), paths(spark, sf)), "files"))
 
 
 # --- sync ------------------------------------------------------------------------

@@ -13,15 +13,9 @@ from ..operators.aggregates import has_flags
 from ..operators.merge import OBJECT_TABLES, export_subtree
 from ..operators.search import object_positions
 from ..operators.shared import holder_id
-from ..operators.forest import sibling_rank
 from ..plans.joins import lookup_join
-from ..plans.scan import numbered
 from ..sources.store import Store, image_kind, node_kind
 
-#: Ids per part of a child list.
-IDS_PER_PART = 100_000
-
-
 def prepare_store(store: Store) -> Store:
     """As it is written: objects of rich nodes only, has_* flags from the objects."""
     rich = store.node.where(node_kind("syntax") == "rich").select("node_id")
@@ -225,60 +219,12 @@ def unreferenced_files(files: DataFrame, referenced: DataFrame) -> DataFrame:
     return loose.join(referenced.select("node_id", "file_name").distinct(), ["node_id", "file_name"], "left_anti")
 
 
-def export_multifile(store: Store, paths: DataFrame) -> DataFrame:
-    """Files of the folder form, as rows (path, content): ``node.xml`` per node,
-    ``subnodes.lst`` per father, ``bookmarks.lst`` at the top.
-
-    A father of any width is listed in parts of 100,000 ids (``subnodes.lst``,
-    ``subnodes.lst.1``, ...), so no list outgrows a row.
-    """
-    from ..sources.store import decode_nodes
-
-    node = decode_nodes(store.node).withColumn("hid", F.col("node_id")).drop("node_id")
-    pos = lookup_join(paths.select("node_id", "path", "master_id", holder_id().alias("holder")), node, "holder", "hid", "inner")
-    attr = lambda name, c: F.concat(F.lit(f' {name}="'), xml_escape(c), F.lit('"'))
-    num = lambda c: F.col(c).cast("string")
-    bit = lambda c: F.when(F.col(c), F.lit("1")).otherwise(F.lit("0"))
-    head = F.concat(
-        F.lit("<node"), attr("unique_id", num("node_id")), attr("master_id", num("master_id")), attr("name", F.col("name")),
-        attr("prog_lang", F.col("syntax")), attr("tags", F.col("tags")), attr("readonly", bit("read_only")),
-        attr("nosearch_me", bit("exclude_me")), attr("nosearch_ch", bit("exclude_children")), attr("custom_icon_id", num("custom_icon_id")),
-        attr("is_bold", bit("is_bold")), attr("foreground", F.col("foreground")), attr("ts_creation", num("ts_creation")),
-        attr("ts_lastsave", num("ts_lastsave")), F.lit(">"),
-    )
-    body = F.when(F.col("master_id") > 0, F.lit("")).otherwise(F.concat(F.lit("<rich_text>"), xml_escape("txt"), F.lit("</rich_text>")))
-    folder = F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
-    nodes = pos.select(F.concat(folder, F.lit("/node.xml")).alias("path"), F.concat(head, body, F.lit("</node>")).alias("content"))
-    ranked = sibling_rank(paths.select("node_id", "father_id", "sequence", "path"))
-    part = F.floor((F.col("rank") - 1) / IDS_PER_PART).cast("long")
-    lists = ranked.groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("up"), part.alias("part")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "node_id"))), lambda s: s["node_id"].cast("string")), ",").alias("content")
-    )
-    up = F.array_join(F.transform("up", lambda x: x.cast("string")), "/")
-    suffix = F.when(F.col("part") == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.col("part").cast("string")))
-    orders = lists.select(
-        F.concat(F.when(F.size("up") > 0, F.concat(up, F.lit("/"))).otherwise(F.lit("")), F.lit("subnodes.lst"), suffix).alias("path"), "content"
-    )
-    marks = numbered(store.bookmark, [], [F.col("sequence"), F.col("node_id")], "rank")
-    marks = marks.withColumn("part", F.floor((F.col("rank") - 1) / IDS_PER_PART).cast("long")).groupBy("part").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "node_id"))), lambda s: s["node_id"].cast("string")), ",").alias("content")
-    )
-    suffix = F.when(F.col("part") == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.col("part").cast("string")))
-    listed = marks.select(F.concat(F.lit("bookmarks.lst"), suffix).alias("path"), "content")
-    return nodes.unionByName(orders).unionByName(listed)
-
-
-def write_files(files: DataFrame, folder: str) -> None:
-    """(path, content) rows as text, one folder per path: ``folder/path=.../part-*``."""
-    files.select("path", "content").repartition("path").write.mode("overwrite").partitionBy("path").text(folder, lineSep="")
-
-
 def write_ordered_text(rows: DataFrame, path: str, content: str = "content") -> None:
     """Rows sorted by ``pos`` as text parts whose names follow the order."""
     rows.repartitionByRange("pos").sortWithinPartitions("pos").select(content).write.mode("overwrite").text(path, lineSep="")
 
 
 __all__ = [
-    "blob_store", "export_html", "export_index", "export_multifile", "export_text", "grid_to_xml", "new_blobs",
-    "node_texts", "prepare_store", "save_store", "unreferenced_files", "write_files", "write_ordered_text",
+    "blob_store", "export_html", "export_index", "export_text", "grid_to_xml", "new_blobs",
+    "node_texts", "prepare_store", "save_store", "unreferenced_files", "write_ordered_text",
 ]

@@ -135,12 +135,10 @@ def multifile_nodes(files: DataFrame) -> DataFrame:
         (F.size("ids") - 1).cast("long").alias("depth"), *NODE_ATTRIBUTES.values(),
         F.regexp_extract("text", r"(?s)<node(?:\s[^>]*)?>(.*)</node>", 1).alias("body"),
     )
-    part = F.coalesce(F.regexp_extract("base", r"\.(\d+)$", 1).try_cast("long"), F.lit(0))
-    order = located.where("base LIKE 'subnodes.lst%'").withColumn("part", part).select(
-        "part",
+    order = located.where("base = 'subnodes.lst'").select(
         F.when(F.size("ids") > 0, F.element_at("ids", -1).cast("long")).otherwise(F.lit(0)).cast("long").alias("ofather"),
         F.posexplode(F.split(F.trim("text"), r"\s*,\s*")).alias("i", "child"),
-    ).select(F.col("child").try_cast("long").alias("oid"), (F.col("i") + 1 + F.col("part") * 100_000).cast("long").alias("sequence"), "ofather")
+    ).select(F.col("child").try_cast("long").alias("oid"), (F.col("i") + 1).cast("long").alias("sequence"), "ofather")
     return nodes.join(order, (F.col("node_id") == F.col("oid")) & (F.col("father_id") == F.col("ofather")), "left").drop("oid", "ofather")
 
 
@@ -150,11 +148,9 @@ def _id_list(text: Column) -> Column:
 
 
 def multifile_bookmarks(files: DataFrame) -> DataFrame:
-    """Bookmarks of the folder form, from the top ``bookmarks.lst`` and its parts."""
-    base = F.regexp_extract("path", r"([^/]*)$", 1)
-    part = F.coalesce(F.regexp_extract(base, r"\.(\d+)$", 1).try_cast("long"), F.lit(0))
-    lists = files.where(base.rlike(r"^bookmarks\.lst(\.\d+)?$")).select(part.alias("part"), F.posexplode(_id_list(F.col("content").cast("string"))).alias("i", "node_id"))
-    return lists.select("node_id", (F.col("part") * 100_000 + F.col("i") + 1).alias("sequence"))
+    """Bookmarks of the folder form, from the top ``bookmarks.lst``."""
+    lists = files.where(F.regexp_extract("path", r"([^/]*)$", 1) == "bookmarks.lst")
+    return lists.select(F.posexplode(_id_list(F.col("content").cast("string"))).alias("i", "node_id")).select("node_id", (F.col("i") + 1).cast("long").alias("sequence"))
 
 
 def xml_bookmarks(files: DataFrame) -> DataFrame:
@@ -166,14 +162,15 @@ def xml_bookmarks(files: DataFrame) -> DataFrame:
 
 
 def read_multifile(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of a folder store: path below ``folder``, content."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "{node.xml,subnodes.lst*,bookmarks.lst*}").load(folder)
-    )
-    root = F.regexp_replace("path", r"^file:/*", "/")
-    rel = F.regexp_replace(root, "^" + folder.rstrip("/").replace("file://", ""), "")
-    return files.select(rel.alias("path"), "content")
+    """The files of a folder store, of whatever file system: path below ``folder``, content.
+
+    Files that the form doesn't have, and folders that are no node's, are passed over.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    marker = "/" + folder.split("://", 1)[-1].strip("/") + "/"
+    below = F.substring_index(F.concat(F.lit("/"), F.regexp_replace("path", r"^[\w.+-]+:/*", "")), marker, -1)
+    own = F.col("path").rlike(r"^(?:\d+/)*(?:node\.xml|subnodes\.lst|bookmarks\.lst|[0-9a-f]{64}(?:\.[^/]*)?)$")
+    return found.select(below.alias("path"), "content").where(own)
 
 
 def load_multifile(spark: SparkSession, folder: str) -> DataFrame:

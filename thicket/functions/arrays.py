@@ -41,6 +41,37 @@ def prefix_sums(values: Column) -> Column:
     return F.when(F.size(values) == 0, empty).otherwise(let(bound, with_chunks))
 
 
+def scan_array(values: Column, start: Column, state_type: str, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step(state, value)`` puts out for each element, in order; it gives the next state and the output.
+
+    The state passes from element to element within the row. Outputs are gathered in chunks,
+    so that n of them take n·sqrt(n) copies.
+    """
+    many = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def bind(s: Column) -> Column:
+        def inner(held: Column, value: Column) -> Column:
+            def put(r: Column) -> Column:
+                return F.struct(r["s"].cast(state_type).alias("s"), F.concat(held["o"], F.array(r["o"].cast(out_type))).alias("o"))
+
+            def run(state: Column) -> Column:
+                after, out = step(state, value)
+                return F.struct(after.alias("s"), out.alias("o"))
+
+            return let(let(held["s"], run), put)
+
+        def outer(held: Column, chunk: Column) -> Column:
+            part = F.slice(s["a"], (chunk * s["b"] + 1).cast("int"), s["b"].cast("int"))
+            done = F.aggregate(part, F.struct(held["s"].alias("s"), many(out_type).alias("o")), inner)
+            return let(done, lambda d: F.struct(d["s"].alias("s"), F.concat(held["o"], F.array(d["o"])).alias("o")))
+
+        chunks = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.size(s["a"]) / s["b"]) - 1)
+        return F.flatten(F.aggregate(chunks, F.struct(start.cast(state_type).alias("s"), many(f"array<{out_type}>").alias("o")), outer)["o"])
+
+    bound = F.struct(values.alias("a"), F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).alias("b"))
+    return F.when(F.size(values) == 0, many(out_type)).otherwise(let(bound, bind))
+
+
 #: Blocks of Unicode non-characters. They may stand in a text, so a free block is chosen for each.
 MARKS = ["".join(chr(0xFDD0 + 5 * k + i) for i in range(5)) for k in range(6)]
 

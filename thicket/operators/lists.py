@@ -1,15 +1,14 @@
 """Lists, to-dos and tables of contents written in plain text.
 
-Windows here run per text: a text is one row to begin with, so its lines always
-fit the task that held it.
+A text is one row to begin with, so its lines are folded within the row; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import with_marks
+from ..functions.arrays import let, scan_array, with_marks
 from ..model import LIST_BULLETS, LIST_NUMBER_ENDS, TOC_BULLETS, TODO_MARKS
 from ..plans.joins import lookup_join
 from ..plans.scan import Running, running
@@ -17,25 +16,54 @@ from ..plans.scan import Running, running
 INDENT = 3
 
 
-def _list_fields(line: Column) -> dict[str, Column]:
+#: A line's own grammar, and then the item it belongs to.
+_LINE = (
+    "struct<line_no:bigint,line:string,line_offset:bigint,own_kind:string,own_level:bigint,own_num:bigint,own_aux:bigint,"
+    "kind:string,level:bigint,num_seq:bigint,aux:bigint,startoffs:bigint,count_nl:bigint>"
+)
+_ITEM = "struct<line_no:bigint,level:bigint,kind:string,num:bigint,aux:bigint,startoffs:bigint>"
+
+
+def _own(line: Column, line_no: Column) -> Column:
     """Own grammar of one line: indent level, kind, number and bullet index."""
-    level = F.floor(F.length(F.regexp_extract(line, r"^((?:   )*+)", 1)) / INDENT).cast("long")
-    rest = F.substring(line, (level * INDENT + 1).cast("int"), F.length(line))
-    head, second = F.substring(rest, 1, 1), F.substring(rest, 2, 1)
-    number = F.regexp_extract(rest, r"^([1-9]\d*)[.)\->] ", 1)
-    end = F.regexp_extract(rest, r"^[1-9]\d*([.)\->]) ", 1)
-    bullet = F.instr(F.lit(LIST_BULLETS), head) - 1
-    is_mark = lambda marks: (head != "") & (F.instr(F.lit(marks), head) > 0) & (second == " ")
-    kind = (
-        F.when(is_mark(LIST_BULLETS), F.lit("bullet")).when(is_mark(TODO_MARKS), F.lit("todo"))
-        .when(number != "", F.lit("number")).otherwise(F.lit("none"))
-    )
-    return {
-        "own_level": level, "own_kind": kind,
-        "own_num": F.when(kind == "number", number.try_cast("long")).otherwise(F.lit(-1)).cast("long"),
-        "own_aux": F.when(kind == "bullet", bullet)
-        .when(kind == "number", F.instr(F.lit(LIST_NUMBER_ENDS), end) - 1).otherwise(F.lit(-1)).cast("long"),
-    }
+    is_mark = lambda marks, rest: (F.substring(rest, 1, 1) != "") & (F.instr(F.lit(marks), F.substring(rest, 1, 1)) > 0) & (F.substring(rest, 2, 1) == " ")
+
+    def of_rest(s: Column) -> Column:
+        rest, number = s["rest"], s["number"]
+        kind = F.when(is_mark(LIST_BULLETS, rest), F.lit("bullet")).when(is_mark(TODO_MARKS, rest), F.lit("todo")).when(number != "", F.lit("number")).otherwise(F.lit("none"))
+        end = F.substring(rest, F.length(number) + 1, F.lit(1))
+        return let(kind, lambda k: F.struct(
+            line_no.cast("bigint").alias("line_no"), line.alias("line"), s["level"].alias("own_level"), k.alias("own_kind"),
+            F.when(k == "number", number.try_cast("long")).otherwise(F.lit(-1)).cast("long").alias("own_num"),
+            F.when(k == "bullet", F.instr(F.lit(LIST_BULLETS), F.substring(rest, 1, 1)) - 1).when(k == "number", F.instr(F.lit(LIST_NUMBER_ENDS), end) - 1).otherwise(F.lit(-1)).cast("long").alias("own_aux"),
+        ))
+
+    def of_level(level: Column) -> Column:
+        rest = F.substring(line, (level * INDENT + 1).cast("int"), F.length(line))
+        return let(rest, lambda r: let(F.struct(r.alias("rest"), level.alias("level"), F.regexp_extract(r, r"^([1-9]\d*)[.)\->] ", 1).alias("number")), of_rest))
+
+    return let(F.floor(F.length(F.regexp_extract(line, r"^((?:   )*+)", 1)) / INDENT).cast("long"), of_level)
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text with the item that each belongs to, folded within the row."""
+    no_item = F.lit(None).cast(_ITEM)
+    state_type = f"struct<offset:bigint,item:{_ITEM},broken:boolean>"
+    start = F.struct(F.lit(0).cast("long").alias("offset"), no_item.alias("item"), F.lit(True).alias("broken"))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        new = x["own_kind"] != "none"
+        own = F.struct(x["line_no"].alias("line_no"), x["own_level"].alias("level"), x["own_kind"].alias("kind"), x["own_num"].alias("num"), x["own_aux"].alias("aux"), state["offset"].alias("startoffs"))
+        item = F.when(new, own).otherwise(state["item"])
+        broken = ~new & (state["broken"] | F.coalesce(x["own_level"] != state["item"]["level"] + 1, F.lit(True)))
+        of = lambda c: F.when(~broken, item[c])
+        out = F.struct(
+            x["line_no"], x["line"], state["offset"], x["own_kind"], x["own_level"], x["own_num"], x["own_aux"],
+            F.when(~broken, item["kind"]).otherwise(F.lit("none")), of("level"), of("num"), of("aux"), of("startoffs"), F.when(~broken, x["line_no"] - item["line_no"]),
+        )
+        return F.struct(state["offset"] + F.length(x["line"]) + 1, item, broken), out
+
+    return scan_array(F.transform(F.split(text, "\n"), _own), start, state_type, _LINE, step)
 
 
 def list_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -45,52 +73,24 @@ def list_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     one level deeper and no other line lies between. ``kind`` is ``none`` for
     lines outside lists; ``count_nl`` counts lines since the item's first.
     """
-    lines = df.select(*keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    doc = Window.partitionBy(*keep).orderBy("line_no")
-    lines = lines.withColumns(_list_fields(F.col("line"))).withColumns(
-        {
-            "line_offset": F.coalesce(
-                F.sum(F.length("line") + 1).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).cast("long"),
-            "item": F.last(
-                F.when(F.col("own_kind") != "none",
-                       F.struct("line_no", "own_level", "own_kind", "own_num", "own_aux")), ignorenulls=True
-            ).over(doc),
-        }
-    )
-    lines = lines.withColumn("item_offset", F.last(F.when(F.col("own_kind") != "none", F.col("line_offset")), ignorenulls=True).over(doc))
-    loose = (F.col("own_kind") == "none") & (
-        F.col("item").isNull() | (F.col("own_level") != F.col("item.own_level") + 1)
-    )
-    per_item = Window.partitionBy(*keep, "item.line_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("breaks", F.sum(loose.cast("int")).over(per_item))
-    inside = F.col("breaks") == 0
-    return lines.select(
-        *keep, F.col("line_no").cast("long").alias("line_no"), "line", "line_offset", "own_kind", "own_level", "own_num", "own_aux",
-        F.when(inside, F.col("item.own_kind")).otherwise(F.lit("none")).alias("kind"),
-        F.when(inside, F.col("item.own_level")).alias("level"),
-        F.when(inside, F.col("item.own_num")).alias("num_seq"),
-        F.when(inside, F.col("item.own_aux")).alias("aux"),
-        F.when(inside, F.col("item_offset")).alias("startoffs"),
-        F.when(inside, F.col("line_no") - F.col("item.line_no")).cast("long").alias("count_nl"),
-    )
+    return df.select(*keep, F.explode(_lines(F.col(text))).alias("l")).select(*keep, "l.*")
 
 
 def list_items(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per list item, its continuation lines joined in."""
-    # Texts without any list mark never reach the shuffle.
-    marks = rf"(?m)^(?:   )*+(?:[{LIST_BULLETS.replace('-', chr(92) + '-')}{TODO_MARKS}]|[1-9]\d*[.)\->]) "
-    lines = list_lines(df.where(F.col(text).rlike(marks)), text, keep).where("kind <> 'none'")
-    return lines.groupBy(*keep, "startoffs", "kind", "level", "num_seq", "aux").agg(
-        (F.max("count_nl") + 1).alias("n_lines"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("item_text"),
-    )
 
+    def items(lines: Column) -> Column:
+        last = lambda x, i: F.coalesce(F.get(lines, i + 1)["startoffs"] != x["startoffs"], F.lit(True))
+        ends = F.filter(lines, lambda x, i: (x["kind"] != "none") & last(x, i))
 
-def _rejoin(lines: DataFrame, keep: list[str], line: Column) -> DataFrame:
-    return lines.withColumn("__new", line).groupBy(*keep).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "__new"))), lambda s: s["__new"]), "\n").alias("text")
-    )
+        def one(x: Column) -> Column:
+            own = F.slice(lines, (x["line_no"] - x["count_nl"] + 1).cast("int"), (x["count_nl"] + 1).cast("int"))
+            item_text = F.array_join(F.transform(own, lambda y: y["line"]), "\n")
+            return F.struct(x["startoffs"].alias("startoffs"), x["kind"].alias("kind"), x["level"].alias("level"), x["num_seq"].alias("num_seq"), x["aux"].alias("aux"), (x["count_nl"] + 1).alias("n_lines"), item_text.alias("item_text"))
+
+        return F.transform(ends, one)
+
+    return df.select(*keep, F.explode(let(_lines(F.col(text)), items)).alias("l")).select(*keep, "l.*")
 
 
 def renumber_lists(df: DataFrame, text: str, keep: list[str], from_line: int = -1, start: int = 1, level: int = 0) -> DataFrame:
@@ -99,18 +99,17 @@ def renumber_lists(df: DataFrame, text: str, keep: list[str], from_line: int = -
     Stops at the first line outside lists or the first item on the level that is
     no number; deeper and shallower items are passed over.
     """
-    lines = list_lines(df, text, keep)
-    after = F.col("line_no") > from_line
-    stop = after & ((F.col("kind") == "none") | ((F.col("level") == level) & (F.col("kind") != "number")))
-    doc = Window.partitionBy(*keep).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("stopped", F.max(stop).over(doc))
-    target = after & ~F.col("stopped") & (F.col("own_kind") == "number") & (F.col("own_level") == level)
-    lines = lines.withColumn("hit", target).withColumn("n", F.sum(F.col("hit").cast("long")).over(doc))
-    new = F.concat(
-        F.repeat(F.lit(" "), F.lit(INDENT * level)), (F.col("n") + start - 1).cast("string"),
-        F.regexp_replace(F.ltrim("line"), r"^\d+", ""),
-    )
-    return _rejoin(lines, keep, F.when(F.col("hit"), new).otherwise(F.col("line")))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        after = x["line_no"] > from_line
+        stopped = state["stopped"] | (after & ((x["kind"] == "none") | ((x["level"] == level) & (x["kind"] != "number"))))
+        hit = after & ~stopped & (x["own_kind"] == "number") & (x["own_level"] == level)
+        new = F.concat(F.repeat(F.lit(" "), F.lit(INDENT * level)), state["next"].cast("string"), F.regexp_replace(F.ltrim(x["line"]), r"^\d+", ""))
+        return F.struct(stopped, state["next"] + hit.cast("long")), F.when(hit, new).otherwise(x["line"])
+
+    begin = F.struct(F.lit(False), F.lit(start).cast("long"))
+    out = scan_array(_lines(F.col(text)), begin, "struct<stopped:boolean,next:bigint>", "string", step)
+    return df.where(F.col(text).isNotNull()).select(*keep, F.array_join(out, "\n").alias("text"))
 
 
 def indent_lists(df: DataFrame, text: str, keep: list[str], increase: bool = True, indent: str = "\t") -> DataFrame:
@@ -118,46 +117,44 @@ def indent_lists(df: DataFrame, text: str, keep: list[str], increase: bool = Tru
 
     Items move by three spaces and take the bullet or number style of the
     nearest item above on the new level, else the next style in the cycle;
-    other lines get or lose ``indent``. The number of levels is read from the
-    data, so any depth works.
+    other lines get or lose ``indent``. Above a line the levels still open form a stack,
+    which a line outside lists empties; so any depth works, within the row.
     """
-    lines = list_lines(df, text, keep)
-    deepest = lines.agg(F.max("own_level")).head()[0] or 0
-    doc = Window.partitionBy(*keep).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    info = F.struct(F.col("level").alias("level"), F.col("kind").alias("kind"), F.col("aux").alias("aux"), F.col("num_seq").alias("num"))
-    outside = F.col("kind") == "none"
-    step = 1 if increase else -1
-    target = F.col("own_level") + step
-    above = F.lit(None).cast("struct<level:bigint,kind:string,aux:bigint,num:bigint>")
-    for k in range(0, int(deepest) + 2):
-        near = F.last(F.when(outside | (F.col("level") <= k), info), ignorenulls=True).over(doc)
-        lines = lines.withColumn(f"near{k}", near)
-        above = F.when(target == k, F.col(f"near{k}")).otherwise(above)
-    lines = lines.withColumn("above", above)
-    found = (F.col("above.kind") != "none") & (F.col("above.level") == target)
-
-    def cycled(size: int) -> Column:
-        return F.pmod(target + F.col("own_aux") - F.col("own_level") % size, F.lit(size)).cast("int")
-
-    bullet = F.when(found & (F.col("above.kind") == "bullet"), F.col("above.aux").cast("int")).otherwise(cycled(len(LIST_BULLETS)))
-    same_number = found & (F.col("above.kind") == "number")
-    number = F.when(same_number, F.col("above.num") + 1).otherwise(F.lit(1))
-    end = F.when(same_number, F.col("above.aux").cast("int")).otherwise(cycled(len(LIST_NUMBER_ENDS)))
-    body = F.substring("line", (F.col("own_level") * INDENT + 1).cast("int"), F.length("line"))
+    step_by = 1 if increase else -1
+    entry = "struct<level:bigint,kind:string,aux:bigint,num:bigint>"
     pick = lambda chars, i: F.substring(F.lit(chars), i + 1, F.lit(1))
-    styled = (
-        F.when(F.col("own_kind") == "bullet", F.concat(pick(LIST_BULLETS, bullet), F.substring(body, F.lit(2), F.length(body))))
-        .when(F.col("own_kind") == "number", F.concat(number.cast("string"), pick(LIST_NUMBER_ENDS, end), F.regexp_replace(body, r"^\d+[.)\->]", "")))
-        .otherwise(body)
-    )
-    pad = F.array_join(F.array_repeat(F.lit(" " * INDENT), (F.col("own_level") + step).cast("int")), "")
-    moved = F.concat(pad, styled)
-    moves = (F.col("kind") != "none") & (F.lit(increase) | (F.col("level") > 0))
-    plain = (
-        F.concat(F.lit(indent), F.col("line")) if increase
-        else F.when(F.col("line").startswith(indent), F.substring("line", F.lit(len(indent) + 1), F.length("line"))).otherwise(F.col("line"))
-    )
-    return _rejoin(lines, keep, F.when(moves, moved).when(F.col("kind") == "none", plain).otherwise(F.col("line")))
+
+    def moved(x: Column, target: Column, above: Column) -> Column:
+        found = F.coalesce(above["level"] == target, F.lit(False))
+        cycled = lambda size: F.pmod(target + x["own_aux"] - x["own_level"] % size, F.lit(size)).cast("int")
+        bullet = F.when(found & (above["kind"] == "bullet"), above["aux"].cast("int")).otherwise(cycled(len(LIST_BULLETS)))
+        same_number = found & (above["kind"] == "number")
+        number = F.when(same_number, above["num"] + 1).otherwise(F.lit(1))
+        end = F.when(same_number, above["aux"].cast("int")).otherwise(cycled(len(LIST_NUMBER_ENDS)))
+        body = F.substring(x["line"], (x["own_level"] * INDENT + 1).cast("int"), F.length(x["line"]))
+        styled = (
+            F.when(x["own_kind"] == "bullet", F.concat(pick(LIST_BULLETS, bullet), F.substring(body, F.lit(2), F.length(body))))
+            .when(x["own_kind"] == "number", F.concat(number.cast("string"), pick(LIST_NUMBER_ENDS, end), F.regexp_replace(body, r"^\d+[.)\->]", "")))
+            .otherwise(body)
+        )
+        return F.concat(F.repeat(F.lit(" " * INDENT), target.cast("int")), styled)
+
+    def step(stack: Column, x: Column) -> tuple[Column, Column]:
+        target = x["own_level"] + step_by
+        below = F.filter(stack, lambda e: e["level"] <= target)
+        above = F.get(below, F.size(below) - 1)
+        outside = x["kind"] == "none"
+        moves = ~outside & (F.lit(increase) | (x["level"] > 0))
+        plain = (
+            F.concat(F.lit(indent), x["line"]) if increase
+            else F.when(x["line"].startswith(indent), F.substring(x["line"], F.lit(len(indent) + 1), F.length(x["line"]))).otherwise(x["line"])
+        )
+        own = F.array(F.struct(x["level"].alias("level"), x["kind"].alias("kind"), x["aux"].alias("aux"), x["num_seq"].alias("num")))
+        left = F.when(outside, F.array().cast(f"array<{entry}>")).otherwise(F.concat(F.filter(stack, lambda e: e["level"] < x["level"]), own))
+        return left, F.when(moves, moved(x, target, above)).when(outside, plain).otherwise(x["line"])
+
+    out = scan_array(_lines(F.col(text)), F.array().cast(f"array<{entry}>"), f"array<{entry}>", "string", step)
+    return df.where(F.col(text).isNotNull()).select(*keep, F.array_join(out, "\n").alias("text"))
 
 
 def rotate_todo(c: Column) -> Column:

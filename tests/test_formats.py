@@ -1,5 +1,7 @@
 """Import and export formats, files, streams and round trips."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from thicket.operators import merge as M
@@ -21,12 +23,12 @@ def frame(spark, *texts):
 
 def test_note_with_empty_tag(spark):
     xml = (
-        '<?xml version="1.0" encoding="utf-8"?>\n<note version="0.3">\n  <title>Harmless Meeting Note</title>\n  <tags>\n    <tag></tag>\n'
-        '  </tags>\n  <text>\n    <note-content version="0.1">A normal note.</note-content>\n  </text>\n</note>\n'
+        '<?xml version="1.0" encoding="utf-8"?>\n<note version="0.3">\n  <title>Pumps and valves</title>\n  <tags>\n    <tag></tag>\n'
+        '  </tags>\n  <text>\n    <note-content version="0.1">Check the seals.</note-content>\n  </text>\n</note>\n'
     )
     skip = "<note><title>Some Long Notebook Template</title><text><note-content>x</note-content></text></note>"
     df = spark.createDataFrame([("a", xml), ("b", skip), ("c", "<note><title>t</title></note>")], "path string, text string")
-    assert [(r.name, r.notebook, r.body) for r in XS.note_xml_records(df).collect()] == [("Harmless Meeting Note", "", "A normal note.")]
+    assert [(r.name, r.notebook, r.body) for r in XS.note_xml_records(df).collect()] == [("Pumps and valves", "", "Check the seals.")]
 
 
 def test_encodings(spark, tmp_path):
@@ -164,6 +166,62 @@ def test_watched_files_stream(spark, tmp_path):
     assert got == {"a.txt": "one", "b.txt": "two"}
 
 
+def test_changed_files_are_read_again(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    (src / "sub").mkdir(parents=True)
+    (src / "a.txt").write_text("one")
+    (src / "b.txt").write_text("two")
+    (src / "sub" / "locked.txt").write_text("old")
+    seen = lambda: {r.path.rsplit("/", 1)[1]: bytes(r.content).decode() for r in ST.latest_files(spark, out).collect()}
+
+    def holders():
+        return spark.createDataFrame([(f"file:{src}/sub/locked.txt", 7), (f"file:{src}/a.txt", 1)], "path string, node_id long")
+
+    locked = spark.createDataFrame([(7,)], "node_id long")
+    assert ST.latest_files(spark, out).count() == 0
+    assert ST.poll_versions(spark, str(src), out, 0, holders(), locked) == 2
+    assert seen() == {"a.txt": "one", "b.txt": "two"}
+    assert ST.poll_versions(spark, str(src), out, 1, holders(), locked) == 0
+    (src / "a.txt").write_text("one, longer")
+    (src / "c.txt").write_text("three")
+    (src / "b.txt").unlink()
+    for _ in range(2):  # a repeated poll replaces itself
+        assert ST.poll_versions(spark, str(src), out, 2, holders(), locked) == 3
+        assert seen() == {"a.txt": "one, longer", "c.txt": "three"}
+    (src / "b.txt").write_text("back")
+    assert ST.poll_versions(spark, str(src), out, 3) == 2  # and locked.txt, as nothing is read-only now
+    assert seen() == {"a.txt": "one, longer", "b.txt": "back", "c.txt": "three", "locked.txt": "old"}
+
+
+def test_a_watching_stream_sees_overwritten_files(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.txt").write_text("one")
+
+    def wait_for(text):
+        end = time.time() + 120
+        while time.time() < end:
+            if [bytes(r.content).decode() for r in ST.latest_files(spark, out).collect()] == [text]:
+                return True
+            time.sleep(1)
+        return False
+
+    start = lambda: ST.watch_versions(spark, str(src), out, trigger={"processingTime": "1 second"}, checkpoint=str(tmp_path / "cp"))
+    q = start()
+    try:
+        assert wait_for("one")
+        (src / "a.txt").write_text("two")
+        assert wait_for("two")
+    finally:
+        q.stop()
+    (src / "a.txt").write_text("three!")
+    q = start()
+    try:
+        assert wait_for("three!")
+    finally:
+        q.stop()
+
+
 def test_delete_hands_over_masters(spark):
     from thicket.operators.forest import root_paths
     from thicket.sources.store import Store, schema_of

@@ -638,6 +638,25 @@ def _(spark, sf):
     return ST.latest_of_batches(spark, out)
 
 
+@query(
+    "watch_versions",
+    """SELECT 'page-' || page_id || '.html' AS name, md5(CASE WHEN starts_with(url, 'https') THEN coalesce(html, '') ELSE 'v2 ' || coalesce(html, '') END) AS digest
+       FROM pages WHERE strlen(coalesce(html, '')) >= 200""",
+)
+def _(spark, sf):
+    """Pages as files: all are seen, then some are overwritten and the short ones removed."""
+    folder, out = (f"{shared_dir(spark)}/thicket-{name}-{uuid.uuid4().hex}" for name in ("files", "polls"))
+    pages = tables(spark, sf)["pages"]
+    html = F.coalesce("html", F.lit(""))
+    files = pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), html.alias("content"), "url")
+    NX.write_files(files, folder)
+    ST.poll_versions(spark, folder, out, 0)
+    NX.write_files(files.where("NOT startswith(url, 'https')").withColumn("content", F.concat(F.lit("v2 "), "content")), folder)
+    NX.remove_files(files.where(F.octet_length("content") < 200), folder)
+    ST.poll_versions(spark, folder, out, 1)
+    return ST.latest_files(spark, out).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.md5("content").alias("digest"))
+
+
 @query(
     "slice_node",
     f""", {OBJECTS_SQL} SELECT o.node_id, o."offset" - 10 AS object_offset, o.kind, substr(n.txt, 11, 50) AS piece FROM objects AS o JOIN node AS n ON n.node_id = o.node_id

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -142,20 +143,38 @@ def write_files(files: DataFrame, folder: str) -> int:
     executors reach.
     """
 
+    def put(system, place: str, content: bytes | None) -> None:
+        above, _, name = place.rpartition("/")
+        system.create_dir(above, recursive=True)
+        draft = f"{above}/.{name}.{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as out:
+            out.write(content or b"")
+        system.move(draft, place)
+
+    return _each_file(files.select("path", F.col("content").cast("binary").alias("content")), folder, put)
+
+
+def remove_files(files: DataFrame, folder: str) -> int:
+    """Deletes the files ``folder/path``, those that are there; returns how many rows were given."""
+
+    def drop(system, place: str, _: bytes | None) -> None:
+        if system.get_file_info(place).is_file:
+            system.delete_file(place)
+
+    return _each_file(files.select("path", F.lit(None).cast("binary").alias("content")), folder, drop)
+
+
+def _each_file(files: DataFrame, folder: str, do) -> int:
+    """``do(file system, path, content)`` for each row, in tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        local = folder.startswith("file:") or "://" not in folder
+        system, root = (fs.LocalFileSystem(), re.sub(r"^file:/+", "/", folder)) if local else fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                place = f"{root}/{path}"
-                above, _, name = place.rpartition("/")
-                system.create_dir(above, recursive=True)
-                draft = f"{above}/.{name}.{uuid.uuid4().hex}"
-                with system.open_output_stream(draft) as out:
-                    out.write(content or b"")
-                system.move(draft, place)
+                do(system, f"{root}/{path}", content)
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
 
-    written = files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    return files.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]

@@ -146,3 +146,20 @@ def test_a_search_ranks_no_objects(spark):
     store, index = base.store(spark, SF), base.object_index(spark, SF)
     plan = X.find_text(store, X.SearchOptions("the"), index=index)._jdf.queryExecution().toString()
     assert "Window" not in plan and "thicket-store" not in plan
+
+
+def test_pages_are_numbered_alone(spark):
+    names = ["pos", "is_name", "start_offset", "kind_rank", "object_kind", "cell_idx", "inner_start", "line_content"]
+    rows = [(n // 3, 0, n % 3, 1, "text", 0, 0, str(n)) for n in range(2345)]
+    random.Random(4).shuffle(rows)
+    pages = X.match_pages(spark.createDataFrame(rows, names).repartition(7), size=100)
+    assert pages.total == 2345 and len(pages.ranges) > 1
+    for n in (0, 7, 23):
+        got = X.page(pages, n).orderBy("row_num").collect()
+        assert [int(r.line_content) for r in got] == list(range(n * 100, min(2345, (n + 1) * 100)))
+        assert [r.row_num for r in got] == list(range(n * 100 + 1, min(2345, (n + 1) * 100) + 1))
+    read = X.page(pages, 23).inputFiles()
+    assert X.page(pages, 24).count() == 0 and read
+    assert X.match_pages(spark.createDataFrame([], "pos long, is_name int, start_offset long, kind_rank int, object_kind string, cell_idx long, inner_start long, line_content string")).total == 0
+    labels = lambda n: [r.label for r in X.page_labels(spark.createDataFrame([(n,)], "n long"), 100).orderBy("page").collect()]
+    assert labels(250) == ["1..100", "101..200", "201..250"] and labels(0) == ["1..0"]

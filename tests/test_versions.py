@@ -124,6 +124,9 @@ def test_a_change_writes_the_buckets_of_its_nodes(spark, tmp_path):
         assert len(rewritten) <= (0 if table == "bookmark" else 8)
         files = [p for p in (tmp_path / "data" / table).glob("*/*/*.parquet") if not any(str(p.parent).endswith(f) for f in first.folders[table].values())]
         assert {int(p.parent.name.split("=")[1]) for p in files} == rewritten
+    diff = V.version_diff(spark, root, 1, 2).groupBy("side", "table_name").count().collect()
+    assert {(r.side, r.table_name): r["count"] for r in diff} == {("left", "node"): 8, ("right", "node"): 8}
+    assert V.version_diff(spark, root, 2, 2).count() == 0
     got = V.read_version(spark, root)
     assert got.node.where("txt = 'new'").count() == 8 and got.node.count() == 900 and got.codebox.count() == 450
 

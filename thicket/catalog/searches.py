@@ -311,6 +311,16 @@ def _(spark, sf):
     return X.paged(searched(spark, sf, "avec")).select("node_id", "start_offset", "object_kind", "row_num", "page")
 
 
+@query(
+    "one_page",
+    ALL_SQL + f""" SELECT node_id, start_offset, object_kind, row_num FROM (
+        SELECT *, row_number() OVER (ORDER BY {MATCH_ORDER_SQL}) AS row_num FROM matches) WHERE row_num BETWEEN 501 AND 1000""",
+    ALL_NEEDS,
+)
+def _(spark, sf):
+    return X.page(X.match_pages(searched(spark, sf, "avec")), 1).select("node_id", "start_offset", "object_kind", F.col("row_num").cast("long").alias("row_num"))
+
+
 @query(
     "page_labels",
     """SELECT CAST(p AS BIGINT) AS page, (p * 500 + 1) || '..' || least((p + 1) * 500, n) AS label

@@ -225,17 +225,23 @@ def _(spark, sf):
 
 @query(
     "store_diff",
-    """SELECT side, 'node' AS table_name, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'left' AS side FROM node WHERE contains(txt, 'avec') AND (is_ro & 1) = 0
-       UNION ALL SELECT 'right' FROM node WHERE contains(txt, 'avec') AND (is_ro & 1) = 0) GROUP BY side""",
-    "node",
+    """SELECT side, table_name, CAST(count(*) AS BIGINT) AS n, CAST(sum(node_id) AS BIGINT) AS ids FROM (
+         SELECT unnest(['left', 'right']) AS side, 'node' AS table_name, node_id FROM node WHERE contains(txt, 'avec') AND (is_ro & 1) = 0
+         UNION ALL SELECT 'left', 'image', node_id FROM image WHERE anchor = 'note'
+         UNION ALL SELECT unnest(['left', 'right']), 'grid', node_id FROM grid WHERE node_id < 1101
+         UNION ALL SELECT 'right', 'children', node_id FROM children WHERE father_id = 0) GROUP BY side, table_name""",
+    "node image grid children",
 )
 def _(spark, sf):
     s = store(spark, sf)
     changed = X.replace_text(s.node, X.SearchOptions("avec", match_case=True), "mit")
-    other = s.with_tables(node=s.node.join(changed.select("node_id"), "node_id", "left_anti").select(*s.node.columns).unionByName(changed))
-    # Cell lists cannot be compared by EXCEPT ALL in every engine; text forms can.
-    flat = lambda st: st.with_tables(grid=st.grid.withColumn("cells", G.cells_to_csv(F.col("cells"))))
-    return M.store_diff(flat(s), flat(other)).groupBy("side", "table_name").agg(F.count(F.lit(1)).alias("n"))
+    tops = s.children.where("father_id = 0")
+    other = s.with_tables(
+        node=s.node.join(changed.select("node_id"), "node_id", "left_anti").select(*s.node.columns).unionByName(changed),
+        image=s.image.where("anchor <> 'note'"), children=s.children.unionByName(tops),
+        grid=s.grid.withColumn("is_light", F.when(F.col("node_id") < 1101, ~F.col("is_light")).otherwise(F.col("is_light"))),
+    )
+    return M.store_diff(s, other).groupBy("side", "table_name").agg(F.count(F.lit(1)).alias("n"), F.sum("node_id").alias("ids"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, match_parts, prefix_sums
@@ -366,16 +366,52 @@ def paged(matches: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return ranked.withColumn("page", F.floor((F.col("row_num") - 1) / size).cast("long"))
 
 
-def page(matches: DataFrame, n: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of the matches (0-based)."""
-    return paged(matches, size).where(F.col("page") == n)
+@dataclass(frozen=True)
+class MatchPages:
+    """Matches in ranges of their order, written, and per range the number of matches before and in it."""
+
+    rows: DataFrame
+    ranges: list[tuple[int, int, int]]  # range, matches before it, matches in it
+    size: int
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, _, n in self.ranges)
+
+
+def match_pages(matches: DataFrame, size: int = PAGE_SIZE) -> MatchPages:
+    """Matches made ready for paging: sorted out into ranges and counted, numbered not at all.
+
+    The driver gets one count per range, of which there are as many as shuffle partitions.
+    """
+    rows = matches.repartitionByRange(*MATCH_ORDER).withColumn("__range", F.spark_partition_id())
+    rows = materialize(rows, "pages")
+    counts, ranges, before = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect(), [], 0
+    for r in sorted(counts):
+        ranges.append((r["__range"], before, r.n))
+        before += r.n
+    return MatchPages(rows, ranges, size)
+
+
+def page(pages: MatchPages, n: int) -> DataFrame:
+    """One page (0-based) with ``row_num``: reads and numbers the ranges that hold it, mostly one."""
+    first, last = n * pages.size + 1, (n + 1) * pages.size
+    own = [(r, before) for r, before, count in pages.ranges if before < last and before + count >= first]
+    rows = pages.rows.where(F.col("__range").isin([r for r, _ in own]) if own else F.lit(False))
+    # a range fits a task, as a partition of the sort that made it
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*MATCH_ORDER))
+    before = F.lit(0).cast("long")
+    for r, b in own:
+        before = F.when(F.col("__range") == r, F.lit(b).cast("long")).otherwise(before)
+    return rows.withColumn("row_num", number + before).where(F.col("row_num").between(first, last)).drop("__range")
 
 
 def page_labels(total: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
-    """``a..b`` labels of all pages from a one-row frame with column ``n``."""
-    pages = total.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / size), F.lit(1)) - 1)).alias("page"))
-    first, last = F.col("page") * size + 1, F.least((F.col("page") + 1) * size, F.col("n"))
-    return pages.select(F.col("page").cast("long").alias("page"), F.concat(first.cast("string"), F.lit(".."), last.cast("string")).alias("label"))
+    """``a..b`` labels of all pages from a one-row frame with column ``n``; at least one page."""
+    n = total.head()[0] or 0  # one number
+    pages = total.sparkSession.range(max(1, -(-n // size))).withColumnRenamed("id", "page")
+    first, last = F.col("page") * size + 1, F.least((F.col("page") + 1) * size, F.lit(n).cast("long"))
+    return pages.select("page", F.concat(first.cast("string"), F.lit(".."), last.cast("string")).alias("label"))
 
 
 def match_summary(matches: DataFrame) -> DataFrame:

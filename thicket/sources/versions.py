@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import TABLES
+from ..operators.merge import store_diff
 from ..operators.object_index import INDEX_DDL, ObjectIndex, build_index
 from ..plans.joins import sized
 from ..session import materialize
@@ -195,6 +196,17 @@ def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: S
     return _commit(spark, root, Version(now.number + 1, now.buckets, folders, batches))
 
 
+def version_diff(spark: SparkSession, root: str, older: int, newer: int) -> DataFrame:
+    """Rows that only one of two versions has (left: the older), as :func:`store_diff` gives them.
+
+    Buckets that both versions point to are equal; no other is read.
+    """
+    a, b = open_version(spark, root, older), open_version(spark, root, newer)
+    apart = {t: {k for k in a.folders[t].keys() | b.folders[t].keys() if a.folders[t].get(k) != b.folders[t].get(k)} for t in TABLES}
+    stores = [Store(**{t: _read(spark, root, v, t, apart[t]) for t in TABLES}) for v in (a, b)]
+    return store_diff(*stores)
+
+
 def forget_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     """Drops all but the newest ``keep`` versions and every folder that those don't point to; what was dropped.
 

@@ -117,3 +117,38 @@ def test_words_are_those_of_the_pattern():
         data = text.encode()
         w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
         assert [data[a:b].decode() for a, b in zip(w.starts, w.ends, strict=True)] == words(text)
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    from thicket.llm import components as way
+
+    monkeypatch.setattr(way, "IN_ONE_TASK", 0)
+    test_components(spark)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    """Lists longer than two, blocks of three sets, no leaders' round but the first: the same groups."""
+    for name, value in (("LONG_LIST", 2), ("BLOCK_SETS", 3), ("PAIRS_PER_POSTING", 0), ("LEFT_BY_ROUND", 0.0), ("TOKENS_AT_ONCE", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(40):  # copies with edits, some near enough and some not
+        text = list(base)
+        for at in rng.integers(0, 60, rng.integers(0, 4)):
+            text[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(text)))
+    rows += [(100 + k, f"other text number {k} of some more words here {k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected, _ = groups_by_hand(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()} == set(expected)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (0, 1, 9, 30, 30, 200)]
+    got = jaccard.overlaps(sets, np.arange(6), np.array([1, 3, 5]))
+    for k, b in enumerate((1, 3, 5)):  # a set's overlap with itself isn't asked for
+        assert [got[a, k] for a in range(6) if a != b] == [len(np.intersect1d(sets[a], sets[b])) for a in range(6) if a != b]
+    assert jaccard.overlaps([np.zeros(0, np.uint64)], np.arange(1), np.arange(1)).tolist() == [[0]]

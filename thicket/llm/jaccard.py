@@ -164,7 +164,7 @@ def _similar_sizes(a: str, b: str, percent: int):
 
 
 def overlaps(tokens: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets a with the sets b, by products of 0/1 matrices over the tokens that several hold."""
+    """Sizes of the intersections of the sets a with other sets b, by products of 0/1 matrices over the tokens that several hold."""
     out = np.zeros((len(a), len(b)))
     row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     _, column, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)

@@ -1,13 +1,16 @@
 """Stores to folders and XML files and back, objects included."""
 
+import html
 import xml.dom.minidom
 
 from pyspark.sql import functions as F
 
 from thicket.model import TABLES
-from thicket.operators.forest import preorder, root_paths
+from thicket.operators.forest import names_on_path, preorder, root_paths
 from thicket.operators.merge import store_diff
+from thicket.operators.shared import resolve_shared
 from thicket.sinks import node_xml as NX
+from thicket.sinks.export import export_html, html_files
 from thicket.sources import node_xml as NR
 from thicket.sources.store import Store, schema_of
 
@@ -98,3 +101,22 @@ def test_no_nodes(spark):
     none = Store(**{t: spark.createDataFrame([], schema_of(t)) for t in TABLES})
     files = NX.export_multifile(none, root_paths(none.children))
     assert files.count() == 0 and NR.multifile_store(files).node.count() == 0
+
+
+def test_pages_show_pictures_and_files(spark):
+    store = full_store(spark)
+    paths = root_paths(store.children)
+    ordered, named = preorder(paths), names_on_path(paths, resolve_shared(store, "name").select("node_id", "name"))
+    page = {r.node_id: r.html for r in export_html(store, ordered, named).collect()}
+    for part in (
+        '<a name="h1-1"></a>', '<a href="http://a?b&amp;c"><img src="images/1-1.png" alt="images/1-1.png" /></a>', '<img src="images/1-2.png" alt="images/1-2.png" />',
+        '<table style="display:inline-table"><tr><td><a href="EmbeddedFiles/1-my file.tar">Linked file: my file.tar </a></td></tr></table>',
+    ):
+        assert page[1].count(part) == 1 and page[71].count(part) == 1, part
+    target = next(r.file_name for r in export_html(store, ordered, named).collect() if r.node_id == 1)
+    numbers = ["images/3-1.png", "images/3-2.png"]
+    assert all(page[3].count(n) == 2 for n in numbers) and f'<a href="{html.escape(target)}#h1-1">' in page[3]
+    single = {r.node_id: r.html for r in export_html(store, ordered, named, single_file=True).collect()}
+    assert '<a href="#h1-1"><img' in single[3]
+    files = {r.path: bytes(r.content) for r in html_files(store).collect()}
+    assert files == {"images/1-1.png": bytes(range(256)) * 3, "EmbeddedFiles/1-my file.tar": b"data", "EmbeddedFiles/1-other.txt": b"data", "images/3-1.png": b"png!", "images/3-2.png": b"png!"}

@@ -421,14 +421,21 @@ TD = "'<tr>' || array_to_string(list_transform({r}, lambda c: '<{t}>' || CASE WH
 HTML_OBJS = objs_sql(
     "'<div class=\"codebox\">' || replace(" + XML_SQL.format(c="txt") + ", chr(10), '<br/>') || '</div>'",
     "'<table class=\"table\">' || " + " || ".join(TD.format(r=f"cells[{i}]", t="th" if i == 1 else "td") for i in (1, 2, 3, 4)) + " || '</table>'",
-    "CASE WHEN anchor <> '' THEN '<a name=\"' || anchor || '\"></a>' ELSE '' END",
+    "CASE WHEN anchor <> '' THEN '<a name=\"' || anchor || '\"></a>' WHEN filename NOT IN ('', '__ct_special.tex') THEN '<table style=\"display:inline-table\"><tr><td><a href=\"EmbeddedFiles/'"
+    " || node_id || '-' || filename || '\">Linked file: ' || filename || ' </a></td></tr></table>' ELSE CASE WHEN href = '' THEN '' ELSE '<a href=\"' || " + XML_SQL.format(c="href") + " || '\">' END"
+    " || '<img src=\"images/' || node_id || '-' || no || '.png\" alt=\"images/' || node_id || '-' || no || '.png\" />' || CASE WHEN href = '' THEN '' ELSE '</a>' END END",
 )
+# Pictures with their numbers and where they lead.
+PICTURES_SQL = f"""{{names}}, image2 AS (
+    SELECT i.*, row_number() OVER (PARTITION BY i.node_id, i.anchor = '' AND i.filename IN ('', '__ct_special.tex') ORDER BY "offset") AS no,
+           CASE WHEN anchor <> '' OR filename <> '' OR link = '' THEN '' ELSE {HREF_SQL.replace('n.node_id', 't.node_id')} END AS href
+    FROM (SELECT *, string_split(link, ' ') AS p FROM image) AS i LEFT JOIN names AS t ON p[1] = 'node' AND CAST(t.node_id AS VARCHAR) = p[2])"""
 FILE_SQL = "replace(right(replace(array_to_string(names, '--') || '_' || {n} || '.html', ' ', '_'), 142), '#', '~')"
 
 
 @query(
     "export_html",
-    f""", {HTML_OBJS}, {NAMES_SQL},
+    f""", {PICTURES_SQL.format(names=NAMES_SQL)}, {HTML_OBJS.replace('FROM image)', 'FROM image2)')},
        lines AS (SELECT node_id, name, syntax, txt, string_split({WOVEN.format(esc_open=XE[0], esc_close=XE[1])}, chr(10)) AS ls FROM woven),
        c AS (SELECT node_id, name, CASE WHEN syntax = 'sql' THEN '<pre>' || {XML_SQL.format(c='txt')} || '</pre>' ELSE
               array_to_string(list_transform(ls[:len(ls) - 1], lambda x: '<p>' || x || '</p>'), '') || CASE WHEN ls[-1] = '' THEN '' ELSE '<p>' || ls[-1] || '</p>' END END AS body FROM lines)
@@ -442,6 +449,16 @@ def _(spark, sf):
     return out.withColumn("html", F.md5("html"))
 
 
+@query(
+    "html_files",
+    """SELECT CASE WHEN filename = '' THEN 'images/' || node_id || '-1.png' ELSE 'EmbeddedFiles/' || node_id || '-' || filename END AS path, md5(png) AS digest
+       FROM image WHERE anchor = '' AND filename <> '__ct_special.tex'""",
+    "image",
+)
+def _(spark, sf):
+    return E.html_files(store(spark, sf)).select("path", F.md5("content").alias("digest"))
+
+
 @query(
     "export_index",
     f""", {NAMES_SQL}, d AS (SELECT p.pos, p.node_id, p.depth, COALESCE(lead(p.depth) OVER (ORDER BY p.pos), 0) AS nd, s.names[-1] AS name, {FILE_SQL.format(n='p.node_id')} AS href

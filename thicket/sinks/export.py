@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import let, scan_array
 from ..functions.grids import cells_to_html, cells_to_text, header_last
 from ..functions.text import base_direction, hier_name, is_sha256, xml_escape
 from ..model import HORIZONTAL_RULE, TABLES
 from ..operators.aggregates import has_flags
+from ..operators.linkgraph import resolve_hrefs
 from ..operators.merge import OBJECT_TABLES, export_subtree
 from ..operators.search import object_positions
 from ..operators.shared import holder_id
@@ -40,23 +41,72 @@ def save_store(store: Store, path: str, root: int | None = None, ordered: DataFr
         df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def _object_pieces(store: Store, render: dict[str, Column]) -> DataFrame:
+def _object_id(table: str) -> Column:
+    """A number that splits ties between objects of one kind at one offset."""
+    return F.xxhash64(*{"codebox": ("txt", "syntax"), "grid": ("cells",), "image": ("anchor", "filename", "link", "png")}[table])
+
+
+def _object_pieces(store: Store, render: dict[str, Column], hrefs: DataFrame | None = None) -> DataFrame:
     """Text form of each object at its text position, one list per node.
 
-    The export of a node is one value, so its objects meet in one row anyway.
+    The export of a node is one value, so its objects meet in one row anyway. With ``hrefs``
+    (link, href) pictures have no text yet: ``picture`` marks them and ``href`` is where they
+    link to; only digests of them move.
     """
-    code = store.codebox.select("node_id", "offset", F.lit("codebox").alias("kind"), F.xxhash64("txt", "syntax").alias("obj_id"), render["codebox"].alias("piece"))
+    rest = [F.lit(False).alias("picture"), F.lit("").alias("href")]
+    code = store.codebox.select("node_id", "offset", F.lit("codebox").alias("kind"), _object_id("codebox").alias("obj_id"), render["codebox"].alias("piece"), *rest)
     light = F.when(F.coalesce("is_light", F.lit(False)), F.lit("grid_light")).otherwise(F.lit("grid_heavy"))
-    grid = store.grid.select("node_id", "offset", light.alias("kind"), F.xxhash64("cells").alias("obj_id"), render["grid"].alias("piece"))
-    image = store.image.select(
-        "node_id", "offset", image_kind().alias("kind"), F.xxhash64("anchor", "filename", "link", "png").alias("obj_id"), render["image"].alias("piece")
-    )
+    grid = store.grid.select("node_id", "offset", light.alias("kind"), _object_id("grid").alias("obj_id"), render["grid"].alias("piece"), *rest)
+    image = store.image.select("node_id", "offset", image_kind().alias("kind"), _object_id("image").alias("obj_id"), render["image"].alias("piece"), F.coalesce("link", F.lit("")).alias("link"))
+    if hrefs is None:
+        image = image.drop("link").select("*", *rest)
+    else:
+        image = image.withColumn("picture", F.col("kind").isin("png", "latex"))
+        image = lookup_join(image, hrefs.withColumnRenamed("link", "known"), "link", "known", "left", check=False)
+        image = image.select("node_id", "offset", "kind", "obj_id", "piece", "picture", F.when(F.col("kind") == "png", F.coalesce("href", F.lit(""))).otherwise(F.lit("")).alias("href"))
     placed = object_positions(code.unionByName(grid).unionByName(image))
     return placed.groupBy(F.col("node_id").alias("oid")).agg(
-        F.sort_array(F.collect_list(F.struct("obj_rank", "text_pos", "piece"))).alias("objs")
+        F.sort_array(F.collect_list(F.struct("obj_rank", "text_pos", "piece", "picture", "href"))).alias("objs")
     )
 
 
+_PIECE = "struct<obj_rank:bigint,text_pos:bigint,piece:string,picture:boolean,href:string>"
+
+
+def _with_pictures(objs: Column, node_id: str) -> Column:
+    """The objects of a node with its pictures numbered in order and written as HTML."""
+
+    def step(n: Column, x: Column) -> tuple[Column, Column]:
+        now = n + x["picture"].cast("long")
+        file = F.concat(F.lit("images/"), F.col(node_id).cast("string"), F.lit("-"), now.cast("string"), F.lit(".png"))
+        img = F.concat(F.lit('<img src="'), file, F.lit('" alt="'), file, F.lit('" />'))
+        linked = F.when(x["href"] == "", img).otherwise(F.concat(F.lit('<a href="'), xml_escape(x["href"]), F.lit('">'), img, F.lit("</a>")))
+        piece = F.when(x["picture"], linked).otherwise(x["piece"])
+        return now, F.struct(x["obj_rank"], x["text_pos"], piece, x["picture"], x["href"])
+
+    return F.when(objs.isNotNull(), scan_array(objs, F.lit(0), "bigint", _PIECE, step))
+
+
+def _embedded_file(node_id: Column) -> Column:
+    return F.concat(F.lit("EmbeddedFiles/"), node_id.cast("string"), F.lit("-"), "filename")
+
+
+def html_files(store: Store) -> DataFrame:
+    """The files that the pages of :func:`export_html` show or link to: path, content.
+
+    Pictures are numbered per node in order of their places, LaTeX boxes, which aren't
+    rendered, included.
+    """
+    image = store.image.withColumns({"kind": image_kind(), "obj_id": _object_id("image")})
+    shown = image.where(F.col("kind").isin("png", "latex"))
+    listed = shown.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("offset", "kind", "obj_id"))).alias("l"))
+    numbers = listed.select("node_id", F.posexplode("l").alias("i", "o")).select("node_id", "o.*", "i")
+    file = F.concat(F.lit("images/"), F.col("node_id").cast("string"), F.lit("-"), (F.col("i") + 1).cast("string"), F.lit(".png"))
+    pictures = shown.where("kind = 'png' AND png IS NOT NULL").join(numbers, ["node_id", "offset", "kind", "obj_id"]).select(file.alias("path"), F.col("png").alias("content"))
+    embedded = image.where("kind = 'file'").select(_embedded_file(F.col("node_id")).alias("path"), F.coalesce("png", F.lit(b"")).alias("content"))
+    return pictures.unionByName(embedded).groupBy("path").agg(F.first("content").alias("content"))
+
+
 def _interleave(text: Column, objs: Column, escape: bool = False) -> Column:
     """``text`` (XML-escaped on demand) with the pieces put in at their text positions."""
     def weave(s: Column) -> Column:
@@ -69,7 +119,7 @@ def _interleave(text: Column, objs: Column, escape: bool = False) -> Column:
 
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size(s["o"])), part), "")
 
-    empty = F.array().cast("array<struct<obj_rank:bigint,text_pos:bigint,piece:string>>")
+    empty = F.array().cast(f"array<{_PIECE}>")
     return let(F.struct(text.alias("t"), F.coalesce(objs, empty).alias("o")), weave)
 
 
@@ -109,15 +159,25 @@ def export_html(store: Store, ordered: DataFrame, named: DataFrame, single_file:
     """HTML page per tree position: pos, node_id, file_name, html (the page body).
 
     Every line is a ``<p>``, right-to-left lines are marked, grids are tables
-    with a header row. In single-file mode titles carry their level and each
+    with a header row; pictures and embedded files are shown or linked as
+    :func:`html_files` names them, pictures that link to the page, file or address they lead
+    to. In single-file mode titles carry their level and each
     page starts with an anchor. ``named``: node_id and names from the root.
     """
+    links = store.image.where((image_kind() == "png") & (F.coalesce("link", F.lit("")) != "")).select("link").distinct()
+    hrefs = resolve_hrefs(links, named, single_file).select("link", "href")
+    just = F.coalesce("justification", F.lit(""))
+    align = F.when(just == "center", F.lit("margin-left:auto;margin-right:auto")).when(just == "right", F.lit("margin-left:auto")).otherwise(F.lit("display:inline-table"))
     pieces = _object_pieces(store, {
         "codebox": F.concat(F.lit('<div class="codebox">'), F.replace(xml_escape("txt"), F.lit("\n"), F.lit("<br/>")), F.lit("</div>")),
         "grid": cells_to_html(F.col("cells")),
-        "image": F.when(image_kind() == "anchor", F.concat(F.lit('<a name="'), xml_escape("anchor"), F.lit('"></a>'))).otherwise(F.lit("")),
-    })
+        "image": F.when(image_kind() == "anchor", F.concat(F.lit('<a name="'), xml_escape("anchor"), F.lit('"></a>')))
+        .when(image_kind() == "file", F.concat(
+            F.lit('<table style="'), align, F.lit('"><tr><td><a href="'), xml_escape(_embedded_file(F.col("node_id"))), F.lit('">Linked file: '), xml_escape("filename"), F.lit(" </a></td></tr></table>"),
+        )).otherwise(F.lit("")),
+    }, hrefs)
     nodes = store.node.select("node_id", "name", "syntax", "txt").join(pieces, F.col("node_id") == F.col("oid"), "left")
+    nodes = nodes.withColumn("objs", _with_pictures(F.col("objs"), "node_id"))
     # Escaping changes lengths, so the text is cut first and escaped per piece.
     woven = _interleave(F.col("txt"), F.col("objs"), escape=True)
 
@@ -225,6 +285,6 @@ def write_ordered_text(rows: DataFrame, path: str, content: str = "content") ->
 
 
 __all__ = [
-    "blob_store", "export_html", "export_index", "export_text", "grid_to_xml", "new_blobs",
+    "blob_store", "export_html", "html_files", "export_index", "export_text", "grid_to_xml", "new_blobs",
     "node_texts", "prepare_store", "save_store", "unreferenced_files", "write_ordered_text",
 ]

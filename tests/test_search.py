@@ -152,7 +152,7 @@ def test_pages_are_numbered_alone(spark):
     names = ["pos", "is_name", "start_offset", "kind_rank", "object_kind", "cell_idx", "inner_start", "line_content"]
     rows = [(n // 3, 0, n % 3, 1, "text", 0, 0, str(n)) for n in range(2345)]
     random.Random(4).shuffle(rows)
-    pages = X.match_pages(spark.createDataFrame(rows, names).repartition(7), size=100)
+    pages = X.match_pages(spark.createDataFrame(rows, names).repartition(7), size=100, ranges=9)
     assert pages.total == 2345 and len(pages.ranges) > 1
     for n in (0, 7, 23):
         got = X.page(pages, n).orderBy("row_num").collect()

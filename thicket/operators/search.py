@@ -379,18 +379,19 @@ class MatchPages:
         return sum(n for _, _, n in self.ranges)
 
 
-def match_pages(matches: DataFrame, size: int = PAGE_SIZE) -> MatchPages:
+def match_pages(matches: DataFrame, size: int = PAGE_SIZE, ranges: int | None = None) -> MatchPages:
     """Matches made ready for paging: sorted out into ranges and counted, numbered not at all.
 
-    The driver gets one count per range, of which there are as many as shuffle partitions.
+    The driver gets one count per range, of which there are as many as shuffle partitions at
+    most, if ``ranges`` doesn't say how many.
     """
-    rows = matches.repartitionByRange(*MATCH_ORDER).withColumn("__range", F.spark_partition_id())
+    rows = matches.repartitionByRange(*([ranges] if ranges else []), *MATCH_ORDER).withColumn("__range", F.spark_partition_id())
     rows = materialize(rows, "pages")
-    counts, ranges, before = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect(), [], 0
+    counts, found, before = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect(), [], 0
     for r in sorted(counts):
-        ranges.append((r["__range"], before, r.n))
+        found.append((r["__range"], before, r.n))
         before += r.n
-    return MatchPages(rows, ranges, size)
+    return MatchPages(rows, found, size)
 
 
 def page(pages: MatchPages, n: int) -> DataFrame:

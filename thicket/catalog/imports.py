@@ -69,13 +69,14 @@ def _(spark, sf):
 
 @query(
     "split_journal",
-    """SELECT page_id, CAST(i AS BIGINT) AS entry_no, CASE WHEN i = 0 THEN url WHEN i = 1 AND regexp_matches(html, '<h1>[\\S\\s]*?</h1>') THEN regexp_extract(html, '<h1>([\\S\\s]*?)</h1>', 1) ELSE '?' END AS name
+    """SELECT page_id, CAST(i AS BIGINT) AS entry_no, CASE WHEN i = 0 THEN url WHEN i = 1 AND regexp_matches(html, '<h1>[\\S\\s]*?</h1>') THEN regexp_extract(html, '<h1>([\\S\\s]*?)</h1>', 1) ELSE '?' END AS name,
+              md5(CASE i WHEN 0 THEN '<h1>' || url || '</h1>a' WHEN 1 THEN html ELSE 'no title' END) AS digest
        FROM pages, (SELECT unnest(range(3)) AS i)""",
 )
 def _(spark, sf):
     mark = lambda d: F.lit(f'<p>\n<span id="{d}"></span>\n</p>')
     text = F.concat(F.lit("head"), mark("2024-01-31"), F.lit("<h1>"), "url", F.lit("</h1>a"), mark("2024-02-01"), "html", mark("2024-12-09"), F.lit("no title"))
-    return HT.split_journal(tables(spark, sf)["pages"].select("page_id", text.alias("h")), "h", ["page_id"]).select("page_id", "entry_no", "name")
+    return HT.split_journal(tables(spark, sf)["pages"].select("page_id", text.alias("h")), "h", ["page_id"]).select("page_id", "entry_no", "name", F.md5("html").alias("digest"))
 
 
 # --- outlines ------------------------------------------------------------------

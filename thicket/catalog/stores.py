@@ -157,12 +157,14 @@ def _(spark, sf):
 
 @query(
     "duplicate_shared",
-    """SELECT CAST(count(*) AS BIGINT) + 1 AS n_positions, max(node_id) + 1 AS new_id, CAST(103 AS BIGINT) AS master_id FROM children""",
-    "children",
+    """, me AS (SELECT * FROM children WHERE node_id = 103),
+       c2 AS (SELECT c.node_id, c.father_id, CASE WHEN c.father_id = me.father_id AND c.sequence > me.sequence THEN c.sequence + 1 ELSE c.sequence END AS sequence, c.master_id FROM children AS c, me
+              UNION ALL SELECT (SELECT max(node_id) + 1 FROM children), father_id, sequence + 1, 103 FROM me) """
+    + _digest_sql("c2", "{t}", "bookmark", "node"),
+    ALL,
 )
 def _(spark, sf):
-    out = M.duplicate_subtree(store(spark, sf), ordered(spark, sf), 103, now=0, shared=True).children
-    return out.agg(F.count(F.lit(1)).alias("n_positions"), F.max("node_id").alias("new_id"), F.max_by("master_id", "node_id").alias("master_id"))
+    return _digest(M.duplicate_subtree(store(spark, sf), ordered(spark, sf), 103, now=0, shared=True))
 
 
 @query(

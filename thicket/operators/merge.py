@@ -150,7 +150,7 @@ def merge_store(a: Store, b: Store, paths_b: DataFrame, parent: int = 0, remap_l
     ordered = preorder(paths_b)
     mapping = sized(ordered.select(F.col("node_id").alias("old_id"), (F.col("pos") + base - 1).alias("new_id")), "new-ids")
     last = a.children.where(F.col("father_id") == parent).agg(F.coalesce(F.max("sequence"), F.lit(0))).head()[0]
-    moved = lookup_join(b.children, mapping, "node_id", "old_id", "inner").drop("old_id")
+    moved = lookup_join(b.children, mapping, "node_id", "old_id", "inner", check=False).drop("old_id")
     fathers = mapping.select(F.col("old_id").alias("fo"), F.col("new_id").alias("father_new"))
     masters = mapping.select(F.col("old_id").alias("mo"), F.col("new_id").alias("master_new"))
     moved = lookup_join(moved, fathers, "father_id", "fo", "left")
@@ -181,7 +181,7 @@ def duplicate_subtree(store: Store, ordered: DataFrame, root: int, now: int, sha
     inside = ordered.where(F.col("node_id") == root) if shared else subtree(ordered, root)
     first = inside.agg(F.coalesce(F.min("pos"), F.lit(0))).head()[0]  # a subtree is a run of positions
     mapping = sized(inside.select(F.col("node_id").alias("old_id"), (F.col("pos") - first + base).alias("new_id")), "copies")
-    rows = lookup_join(store.children, mapping, "node_id", "old_id", "inner").drop("old_id")
+    rows = lookup_join(store.children, mapping, "node_id", "old_id", "inner", check=False).drop("old_id")
     rows = lookup_join(rows, mapping.select(F.col("old_id").alias("fo"), F.col("new_id").alias("fn")), "father_id", "fo", "left")
     top = F.col("node_id") == root
     master = F.when(top & F.lit(not shared), F.lit(0)).when(F.lit(shared), holder_id()).otherwise(F.col("master_id"))

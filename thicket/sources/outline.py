@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, with_marks
+from ..functions.arrays import let, scan_array, with_marks
 from ..operators.forest import sibling_rank
 from ..plans.scan import numbered
 from ..session import materialize
@@ -115,20 +115,19 @@ def indented_lines_to_outline(df: DataFrame, text: str, keep: list[str]) -> Data
     The level is one plus the leading blanks and tabs; blank lines do not count.
     Fillers follow the highest level seen so far in the text, which never falls.
     """
-    lines = df.select(*keep, F.posexplode(F.split(F.replace(F.col(text), F.lit("\r")), "\n")).alias("line_no", "line"))
-    name = F.regexp_replace("line", r"^[ \t]+", "")
-    lines = lines.select(*keep, "line_no", name.alias("name"), (F.length("line") - F.length(name) + 1).alias("level")).where("name <> ''")
-    doc = Window.partitionBy(*keep).orderBy("line_no")
-    high = F.coalesce(F.max("level").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("high", high)
-    fill = F.when(
-        F.col("level") - F.col("high") > 1,
-        F.transform(F.sequence(F.col("high") + 1, F.col("level") - 1), lambda k: F.struct(k.alias("level"), F.lit("").alias("name"))),
-    ).otherwise(F.array().cast("array<struct<level:int,name:string>>"))
-    own = F.array(F.struct("level", "name"))
-    rows = lines.select(*keep, "line_no", F.posexplode(F.concat(fill, own)).alias("i", "r"))
-    pos = F.row_number().over(Window.partitionBy(*keep).orderBy("line_no", "i"))
-    return rows.select(*keep, pos.cast("long").alias("pos"), F.col("r.level").cast("long").alias("level"), F.col("r.name").alias("name"))
+    row = "struct<level:bigint,name:string>"
+
+    def own(line: Column) -> Column:
+        return let(F.regexp_replace(line, r"^[ \t]+", ""), lambda name: F.struct((F.length(line) - F.length(name) + 1).cast("bigint").alias("level"), name.alias("name")))
+
+    def step(high: Column, x: Column) -> tuple[Column, Column]:
+        skipped = F.transform(F.sequence(high + 1, x["level"] - 1), lambda k: F.struct(k.cast("bigint").alias("level"), F.lit("").alias("name")))
+        fill = F.when(x["level"] - high > 1, skipped).otherwise(F.array().cast(f"array<{row}>"))
+        return F.greatest(high, x["level"]), F.concat(fill, F.array(x))
+
+    lines = F.filter(F.transform(F.split(F.replace(F.col(text), F.lit("\r")), "\n"), own), lambda x: x["name"] != "")
+    rows = F.flatten(scan_array(lines, F.lit(0), "bigint", f"array<{row}>", step))
+    return df.select(*keep, F.posexplode(rows).alias("i", "r")).select(*keep, (F.col("i") + 1).cast("long").alias("pos"), "r.level", "r.name")
 
 
 def tagged_outline_to_rows(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -185,3 +185,15 @@ def test_round_trip(spark):
     back = pieces.decode(pieces.encode(docs)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t in ids_and_texts(docs))
     assert pieces.encode(no_docs(spark)).count() == 0
+
+
+def test_chunk_numbers_of_many_partitions():
+    """Numbers of training and held-out chunks never meet, and leave room for a row number."""
+    from thicket.llm import chunks as C
+
+    last = C.chunk_number(C.PARTS - 1, C.CHUNKS_PER_PART - 1)
+    assert last < C.CHUNK_NUMBERS and (last + C.CHUNK_NUMBERS + 1) * C.CHUNK_ROWS < 1 << 63
+    assert len({C.chunk_number(p, k) for p in (0, 262_144, 300_000, 524_288) for k in (0, 1, 9999)}) == 12
+    for bad in ((0, C.CHUNKS_PER_PART), (C.PARTS, 0)):
+        with pytest.raises(ValueError, match="repartition"):
+            C.chunk_number(*bad)

@@ -25,6 +25,9 @@ CHUNK_BYTES = 4 << 20
 BUCKET_HASHES = 1_000_000
 #: Rows in a chunk at most, so that chunk and place give a row a key of its own.
 CHUNK_ROWS = 1 << 20
+#: Chunks that one partition may number, and partitions: 64 GB and 16 PB of documents. Numbers stay below CHUNK_NUMBERS.
+CHUNKS_PER_PART, PARTS = 1 << 14, 1 << 27
+CHUNK_NUMBERS = CHUNKS_PER_PART * PARTS
 REPLY_SCHEMA = "chunk long, bucket long, reply binary"
 CHUNK_SCHEMA = "chunk long, n_bytes long, n_hashes long, docs binary"
 NO_ID = np.iinfo(np.int64).max
@@ -35,6 +38,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
+def chunk_number(part: int, number: int) -> int:
+    """A number for a partition's chunk; twice as many, and a row number of CHUNK_ROWS beside each, fit 64 bits."""
+    if number >= CHUNKS_PER_PART or part >= PARTS:
+        raise ValueError("too many chunks in a partition, or partitions: repartition the documents")
+    return part * CHUNKS_PER_PART + number
+
+
 def pack(table: pa.RecordBatch) -> bytes:
     """A record batch as compressed Arrow bytes."""
     out = pa.BufferOutputStream()
@@ -64,7 +74,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, count: Callable
         def close() -> pa.RecordBatch:
             nonlocal number, held, size, rows
             table = pa.Table.from_batches(held).combine_chunks().sort_by("id").to_batches()[0]
-            row = [[part * (1 << 24) + number], [size], [count(table["text"])], [pack(table)]]
+            row = [[chunk_number(part, number)], [size], [count(table["text"])], [pack(table)]]
             number, held, size, rows = number + 1, [], 0, 0
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2], pa.int64()), pa.array(row[3], pa.binary())], names=["chunk", "n_bytes", "n_hashes", "docs"])
 

@@ -222,7 +222,7 @@ def ctw_scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col
     prepared = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # the sign of a second column can't be lost in a chunk, so training rows form chunks of their own
     chunks = [C.chunk_documents(prepared.where(cond), "id", "text", count) for cond in (F.coalesce(learns, F.lit(False)), ~F.coalesce(learns, F.lit(False)))]
-    stride = 1 << 42
+    stride = C.CHUNK_NUMBERS
     chunks = chunks[0].union(chunks[1].withColumn("chunk", F.col("chunk") + stride))
     learning = F.col("chunk") < stride
     n = C.buckets_for(chunks)

@@ -314,11 +314,11 @@ def _(spark, sf):
 @query(
     "one_page",
     ALL_SQL + f""" SELECT node_id, start_offset, object_kind, row_num FROM (
-        SELECT *, row_number() OVER (ORDER BY {MATCH_ORDER_SQL}) AS row_num FROM matches) WHERE row_num BETWEEN 501 AND 1000""",
+        SELECT *, row_number() OVER (ORDER BY {MATCH_ORDER_SQL}) AS row_num FROM matches) WHERE row_num BETWEEN 101 AND 200""",
     ALL_NEEDS,
 )
 def _(spark, sf):
-    return X.page(X.match_pages(searched(spark, sf, "avec")), 1).select("node_id", "start_offset", "object_kind", F.col("row_num").cast("long").alias("row_num"))
+    return X.page(X.match_pages(searched(spark, sf, "avec"), size=100), 1).select("node_id", "start_offset", "object_kind", F.col("row_num").cast("long").alias("row_num"))
 
 
 @query(

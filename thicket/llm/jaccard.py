@@ -23,7 +23,7 @@ MOST_SHARED = 8
 VERIFY_COST = 20
 #: Rounds against one leader per list go on while all pairs would be more than this many times
 #: the postings, and a round has left less than this share of the pairs before it.
-PAIRS_PER_POSTING, LEFT_BY_ROUND = 2, 0.5
+PAIRS_PER_POSTING, LEFT_BY_ROUND = 2, 0.3
 #: Longer lists than this are compared as wholes where leaders leave much, in blocks of so many sets.
 LONG_LIST, BLOCK_SETS = 64, 512
 #: Rounds of that at most; what they leave is enumerated.
@@ -219,10 +219,10 @@ def settled(here: DataFrame, sets: DataFrame, found: DataFrame | None, percent:
     component aside. Two sets with a home in common needn't meet again. Returns the postings
     with their new components and homes, the links, and the names of the homes.
     """
-    homes, last, before = [], float("inf"), None
+    homes, last, before, postings = [], float("inf"), None, here.count()
     while True:
         lists = materialize(_open_pairs(here, homes).where(F.col("m") > LONG_LIST).where("open > 0").select("t", "open"), "open")
-        total, postings = lists.agg(F.sum("open")).head()[0] or 0, here.count()
+        total = lists.agg(F.sum("open")).head()[0] or 0
         if total <= PAIRS_PER_POSTING * postings or total > LEFT_BY_ROUND * last or len(homes) == MOST_HOMES:
             return here, found, homes
         last, home = total, f"home{len(homes)}"

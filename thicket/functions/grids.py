@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import with_marks
+from .arrays import let, with_marks
 from .text import _col, natural_key, xml_escape
 
 def csv_to_cells(text: Column | str) -> Column:
@@ -36,8 +36,10 @@ def csv_to_cells(text: Column | str) -> Column:
 
 def pad_cells(cells: Column) -> Column:
     """Every row padded or cut to the width of the first."""
-    width = F.size(F.get(cells, F.lit(0)))
-    return F.transform(cells, lambda row: F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width))
+    def padded(s: Column) -> Column:
+        return F.transform(s["cells"], lambda row: F.slice(F.concat(row, F.array_repeat(F.lit(""), s["width"])), F.lit(1), s["width"]))
+
+    return let(cells, lambda c: let(F.struct(c.alias("cells"), F.size(F.get(c, F.lit(0))).alias("width")), padded))
 
 
 def cells_to_csv(cells: Column) -> Column:

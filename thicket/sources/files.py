@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grids import csv_to_cells, pad_cells
+from ..plans.joins import dealt
 from ..plans.scan import numbered
 
 
 def csv_to_grid(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """CSV texts as grids: cells padded or cut to the width of their first row."""
-    return df.select(*keep, pad_cells(csv_to_cells(F.col(text))).alias("cells")).where("size(cells) > 0")
+    texts = dealt(df.select(*keep, F.col(text).alias("__csv")))
+    # exploded, so that the filter can't move before the tasks that the rows are dealt to and read each text again
+    return texts.select(*keep, F.explode(F.array(pad_cells(csv_to_cells(F.col("__csv"))))).alias("cells")).where("size(cells) > 0")
 
 
 def read_csv_grids(spark: SparkSession, pattern: str) -> DataFrame:

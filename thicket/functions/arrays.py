@@ -36,9 +36,13 @@ def prefix_sums(values: Column) -> Column:
 
         return let(carried, at)
 
-    bound = F.struct(values.alias("a"), F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).alias("b"))
     empty = F.array().cast("array<bigint>")
-    return F.when(F.size(values) == 0, empty).otherwise(let(bound, with_chunks))
+    return let(values, lambda v: F.when(F.size(v) == 0, empty).otherwise(let(_in_chunks(v), with_chunks)))
+
+
+def _in_chunks(values: Column) -> Column:
+    """Values as ``a``, and as ``b`` how many of them make a chunk."""
+    return F.struct(values.alias("a"), F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).alias("b"))
 
 
 def scan_array(values: Column, start: Column, state_type: str, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
@@ -68,8 +72,7 @@ def scan_array(values: Column, start: Column, state_type: str, out_type: str, st
         chunks = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.size(s["a"]) / s["b"]) - 1)
         return F.flatten(F.aggregate(chunks, F.struct(start.cast(state_type).alias("s"), many(f"array<{out_type}>").alias("o")), outer)["o"])
 
-    bound = F.struct(values.alias("a"), F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).alias("b"))
-    return F.when(F.size(values) == 0, many(out_type)).otherwise(let(bound, bind))
+    return let(values, lambda v: F.when(F.size(v) == 0, many(out_type)).otherwise(let(_in_chunks(v), bind)))
 
 
 #: Blocks of Unicode non-characters. They may stand in a text, so a free block is chosen for each.

@@ -66,15 +66,16 @@ def build_index(store: Store, nodes: DataFrame | None = None) -> ObjectIndex:
     Objects are ranked and line starts counted once; both tables are written.
     """
     if nodes is not None:
-        store = Store(**{t: df.join(nodes, "node_id", "left_semi") if t in ("node", "codebox", "grid", "image") else df for t, df in store.tables().items()})
-    return index_of(all_objects(store), store.node.select("node_id", "txt"))
+        store = store.with_tables(**{t: getattr(store, t).join(nodes, "node_id", "left_semi") for t in ("codebox", "grid", "image")})
+    return index_of(all_objects(store), store)
 
 
-def index_of(objects: DataFrame, texts: DataFrame) -> ObjectIndex:
-    """The index of objects (as :func:`all_objects` gives them) in texts (node_id, txt)."""
+def index_of(objects: DataFrame, texts: DataFrame | Store) -> ObjectIndex:
+    """The index of objects (as :func:`all_objects` gives them) in texts (node_id, txt) or those of a store."""
     placed = materialize(object_positions(objects), "places")
     owners = sized(placed.select("node_id").distinct(), "owners")
-    texts = texts.join(owners, "node_id", "left_semi").select("node_id", F.coalesce("txt", F.lit("")).alias("txt"))
+    owned = texts.nodes(owners) if isinstance(texts, Store) else texts.join(owners, "node_id", "left_semi")
+    texts = owned.select("node_id", F.coalesce("txt", F.lit("")).alias("txt"))
     # line starts of each stretch, and the lines begun before it; only these leave the text's row
     ends = prefix_sums(F.transform(F.split("txt", "\n"), lambda x: (F.length(x) + 1).cast("long")))
     ends = let(ends, lambda e: F.slice(e, F.lit(1), F.size(e) - 1))

@@ -310,7 +310,7 @@ def all_matches(
     if opts.in_name_and_tags:
         named = materialize(find_name_tags(open_pos, opts), "named")
         # only nodes that match give their first line
-        heads = store.node.join(sized(named.select(F.col("holder_id").alias("node_id")).distinct(), "named-holders"), "node_id", "left_semi")
+        heads = store.nodes(sized(named.select(F.col("holder_id").alias("node_id")).distinct(), "named-holders"))
         heads = heads.select(F.col("node_id").alias("h"), first_line("txt").alias("line_content"))
         zero = F.lit(0).cast("long")
         pieces.append(

@@ -92,27 +92,26 @@ def sync_store(store: Store, pending: DataFrame, changed: Store) -> Store:
     children = store.children.join(gone, "node_id", "left_anti").join(hier, "node_id", "left_anti").unionByName(
         changed.children.join(hier, "node_id", "left_semi")
     )
-    prop_cols = [c for c in store.node.columns if c not in ("node_id", "txt")]
     touched = sized(live.where("prop OR buff").select("node_id", F.col("prop").alias("__prop"), F.col("buff").alias("__buff")), "touched")
     ids_touched = touched.select("node_id")
+    # Rows meet by node with the names of their texts; the texts stay where they are.
+    rows, texts = store.split()
+    new_rows, new_texts = changed.split_of(ids_touched)
+    columns = [c for c in rows.columns if c != "node_id"]
     # Untouched rows pass by without a shuffle when the touched ids are few.
-    same = store.node.join(gone, "node_id", "left_anti").join(ids_touched, "node_id", "left_anti")
-    new = changed.node.join(ids_touched, "node_id", "left_semi").select(
-        "node_id", *[F.col(c).alias(f"__n_{c}") for c in [*prop_cols, "txt"]]
-    )
-    old = store.node.join(ids_touched, "node_id", "left_semi").select("node_id", *[F.col(c).alias(f"__o_{c}") for c in [*prop_cols, "txt"]])
+    same = rows.join(gone, "node_id", "left_anti").join(ids_touched, "node_id", "left_anti")
+    new = new_rows.select("node_id", *[F.col(c).alias(f"__n_{c}") for c in columns])
+    old = rows.join(ids_touched, "node_id", "left_semi").select("node_id", *[F.col(c).alias(f"__o_{c}") for c in columns])
     both = new.join(old, "node_id", "left").join(touched, "node_id")
     # A node without an old row is new and takes everything.
     pick = lambda c, flag: F.when(F.col(flag), F.col(f"__n_{c}")).otherwise(F.col(f"__o_{c}")).alias(c)
-    node = same.unionByName(
-        both.select("node_id", *[pick(c, "__prop" if c in prop_cols else "__buff") for c in store.node.columns if c != "node_id"])
-    )
+    node = same.unionByName(both.select("node_id", *[pick(c, "__buff" if c in ("text_id", "stored") else "__prop") for c in columns]))
     buff = sized(ids("buff"), "buff")
-    out = {"children": children, "node": node, "bookmark": store.bookmark.join(gone, "node_id", "left_anti")}
+    out = {"children": children, "node": store.node, "bookmark": store.bookmark.join(gone, "node_id", "left_anti")}
     for name in _OWNED[1:]:
         old, fresh_objs = getattr(store, name), getattr(changed, name)
         out[name] = (
             old.join(gone, "node_id", "left_anti").join(buff, "node_id", "left_anti")
             .unionByName(fresh_objs.join(buff, "node_id", "left_semi"))
         )
-    return Store(**out)
+    return Store(**out).with_parts(node, texts.unionByName(new_texts))

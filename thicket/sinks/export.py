@@ -15,28 +15,30 @@ from ..operators.merge import OBJECT_TABLES, export_subtree
 from ..operators.search import object_positions
 from ..operators.shared import holder_id
 from ..plans.joins import lookup_join
-from ..sources.store import Store, image_kind, node_kind
+from ..sources.store import Store, image_kind, join_texts, node_kind, split_texts
 
 def prepare_store(store: Store) -> Store:
     """As it is written: objects of rich nodes only, has_* flags from the objects."""
     rich = store.node.where(node_kind("syntax") == "rich").select("node_id")
     kept = {n: getattr(store, n).join(rich, "node_id", "left_semi") for n in OBJECT_TABLES}
     slim = store.with_tables(**kept)
-    cols = store.node.columns
-    node = store.node.drop("has_codebox", "has_table", "has_image").join(has_flags(slim), "node_id").select(*cols)
-    return slim.with_tables(node=node)
+    rows, texts = store.split()
+    flagged = rows.drop("has_codebox", "has_table", "has_image").join(has_flags(slim), "node_id").select(*rows.columns)
+    return slim.with_parts(flagged, texts)
 
 
 def save_store(store: Store, path: str, root: int | None = None, ordered: DataFrame | None = None, with_children: bool = True) -> None:
     """Write all six tables, or those of one node or subtree, as Parquet.
 
     ``children`` is clustered by father and the objects by node, so that reads
-    by either skip files.
+    by either skip files. Texts go to a table of their own, each once, and nodes name them.
     """
     out = store if root is None else export_subtree(store, ordered, root, with_children)
-    out = prepare_store(out)
+    rows, texts = split_texts(out.node)
+    out = prepare_store(out.with_parts(rows, texts))
+    texts.write.mode("overwrite").parquet(f"{path}/text")
     for name in TABLES:
-        df = getattr(out, name)
+        df = out.parts[0].drop("stored") if name == "node" else getattr(out, name)
         key = "father_id" if name == "children" else "node_id"
         df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -129,17 +131,22 @@ def _latex_body(blob: Column) -> Column:
     return F.when(inner != "", inner).otherwise(text)
 
 
-def node_texts(store: Store, *columns: str) -> DataFrame:
-    """Plain text of every holder, objects included: node_id, content, and more
-    ``columns`` of the node. Texts meet their objects in one join."""
+def _text_pieces(store: Store) -> DataFrame:
+    """Objects of each node as plain text."""
     rule = F.lit("\n" + HORIZONTAL_RULE + "\n")
-    pieces = _object_pieces(store, {
+    return _object_pieces(store, {
         "codebox": F.concat(rule, F.coalesce("txt", F.lit("")), rule),
         "grid": cells_to_text(F.col("cells")),
         "image": F.when(image_kind() == "latex", F.concat(rule, F.coalesce(_latex_body(F.col("png")), F.lit("")), rule)).otherwise(F.lit("")),
     })
-    joined = store.node.select("node_id", "txt", *columns).join(pieces, F.col("node_id") == F.col("oid"), "left")
-    return joined.select("node_id", _interleave(F.col("txt"), F.col("objs")).alias("content"), *columns)
+
+
+def node_texts(store: Store, *columns: str) -> DataFrame:
+    """Plain text of every holder, objects included: node_id, content, and more
+    ``columns`` of the node."""
+    rows, texts = store.split()
+    joined = rows.join(_text_pieces(store), F.col("node_id") == F.col("oid"), "left")
+    return join_texts(joined, texts, "objs").select("node_id", _interleave(F.col("txt"), F.col("objs")).alias("content"), *columns)
 
 
 def export_text(store: Store, ordered: DataFrame, with_name: bool = True) -> DataFrame:
@@ -148,9 +155,12 @@ def export_text(store: Store, ordered: DataFrame, with_name: bool = True) -> Dat
     Sorted by ``pos`` the contents are the single-file export; written with a
     range sort, its part files follow each other.
     """
-    bodies = node_texts(store, "name").withColumnRenamed("node_id", "hid")
+    rows, texts = store.split()
+    bodies = rows.join(_text_pieces(store), F.col("node_id") == F.col("oid"), "left").select(F.col("node_id").alias("hid"), "name", "objs", "text_id", "stored")
     pos = ordered.select("node_id", "pos", "depth", holder_id().alias("holder"))
-    joined = lookup_join(pos, bodies, "holder", "hid", "inner")
+    # texts come last: they are not moved to their places
+    joined = join_texts(lookup_join(pos, bodies, "holder", "hid", "inner"), texts, "objs", "pos", "depth")
+    joined = joined.withColumn("content", _interleave(F.col("txt"), F.col("objs")))
     title = F.concat(F.repeat(F.lit("#"), (F.col("depth") + 1).cast("int")), F.lit(" "), "name", F.lit("\n")) if with_name else F.lit("")
     return joined.select("pos", "node_id", F.concat(title, "content", F.lit("\n\n")).alias("content"))
 
@@ -176,8 +186,9 @@ def export_html(store: Store, ordered: DataFrame, named: DataFrame, single_file:
             F.lit('<table style="'), align, F.lit('"><tr><td><a href="'), xml_escape(_embedded_file(F.col("node_id"))), F.lit('">Linked file: '), xml_escape("filename"), F.lit(" </a></td></tr></table>"),
         )).otherwise(F.lit("")),
     }, hrefs)
-    nodes = store.node.select("node_id", "name", "syntax", "txt").join(pieces, F.col("node_id") == F.col("oid"), "left")
-    nodes = nodes.withColumn("objs", _with_pictures(F.col("objs"), "node_id"))
+    rows, texts = store.split()
+    nodes = rows.join(pieces, F.col("node_id") == F.col("oid"), "left")
+    nodes = nodes.select(F.col("node_id").alias("hid"), "name", "syntax", "text_id", "stored", _with_pictures(F.col("objs"), "node_id").alias("objs"))
     # Escaping changes lengths, so the text is cut first and escaped per piece.
     woven = _interleave(F.col("txt"), F.col("objs"), escape=True)
 
@@ -192,15 +203,14 @@ def export_html(store: Store, ordered: DataFrame, named: DataFrame, single_file:
 
     text_body = let(F.struct(F.split(woven, "\n").alias("lines"), F.split("txt", "\n").alias("src")), paragraphs)
     code_body = F.concat(F.lit("<pre>"), xml_escape("txt"), F.lit("</pre>"))
-    bodies = nodes.select(
-        F.col("node_id").alias("hid"), "name", F.when(node_kind("syntax") == "code", code_body).otherwise(text_body).alias("body")
-    )
     files = named.select(
         F.col("node_id").alias("nid"),
         hier_name(F.col("names"), "--", True, node_id=F.col("node_id"), trailer=".html", html=True).alias("file_name"),
     )
     pos = ordered.select("node_id", "pos", "depth", holder_id().alias("holder")).join(files, F.col("node_id") == F.col("nid"))
-    joined = lookup_join(pos, bodies, "holder", "hid", "inner")
+    # texts come last: they are not moved to their places
+    joined = join_texts(lookup_join(pos, nodes, "holder", "hid", "inner"), texts, "objs", "pos", "depth", "file_name")
+    joined = joined.withColumn("body", F.when(node_kind("syntax") == "code", code_body).otherwise(text_body))
     if single_file:
         head = F.concat(
             F.lit("<div class='page'><a name=\""), "file_name", F.lit("\"></a><h1 class='title level-"),

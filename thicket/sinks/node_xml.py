@@ -15,7 +15,7 @@ from ..operators.forest import sibling_rank
 from ..operators.shared import holder_id
 from ..plans.joins import lookup_join
 from ..plans.scan import numbered
-from ..sources.store import Store, anchor_collapsed, decode_nodes, image_kind, justification
+from ..sources.store import Store, anchor_collapsed, decode_nodes, image_kind, join_texts, justification
 from .export import grid_to_xml
 
 #: Ids that are joined at a time; a list of any length is put together from such parts.
@@ -70,10 +70,11 @@ def node_elements(store: Store, paths: DataFrame, folders: bool) -> DataFrame:
     """
     from ..sources.stored import is_stored_rich
 
-    node = decode_nodes(store.node).withColumn("hid", F.col("node_id")).drop("node_id")
+    rows, texts = store.split()
+    node = decode_nodes(rows).withColumn("hid", F.col("node_id")).drop("node_id")
     plain = F.when(F.coalesce("txt", F.lit("")) == "", F.lit("")).otherwise(_element("rich_text", [], xml_escape("txt")))
     runs = F.regexp_extract("txt", r"(?s)<node(?:\s[^>]*)?>(.*)</node>", 1)
-    node = node.withColumn("text_xml", F.when(is_stored_rich(F.col("txt"), F.col("syntax")), runs).otherwise(plain)).drop("txt")
+    text_xml = F.when(is_stored_rich(F.col("txt"), F.col("syntax")), runs).otherwise(plain)
     objects = object_elements(store, folders).groupBy("node_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "kind", "xml"))), lambda o: o["xml"]), "").alias("objects")
     )
@@ -85,8 +86,11 @@ def node_elements(store: Store, paths: DataFrame, folders: bool) -> DataFrame:
         _attr("custom_icon_id", F.col("custom_icon_id")), _attr("is_bold", _bit("is_bold")),
         *[_attr(c, F.col(c)) for c in ("foreground", "ts_creation", "ts_lastsave")], F.lit(">"),
     )
-    body = F.when(F.col("master_id") > 0, F.lit("")).otherwise(F.concat("text_xml", F.coalesce("objects", F.lit(""))))
-    return pos.select("node_id", "path", "master_id", head.alias("head"), body.alias("body"))
+    # Texts meet their places last: none is moved by node, and copies of a text stand together.
+    shown = F.when(F.coalesce("master_id", F.lit(0)) <= 0, F.col("text_id")).alias("text_id")
+    placed = pos.select("node_id", "path", "master_id", head.alias("head"), "syntax", "objects", shown, "stored")
+    body = F.when(F.col("master_id") > 0, F.lit("")).otherwise(F.concat(text_xml, F.coalesce("objects", F.lit(""))))
+    return join_texts(placed, texts, "path", "master_id", "head", "objects").select("node_id", "path", "master_id", "head", body.alias("body"))
 
 
 def _id_lists(ranked: DataFrame, key: str) -> DataFrame:

@@ -79,16 +79,19 @@ def body_objects(bodies: DataFrame, blobs: DataFrame | None = None) -> dict[str,
 
 def _store_of(nodes: DataFrame, bookmark: DataFrame, blobs: DataFrame | None) -> Store:
     """Six tables of nodes with their attributes, place and body."""
-    nodes = materialize(nodes, "read-nodes")
+    # bodies are kept as they were read; the order among siblings goes to the tree alone
+    children = nodes.select("node_id", "father_id", "sequence", F.coalesce("master_id", F.lit(0).cast("long")).alias("master_id"))
+    nodes = materialize(nodes.drop("sequence"), "read-nodes")
     holders = nodes.where(F.coalesce("master_id", F.lit(0)) <= 0)
     objects = {t: align_schema(df, schema_of(t)) for t, df in body_objects(holders.where(F.col("syntax") == RICH_SYNTAX).select("node_id", "body"), blobs).items()}
     plain = holders.withColumns({"is_rich": F.col("syntax") == RICH_SYNTAX, "txt": body_text(), "exclude_me": F.coalesce("exclude_me", F.lit(False)), "exclude_children": F.coalesce("exclude_children", F.lit(False)), "kind": F.lit("")})
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("read_only", "is_bold")} | {"custom_icon_id": F.coalesce("custom_icon_id", F.lit(0).cast("long")), "foreground": F.coalesce("foreground", F.lit(""))}
     node = encode_node_bits(plain.withColumns(flags))
-    children = nodes.select("node_id", "father_id", "sequence", F.coalesce("master_id", F.lit(0).cast("long")).alias("master_id"))
     store = Store(node=align_schema(node, schema_of("node")), children=align_schema(children, schema_of("children")), bookmark=align_schema(bookmark, schema_of("bookmark")), **objects)
-    flagged = store.node.drop("has_codebox", "has_table", "has_image").join(has_flags(store), "node_id").select(*store.node.columns)
-    return store.with_tables(node=flagged)
+    rows, texts = store.split()
+    store = store.with_parts(rows, texts)
+    flagged = rows.drop("has_codebox", "has_table", "has_image").join(has_flags(store), "node_id").select(*rows.columns)
+    return store.with_parts(flagged, texts)
 
 
 def multifile_store(files: DataFrame) -> Store:

@@ -1,5 +1,6 @@
 """Stores kept as versions: tables in buckets of node_id, and a manifest per version.
 
+Texts are a table of their own that nodes name them in, so copies are kept once; a change adds its texts.
 A change rewrites the buckets that hold its nodes; the new manifest points to those and, for
 the rest, to the files of earlier versions. A version counts once its manifest has its final
 name, which one rename gives it; files of an attempt that failed are pointed to by none.
@@ -21,7 +22,7 @@ from ..operators.merge import store_diff
 from ..operators.object_index import INDEX_DDL, ObjectIndex, build_index
 from ..plans.joins import sized
 from ..session import materialize
-from .store import Store, align_schema, schema_of
+from .store import ROW_DDL, TEXT_DDL, Store, align_schema, join_texts, schema_of, split_texts
 
 #: Buckets of each table; fixed when a store is created. A manifest lists so many folders per table at most.
 BUCKETS = 256
@@ -92,32 +93,59 @@ def _write(spark: SparkSession, root: str, table: str, rows: DataFrame, buckets:
     return {int(n.split("=")[1]): f"{folder}/{n}" for n in made}
 
 
+def _write_texts(spark: SparkSession, root: str, texts: DataFrame, number: int) -> dict[int, str]:
+    """Writes the texts that version ``number`` adds; their folder by that number."""
+    folder = f"data/text/{uuid.uuid4().hex}/{_BUCKET}={number}"
+    texts.write.parquet(f"{root}/{folder}")
+    return {number: folder}
+
+
+_PLAIN_DDL = INDEX_DDL | {"text": TEXT_DDL, "rows": ROW_DDL}
+
+
 def _schema(table: str) -> T.StructType:
-    return T.StructType.fromDDL(INDEX_DDL[table]) if table in INDEX_DDL else schema_of(table)
+    return T.StructType.fromDDL(_PLAIN_DDL[table]) if table in _PLAIN_DDL else schema_of(table)
+
+
+def _parts(spark: SparkSession, root: str, version: Version, only: set[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Node rows of a version, or of those of its buckets, and its texts."""
+    if "text" not in version.folders:  # written when rows still held their texts
+        return split_texts(_read(spark, root, version, "node", only))
+    return _read(spark, root, version, "node", only, "rows"), _read(spark, root, version, "text")
+
+
+def _parts_of(spark: SparkSession, root: str, version: Version, only: set[int]) -> tuple[DataFrame, DataFrame]:
+    """Node rows of some buckets, and the texts that they name; others aren't moved."""
+    rows, texts = _parts(spark, root, version, only)
+    return rows, texts.join(sized(rows.select("text_id").distinct(), "text-ids"), "text_id", "left_semi")
 
 
 def create_versions(store: Store, root: str, buckets: int = BUCKETS, indexed: bool = True) -> Version:
     """Writes a store as the first version under ``root``, with the index of its objects unless ``indexed`` is off."""
     spark = store.node.sparkSession
-    folders = {name: _write(spark, root, name, align_schema(df, schema_of(name)), buckets) for name, df in store.tables().items()}
+    rows, texts = split_texts(store.node)
+    tables = store.tables() | {"node": rows.drop("stored")}
+    folders = {name: _write(spark, root, name, df if name == "node" else align_schema(df, schema_of(name)), buckets) for name, df in tables.items()}
+    folders["text"] = _write_texts(spark, root, texts, 1)
     if indexed:
         index = build_index(store)
         folders |= {name: _write(spark, root, name, getattr(index, name), buckets) for name in INDEX_DDL}
     return _commit(spark, root, Version(1, buckets, folders))
 
 
-def _read(spark: SparkSession, root: str, version: Version, table: str, only: set[int] | None = None) -> DataFrame:
+def _read(spark: SparkSession, root: str, version: Version, table: str, only: set[int] | None = None, schema: str | None = None) -> DataFrame:
     """A table of a version, or those of its buckets; columns and rows are pruned as in any Parquet table."""
     held = version.folders[table]
     paths = [f"{root}/{f}" for b, f in sorted(held.items()) if only is None or b in only]
-    schema = _schema(table)
+    schema = _schema(schema or table)
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def read_version(spark: SparkSession, root: str, number: int | None = None) -> Store:
     """The store as of a version, the newest by default."""
     version = open_version(spark, root, number)
-    return Store(**{t: _read(spark, root, version, t) for t in TABLES})
+    store = Store(**{t: _read(spark, root, version, t) for t in TABLES})
+    return store.with_parts(*_parts(spark, root, version)) if "text" in version.folders else store
 
 
 def read_index(spark: SparkSession, root: str, number: int | None = None) -> ObjectIndex:
@@ -167,15 +195,19 @@ def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: S
     rows = _read(spark, root, now, "children", touched).join(ids("removed OR hier"), "node_id", "left_anti")
     replace("children", touched, rows.unionByName(align_schema(changed.children, schema_of("children")).join(ids("hier AND NOT removed"), "node_id", "left_semi")))
 
-    touched = buckets("removed OR prop OR buff")
-    columns = [f.name for f in schema_of("node") if f.name != "node_id"]
-    old = _read(spark, root, now, "node", touched).select("node_id", F.struct(*columns).alias("old"))
-    new = align_schema(changed.node, schema_of("node")).join(ids("(prop OR buff) AND NOT removed"), "node_id", "left_semi").select("node_id", F.struct(*columns).alias("new"))
+    touched = buckets("removed OR prop OR buff") if "text" in now.folders else set(now.folders["node"]) | buckets("removed OR prop OR buff")
+    columns = [f.name for f in _schema("rows") if f.name not in ("node_id", "stored")]
+    old_rows, old_texts = _parts(spark, root, now, touched)
+    old = old_rows.select("node_id", F.struct(*columns).alias("old"))
+    new_rows, new_texts = changed.with_tables(node=align_schema(changed.node, schema_of("node"))).split_of(ids("(prop OR buff) AND NOT removed"))
+    new = new_rows.select("node_id", F.struct(*columns).alias("new"))
     flags = live.where("removed OR prop OR buff").select("node_id", "prop", "buff", "whole", "removed")
     both = old.join(flags.join(new, "node_id", "left"), "node_id", "full").where("NOT coalesce(removed, false) AND (old IS NOT NULL OR new IS NOT NULL)")
-    written = lambda c: F.col("whole") | F.col("old").isNull() | F.col("buff" if c == "txt" else "prop")
+    written = lambda c: F.col("whole") | F.col("old").isNull() | F.col("buff" if c == "text_id" else "prop")
     pick = [F.when(F.col("new").isNotNull() & written(c), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns]
     replace("node", touched, both.select("node_id", *pick))
+    known_texts = now.folders.get("text") or _write_texts(spark, root, old_texts, now.number)
+    folders["text"] = known_texts | (_write_texts(spark, root, new_texts, now.number + 1) if touched else {})
 
     touched = buckets("removed OR buff")
     for table in ("codebox", "grid", "image"):
@@ -186,6 +218,7 @@ def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: S
         # objects stand where their node's text and objects put them, and those are in the buckets just written
         after = Version(now.number + 1, now.buckets, folders)
         part = Store(**{t: _read(spark, root, after, t, touched) if t in folders and t != "children" else _read(spark, root, now, t, set()) for t in TABLES})
+        part = part.with_parts(*_parts_of(spark, root, after, touched))
         index = build_index(part) if touched else None
         for table in INDEX_DDL:
             replace(table, touched, getattr(index, table, None))
@@ -203,10 +236,19 @@ def version_diff(spark: SparkSession, root: str, older: int, newer: int) -> Data
     """
     a, b = open_version(spark, root, older), open_version(spark, root, newer)
     apart = {t: {k for k in a.folders[t].keys() | b.folders[t].keys() if a.folders[t].get(k) != b.folders[t].get(k)} for t in TABLES}
-    stores = [Store(**{t: _read(spark, root, v, t, apart[t]) for t in TABLES}) for v in (a, b)]
+    stores = [Store(**{t: join_texts(*_parts_of(spark, root, v, apart[t])) if t == "node" else _read(spark, root, v, t, apart[t]) for t in TABLES}) for v in (a, b)]
     return store_diff(*stores)
 
 
+def compact_texts(spark: SparkSession, root: str) -> Version:
+    """The next version, with no texts but those that its nodes name, in one folder."""
+    now = open_version(spark, root)
+    rows, texts = _parts(spark, root, now)
+    named = texts.join(sized(rows.select("text_id").distinct(), "text-ids"), "text_id", "left_semi").distinct()
+    folders = now.folders | {"text": _write_texts(spark, root, named, now.number + 1)}
+    return _commit(spark, root, Version(now.number + 1, now.buckets, folders, now.batches))
+
+
 def forget_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     """Drops all but the newest ``keep`` versions and every folder that those don't point to; what was dropped.
 
@@ -215,7 +257,7 @@ def forget_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     numbers = version_numbers(spark, root)
     used = {f for n in numbers[-keep:] for held in open_version(spark, root, n).folders.values() for f in held.values()}
     gone = [f"manifests/{n:012d}.json" for n in numbers[:-keep]] + [f"manifests/{n}" for n in _names(spark, f"{root}/manifests") if n.startswith(".draft-")]
-    for table in [*TABLES, *INDEX_DDL]:
+    for table in [*TABLES, *INDEX_DDL, "text"]:
         for folder in _names(spark, f"{root}/data/{table}"):
             buckets = [n for n in _names(spark, f"{root}/data/{table}/{folder}") if n.startswith(f"{_BUCKET}=")]
             dead = [n for n in buckets if f"data/{table}/{folder}/{n}" not in used]

@@ -152,3 +152,19 @@ def test_overlaps():
     for k, b in enumerate((1, 3, 5)):  # a set's overlap with itself isn't asked for
         assert [got[a, k] for a in range(6) if a != b] == [len(np.intersect1d(sets[a], sets[b])) for a in range(6) if a != b]
     assert jaccard.overlaps([np.zeros(0, np.uint64)], np.arange(1), np.arange(1)).tolist() == [[0]]
+
+
+def test_components_meet_sets_and_not_each_posting(spark, monkeypatch):
+    """The join of a round has a row per set, however many postings the set has."""
+    text = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(k, f"{text} end{k}") for k in range(6)], "doc_id long, text string")
+    kept, plain = [], jaccard.materialize
+
+    def noted(df, name="step", **more):
+        out = plain(df, name, **more)
+        return kept.append(out.select("key").collect()) or out if name == "postings" else out
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    found = jaccard.near_duplicates(docs).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert len(kept[-1]) == len(set(kept[-1])) == 6

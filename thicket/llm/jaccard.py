@@ -233,8 +233,10 @@ def settled(here: DataFrame, sets: DataFrame, found: DataFrame | None, percent:
         pairs = paired(members, [home], F.when(F.col("crowd"), F.col("root").cast("string")).otherwise(""), BLOCK_SETS)
         new = materialize(pairs.groupBy(home, "pair").applyInArrow(_compared(percent), "a long, b long"), "links")
         found = new if found is None else found.union(new)
-        here = here.drop("root").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        here = here.join(chosen.select("key", home), "key", "left")
+        own = [c for c in here.columns if c not in ("t", "level", "root")]
+        held = here.groupBy(*own).agg(F.collect_list(F.struct("t", "level")).alias("p"))
+        held = held.join(components(found).withColumnRenamed("node", "key"), "key", "left").join(chosen.select("key", home), "key", "left")
+        here = held.select(*own, F.coalesce("root", "key").alias("root"), home, F.explode("p").alias("p")).select("*", "p.t", "p.level").drop("p")
         open_lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("t")
         with Scratch() as of_round:
             here, homes = materialize(here.join(open_lists, "t"), "lists"), [*homes, home]
@@ -262,12 +264,14 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
     # what stands before a set's first shared token can't be common, which bounds its partners' sizes
     reach = postings.groupBy("key").agg(F.min("pos").alias("first"))
     postings = postings.join(reach, "key").withColumn("most", F.floor(((F.col("n") - F.col("first")) * (100 + percent)) / F.lit(percent)) - F.col("n")).where("100 * most >= n * " + str(percent)).drop("alpha", "first")
-    postings = materialize(postings, "postings")
+    # one row per set, so that a round joins components to sets and not to each of their postings
+    held = materialize(postings.groupBy("key", "n", "shared", "rest", "most").agg(F.collect_list(F.struct("t", "level")).alias("p")), "postings")
     whole.drop()
 
     roots, found, seen, last = None, None, None, float("inf")
     while True:
-        here = postings.withColumn("root", F.col("key")) if roots is None else postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rooted = held.withColumn("root", F.col("key")) if roots is None else held.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        here = rooted.select("key", "n", "shared", "rest", "most", "root", F.explode("p").alias("p")).select("*", "p.t", "p.level").drop("p")
         lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0")).where("r0 < r1").select("t", "n0")
         with Scratch() as of_round:
             here = materialize(here.join(lists, "t").where("most >= n0").drop("n0"), "lists")

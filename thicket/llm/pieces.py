@@ -23,20 +23,6 @@ NEVER = -np.inf
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
-class _Words(dict):
-    """Ids of the words that a task has met, as they are written; a word stands behind one blank."""
-
-    def __init__(self, made):
-        super().__init__()
-        self.made = made
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids = self.made(BLANK + word)
-        return ids
-
-
 class Vocabulary:
     """Pieces with scores, and a lattice over them: the best path has the highest sum of scores.
 
@@ -71,7 +57,6 @@ class Vocabulary:
         self.longest = max(map(len, self.score))
         #: Whether a path must cut before each run of blanks.
         self.cuts = all(BLANK not in p.lstrip(BLANK) for p in self.score)
-        self.words = _Words(lambda text: _ids(self.ids_of(text, self.forward(text, len(text), {0: 0.0})[1], len(text))))
         self.known: dict[str, bytes] = {}
         self.sums: dict[str, float] = {}
 
@@ -129,8 +114,6 @@ class Vocabulary:
         """Ids of a text, as they are written; blanks are marked and one is put before it."""
         if not text:
             return b""
-        if self.cuts and text[0] != " " and "  " not in text and BLANK not in text:  # all cuts are single blanks
-            return b"".join(map(self.words.__getitem__, text.split(" ")))
         get, segment = self.known.get, self.segment
         return b"".join([get(p) or segment(p) for p in self.parts(BLANK + text.replace(" ", BLANK))])
 

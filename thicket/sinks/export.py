@@ -15,7 +15,7 @@ from ..operators.merge import OBJECT_TABLES, export_subtree
 from ..operators.search import object_positions
 from ..operators.shared import holder_id
 from ..plans.joins import lookup_join
-from ..sources.store import Store, image_kind, join_texts, node_kind, split_texts
+from ..sources.store import Store, image_kind, join_texts, named_texts, node_kind, plain_parts
 
 def prepare_store(store: Store) -> Store:
     """As it is written: objects of rich nodes only, has_* flags from the objects."""
@@ -34,9 +34,9 @@ def save_store(store: Store, path: str, root: int | None = None, ordered: DataFr
     by either skip files. Texts go to a table of their own, each once, and nodes name them.
     """
     out = store if root is None else export_subtree(store, ordered, root, with_children)
-    rows, texts = split_texts(out.node)
+    rows, texts = plain_parts(out)
     out = prepare_store(out.with_parts(rows, texts))
-    texts.write.mode("overwrite").parquet(f"{path}/text")
+    named_texts(rows, texts).write.mode("overwrite").parquet(f"{path}/text")
     for name in TABLES:
         df = out.parts[0].drop("stored") if name == "node" else getattr(out, name)
         key = "father_id" if name == "children" else "node_id"

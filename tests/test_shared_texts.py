@@ -1,5 +1,7 @@
 """Texts kept once: what is written and moved, and sums and differences that nulls or large ids spoil."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from thicket.catalog.stores import _digest
@@ -100,3 +102,59 @@ def test_short_texts_are_dealt_to_many_tasks_and_read_once(spark):
     # the cells stand once in the expression that pads them
     expression = spark.range(1).select(pad_cells(F.expr("array(array('needle'), array(cast(id as string)))")).alias("c"))
     assert plan_of(expression).count("needle") == 1
+
+
+def written(spark, name):
+    """The tables so named in the shared folder."""
+    from glob import glob
+
+    from thicket.session import shared_dir
+
+    return set(glob(f"{shared_dir(spark).removeprefix('file:')}/thicket-{name}-*"))
+
+
+def with_runs(spark):
+    """A store with rich texts kept as XML under rows that are decoded, nodes without a text and texts shared by both kinds."""
+    rows, texts = split_texts(encode_store(store_of(spark)).node)
+    more = spark.createDataFrame([("shared",)], "txt string").select(F.unhex(F.substring(F.sha2("txt", 256), 1, 32)).alias("text_id"), "txt")
+    rows = rows.withColumn("stored", F.col("syntax") == "custom-colors").withColumn("text_id", F.when(F.col("node_id") > 50, more.head()[0]).otherwise(F.col("text_id")))
+    return store_of(spark).with_parts(rows, texts.unionByName(more).unionByName(more))
+
+
+def test_a_save_and_an_encoding_of_texts_kept_apart_join_none_by_node(spark, tmp_path):
+    store = with_runs(spark)
+    known = written(spark, "rows")
+    whole = store.with_tables(node=store.node)
+    coded = encode_store(store)
+    assert rows_of(coded.node) == rows_of(encode_store(whole).node)
+    save_store(coded, f"{tmp_path}/x")
+    version = V.create_versions(store, f"{tmp_path}/v", buckets=2, indexed=False)
+    assert written(spark, "rows") == known  # rows were not split from their texts anew
+    assert rows_of(load_store(spark, f"{tmp_path}/x", decode=False).node) == rows_of(coded.node)
+    assert rows_of(load_store(spark, f"{tmp_path}/x").node) == [r | ({"txt": r["txt"] or ""} if r["node_id"] % 2 == 0 else {}) for r in rows_of(whole.node)]
+    texts = spark.read.parquet(f"{tmp_path}/x/text")
+    assert texts.count() == texts.select("text_id").distinct().count() == spark.read.parquet(f"{tmp_path}/x/node").where("text_id IS NOT NULL").select("text_id").distinct().count()
+    assert version.number == 1 and rows_of(V.read_version(spark, f"{tmp_path}/v").node) == rows_of(whole.node)
+
+
+def test_stores_are_compared_by_names_of_texts(spark):
+    from thicket.operators import search as X
+
+    store = with_runs(spark)
+    opts = X.SearchOptions("text", match_case=True)
+    other = X.replace_store_text(store, opts, "word")
+    assert other.parts is not None
+    # the same store with its texts in the rows
+    changed = {r["node_id"]: r for r in rows_of(X.replace_text(store.node, opts, "word"))}
+    assert changed and rows_of(other.node) == [changed.get(r["node_id"], r) for r in rows_of(store.node)]
+    found = M.store_diff(store, other)
+    assert not re.search(r"\btxt#", plan_of(found.where("table_name = 'node'")))
+    assert sorted(map(tuple, found.collect())) == sorted((side, "node", i) for side in ("left", "right") for i in changed)
+    assert M.store_diff(store, store.with_tables(node=store.node)).count() == 0
+
+
+def test_rows_that_one_store_has_more_often_count_each_time(spark):
+    store = store_of(spark, n=3)
+    twice = store.with_tables(children=store.children.unionByName(store.children).unionByName(store.children.where("node_id = 2")))
+    assert sorted(map(tuple, M.store_diff(twice, store).collect())) == [("left", "children", 1), ("left", "children", 2), ("left", "children", 2), ("left", "children", 3)]
+    assert M.store_diff(store, twice).where("side = 'right'").count() == 4

@@ -16,7 +16,7 @@ from ..model import PAGE_SIZE, RICH_SYNTAX
 from ..plans.joins import lookup_join, sized
 from ..plans.scan import numbered
 from ..session import materialize
-from ..sources.store import Store, decode_nodes, image_kind
+from ..sources.store import Store, decode_nodes, image_kind, plain_parts, rewritten
 from .forest import names_on_path, subtree
 from .object_index import ObjectIndex, all_objects, build_index, object_lines, object_positions, objects_before  # noqa: F401
 
@@ -515,6 +515,12 @@ def replace_text(nodes: DataFrame, opts: SearchOptions, replacement: str) -> Dat
     return open_nodes.where(hit(F.col("txt"), opts)).withColumn("txt", replaced(F.col("txt"), opts, replacement))
 
 
+def replace_store_text(store: Store, opts: SearchOptions, replacement: str) -> Store:
+    """The store after :func:`replace_text`. Texts are searched and rewritten once each, not by node."""
+    open_rows = F.coalesce("is_ro", F.lit(0)).bitwiseAND(F.lit(1).cast("long")) == 0
+    return store.with_parts(*rewritten(*plain_parts(store), hit(F.col("txt"), opts), replaced(F.col("txt"), opts, replacement), open_rows))
+
+
 def replace_names(nodes: DataFrame, opts: SearchOptions, replacement: str, legacy_fold_write: bool = True) -> DataFrame:
     """Renamed nodes. A match in the tags selects a node too, but only its name
     is rewritten; group references always expand. With accent folding the folded

@@ -22,7 +22,7 @@ from ..operators.merge import store_diff
 from ..operators.object_index import INDEX_DDL, ObjectIndex, build_index
 from ..plans.joins import sized
 from ..session import materialize
-from .store import ROW_DDL, TEXT_DDL, Store, align_schema, join_texts, schema_of, split_texts
+from .store import ROW_DDL, TEXT_DDL, Store, align_schema, join_texts, named_texts, plain_parts, schema_of, split_texts
 
 #: Buckets of each table; fixed when a store is created. A manifest lists so many folders per table at most.
 BUCKETS = 256
@@ -123,10 +123,10 @@ def _parts_of(spark: SparkSession, root: str, version: Version, only: set[int])
 def create_versions(store: Store, root: str, buckets: int = BUCKETS, indexed: bool = True) -> Version:
     """Writes a store as the first version under ``root``, with the index of its objects unless ``indexed`` is off."""
     spark = store.node.sparkSession
-    rows, texts = split_texts(store.node)
+    rows, texts = plain_parts(store)
     tables = store.tables() | {"node": rows.drop("stored")}
     folders = {name: _write(spark, root, name, df if name == "node" else align_schema(df, schema_of(name)), buckets) for name, df in tables.items()}
-    folders["text"] = _write_texts(spark, root, texts, 1)
+    folders["text"] = _write_texts(spark, root, named_texts(rows, texts), 1)
     if indexed:
         index = build_index(store)
         folders |= {name: _write(spark, root, name, getattr(index, name), buckets) for name in INDEX_DDL}
@@ -199,7 +199,9 @@ def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: S
     columns = [f.name for f in _schema("rows") if f.name not in ("node_id", "stored")]
     old_rows, old_texts = _parts(spark, root, now, touched)
     old = old_rows.select("node_id", F.struct(*columns).alias("old"))
-    new_rows, new_texts = changed.with_tables(node=align_schema(changed.node, schema_of("node"))).split_of(ids("(prop OR buff) AND NOT removed"))
+    fresh = changed.with_parts(*plain_parts(changed)) if changed.parts else changed.with_tables(node=align_schema(changed.node, schema_of("node")))
+    new_rows, new_texts = fresh.split_of(ids("(prop OR buff) AND NOT removed"))
+    new_rows = align_schema(new_rows, ROW_DDL)
     new = new_rows.select("node_id", F.struct(*columns).alias("new"))
     flags = live.where("removed OR prop OR buff").select("node_id", "prop", "buff", "whole", "removed")
     both = old.join(flags.join(new, "node_id", "left"), "node_id", "full").where("NOT coalesce(removed, false) AND (old IS NOT NULL OR new IS NOT NULL)")
@@ -207,7 +209,7 @@ def write_changes(spark: SparkSession, root: str, pending: DataFrame, changed: S
     pick = [F.when(F.col("new").isNotNull() & written(c), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns]
     replace("node", touched, both.select("node_id", *pick))
     known_texts = now.folders.get("text") or _write_texts(spark, root, old_texts, now.number)
-    folders["text"] = known_texts | (_write_texts(spark, root, new_texts, now.number + 1) if touched else {})
+    folders["text"] = known_texts | (_write_texts(spark, root, named_texts(new_rows, new_texts), now.number + 1) if touched else {})
 
     touched = buckets("removed OR buff")
     for table in ("codebox", "grid", "image"):

@@ -3,12 +3,14 @@
 import html
 import xml.dom.minidom
 
+import pytest
 from pyspark.sql import functions as F
 
 from thicket.model import TABLES
 from thicket.operators.forest import names_on_path, preorder, root_paths
 from thicket.operators.merge import store_diff
 from thicket.operators.shared import resolve_shared
+from thicket.session import materialize
 from thicket.sinks import node_xml as NX
 from thicket.sinks.export import export_html, html_files
 from thicket.sources import node_xml as NR
@@ -97,6 +99,47 @@ def test_several_files_get_fresh_ids(spark):
     assert sorted((r.node_id, r.sequence) for r in store.bookmark.collect()) == [(1, 1), (2, 2)]
 
 
+def test_bodies_are_not_kept(spark, monkeypatch):
+    """A read store keeps each text once and no body, however many nodes show the text."""
+    store = full_store(spark)
+    node = store.node.where("node_id = 1")
+    many = node.join(spark.range(100, 400).withColumnRenamed("id", "n"), how="cross").withColumn("node_id", F.col("n")).drop("n")
+    children = spark.range(100, 400).select(F.col("id").alias("node_id"), F.lit(1).cast("long").alias("father_id"), F.col("id").alias("sequence"), F.lit(0).cast("long").alias("master_id"))
+    big = store.with_tables(node=store.node.unionByName(many), children=store.children.unionByName(children))
+    files = NX.export_multifile(big, root_paths(big.children))
+    kept = {}
+
+    def keep(df, name="step", outlives=False):
+        kept[name] = materialize(df, name, outlives)
+        return kept[name]
+
+    monkeypatch.setattr(NR, "materialize", keep)
+    read = NR.multifile_store(files)
+    assert not any("body" in df.columns for df in kept.values())
+    assert 0 < kept["read-nodes"].where("txt IS NOT NULL").count() < 150 and read.parts[1].select("text_id").distinct().count() == 4
+    assert read.node.where("node_id >= 100").select("txt").distinct().collect() == node.select("txt").collect()
+    assert {r.node_id: r.sequence for r in read.children.where("father_id = 1").collect()}[399] == 302
+
+
+def test_a_file_that_changes_while_it_is_read(spark, tmp_path, monkeypatch):
+    """A text that has to be read again and is another by then ends the job; no node loses its text."""
+    monkeypatch.setattr(NR, "TEXT_IN", 1_000_003)
+    folder = str(tmp_path / "s")
+    store = full_store(spark)
+    NX.write_files(NX.export_multifile(store, root_paths(store.children)), folder)
+
+    def keep(df, name="step", outlives=False):
+        out = materialize(df, name, outlives)
+        if name == "read-nodes":
+            file = tmp_path / "s" / "1" / "2" / "node.xml"
+            file.write_text(file.read_text().replace("pass", "exit"))
+        return out
+
+    monkeypatch.setattr(NR, "materialize", keep)
+    with pytest.raises(RuntimeError, match="changed"):
+        NR.load_multifile_store(spark, folder)
+
+
 def test_no_nodes(spark):
     none = Store(**{t: spark.createDataFrame([], schema_of(t)) for t in TABLES})
     files = NX.export_multifile(none, root_paths(none.children))

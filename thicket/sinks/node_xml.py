@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,7 @@ def node_elements(store: Store, paths: DataFrame, folders: bool) -> DataFrame:
     )
     node = node.join(objects, F.col("hid") == F.col("node_id"), "left").drop("node_id")
     pos = lookup_join(paths.select("node_id", "path", "master_id", holder_id().alias("holder")), node, "holder", "hid", "inner")
+    attrs = ("name", "tags", "read_only", "exclude_me", "exclude_children", "custom_icon_id", "is_bold", "foreground", "ts_creation", "ts_lastsave")
     head = F.concat(
         F.lit("<node"), *[_attr(a, F.col(c)) for a, c in (("unique_id", "node_id"), ("master_id", "master_id"), ("name", "name"), ("prog_lang", "syntax"), ("tags", "tags"))],
         *[_attr(a, _bit(c)) for a, c in (("readonly", "read_only"), ("nosearch_me", "exclude_me"), ("nosearch_ch", "exclude_children"))],
@@ -88,9 +90,11 @@ def node_elements(store: Store, paths: DataFrame, folders: bool) -> DataFrame:
     )
     # Texts meet their places last: none is moved by node, and copies of a text stand together.
     shown = F.when(F.coalesce("master_id", F.lit(0)) <= 0, F.col("text_id")).alias("text_id")
-    placed = pos.select("node_id", "path", "master_id", head.alias("head"), "syntax", "objects", shown, "stored")
+    # Tags are made there too, as the columns are shorter than their XML.
+    placed = pos.select("node_id", "path", "master_id", *[F.col(c).alias(f"__{c}") for c in attrs], "syntax", "objects", shown, "stored")
     body = F.when(F.col("master_id") > 0, F.lit("")).otherwise(F.concat(text_xml, F.coalesce("objects", F.lit(""))))
-    return join_texts(placed, texts, "path", "master_id", "head", "objects").select("node_id", "path", "master_id", "head", body.alias("body"))
+    whole = join_texts(placed, texts, "path", "master_id", "objects", *[f"__{c}" for c in attrs]).withColumnsRenamed({f"__{c}": c for c in attrs})
+    return whole.select("node_id", "path", "master_id", head.alias("head"), body.alias("body"))
 
 
 def _id_lists(ranked: DataFrame, key: str) -> DataFrame:
@@ -100,8 +104,8 @@ def _id_lists(ranked: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(join("ids", "part", ",").alias("content"))
 
 
-def export_multifile(store: Store, paths: DataFrame) -> DataFrame:
-    """The folder form of a store, as rows (path, content) of its files.
+def multifile_kinds(store: Store, paths: DataFrame) -> dict[str, DataFrame]:
+    """The folder form of a store, as rows (path, content) of its files, by kind.
 
     ``node.xml`` per node in the folder of its path, one ``subnodes.lst`` per father,
     ``bookmarks.lst`` at the top, and each blob once per node folder, named by its digest.
@@ -118,7 +122,13 @@ def export_multifile(store: Store, paths: DataFrame) -> DataFrame:
     blobs = blobs.select("node_id", F.concat(F.sha2("png", 256), blob_name()).alias("name"), "png").groupBy("node_id", "name").agg(F.first("png").alias("content"))
     own = paths.where(F.coalesce("master_id", F.lit(0)) <= 0).select(F.col("node_id").alias("owner"), F.col("path").alias("of"))
     blobs = blobs.join(own, F.col("node_id") == F.col("owner")).select(within(F.col("of"), F.col("name")).alias("path"), "content")
-    return nodes.unionByName(lists).unionByName(marks).unionByName(blobs)
+    return {"node": nodes, "list": lists, "mark": marks, "blob": blobs}
+
+
+def export_multifile(store: Store, paths: DataFrame) -> DataFrame:
+    """All files of :func:`multifile_kinds`."""
+    nodes, *others = multifile_kinds(store, paths).values()
+    return reduce(DataFrame.unionByName, others, nodes)
 
 
 def export_xml(store: Store, ordered: DataFrame) -> DataFrame:

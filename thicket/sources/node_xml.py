@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.text import header_anchor_level, is_true, to_int
 from ..model import LATEX_FILENAME, RICH_SYNTAX
 from ..operators.aggregates import has_flags
+from ..plans.joins import sized
 from ..session import materialize
 from .html import decode_xml_entities
 from .outline import xml_attrs
-from .store import Store, align_schema, encode_node_bits, schema_of
-from .xml_store import multifile_bookmarks, multifile_nodes, parse_grid_xml, read_multifile, xml_bookmarks, xml_corpus
+from .store import ROW_DDL, Store, align_schema, encode_node_bits, schema_of, text_id
+from .xml_store import in_listed_order, multifile_bodies, multifile_bookmarks, parse_grid_xml, read_multifile, xml_bookmarks, xml_corpus
 
 #: An element of a node's content, up to its own end; none of them nests in another.
 _PIECE = r"(?s)<(rich_text|codebox|table|encoded_png)(?:\s(?:[^>/]|/(?!>))*)?(?:/>|>.*?</\1>)"
+#: One node in so many keeps its text where it is read; most texts that many nodes show are among them.
+TEXT_IN = 4
 # Attributes of the objects, as written.
 _CODE = ["char_offset", "justification", "frame_width", "frame_height", "width_in_pixels", "syntax_highlighting", "highlight_brackets", "show_line_numbers"]
 _IMAGE = ["char_offset", "justification", "link", "anchor", "state", "filename", "time", "sha256sum"]
@@ -39,14 +42,13 @@ def body_text(body: str = "body") -> Column:
 
 
 def body_objects(bodies: DataFrame, blobs: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The code boxes, grids and images of nodes (node_id, body), with their offsets.
+    """The code boxes, grids and images of nodes (node_id, pieces), with their offsets.
 
-    ``blobs`` (node_id, sha, content) has the files of node folders; without it blobs are
-    written in the body.
+    ``pieces`` are the elements of a body that are no run. ``blobs`` (node_id, sha, content)
+    has the files of node folders; without it blobs are written in the body.
     """
     head = F.regexp_extract("piece", r"^(<(?:[^>/]|/(?!>))*/?>)", 1)
-    pieces = bodies.select("node_id", F.explode(F.filter(_pieces("body"), lambda p: ~p.startswith("<rich_text"))).alias("piece"))
-    pieces = materialize(pieces.withColumn("head", head), "objects")
+    pieces = bodies.select("node_id", F.explode("pieces").alias("piece")).withColumn("head", head)
     just = F.when(F.col("a.justification") == "", F.lit("left")).otherwise(F.col("a.justification"))
     flag = lambda c: F.coalesce(is_true(f"a.{c}"), F.lit(False))
     number = lambda c: to_int(F.col(f"a.{c}"))
@@ -77,29 +79,52 @@ def body_objects(bodies: DataFrame, blobs: DataFrame | None = None) -> dict[str,
     return {"codebox": code, "grid": grid, "image": image}
 
 
-def _store_of(nodes: DataFrame, bookmark: DataFrame, blobs: DataFrame | None) -> Store:
-    """Six tables of nodes with their attributes, place and body."""
-    # bodies are kept as they were read; the order among siblings goes to the tree alone
-    children = nodes.select("node_id", "father_id", "sequence", F.coalesce("master_id", F.lit(0).cast("long")).alias("master_id"))
-    nodes = materialize(nodes.drop("sequence"), "read-nodes")
-    holders = nodes.where(F.coalesce("master_id", F.lit(0)) <= 0)
-    objects = {t: align_schema(df, schema_of(t)) for t, df in body_objects(holders.where(F.col("syntax") == RICH_SYNTAX).select("node_id", "body"), blobs).items()}
-    plain = holders.withColumns({"is_rich": F.col("syntax") == RICH_SYNTAX, "txt": body_text(), "exclude_me": F.coalesce("exclude_me", F.lit(False)), "exclude_children": F.coalesce("exclude_children", F.lit(False)), "kind": F.lit("")})
+def _store_of(nodes: DataFrame, bookmark: DataFrame, blobs: DataFrame | None, files: DataFrame | None = None) -> Store:
+    """Six tables of nodes with their attributes, place and body; ``files`` tell the order of siblings, if ``nodes`` don't.
+
+    Bodies are not kept: a node's row holds its objects and the name of its text. One node in
+    ``TEXT_IN`` keeps its text too; the texts that none of them has are read again, each from one node.
+    """
+    holds = F.coalesce("master_id", F.lit(0)) <= 0
+    rich = holds & (F.col("syntax") == RICH_SYNTAX)
+    read = nodes.withColumns({"txt": F.when(holds, body_text()), "pieces": F.when(rich, F.filter(_pieces("body"), lambda p: ~p.startswith("<rich_text")))}).drop("body")
+    shows = F.pmod(F.xxhash64("node_id"), F.lit(TEXT_IN)) == 0
+    read = materialize(read.withColumns({"text_id": text_id("txt"), "txt": F.when(shows, F.col("txt"))}), "read-nodes")
+    texts = materialize(read.where("txt IS NOT NULL").select("text_id", "txt").distinct(), "texts")
+    read = read.drop("txt")
+    lacking = read.where(holds).groupBy("text_id").agg(F.min("node_id").alias("node_id")).join(texts.select("text_id"), "text_id", "left_anti")
+    lacking = sized(lacking, "text-nodes")
+    if not lacking.isEmpty():
+        more = nodes.where(holds).join(lacking.select("node_id"), "node_id", "left_semi").select(body_text().alias("txt"))
+        more = materialize(more.select(text_id("txt").alias("text_id"), "txt").distinct(), "texts")
+        if not lacking.join(more.select("text_id"), "text_id", "left_anti").isEmpty():
+            raise RuntimeError("files changed while they were read")
+        texts = texts.unionByName(more)
+
+    placed = read.select("node_id", "father_id", "master_id", *([] if files is not None else ["sequence"]))
+    placed = placed if files is None else in_listed_order(placed, files)
+    children = placed.select("node_id", "father_id", "sequence", F.coalesce("master_id", F.lit(0).cast("long")).alias("master_id"))
+    holders = read.where(holds)
+    objects = {t: align_schema(df, schema_of(t)) for t, df in body_objects(holders.where(F.col("syntax") == RICH_SYNTAX).select("node_id", "pieces"), blobs).items()}
+    plain = holders.withColumns({"is_rich": F.col("syntax") == RICH_SYNTAX, "exclude_me": F.coalesce("exclude_me", F.lit(False)), "exclude_children": F.coalesce("exclude_children", F.lit(False)), "kind": F.lit("")})
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("read_only", "is_bold")} | {"custom_icon_id": F.coalesce("custom_icon_id", F.lit(0).cast("long")), "foreground": F.coalesce("foreground", F.lit(""))}
-    node = encode_node_bits(plain.withColumns(flags))
-    store = Store(node=align_schema(node, schema_of("node")), children=align_schema(children, schema_of("children")), bookmark=align_schema(bookmark, schema_of("bookmark")), **objects)
-    rows, texts = store.split()
+    rows = align_schema(encode_node_bits(plain.withColumns(flags)).withColumn("stored", F.lit(False)), ROW_DDL)
+    store = Store(node=rows, children=align_schema(children, schema_of("children")), bookmark=align_schema(bookmark, schema_of("bookmark")), **objects)
     store = store.with_parts(rows, texts)
     flagged = rows.drop("has_codebox", "has_table", "has_image").join(has_flags(store), "node_id").select(*rows.columns)
     return store.with_parts(flagged, texts)
 
 
-def multifile_store(files: DataFrame) -> Store:
-    """The store that the files (path, content) of a folder form hold, objects and blobs included."""
+def multifile_store(files: DataFrame | dict[str, DataFrame]) -> Store:
+    """The store that the files (path, content) of a folder form hold, objects and blobs included.
+
+    Files may be given by kind, as :func:`multifile_kinds` makes them, so that no reader of one makes the others.
+    """
+    kinds = files if isinstance(files, dict) else dict.fromkeys(("node", "list", "mark", "blob"), files)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    blobs = files.withColumn("name", name).where(F.col("name").rlike(r"^[0-9a-f]{64}(?:\.[^/]*)?$"))
+    blobs = kinds["blob"].withColumn("name", name).where(F.col("name").rlike(r"^[0-9a-f]{64}(?:\.[^/]*)?$"))
     blobs = blobs.select(F.regexp_extract("path", r"(\d+)/[^/]*$", 1).try_cast("long").alias("node_id"), F.substring("name", 1, 64).alias("sha"), "content").dropDuplicates(["node_id", "sha"])
-    return _store_of(multifile_nodes(files), multifile_bookmarks(files), blobs)
+    return _store_of(multifile_bodies(kinds["node"]), multifile_bookmarks(kinds["mark"]), blobs, kinds["list"])
 
 
 def load_multifile_store(spark: SparkSession, folder: str) -> Store:

@@ -117,25 +117,28 @@ def load_xml_corpus(spark: SparkSession, pattern: str) -> DataFrame:
     return xml_corpus(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
-def multifile_nodes(files: DataFrame) -> DataFrame:
-    """Nodes of a store kept as nested folders: (path, content) of all its files.
-
-    ``.../<id>/<id>/node.xml`` gives the tree, ``subnodes.lst`` the order of the
-    children and the top folder's ``subnodes.lst`` that of the top nodes.
-    """
+def _located(files: DataFrame) -> DataFrame:
+    """Files with the ids of their folders and their name."""
     parts = F.split("path", "/")
     ids = F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.rlike(r"^\d+$"))
-    base = F.element_at(parts, -1)
-    located = files.withColumns({"ids": ids, "base": base, "text": F.col("content").cast("string")})
-    node = located.where("base = 'node.xml'")
+    return files.withColumns({"ids": ids, "base": F.element_at(parts, -1), "text": F.col("content").cast("string")})
+
+
+def multifile_bodies(files: DataFrame) -> DataFrame:
+    """Nodes of the folder form with their bodies, without their order among siblings."""
+    node = _located(files).where("base = 'node.xml'")
     head = F.regexp_extract("text", r"(<node(?:\s[^>]*)?>)", 1)
-    nodes = _with_node_columns(node, head).select(
+    return _with_node_columns(node, head).select(
         F.element_at("ids", -1).cast("long").alias("node_id"),
         F.when(F.size("ids") > 1, F.element_at("ids", -2).cast("long")).otherwise(F.lit(0)).cast("long").alias("father_id"),
         (F.size("ids") - 1).cast("long").alias("depth"), *NODE_ATTRIBUTES.values(),
         F.regexp_extract("text", r"(?s)<node(?:\s[^>]*)?>(.*)</node>", 1).alias("body"),
     )
-    order = located.where("base = 'subnodes.lst'").select(
+
+
+def in_listed_order(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Nodes (node_id, father_id) with their ``sequence``, from the lists of the folder form."""
+    order = _located(files).where("base = 'subnodes.lst'").select(
         F.when(F.size("ids") > 0, F.element_at("ids", -1).cast("long")).otherwise(F.lit(0)).cast("long").alias("ofather"),
         F.posexplode(F.split(F.trim("text"), r"\s*,\s*")).alias("i", "child"),
     ).select(F.col("child").try_cast("long").alias("oid"), (F.col("i") + 1).cast("long").alias("sequence"), "ofather")
@@ -144,6 +147,16 @@ def multifile_nodes(files: DataFrame) -> DataFrame:
     return nodes.join(order, (F.col("node_id") == F.col("oid")) & (F.col("father_id") == F.col("ofather")), "left").drop("oid", "ofather")
 
 
+def multifile_nodes(files: DataFrame | dict[str, DataFrame]) -> DataFrame:
+    """Nodes of a store kept as nested folders: (path, content) of all its files.
+
+    ``.../<id>/<id>/node.xml`` gives the tree, ``subnodes.lst`` the order of the
+    children and the top folder's ``subnodes.lst`` that of the top nodes.
+    """
+    nodes, lists = (files["node"], files["list"]) if isinstance(files, dict) else (files, files)
+    return in_listed_order(multifile_bodies(nodes), lists)
+
+
 def _id_list(text: Column) -> Column:
     """Ids of a comma list; entries that are no number drop out."""
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("long")), lambda x: x.isNotNull())

@@ -168,3 +168,31 @@ def test_components_meet_sets_and_not_each_posting(spark, monkeypatch):
     found = jaccard.near_duplicates(docs).collect()
     assert {r["component_id"] for r in found} == {0}
     assert len(kept[-1]) == len(set(kept[-1])) == 6
+
+
+def test_written_links_are_not_written_again(spark, monkeypatch):
+    """A round's few links are followed where they lie."""
+    from thicket.llm import components as way
+
+    monkeypatch.setattr(way, "materialize", None)
+    links = spark.createDataFrame([(3, 1), (2, 3), (3, 1), (5, 5), (9, 7)], "a long, b long")
+    assert {tuple(r) for r in components(links, written=True).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+
+
+def test_blocks_cover_all_pairs_of_components(spark):
+    """Each two members of a group and of different components meet once, those of a large component nowhere."""
+    from thicket.llm.blocks import dealt_to_blocks
+
+    rows = [(k, g, 1000 + k % 2 if k < 30 else k) for g, n in ((1, 60), (2, 3), (3, 20)) for k in range(n)]
+    rows = [(100 * g + k, g, 100 * g + r) for k, g, r in rows]
+    out = dealt_to_blocks(spark.createDataFrame(rows, "key long, home long, root long"), "home", 8).collect()
+    met = defaultdict(int)
+    for x in out:
+        for y in out:
+            if x.key < y.key and (x.home, x.pair) == (y.home, y.pair) and (x.side != y.side if x.two else True):
+                met[x.key, y.key] += 1
+    root = {k: (g, r) for k, g, r in rows}
+    large = {r for r in root.values() if list(root.values()).count(r) > 2}
+    wanted = {(a, b) for a in root for b in root if a < b and root[a][0] == root[b][0] and root[a] != root[b]}
+    assert wanted <= set(met) and set(met.values()) == {1}
+    assert all(root[a] != root[b] or root[a] not in large for a, b in met if root[a][0] == 1)

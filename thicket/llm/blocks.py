@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.session import materialize
@@ -40,6 +40,31 @@ def paired(members: DataFrame, group: list[str], part: Column, block: int, key:
     return out
 
 
+def dealt_to_blocks(members: DataFrame, group: str, block: int, key: str = "key") -> DataFrame:
+    """The members with ``pair``, ``two`` and ``side`` as of ``paired``, for members that know their component, ``root``.
+
+    Members of one component needn't be compared, so a component that fills a quarter of a
+    block in a group has blocks of its own. Only their numbers are written: a member goes to
+    the pairs of its block with each other one.
+    """
+    sizes = members.groupBy(group, "root").agg(F.count("*").alias("m")).withColumn("part", F.when(F.col("m") > block / 4, F.col("root")))
+    sizes = sizes.groupBy(group, "part").agg(F.ceil(F.sum("m") / block).alias("k"))
+    of_group = Window.partitionBy(group)
+    before = of_group.orderBy(F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"first": F.coalesce(F.sum("k").over(before), F.lit(0)), "all": F.sum("k").over(of_group), "most": F.max("k").over(of_group), "parts": F.count("*").over(of_group)})
+    # a group whose parts make up one block needs no more than that
+    one = (F.col("most") == 1) & (F.col("parts") <= 8)
+    layout = materialize(sizes.select(group, "part", F.when(one, 1).otherwise(F.col("k")).alias("k"), F.when(one, 0).otherwise(F.col("first")).alias("first"), F.when(one, 1).otherwise(F.col("all")).alias("all"), one.alias("one")), "layout")
+    rest = layout.where("part IS NULL").select(group, *[F.col(c).alias(f"{c}_rest") for c in ("k", "first", "all")])
+    own = layout.where("part IS NOT NULL").withColumnRenamed("part", "root").withColumn("crowd", ~F.col("one")).drop("one")
+    out = members.join(own, [group, "root"], "left").join(rest, group, "left")
+    k, first, every = (F.coalesce(c, f"{c}_rest") for c in ("k", "first", "all"))
+    placed = out.select(*members.columns, (first + F.pmod(F.xxhash64(key), k)).alias("block"), first.alias("from"), (first + k).alias("to"), F.coalesce("crowd", F.lit(False)).alias("crowd"), F.explode(F.sequence(F.lit(0).cast("long"), every - 1)).alias("other"))
+    placed = placed.where(~(F.col("crowd") & (F.col("other") >= F.col("from")) & (F.col("other") < F.col("to"))))
+    pair = F.concat_ws(" / ", F.least("block", "other"), F.greatest("block", "other"))
+    return placed.select(*members.columns, pair.alias("pair"), (F.col("block") != F.col("other")).alias("two"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
+
+
 def same_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n rows the smallest row that links (a, b) connect it to."""
     root = np.arange(n)

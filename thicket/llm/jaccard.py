@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm import chunks as C
-from thicket.llm.blocks import paired, same_component
+from thicket.llm.blocks import dealt_to_blocks, same_component
 from thicket.llm.components import components
 from thicket.llm.words import U, WORD_BASE, Words, mix, polynomial, random_words, steps
 from thicket.session import Scratch, materialize
@@ -23,7 +23,7 @@ MOST_SHARED = 8
 VERIFY_COST = 20
 #: Rounds against one leader per list go on while all pairs would be more than this many times
 #: the postings, and a round has left less than this share of the pairs before it.
-PAIRS_PER_POSTING, LEFT_BY_ROUND = 2, 0.3
+PAIRS_PER_POSTING, LEFT_BY_ROUND = 5, 0.3
 #: Longer lists than this are compared as wholes where leaders leave much, in blocks of so many sets.
 LONG_LIST, BLOCK_SETS = 64, 512
 #: Rounds of that at most; what they leave is enumerated.
@@ -197,6 +197,21 @@ def _compared(percent: int):
     return run
 
 
+def _postings(held: DataFrame, roots: DataFrame | None, homes: dict[str, DataFrame]) -> DataFrame:
+    """A row per posting of the sets, with the component and the homes of its set."""
+    out = held.withColumn("root", F.col("key")) if roots is None else held.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    for chosen in homes.values():
+        out = out.join(chosen, "key", "left")
+    return out.select("key", "n", "shared", "rest", "most", "root", *homes, F.explode("p").alias("p")).select("*", "p.t", "p.pos", "p.level").drop("p")
+
+
+def _merged(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root), written, when new links, written, join the components found so far."""
+    if roots is not None:
+        links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return materialize(components(links, written=True), "roots")
+
+
 def _open_pairs(here: DataFrame, homes: list[str]) -> DataFrame:
     """(t, m, open): each list's length and its pairs that are neither of one component nor have a home in common.
 
@@ -211,105 +226,91 @@ def _open_pairs(here: DataFrame, homes: list[str]) -> DataFrame:
     return sums.groupBy("t").agg(F.max(F.when(F.col("mask") == 0, F.col("m"))).alias("m"), (F.sum(sign * F.col("m") * F.col("m")) / 2).alias("open"))
 
 
-def settled(here: DataFrame, sets: DataFrame, found: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None, list[str]]:
+def settled(held: DataFrame, lists: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None, dict[str, DataFrame]]:
     """Compares the sets of long lists list by list, until the pairs left to enumerate are few.
 
     In each round a set goes to that of its long lists in which most pairs are open, its home
     of the round; the sets of a home are compared with each other in blocks, those of one
-    component aside. Two sets with a home in common needn't meet again. Returns the postings
-    with their new components and homes, the links, and the names of the homes.
+    component aside. Two sets with a home in common needn't meet again. ``lists`` holds (t, m,
+    open) of each list. Returns those (t) still open, the components and the homes of sets by name.
     """
-    homes, last, before, postings = [], float("inf"), None, here.count()
+    short, long = (lists.where(F.col("m") <= LONG_LIST).select("t"), lists.where(F.col("m") > LONG_LIST))
+    homes, last, postings = {}, float("inf"), lists.agg(F.sum("m")).head()[0] or 0
     while True:
-        lists = materialize(_open_pairs(here, homes).where(F.col("m") > LONG_LIST).where("open > 0").select("t", "open"), "open")
-        total = lists.agg(F.sum("open")).head()[0] or 0
+        total = float(long.agg(F.sum("open")).head()[0] or 0)
         if total <= PAIRS_PER_POSTING * postings or total > LEFT_BY_ROUND * last or len(homes) == MOST_HOMES:
-            return here, found, homes
+            return short.union(long.select("t")), roots, homes
         last, home = total, f"home{len(homes)}"
-        chosen = materialize(here.join(lists, "t").groupBy("key").agg(F.max_by("t", F.struct("open", "t")).alias(home), F.first("root").alias("root"), F.first("n").alias("n")), "homes")
-        members = chosen.join(sets.select("key", "tokens"), "key")
-        crowd = chosen.groupBy(home, "root").agg((F.count("*") > BLOCK_SETS / 4).alias("crowd"))
-        members = members.join(crowd, [home, "root"])
-        pairs = paired(members, [home], F.when(F.col("crowd"), F.col("root").cast("string")).otherwise(""), BLOCK_SETS)
-        new = materialize(pairs.groupBy(home, "pair").applyInArrow(_compared(percent), "a long, b long"), "links")
-        found = new if found is None else found.union(new)
-        own = [c for c in here.columns if c not in ("t", "level", "root")]
-        held = here.groupBy(*own).agg(F.collect_list(F.struct("t", "level")).alias("p"))
-        held = held.join(components(found).withColumnRenamed("node", "key"), "key", "left").join(chosen.select("key", home), "key", "left")
-        here = held.select(*own, F.coalesce("root", "key").alias("root"), home, F.explode("p").alias("p")).select("*", "p.t", "p.level").drop("p")
-        open_lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("t")
-        with Scratch() as of_round:
-            here, homes = materialize(here.join(open_lists, "t"), "lists"), [*homes, home]
-        if before is not None:
-            before.drop()
-        before = of_round
+        here = _postings(held, roots, homes).join(long.select("t", "open"), "t")
+        chosen = materialize(here.groupBy("key").agg(F.max_by("t", F.struct("open", "t")).alias(home), F.first("root").alias("root"), F.first("n").alias("n")), "homes")
+        pairs = dealt_to_blocks(chosen, home, BLOCK_SETS).join(sets.select("key", "tokens"), "key")
+        roots = _merged(materialize(pairs.groupBy(home, "pair").applyInArrow(_compared(percent), "a long, b long"), "links"), roots)
+        homes[home] = chosen.select("key", home)
+        here = _postings(held, roots, homes).join(long.select("t"), "t")
+        long = materialize(_open_pairs(here, list(homes)).where("open > 0"), "open")
 
 
-def links_between(sets: DataFrame, percent: int) -> DataFrame:
-    """Enough links between representatives (a, b) to connect all that similarity connects.
+def connected(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) for each representative that is similar to another: root is the smallest that links reach.
 
     First each list of a token's documents is held against one leader, which finds the
     linear core of a large group; where that leaves much, the sets of long lists are compared
     in blocks, list by list; then only pairs of different components are left. Those
     must share as many tokens as the shorter of their two prefixes asks for; and the tokens
     shared within both prefixes, with all that may follow in the longer rest, must reach the
-    overlap that their sizes ask for.
+    overlap that their sizes ask for. Rounds keep components, and read postings from the sets,
+    a row each.
     """
     postings = sets.select("key", "n", "shared", (F.ceil(F.col("n") * percent / F.lit(100)).cast("long")).alias("alpha"), F.explode("postings").alias("p")).select("key", "n", "shared", "alpha", (F.col("alpha") - F.col("shared")).alias("rest"), F.col("p.t").alias("t"), F.col("p.pos").alias("pos"))
     # needed for a posting to count when k tokens are asked for
     postings = postings.withColumn("level", F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.col("alpha")) + 1))
-    lists = postings.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
-    with Scratch() as whole:
-        postings = materialize(postings.join(lists, "t"), "postings")
+    lists = postings.groupBy("t").agg(F.count("*").alias("m"), F.min("n").alias("n0")).where("m > 1").select("t", "n0")
+    held = postings.join(lists, "t").groupBy("key", "n", "shared", "rest").agg(F.min("pos").alias("first"), F.collect_list(F.struct("t", "pos", "level", "n0")).alias("p"))
     # what stands before a set's first shared token can't be common, which bounds its partners' sizes
-    reach = postings.groupBy("key").agg(F.min("pos").alias("first"))
-    postings = postings.join(reach, "key").withColumn("most", F.floor(((F.col("n") - F.col("first")) * (100 + percent)) / F.lit(percent)) - F.col("n")).where("100 * most >= n * " + str(percent)).drop("alpha", "first")
-    # one row per set, so that a round joins components to sets and not to each of their postings
-    held = materialize(postings.groupBy("key", "n", "shared", "rest", "most").agg(F.collect_list(F.struct("t", "level")).alias("p")), "postings")
-    whole.drop()
+    held = held.withColumn("most", F.floor(((F.col("n") - F.col("first")) * (100 + percent)) / F.lit(percent)) - F.col("n")).where("100 * most >= n * " + str(percent)).drop("first")
+    held = materialize(held.withColumn("p", F.expr("transform(filter(p, x -> x.n0 <= most), x -> struct(x.t AS t, x.pos AS pos, x.level AS level))")), "postings")
 
-    roots, found, seen, last = None, None, None, float("inf")
+    roots, lists, last, before = None, None, float("inf"), None
     while True:
-        rooted = held.withColumn("root", F.col("key")) if roots is None else held.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        here = rooted.select("key", "n", "shared", "rest", "most", "root", F.explode("p").alias("p")).select("*", "p.t", "p.level").drop("p")
-        lists = here.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0")).where("r0 < r1").select("t", "n0")
+        here = _postings(held, roots, {})
+        by_root = here.groupBy("t", "root").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("first"))
+        # the leaders go up from component to component
+        by_root = by_root.withColumn("last", F.lit(None).cast("long")) if lists is None else by_root.join(lists.select("t", F.coalesce("leader.root", "last").alias("last")), "t")
+        leader = F.min(F.when(F.col("last").isNull() | (F.col("root") > F.col("last")), F.struct("root", "first"))).alias("leader")
+        own = F.sum(F.col("m") * F.col("m"))
         with Scratch() as of_round:
-            here = materialize(here.join(lists, "t").where("most >= n0").drop("n0"), "lists")
-        by_root = here.groupBy("t", "root").agg(F.count("*").alias("m"))
-        m = by_root.groupBy("t").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")).agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).head()
+            lists = materialize(by_root.groupBy("t").agg(F.sum("m").alias("m"), own.alias("own"), F.first("last").alias("last"), leader).withColumn("open", (F.col("m") * F.col("m") - F.col("own")) / 2).where("open > 0"), "lists")
+        if before is not None:
+            before.drop()
+        before = of_round
+        m = lists.agg(F.sum("m"), F.sum("open")).head()
         if not m[0] or m[1] <= PAIRS_PER_POSTING * m[0] or float(m[1]) > LEFT_BY_ROUND * last:
             break
         last = float(m[1])
-        leaders = here.select("t", "root", "key", "n")
-        if seen is not None:
-            leaders = leaders.join(seen, "t", "left").where("last IS NULL OR root > last").drop("last")
-        leaders = leaders.groupBy("t").agg(F.min(F.struct("root", "key", "n")).alias("l")).select("t", F.col("l.root").alias("last"), F.col("l.key").alias("b"), F.col("l.n").alias("nb"))
-        leaders = materialize(leaders, "leaders")
+        leaders = lists.where("leader IS NOT NULL").select("t", F.col("leader.root").alias("last"), F.col("leader.first.key").alias("b"), F.col("leader.first.n").alias("nb"))
         if leaders.isEmpty():
             break
-        now = leaders.select("t", "last")
-        seen = now if seen is None else seen.join(now, "t", "left_anti").union(now)
         pairs = here.join(leaders, "t").where((F.col("root") != F.col("last")) & _similar_sizes("n", "nb", percent)).select(F.col("key").alias("a"), "b").distinct()
-        new = materialize(verified(pairs, sets, percent).select("a", "b"), "links")
-        found = new if found is None else found.union(new)
-        of_round.drop()
-        roots = components(found)
+        roots = _merged(materialize(verified(pairs, sets, percent).select("a", "b"), "links"), roots)
 
-    here, found, homes = settled(here, sets, found, percent)
-    columns = ["key", "n", "shared", "rest", "level", "most", "root", *homes]
+    still, roots, homes = settled(held, lists, sets, roots, percent)
+    here = _postings(held, roots, homes).join(still, "t")
+    columns = ["key", "n", "shared", "rest", "pos", "level", "most", "root", *homes]
     x, y = (here.select("t", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
     k = F.least("shared_a", "shared_b")
     apart = (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b"))
     for home in homes:
         apart &= F.coalesce(F.col(f"{home}_a") != F.col(f"{home}_b"), F.lit(True))
-    met = x.join(y, "t").where(apart & _similar_sizes("n_a", "n_b", percent) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")))
-    counted = F.count_if((F.col("level_a") <= k) & (F.col("level_b") <= k)).alias("met")
     overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    # beside a common token two sets share at most what stands before and behind it in both
+    reach = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    near = apart & _similar_sizes("n_a", "n_b", percent) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")) & (reach >= overlap)
+    met = x.join(y, "t").where(near)
+    counted = F.count_if((F.col("level_a") <= k) & (F.col("level_b") <= k)).alias("met")
     pairs = met.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(
         counted, F.count("*").alias("all"), F.min(k).alias("k"), F.min(overlap - F.greatest("rest_a", "rest_b")).alias("least")
     ).where("met >= k AND all >= least").select("a", "b")
-    new = verified(pairs, sets, percent).select("a", "b")
-    return new if found is None else found.union(new)
+    return _merged(materialize(verified(pairs, sets, percent).select("a", "b"), "links"), roots)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
@@ -335,8 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = slim.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"))
         reps = materialize(sets.where("tokens IS NOT NULL").join(classes.select(F.col("rep").alias("key")), "key", "left_semi"), "classes")
         whole.drop()
-        links = links_between(reps, percent)
-        roots = components(links)
+        roots = connected(reps, percent)
         classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
         rows = slim.join(classes, ["n", "h1", "h2"], "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"), *row)
         rows = materialize(rows, "rows", outlives=True)

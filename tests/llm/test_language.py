@@ -197,3 +197,25 @@ def test_chunk_numbers_of_many_partitions():
     for bad in ((0, C.CHUNKS_PER_PART), (C.PARTS, 0)):
         with pytest.raises(ValueError, match="repartition"):
             C.chunk_number(*bad)
+
+
+def test_words_are_looked_up_once_per_batch(monkeypatch):
+    """A batch gives the ids and texts of its rows one by one, and asks for a word's ids once."""
+    import pyarrow as pa
+
+    v = pieces.Vocabulary(pieces.MODEL)
+    texts = ["", " ", "a", "the cat the cat", " led", "tail ", "two  blanks", "\u2581mark", "x\u2581y z", "line\nnext the\tcat", "\u65e5\u672c \U0001f600 \u00e9", "the cat"]
+    want = [v.encoded(t) for t in texts]
+    for rows, ids in ((texts, want), (["the cat"], want[-1:]), (["", " "], want[:2]), ([], [])):
+        assert v.encoded_all(pa.array(rows, pa.string())).to_pylist() == ids
+    assert v.encoded_all(pa.array(texts, pa.string()).slice(2, 5)).to_pylist() == want[2:7]
+    rows = pa.array([*want, None, v.encoded("\U0001f600")[:-4]], pa.binary())
+    for part in (rows, rows.slice(3, 6), rows.slice(0, 0), rows.slice(0, 1)):
+        n, got = v.decoded_all(part)
+        ids = [np.frombuffer(t or b"", "<i4").tolist() for t in part.to_pylist()]
+        assert n.tolist() == [len(i) for i in ids] and got.to_pylist() == [v.decode(i) for i in ids]
+    asked = []
+    monkeypatch.setattr(v, "known", {})
+    monkeypatch.setattr(v, "segment", lambda w, f=v.segment: asked.append(w) or f(w))
+    v.encoded_all(pa.array(["the cat the cat", "cat the"]))
+    assert sorted(asked) == ["\u2581cat", "\u2581the"]

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ GIANT, CHUNK = 65_536, 8_192
 #: Segments whose encoding a task remembers.
 REMEMBERED = 400_000
 NEVER = -np.inf
+#: Texts that are not words behind single blanks.
+_UNEVEN = f"{BLANK}|  |^ | $|^$"
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]*")
 
 
@@ -57,6 +60,7 @@ class Vocabulary:
         self.longest = max(map(len, self.score))
         #: Whether a path must cut before each run of blanks.
         self.cuts = all(BLANK not in p.lstrip(BLANK) for p in self.score)
+        self.all_written = pa.array(self.written, pa.binary())
         self.known: dict[str, bytes] = {}
         self.sums: dict[str, float] = {}
 
@@ -117,6 +121,22 @@ class Vocabulary:
         get, segment = self.known.get, self.segment
         return b"".join([get(p) or segment(p) for p in self.parts(BLANK + text.replace(" ", BLANK))])
 
+    def encoded_all(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text, as they are written. Where single blanks part words, each distinct word is looked up once."""
+        uneven = np.asarray(pc.match_substring_regex(texts, _UNEVEN)) | (not self.cuts)
+        rest = pa.array([self.encoded(t) for t in texts.filter(pa.array(uneven)).to_pylist()], pa.binary())
+        if uneven.all():
+            return rest
+        words = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
+        distinct = words.flatten().dictionary_encode()
+        get, segment = self.known.get, self.segment
+        ids = pa.array([get(w) or segment(w) for w in pc.binary_join_element_wise(BLANK, distinct.dictionary, "").to_pylist()], pa.binary())
+        bounds = np.asarray(words.offsets)
+        out = _cut(ids.take(distinct.indices), bounds - bounds[0])
+        order = np.empty(len(texts), dtype=np.int64)
+        order[np.flatnonzero(~uneven)], order[uneven] = np.arange(len(out)), len(out) + np.arange(len(rest))
+        return pa.concat_arrays([out, rest]).take(pa.array(order)) if len(rest) else out
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
         return np.frombuffer(self.encoded(text), "<i4").tolist()
@@ -140,6 +160,19 @@ class Vocabulary:
         """The text of ids; the blank put before it goes."""
         return b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
+    def decoded_all(self, tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of ids and the text of each row of written ids."""
+        tokens = tokens.cast(pa.binary()).fill_null(b"")
+        bounds = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1] // 4 if len(tokens) else np.zeros(1, np.int32)
+        data = tokens.buffers()[2]
+        ids = np.frombuffer(data, "<i4", count=int(bounds[-1]))[bounds[0] :] if data and bounds[-1] else np.zeros(0, np.int32)
+        texts = _cut(self.all_written.take(pa.array(ids)), bounds - bounds[0])
+        try:
+            out = pc.if_else(pc.starts_with(texts, " "), pc.binary_slice(texts, 1), texts).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            out = pa.array([t.decode("utf-8", "replace").removeprefix(" ") for t in texts.to_pylist()], pa.string())
+        return np.diff(bounds), out
+
     def transfer(self, text: str, size: int) -> np.ndarray:
         """The max-plus matrix of a chunk of ``size`` code points, given with those behind it that a piece may reach.
 
@@ -219,6 +252,12 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+def _cut(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """A row of the binaries between two bounds each, joined."""
+    places = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(places[bounds])), values.buffers()[2] or pa.py_buffer(b"")])
+
+
 def _ids(values) -> bytes:
     return np.asarray(values, dtype="<i4").tobytes()
 
@@ -242,9 +281,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            for row in range(0, len(batch), 512):
-                part = batch.slice(row, 512)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([v.encoded(t) for t in part["text"].to_pylist()], pa.binary())], names=["id", "tokens"])
+            for row in range(0, len(batch), 4096):
+                part = batch.slice(row, 4096)
+                yield pa.RecordBatch.from_arrays([part["id"], v.encoded_all(part["text"])], names=["id", "tokens"])
 
     plain = rows.where(F.length("text") <= giant).mapInArrow(small, "id long, tokens binary")
     return plain.union(_encode_giants(rows.where(F.length("text") > giant), model, chunk)).withColumnRenamed("id", id_col)
@@ -321,8 +360,8 @@ def decode(rows: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
         for batch in batches:
             for row in range(0, len(batch), 512):
                 part = batch.slice(row, 512)
-                ids = [np.frombuffer(t or b"", "<i4").tolist() for t in part["tokens"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["id"], part["tokens"], pa.array([len(i) for i in ids], pa.int64()), pa.array([v.decode(i) for i in ids], pa.string())], names=["id", "tokens", "n_tokens", "text"])
+                n, texts = v.decoded_all(part["tokens"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["tokens"], pa.array(n, pa.int64()), texts], names=["id", "tokens", "n_tokens", "text"])
 
     out = rows.select(F.col(id_col).cast("long").alias("id"), F.col(tokens_col).alias("tokens")).mapInArrow(run, "id long, tokens binary, n_tokens long, text string")
     return out.withColumnRenamed("id", id_col)

@@ -140,6 +140,21 @@ def test_a_file_that_changes_while_it_is_read(spark, tmp_path, monkeypatch):
         NR.load_multifile_store(spark, folder)
 
 
+def test_texts_read_again_have_a_small_plan(spark, monkeypatch):
+    """The second reading plans no more than the first: a filter on what a body holds would repeat it all in the plan."""
+    monkeypatch.setattr(NR, "TEXT_IN", 1_000_003)
+    store, sizes = full_store(spark), {}
+
+    def keep(df, name="step", outlives=False):
+        sizes[name] = len(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, name, outlives)
+
+    monkeypatch.setattr(NR, "materialize", keep)
+    files = NX.multifile_kinds(store, root_paths(store.children))
+    assert {r.node_id: r.txt for r in NR.multifile_store(files).node.collect()} == {r.node_id: r.txt for r in store.node.collect()}
+    assert sizes["texts"] < 1.5 * sizes["read-nodes"]
+
+
 def test_no_nodes(spark):
     none = Store(**{t: spark.createDataFrame([], schema_of(t)) for t in TABLES})
     files = NX.export_multifile(none, root_paths(none.children))

@@ -95,8 +95,9 @@ def _store_of(nodes: DataFrame, bookmark: DataFrame, blobs: DataFrame | None, fi
     lacking = read.where(holds).groupBy("text_id").agg(F.min("node_id").alias("node_id")).join(texts.select("text_id"), "text_id", "left_anti")
     lacking = sized(lacking, "text-nodes")
     if not lacking.isEmpty():
-        more = nodes.where(holds).join(lacking.select("node_id"), "node_id", "left_semi").select(body_text().alias("txt"))
-        more = materialize(more.select(text_id("txt").alias("text_id"), "txt").distinct(), "texts")
+        # Filters wait until the texts are written: below, they would repeat all that makes a body in the plan.
+        more = nodes.join(lacking.select("node_id"), "node_id", "left_semi").select(F.when(holds, body_text()).alias("txt"))
+        more = materialize(more.select(text_id("txt").alias("text_id"), "txt").distinct(), "texts").where("txt IS NOT NULL")
         if not lacking.join(more.select("text_id"), "text_id", "left_anti").isEmpty():
             raise RuntimeError("files changed while they were read")
         texts = texts.unionByName(more)

@@ -109,7 +109,7 @@ def renumber_lists(df: DataFrame, text: str, keep: list[str], from_line: int = -
 
     begin = F.struct(F.lit(False), F.lit(start).cast("long"))
     out = scan_array(_lines(F.col(text)), begin, "struct<stopped:boolean,next:bigint>", "string", step)
-    return dealt(df.where(F.col(text).isNotNull()).select(*keep, text)).select(*keep, F.array_join(out, "\n").alias("text"))
+    return dealt(df.where(F.col(text).isNotNull()).select(*keep, text), read=True).select(*keep, F.array_join(out, "\n").alias("text"))
 
 
 def indent_lists(df: DataFrame, text: str, keep: list[str], increase: bool = True, indent: str = "\t") -> DataFrame:
@@ -154,7 +154,7 @@ def indent_lists(df: DataFrame, text: str, keep: list[str], increase: bool = Tru
         return left, F.when(moves, moved(x, target, above)).when(outside, plain).otherwise(x["line"])
 
     out = scan_array(_lines(F.col(text)), F.array().cast(f"array<{entry}>"), f"array<{entry}>", "string", step)
-    return dealt(df.where(F.col(text).isNotNull()).select(*keep, text)).select(*keep, F.array_join(out, "\n").alias("text"))
+    return dealt(df.where(F.col(text).isNotNull()).select(*keep, text), read=True).select(*keep, F.array_join(out, "\n").alias("text"))
 
 
 def rotate_todo(c: Column) -> Column:
